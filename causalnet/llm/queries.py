@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causalnet.llm import simhash
+from pyspark.sql import functions as F
+
+from causalnet.llm import mixing, packing, simhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +17,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_ids.tokenize_to_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return token_ids.read_token_ids(shards)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), size=4096, end_id=1)
+    return packing.packed(pieces.drop("ids"), size=4096).drop("pid")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(table(spark, sf_dir, "documents"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+QUERIES = {
+    "op2_token_ids": op2_token_ids,
+    "op3_simhash": op3_simhash,
+    "op4_packing": op4_packing,
+    "op8_mixing": op8_mixing,
+}
 ORACLES: dict[str, str] = {}
