@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import mixing, packing, simhash, token_ids
+from causalnet.llm import mixing, packing, pii, simhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = list(pii.BASE)
+    text = lambda a: F.array_join(F.transform(a, lambda m: F.concat_ws(":", pii.named(m["kind"]), m["start"], m["end"])), ",")
+    count = lambda s, k: F.size(F.filter(s, lambda m: m["kind"] == k)).cast("long")
+    digest = pii.let(
+        F.col("spans"),
+        lambda s: F.struct(
+            *(count(s, k).alias(f"n_{name}") for k, name in enumerate(kinds)),
+            F.sha2(text(F.filter(s, lambda m: m["kind"] < len(kinds))), 256).alias("base_sha256"),
+            text(s).alias("spans"),
+        ),
+    )
+    return found.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
+
+
 QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op8_mixing": op8_mixing,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
