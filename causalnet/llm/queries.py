@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import mixing, packing, pii, simhash, token_ids
+from causalnet.llm import mixing, packing, pii, rules, simhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(pieces.drop("ids"), size=4096).drop("pid")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_char", "js_word")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op2_token_ids": op2_token_ids,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
     "op10_pii": op10_pii,
 }
