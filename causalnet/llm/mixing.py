@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import WORD, durable
+from causalnet.llm.shared import WORD, durable, fresh, join_back
 
 BUCKET = 4096
 HISTOGRAM = 16_384
@@ -121,12 +121,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents as the mix takes them: a row for each time that it takes one."""
-    from causalnet.llm.shared import fresh
-
-    plan = mix(docs, id_col, text_col, **options)
-    i, no, th, n = fresh(docs, "id", "no", "th", "n")
-    counts = plan.groupBy("id", "th").agg(F.max("epochs").alias(n))
-    counts = counts.where(F.col(n) > 0).select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias(i), F.col("id").isNull().alias(no), F.col("th").alias(th), n)
-    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), no: F.col(id_col).isNull(), th: F.xxhash64(F.col(text_col))})
-    joined = keyed.join(counts, [i, no, th])
+    (n,) = fresh(docs, "n")
+    counts = mix(docs, id_col, text_col, **options).groupBy("id", "th").agg(F.max("epochs").alias(n)).where(F.col(n) > 0)
+    joined = join_back(docs, counts, "inner", id_col, text_col, (n,))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

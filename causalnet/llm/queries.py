@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import mixing, packing, pii, rules, simhash, token_ids
+from causalnet.llm import langid, mixing, packing, pii, quality, rules, simhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "host", "path", "evidence", "host_posterior", "path_posterior", "posterior", "kept")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_ids.tokenize_to_shards(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     return token_ids.read_token_ids(shards)
@@ -60,6 +69,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op6_language_id": op6_language_id,
     "op2_token_ids": op2_token_ids,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,

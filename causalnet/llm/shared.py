@@ -17,6 +17,7 @@ DIR_KEY = "spark.checkpoint.dir"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 _own_dir: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, unless their Python path has it already."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    home = Path(__file__).resolve().parents[1]
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
+        return
+    to = Path(tempfile.mkdtemp(prefix="package-")) / f"{home.name}.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(str(to))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
@@ -87,3 +105,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         if labels.where("l <> was").isEmpty():
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
+
+
+def join_back(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
+    """Join ``docs`` to rows of (id, th, ...), th being the text's hash; null ids match null ids.
+
+    ``more`` names columns of ``rows`` that the result keeps under the same names (they must not clash)."""
+    i, no, th = keys = fresh(docs, "id", "no", "th")
+    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), no: F.col(id_col).isNull(), th: F.xxhash64(F.col(text_col))})
+    other = rows.select(F.coalesce(F.col("id").cast("long"), F.lit(0)).alias(i), F.col("id").isNull().alias(no), F.col("th").alias(th), *more)
+    return keyed.join(other, keys, how).drop(*keys)

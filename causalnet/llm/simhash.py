@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, fresh
+from causalnet.llm.shared import connected_components, durable, join_back, ship
 
 #: 4 differing bits spoil at most 4 of 7 blocks, so a linked pair shares 3 whole blocks.
 BLOCKS = 7
@@ -57,6 +57,7 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp, th): fp the fingerprint as a signed long, th a 64-bit hash of the text."""
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row of each component: the one with the least (id, text hash), ids that are null last."""
     found = durable(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
     first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("kid"), F.col("th").alias("kth"))).alias("k")).select("k.kid", "k.kth")
-    i, no, th = keys = fresh(docs, "id", "no", "th")
-    keyed = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), no: F.col(id_col).isNull(), th: F.xxhash64(F.col(text_col))})
-    keep = first.select(F.coalesce("kid", F.lit(0)).alias(i), F.col("kid").isNull().alias(no), F.col("kth").alias(th))
-    return keyed.join(keep, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    first = first.select(F.col("kid").alias("id"), F.col("kth").alias("th"))
+    kept = join_back(docs, first, "left_semi", id_col, text_col)
+    return kept.dropDuplicates([id_col, text_col])

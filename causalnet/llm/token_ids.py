@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import durable, new_folder, open_fs
+from causalnet.llm.shared import durable, new_folder, open_fs, ship
 from causalnet.llm.tokens import encoder
 
 MAGIC = "IDS1"
@@ -134,6 +134,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, folder: str, end_id: i
         write_shard(uri, ids, lengths, parts, enc.kind)
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "uri": [uri], "docs": [len(ids)], "tokens": [sum(lengths)]})
 
+    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     done = src.repartitionByRange("id").sortWithinPartitions("id", "t").mapInArrow(run, "shard int, uri string, docs long, tokens long")
     rows = durable(done, "token-shards").orderBy("shard").collect()  # one row per partition
