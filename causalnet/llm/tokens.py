@@ -13,8 +13,9 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces remembered by one Python worker; beyond it the memory starts anew. Results don't depend on it.
-REMEMBERED = 600_000
+#: Pieces in each of the two generations that one Python worker remembers; when the newer is full it
+#: replaces the older, so frequent pieces stay. Results don't depend on it.
+REMEMBERED = 450_000
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!&%$#*|;:?]*)\Z")
 
@@ -46,51 +47,65 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
+        self.seen, self.old = self._generation(), {}
+        self.used = 0
+        self.flat = np.zeros(1 << 16, self.kind)
+        self.start = np.zeros(1 << 12, np.int64)
+        self.length = np.zeros(1 << 12, np.int64)
+        self.made = 0
+
+    def _generation(self) -> dict:
         encoder = self
 
         class Seen(dict):
             def __missing__(self, piece: str) -> int:
-                return encoder._learn(piece)
+                k = encoder.old.get(piece)
+                if k is None:
+                    k = encoder._store(encoder._learn(piece))
+                self[piece] = k
+                return k
 
-        self.seen, self.core = Seen(), {}
-        self.used = 1
-        self.flat = np.zeros(1 << 16, self.kind)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.length = np.zeros(1 << 12, np.int64)
+        return Seen()
 
-    def _library(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _rotate(self) -> None:
+        """The newer generation becomes the older one; what neither holds is dropped."""
+        k = np.fromiter(self.seen.values(), np.int64, len(self.seen))
+        n = self.length[k]
+        ends = np.cumsum(n)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)]
+        self.start, self.length = ends - n, n
+        self.used, self.made = len(self.flat), len(k)
+        self.old, self.seen = dict(zip(self.seen, range(len(k)))), self._generation()
 
-    def _word(self, text: str) -> list[int]:
-        """Ids of a run of Latin-1 letters or of ASCII marks: a single pre-token."""
-        found = self.core.get(text)
-        if found is None:
-            if not self.bytes_model:
-                text_in = unicodedata.normalize("NFC", text).lower()
-            else:
-                text_in = text
-            found = self.core[text] = [t.id for t in self.model.tokenize(text_in.translate(self.letters))]
-        return found
-
-    def _learn(self, piece: str) -> int:
-        m = _PLAIN.match(piece)
-        if m and piece not in ("", " "):
-            gap, word, marks = m.groups()
-            if not self.bytes_model:
-                gap = ""
-            ids = (self._word(gap + word) if word else []) + (self._word((gap if not word else "") + marks) if marks else [])
-        else:
-            ids = self._library(piece)
-        k, n, at = len(self.seen), len(ids), self.used
+    def _store(self, ids) -> int:
+        k, n, at = self.made, len(ids), self.used
         if k >= len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.start, self.length))
         while at + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.kind)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), 16), self.kind)])
         self.flat[at : at + n] = ids
-        self.start[k], self.length[k], self.used = at, n, at + n
-        self.seen[piece] = k
+        self.start[k], self.length[k], self.used, self.made = at, n, at + n, k + 1
         return k
 
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, piece: str):
+        """Ids of a piece. Latin-1 letters with marks after them are two pre-tokens, each the model's own work."""
+        m = _PLAIN.match(piece)
+        if not m or piece in ("", " "):
+            return self._library(piece)
+        gap, word, marks = m.groups()
+        if not self.bytes_model:
+            gap = ""
+        if word and marks:
+            a, b = self.seen[gap + word], self.seen[marks]
+            return np.concatenate([self.flat[self.start[k] : self.start[k] + self.length[k]] for k in (a, b)])
+        text = gap + word + marks
+        if not self.bytes_model:
+            text = unicodedata.normalize("NFC", text).lower()
+        return [t.id for t in self.model.tokenize(text.translate(self.letters))]
+
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
@@ -101,9 +116,11 @@ class Encoder:
         else:
             if _ODD.search(text):
                 return np.array(self._library(text), self.kind)
+            if _latin(text):
+                text = text.lower()  # one to one there, as in the tokenizer's own normalizer
             pieces = text.replace("\n", " ").split(" ")
-        if len(self.seen) > self.remembered or len(self.core) > self.remembered:
-            self._forget()
+        if len(self.seen) > self.remembered:
+            self._rotate()
         k = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
         n = self.length[k]
         ends = np.cumsum(n)
@@ -112,6 +129,13 @@ class Encoder:
         return self.flat[np.arange(ends[-1]) + np.repeat(self.start[k] - ends + n, n)]
 
 
+def _latin(text: str) -> bool:
+    try:
+        return bool(text.encode("latin-1")) or True
+    except UnicodeEncodeError:
+        return False
+
+
 _encoders: dict[str, Encoder] = {}
 
 
