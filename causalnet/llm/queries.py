@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import langid, mixing, packing, pii, quality, rules, simhash, token_ids
+from causalnet.llm import langid, media, mixing, packing, pii, quality, rules, simhash, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_char", "js_word")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_media(media.store(table(spark, sf_dir, "documents")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_media": op7_media,
     "op8_mixing": op8_mixing,
     "op10_pii": op10_pii,
 }
