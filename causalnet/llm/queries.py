@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import langid, media, mixing, packing, pii, quality, rules, simhash, token_ids
+from causalnet.llm import langid, media, mixing, packing, pii, quality, rules, simhash, substring, token_ids
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = list(pii.BASE)
@@ -81,6 +85,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_media": op7_media,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {}
