@@ -13,11 +13,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causalnet.plans.shipping import ship
+
 DIR_KEY = "spark.checkpoint.dir"
+__all__ = ["SPACE", "WORD", "connected_components", "durable", "fresh", "join_back", "new_folder", "open_fs", "shared_dir", "ship"]
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 _own_dir: list[str] = []
-_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,23 +39,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, unless their Python path has it already."""
-    import os
-    import zipfile
-    from pathlib import Path
-
-    home = Path(__file__).resolve().parents[1]
-    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or spark.sparkContext.applicationId in _shipped:
-        return
-    to = Path(tempfile.mkdtemp(prefix="package-")) / f"{home.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(home.rglob("*.py")):
-            z.write(p, p.relative_to(home.parent))
-    spark.sparkContext.addPyFile(str(to))
-    _shipped.add(spark.sparkContext.applicationId)
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
