@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a running aggregate is cut into.
+PARTS = 64
+
 
 def level_codes(df: DataFrame, column: str) -> DataFrame:
     """(level, code, n): the known levels in order, codes from 0. The window sees one row per level."""
@@ -23,18 +26,35 @@ def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
+def running(df: DataFrame, order: str, amounts: dict[str, str], how: str = "sum", parts: int = PARTS) -> DataFrame:
+    """Adds running aggregates over the whole table in the order of ``order``, by two levels: within
+    ranges of the order (cut at approximate quantiles), then over the ranges, so no task sees all rows."""
+    f = getattr(F, how)
+    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
+    part = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int")) if cuts else F.lit(0)
+    dealt = df.withColumn("part_", part)
+    inside = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("part_").agg(*(f(c).alias(f"{n}_part") for n, c in amounts.items()))
+    ranges = ranges.select("part_", *(f(f"{n}_part").over(before).alias(f"{n}_before") for n in amounts))
+    out = dealt.withColumns({n: f(c).over(inside) for n, c in amounts.items()}).join(F.broadcast(ranges), "part_")  # at most ``parts`` rows
+    join = (lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else (lambda a, b: F.least(a, b))
+    return out.withColumns({n: join(F.col(n), F.col(f"{n}_before")) for n in amounts}).drop("part_", *(f"{n}_before" for n in amounts))
+
+
 def equal_frequency(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(value, n, bin): at most ``bins`` bins of about equal counts; equal values share a bin.
 
-    A value's bin is the number of multiples of n/bins that lie before its first row. Works on one row
-    per distinct value."""
-    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = values.select("value", "n", before.alias("before"), total.alias("total"))
-    size = F.greatest(F.floor(F.col("total") / bins), F.lit(1))
-    raw = F.least(F.floor(F.col("before") / size), F.lit(bins - 1))
-    return placed.select("value", "n", (F.dense_rank().over(Window.orderBy(raw)) - 1).cast("int").alias("bin"))
+    A cut falls every n/bins rows, put off to the end of a run of equal values; after a long run each
+    following value opens a bin until the cuts are caught up with. With raw the number of cuts before
+    a value and j its place among the values, the bin is j plus the running minimum of raw - j. Works on
+    one row per distinct value of a numeric column."""
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("one_", F.lit(1))
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_"))
+    placed = running(values, "value", {"upto_": "n", "j_": "one_"}).join(F.broadcast(total))
+    raw = F.least(F.floor((F.col("upto_") - F.col("n")) / F.greatest(F.floor(F.col("total_") / bins), F.lit(1))), F.lit(bins - 1))
+    low = running(placed.withColumn("low_in_", raw - F.col("j_")), "value", {"low_": "low_in_"}, "min")
+    return low.select("value", "n", (F.col("j_") + F.col("low_")).cast("int").alias("bin"))
 
 
 def with_bins(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
