@@ -59,7 +59,7 @@ def log_c_array(n: np.ndarray, r: int) -> np.ndarray:
 def log_c2_col(n: Column) -> Column:
     x = n.cast("double")
     closed = 0.5 * F.log(x * (math.pi / 2)) + F.sqrt(F.lit(8 / (9 * math.pi)) / x) + F.lit((3 * math.pi - 16) / (36 * math.pi)) / x
-    table = F.array(*map(F.lit, binary_table()))
+    table = F.split(F.lit(",".join(map(repr, binary_table()))), ",").cast("array<double>")  # folded to one literal
     return F.when(n <= 0, 0.0).when(n <= EXACT, F.element_at(table, n.cast("int"))).otherwise(closed)
 
 

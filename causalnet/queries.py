@@ -238,7 +238,7 @@ def _three_mixed(spark, d):
 
 @query("discretize_mutual_cutpoints")
 def _cutpoints(spark, d):
-    return r6(standalone.discretise_mutual(table(spark, d, "orders").join(table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("quantity")), F.col("o_orderkey") == F.col("l_orderkey")), "quantity", "o_orderpriority"))
+    return r6(standalone.discretise_mutual(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
 @query("discretize_mdl")
