@@ -152,22 +152,43 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chosen = each.groupBy("digest").agg(F.min(F.struct("pack", "at", "len")).alias("p")).select("digest", "p.*")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (pack, at) rows: the chosen frames of a pack, copied in order."""
-        name, source, pack = None, None, Pack(final)
+        """Sorted (pack, at) rows: the chosen frames of a pack, copied in order, then the first pack goes.
+
+        Places are running sums of lengths and the new name is the old one's, so a repeated task gives the
+        same rows, and copies only what is not yet there."""
+        name = old = out = path = None
+        at = 0
+
+        def finish() -> None:
+            if out is not None:
+                out.close()
+                old.close()
+                fs.move(f"{path}.{mark}", path)
+            if name is not None and fs.get_file_info(was).type.name == "File":
+                fs.delete_file(was)
+
         for b in batches:
-            at = []
+            places, names = [], []
             for u, a, n in zip(b.column("pack").to_pylist(), b.column("at").to_pylist(), b.column("len").to_pylist()):
                 if u != name:
-                    if source:
-                        source.close()
-                    fs, path = open_fs(u)
-                    name, source = u, fs.open_input_file(path)
-                at.append(pack.add(source.read_at(n, a)))
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([pack.uri] * b.num_rows, pa.string()), pa.array(at, pa.int64()), b.column("len")], ["digest", "pack", "at", "len"])
-        pack.close()
-
-    # Ranges of (pack, at): neighbouring frames stay neighbours, and no pack is one task's alone.
-    placed = chosen.repartitionByRange("pack", "at").sortWithinPartitions("pack", "at").mapInArrow(rewrite, "digest binary, pack string, at long, len int")
+                    finish()
+                    name, at, old, out, mark = u, 0, None, None, uuid.uuid4().hex[:8]
+                    fs, was = open_fs(u)
+                    uri = f"{final}/{u.rpartition('/')[2]}"
+                    path = open_fs(uri)[1]
+                    if fs.get_file_info(path).type.name != "File":
+                        fs.create_dir(path.rpartition("/")[0], recursive=True)
+                        old, out = fs.open_input_file(was), fs.open_output_stream(f"{path}.{mark}")
+                if out is not None:
+                    out.write(old.read_at(n, a))
+                places.append(at)
+                names.append(uri)
+                at += n
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(names, pa.string()), pa.array(places, pa.int64()), b.column("len")], ["digest", "pack", "at", "len"])
+        finish()
+
+    # A pack is as large as its task's input; all of its rows go to one task, which then deletes it.
+    placed = chosen.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, "digest binary, pack string, at long, len int")
     placed = durable(placed, "media-places")
     fs, path = open_fs(first)
     if fs.get_file_info(path).type.name == "Directory":
