@@ -86,12 +86,20 @@ class Engine:
             return
         self.batches += 1
         sets = [(r[1], r[2], *([r[3], *r[4]] if r[0] == "3" else r[3])) for r in todo]
-        rows = F.array(*(F.struct(F.lit(k).alias("k"), F.array(*(F.col(f"v{i}") for i in s)).alias("v"), F.lit(r[0] == "3").alias("t")) for k, (r, s) in enumerate(zip(todo, sets))))
-        each = self.codes.select(F.explode(rows).alias("r")).select("r.*")
-        # Of a three-point request the third may be unknown: the missing-at-random test needs those rows.
-        gap = lambda part: F.exists(part, lambda v: v.isNull())
-        whole = ~gap(F.slice("v", 1, 2)) & F.when(F.col("t"), ~gap(F.slice("v", F.lit(4), F.greatest(F.size("v") - 3, F.lit(0))))).otherwise(~gap(F.slice("v", F.lit(3), F.greatest(F.size("v") - 2, F.lit(0)))))
-        cells = each.where(whole).groupBy("k", "v").agg(F.count(F.lit(1)).cast("double").alias("w"))
+        width = max(map(len, sets))
+        # Of a three-point request the third may be unknown (-1): the missing-at-random test needs those rows.
+        code = lambda i, third: f"coalesce(v{i}, -1)" if third else f"v{i}"
+        structs = [
+            "named_struct('k', {}, {}, 'whole', {})".format(
+                k,
+                ", ".join(f"'c{j}', {code(s[j], r[0] == '3' and j == 2) if j < len(s) else '0'}" for j in range(width)),
+                " and ".join(f"v{v} is not null" for j, v in enumerate(s) if self.gaps[v] and not (r[0] == "3" and j == 2)) or "true",
+            )
+            for k, (r, s) in enumerate(zip(todo, sets))
+        ]
+        each = self.codes.select(F.explode(F.expr(f"array({', '.join(structs)})")).alias("r")).select("r.*").where("whole")
+        names = [f"c{j}" for j in range(width)]
+        cells = each.groupBy("k", *names).agg(F.count(F.lit(1)).cast("double").alias("w"))
         continuous = [v.continuous for v in self.variables]
         o, maxbins, weight, n_all = self.options, self.maxbins, self.weight, self.n
 
@@ -100,7 +108,7 @@ class Engine:
 
             k = int(key[0])
             r, s = todo[k], sets[k]
-            codes = np.array([[-1 if c is None or c != c else int(c) for c in v] for v in pdf["v"]]).T
+            codes = pdf[names[: len(s)]].to_numpy(dtype=np.int64).T
             w = pdf["w"].to_numpy() * weight
             make = lambda keep: Sample([c[keep] for c in codes], [continuous[i] for i in s], w[keep], o.cplx, min(maxbins, n_all), n_samples=n_all)
             if r[0] == "2":
