@@ -91,16 +91,16 @@ def fit(x: np.ndarray, y: np.ndarray, features: tuple[str, ...], rounds: int = 3
     return Boosted(features, base, tuple(trees))
 
 
-def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 50) -> Boosted:
-    """Platt scaling on rows that the trees have not seen."""
+def calibrate(model: Boosted, x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1.0) -> Boosted:
+    """Platt scaling on rows that the trees have not seen, drawn toward none at all where these are few."""
     m = model.margin(x)
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(a * m + b)))
+        p = 1 / (1 + np.exp(-np.clip(a * m + b, -50, 50)))
         w = p * (1 - p) + 1e-9
-        g = np.array([((t - p) * m).sum(), (t - p).sum()])
-        hess = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
+        g = np.array([((t - p) * m).sum() - ridge * (a - 1), (t - p).sum() - ridge * b])
+        hess = np.array([[(w * m * m).sum() + ridge, (w * m).sum()], [(w * m).sum(), w.sum() + ridge]])
         da, db = np.linalg.solve(hess, g)
         a, b = a + da, b + db
     return Boosted(model.features, model.base, model.trees, float(a), float(b))
