@@ -16,17 +16,16 @@ def log_choose(n: int, k: int) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) if 0 <= k <= n else -math.inf
 
 
-def _binary_exact(n: int) -> float:
-    h = np.arange(n + 1, dtype=float)
-    lg = np.array([math.lgamma(i + 1) for i in range(n + 1)])
-    terms = lg[n] - lg - lg[::-1] + np.where(h > 0, h * np.log(np.maximum(h, 1)), 0) + np.where(n - h > 0, (n - h) * np.log(np.maximum(n - h, 1)), 0)
-    return float(np.log(np.exp(terms - n * math.log(n)).sum()))
+def _binary_exact(n: int, term: np.ndarray) -> float:
+    """``term``: h ln h - ln h! of h = 0, 1, ..."""
+    return float(np.log(np.exp(term[: n + 1] + term[n::-1] - term[n]).sum()))
 
 
 @lru_cache(maxsize=None)
 def binary_table() -> tuple[float, ...]:
     """log C(n, 2) for n = 1 .. EXACT."""
-    return tuple(_binary_exact(n) for n in range(1, EXACT + 1))
+    term = np.array([(h * math.log(h) if h else 0.0) - math.lgamma(h + 1) for h in range(EXACT + 1)])
+    return tuple(_binary_exact(n, term) for n in range(1, EXACT + 1))
 
 
 def log_c2(n: int) -> float:

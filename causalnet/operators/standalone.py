@@ -20,7 +20,7 @@ def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] |
     kinds = [c in numbers for c in columns] if continuous is None else list(continuous)
     whole = df.dropna(subset=list(columns))
     found = [Variable(c, k) for c, k in zip(columns, kinds)]
-    codes = encoded(whole.select(*columns), found)
+    codes, _ = encoded(whole.select(*columns), found)
     return codes.groupBy(*codes.columns).agg(F.count(F.lit(1)).cast("double").alias("w")), kinds
 
 

@@ -22,21 +22,21 @@ from causalnet.sources.observations import Options, Variable
 ATOMS = 4096
 
 
-def encoded(df: DataFrame, variables: list[Variable]) -> DataFrame:
-    """int codes named by position: v0, v1, ...; null where unknown."""
-    base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables)))
-    sizes = base.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
+def encoded(df: DataFrame, variables: list[Variable]) -> tuple[DataFrame, DataFrame]:
+    """(codes, raw): int codes named by position, v0, v1, ..., null where unknown; and the persisted columns they come from."""
+    raw = base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables))).persist()
+    sizes = raw.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
     for i, v in enumerate(variables):
         c = f"v{i}"
         if v.continuous and sizes[c] > ATOMS:
-            cuts = sorted(set(base.approxQuantile(c, [k / ATOMS for k in range(1, ATOMS)], 1 / (8 * ATOMS))))
+            cuts = sorted(set(raw.approxQuantile(c, [k / ATOMS for k in range(1, ATOMS)], 1 / (8 * ATOMS))))
             base = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=c, outputCol="b_", handleInvalid="keep").transform(base)
             base = base.withColumn(c, F.when(F.col(c).isNotNull(), F.col("b_").cast("int"))).drop("b_")
             continue
-        table = base.where(F.col(c).isNotNull()).select(F.col(c).alias("l_")).distinct()
+        table = raw.where(F.col(c).isNotNull()).select(F.col(c).alias("l_")).distinct()
         table = table.select("l_", (F.row_number().over(Window.orderBy("l_")) - 1).alias("c_"))
         base = base.join(table, F.col(c) == F.col("l_"), "left").withColumn(c, F.col("c_")).drop("l_", "c_")
-    return base.select(*(F.col(f"v{i}").cast("int") for i in range(len(variables))))
+    return base.select(*(F.col(f"v{i}").cast("int") for i in range(len(variables)))), raw
 
 
 def missing_at_random_rejects(x: np.ndarray, y: np.ndarray, known: np.ndarray, w: np.ndarray) -> bool:
@@ -58,7 +58,8 @@ class Engine:
         self.variables, self.options, self.maxbins = variables, options, maxbins
         self.spark = df.sparkSession
         ship(self.spark)
-        self.codes = encoded(df, variables).persist()
+        self.codes, self.raw = encoded(df, variables)
+        self.codes = self.codes.persist()
         one = self.codes.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in self.codes.columns)).collect()[0]
         self.n = one["n"]
         self.gaps = [one[f"v{i}"] < self.n for i in range(len(variables))]
@@ -68,6 +69,7 @@ class Engine:
 
     def close(self) -> None:
         self.codes.unpersist()
+        self.raw.unpersist()
 
     @staticmethod
     def two(x: int, y: int, us: Iterable[int] = ()) -> tuple:
