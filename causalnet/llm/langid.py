@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import ship
+from causalnet.llm.shared import first_by_hash, ship
 
 #: Hashed n-gram features, and labelled rows (the first by a hash of their id) for learning.
 BUCKETS = 4096
@@ -109,7 +109,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     spark = docs.sparkSession
     mine = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     key = mine.select(F.xxhash64(F.col(id_col)).alias("k"), F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
-    ends = key.select("k").orderBy("k").limit(learn).agg(F.max("k").alias("k")).collect()[0]["k"]
+    ends = first_by_hash(key.select("k"), "k", learn).orderBy("k").limit(learn).agg(F.max("k").alias("k")).collect()[0]["k"]
     rows = key.where(F.col("k") <= F.lit(ends)).orderBy("k", "i", F.xxhash64("t")).limit(learn).collect() if ends is not None else []
     model = fit([r["t"] for r in rows], [r["lang"] for r in rows], buckets) if rows else None
     shared = spark.sparkContext.broadcast(model)  # its size is buckets times bits, whatever the input

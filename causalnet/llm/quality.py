@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causalnet.llm import boosting
-from causalnet.llm.shared import durable, join_back
+from causalnet.llm.shared import durable, first_by_hash, join_back
 from causalnet.llm.textstats import CLASSES, text_stats
 
 #: Labelled rows, the first by a hash of their id, from which the classifier learns.
@@ -68,7 +68,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         "quality-features",
     )
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = s.join(marks, "id").orderBy(F.xxhash64("id"), "id", "th").limit(learn_rows).select("x.*", "y").collect()
+    known = first_by_hash(s.join(marks, "id").withColumn("h", F.xxhash64("id")), "h", learn_rows)
+    rows = known.orderBy("h", "id", "th").limit(learn_rows).select("x.*", "y").collect()
     x = np.array([[float(r[f]) for f in FEATURES] for r in rows]).reshape(-1, len(FEATURES))
     model = learn(x, np.array([r["y"] for r in rows], float))
     scored = durable(s.join(marks, "id", "left").select("id", "th", "host", "path", "y", model.column(F.col("x")).alias("evidence")), "quality-evidence")
