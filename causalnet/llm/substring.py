@@ -16,7 +16,6 @@ repeats inside one document are left; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,6 @@ LEAST_WORDS = 20
 #: Lines of one band compared in one task; longer runs are dealt out in pairs of chunks.
 RUN = 2000
 NO_ID = -(1 << 63)
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LONG_SENTENCE = 40
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,42 +57,51 @@ def windowed(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-def paragraphs(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int, int, np.ndarray | None]]:
-    """(kind, start, end, words, hash, shingles) of each paragraph: kind 0 a line, 1 a window."""
+def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in code points, and the words before which a line begins."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    space = np.concatenate([[True], (c == 32) | ((c >= 9) & (c <= 13)), [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edge[0::2], edge[1::2]
+    lines = np.cumsum(c == 10)
+    return starts, ends, np.flatnonzero(lines[starts[1:]] != lines[ends[:-1] - 1]) + 1 if len(starts) > 1 else starts[:0]
+
+
+def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS) -> list[tuple]:
+    """(kind, start, end, words, hash, keys, shingles) of each paragraph: kind 0 a line, with its MinHash
+    values and its set of 32-bit shingle hashes; kind 1 a window. Hashes are signed longs."""
     import xxhash
 
-    spans = [m.span() for m in _WORD.finditer(text)]
-    n = len(spans)
+    words = (text.lower() if text.isascii() else text).encode("utf-8", "surrogatepass").split()
+    n = len(words)
     if n < least:
         return []
-    words = _WORD.findall(text.lower() if text.isascii() else text)
-    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, n)
+    starts, ends, breaks = places(text)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     out = []
     shingles = windowed(h, np.arange(n - WIDTH + 1), WIDTH)
-    breaks = [i + 1 for i in range(n - 1) if "\n" in text[spans[i][1] : spans[i + 1][0]]]
-    for a, b in zip([0, *breaks], [*breaks, n]):
-        if b - a >= least:
-            s = np.unique(shingles[a : b - WIDTH + 1])
-            whole = int(mixed(np.array([np.sum(h[a:b] * (np.arange(1, b - a + 1, dtype=np.uint64) * _C | np.uint64(1)))], np.uint64))[0])
-            out.append((0, spans[a][0], spans[b - 1][1], b - a, whole, s))
-    starts = sorted({0, *breaks, *(i + 1 for i, w in enumerate(words) if w[-1] in ".!?")})
-    anchors = []
-    for a, b in zip(starts, [*starts[1:], n]):
-        anchors.append(a)
-        if b - a > _LONG_SENTENCE:
-            anchors += (a + np.flatnonzero(mixed(h[a:b]) % np.uint64(16) == 0)).tolist()
-    at = np.unique([a for a in anchors if a + least <= n]).astype(np.int64)
+    lines = [(a, b) for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), n]) if b - a >= least]
+    if lines:
+        ranges = np.array([(a, b - WIDTH + 1) for a, b in lines]).ravel()
+        keys = np.empty((bands, len(lines)), np.uint64)
+        for j in range(bands):
+            v = mixed(shingles * np.uint64((2 * j + 1) * int(_C) % (1 << 64) | 1) + np.uint64(j))
+            keys[j] = np.minimum.reduceat(np.append(v, v[-1:]), ranges)[0::2] ^ np.uint64(j * 0x9E3779B1)
+        high = (shingles >> np.uint64(32)).astype("<u4")
+        for k, (a, b) in enumerate(lines):
+            whole = xxhash.xxh64_intdigest(h[a:b].tobytes())
+            out.append((0, int(starts[a]), int(ends[b - 1]), b - a, whole - (1 << 64) if whole >> 63 else whole, keys[:, k].view(np.int64).tolist(), np.unique(high[a : b - WIDTH + 1]).tobytes()))
+    anchors = np.unique(np.concatenate([[0], breaks, [i + 1 for i, w in enumerate(words) if w[-1] in b".!?"]]).astype(np.int64))
+    nexts = np.append(anchors[1:], n)
+    more = [a + np.flatnonzero(mixed(h[a:b]) % np.uint64(16) == 0) for a, b in zip(anchors.tolist(), nexts.tolist()) if b - a > _LONG_SENTENCE]
+    anchors = np.concatenate([anchors, *more])
+    at = np.unique(anchors)
+    at = at[at + least <= n]
     if len(at):
-        out += [(1, spans[a][0], spans[a + least - 1][1], least, int(v), None) for a, v in zip(at.tolist(), windowed(h, at, least))]
+        out += [(1, p, q, least, v, None, None) for p, q, v in zip(starts[at].tolist(), ends[at + least - 1].tolist(), windowed(h, at, least).view(np.int64).tolist())]
     return out
 
 
-def signature(shingles: np.ndarray, bands: int = BANDS) -> list[int]:
-    """MinHash values, the band's number mixed in, as signed longs."""
-    out = [int(mixed(shingles * (np.uint64(2 * j + 1) * _C | np.uint64(1)) + np.uint64(j)).min()) ^ (j * 0x9E3779B1) for j in range(bands)]
-    return [x - (1 << 64) if x >> 63 else x for x in out]
-
-
 UNITS = "doc long, kind int, start int, end int, n int, h long, keys array<long>, shingles binary"
 
 
@@ -106,9 +113,8 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
         for b in batches:
             rows: list[list] = [[] for _ in range(8)]
             for i, t in zip(b.column("id").to_pylist(), b.column("t")):
-                for kind, start, end, n, h, s in paragraphs(t.as_py() or ""):
-                    small = None if s is None else np.unique((s >> np.uint64(32)).astype("<u4")).tobytes()
-                    for c, v in zip(rows, (i, kind, start, end, n, h - (1 << 64) if h >> 63 else h, None if s is None else signature(s, bands), small)):
+                for unit in paragraphs(t.as_py() or "", bands=bands):
+                    for c, v in zip(rows, (i, *unit)):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "kind", "start", "end", "n", "h", "keys", "shingles"])
