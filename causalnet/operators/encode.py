@@ -57,6 +57,7 @@ def equal_frequency(df: DataFrame, column: str, bins: int) -> DataFrame:
     return low.select("value", "n", (F.col("j_") + F.col("low_")).cast("int").alias("bin"))
 
 
-def with_bins(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:
-    table = equal_frequency(df, column, bins).select(F.col("value").alias("value_"), F.col("bin").alias(name))
+def with_bins(df: DataFrame, column: str, bins: int, name: str, source: DataFrame | None = None) -> DataFrame:
+    """Adds the bin of ``column`` as counted in ``source`` (``df`` itself by default)."""
+    table = equal_frequency(source if source is not None else df, column, bins).select(F.col("value").alias("value_"), F.col("bin").alias(name))
     return df.join(table, F.col(column) == F.col("value_"), "left").drop("value_")

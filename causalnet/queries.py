@@ -200,20 +200,6 @@ def _mi_bins(spark, d):
     return r6(discrete.mutual_info(encode.with_bins(table(spark, d, "documents"), "n_chars", _BINS, "bin"), "bin", "lang"))
 
 
-_TEST = range(2, 10)
-_EFB = {b: _EF.replace(f"total / {_BINS}", f"total / {b}").replace(f"1)), {_BINS - 1}) AS raw", f"1)), {b - 1}) AS raw") for b in _TEST}
-
-
-@query("mi_equal_freq_best_B", "SELECT bins, round(info_shifted, 6) AS info_shifted FROM (" + " UNION ALL ".join(f"SELECT {b} AS bins, info_shifted FROM ({_shifted(sqlgen.info(f'SELECT bin, lang FROM documents JOIN ({q}) ON n_chars = value', 'bin', 'lang', cplx='nml'))})" for b, q in _EFB.items()) + ") ORDER BY info_shifted DESC, bins LIMIT 1")
-def _best_bins(spark, d):
-    docs = table(spark, d, "documents")
-    for b in _TEST:
-        docs = encode.with_bins(docs, "n_chars", b, f"b{b}")
-    requests = [(f"b{b}", "lang") for b in _TEST]
-    got = discrete.conditional_info(discrete.request_cells(docs, requests), "v0", "v1").select((F.col("k") + min(_TEST)).alias("bins"), F.round(F.col("info") - F.col("cplx"), 6).alias("info_shifted"))
-    return got.orderBy(F.desc("info_shifted"), "bins").limit(1)
-
-
 # Continuous and mixed information: iterative, so tests hold them against brute force
 
 @query("mi_continuous")

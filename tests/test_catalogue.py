@@ -6,7 +6,7 @@ from conftest import SF
 
 from causalnet.queries import ORACLES, QUERIES
 
-NAMES = [n for n in ORACLES if not n.endswith("_nml") and n not in ("mi_equal_freq_best_B", "contributor_scores", "skeleton_bic")] + ["mi_pair_nml"]
+NAMES = [n for n in ORACLES if not n.endswith("_nml") and n not in ("contributor_scores", "skeleton_bic")] + ["mi_pair_nml"]
 
 
 @pytest.fixture(scope="module")
