@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.functions.kernel import Sample, histogram_cuts
-from causalnet.plans.requests import encoded
+from causalnet.plans.requests import ATOMS, encoded
 from causalnet.plans.shipping import ship
 from causalnet.sources.observations import Variable, numeric_columns
 
 
-def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None) -> tuple[DataFrame, list[bool]]:
+def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None, atoms: int | None = ATOMS) -> tuple[DataFrame, list[bool]]:
     """(v0, v1, ..., w): weighted counts of code tuples over complete rows."""
     ship(df.sparkSession)
     numbers = set(numeric_columns(df))
     kinds = [c in numbers for c in columns] if continuous is None else list(continuous)
     whole = df.dropna(subset=list(columns))
     found = [Variable(c, k) for c, k in zip(columns, kinds)]
-    codes, _ = encoded(whole.select(*columns), found)
+    codes, _ = encoded(whole.select(*columns), found, atoms)
     return codes.groupBy(*codes.columns).agg(F.count(F.lit(1)).cast("double").alias("w")), kinds
 
 
@@ -65,12 +65,14 @@ def three_point_information(df: DataFrame, x: str, y: str, z: str, given: Sequen
 
 
 def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", maxbins: int | None = None, continuous: Sequence[bool] | None = None) -> DataFrame:
-    """(iteration, variable, cut): the cut points of x and y at each iteration, midpoints of neighbouring values."""
+    """(iteration, variable, cut): the cut points of x and y at each iteration, midpoints of neighbouring values.
+
+    Values are never merged: the kernel groups and the cuts are looked up by rank among all distinct values."""
     numbers = set(numeric_columns(df))
     kinds = [c in numbers for c in (x, y, *given)] if continuous is None else list(continuous)
     if not (kinds[0] or kinds[1]):
         raise ValueError("at least one of the two variables must be continuous")
-    cells, kinds = _counts(df, [x, y, *given], continuous)
+    cells, kinds = _counts(df, [x, y, *given], continuous, None)
 
     def run(pdf):
         import pandas as pd

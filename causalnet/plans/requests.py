@@ -22,14 +22,16 @@ from causalnet.sources.observations import Options, Variable
 ATOMS = 4096
 
 
-def encoded(df: DataFrame, variables: list[Variable]) -> tuple[DataFrame, DataFrame]:
-    """(codes, raw): int codes named by position, v0, v1, ..., null where unknown; and the persisted columns they come from."""
+def encoded(df: DataFrame, variables: list[Variable], atoms: int | None = ATOMS) -> tuple[DataFrame, DataFrame]:
+    """(codes, raw): int codes named by position, v0, v1, ..., null where unknown; and the persisted columns they come from.
+
+    Without ``atoms`` no values are merged: every code is the rank of its value."""
     raw = base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables))).persist()
-    sizes = raw.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
+    sizes = {} if atoms is None else raw.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
     for i, v in enumerate(variables):
         c = f"v{i}"
-        if v.continuous and sizes[c] > ATOMS:
-            cuts = sorted(set(raw.approxQuantile(c, [k / ATOMS for k in range(1, ATOMS)], 1 / (8 * ATOMS))))
+        if atoms is not None and v.continuous and sizes[c] > atoms:
+            cuts = sorted(set(raw.approxQuantile(c, [k / atoms for k in range(1, atoms)], 1 / (8 * atoms))))
             base = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=c, outputCol="b_", handleInvalid="keep").transform(base)
             base = base.withColumn(c, F.when(F.col(c).isNotNull(), F.col("b_").cast("int"))).drop("b_")
             continue
