@@ -9,7 +9,7 @@ band a spanning forest is verified, never all pairs written. A window is banded
 that is, it collides with equal windows only. Of each cluster that spans several documents, the
 occurrences outside the least document are to be removed.
 
-Defined cases: null texts and texts under 20 words have no paragraphs; null ids count as one
+Case is folded for A to Z in every text. Defined cases: null texts and texts under 20 words have no paragraphs; null ids count as one
 document, the first in order, and come back as null; repeated rows of one id are one document;
 repeats inside one document are left; an empty table gives no rows.
 """
@@ -72,7 +72,7 @@ def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS) -> list[
     values and its set of 32-bit shingle hashes; kind 1 a window. Hashes are signed longs."""
     import xxhash
 
-    words = (text.lower() if text.isascii() else text).encode("utf-8", "surrogatepass").split()
+    words = text.encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if n < least:
         return []
