@@ -1,12 +1,14 @@
 """Repeated passages across documents: paragraph MinHash banding.
 
-Paragraphs of a text are its lines, and windows of 20 words that begin at a sentence (or, in long
-sentences, at content-chosen words), so a passage inside a line is met in the same windows wherever
-it stands. A line has a MinHash signature over its 5-word shingles; each of its values is a band of
+Paragraphs of a text are its lines, and windows of 20 words that begin at a sentence or are chosen by
+winnowing: of every 31 windows in a row the least hash, so that any passage of 50 words holds the same
+chosen window wherever it stands. A line has a MinHash signature over its 5-word shingles; each of its values is a band of
 its own, which misses a pair of similarity 0.8 with probability 0.2^5. Lines that collide are
 verified by exact Jaccard of their shingle sets and clustered by connected components; of a crowded
 band a spanning forest is verified, never all pairs written. A window is banded by its whole content,
-that is, it collides with equal windows only. Of each cluster that spans several documents, the
+that is, it collides with equal windows only; a window chosen by winnowing is then extended to the
+equal words on both sides, up to 30 each way. As chosen windows of an equal run lie at most 31 words
+apart and 30 from its ends, their spans together cover runs of 50 words and more whole. Of each cluster that spans several documents, the
 occurrences outside the least document are to be removed.
 
 Case is folded for A to Z in every text. Defined cases: null texts and texts under 20 words have no paragraphs; null ids count as one
@@ -16,6 +18,7 @@ repeats inside one document are left; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,9 @@ LEAST_WORDS = 20
 #: Lines of one band compared in one task; longer runs are dealt out in pairs of chunks.
 RUN = 2000
 NO_ID = -(1 << 63)
-_LONG_SENTENCE = 40
+#: Equal runs of so many words always share a chosen window.
+SURE_WORDS = 50
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -92,16 +97,84 @@ def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS) -> list[
             whole = xxhash.xxh64_intdigest(h[a:b].tobytes())
             out.append((0, int(starts[a]), int(ends[b - 1]), b - a, whole - (1 << 64) if whole >> 63 else whole, keys[:, k].view(np.int64).tolist(), np.unique(high[a : b - WIDTH + 1]).tobytes()))
     anchors = np.unique(np.concatenate([[0], breaks, [i + 1 for i, w in enumerate(words) if w[-1] in b".!?"]]).astype(np.int64))
-    nexts = np.append(anchors[1:], n)
-    more = [a + np.flatnonzero(mixed(h[a:b]) % np.uint64(16) == 0) for a, b in zip(anchors.tolist(), nexts.tolist()) if b - a > _LONG_SENTENCE]
-    anchors = np.concatenate([anchors, *more])
-    at = np.unique(anchors)
-    at = at[at + least <= n]
-    if len(at):
-        out += [(1, p, q, least, v, None, None) for p, q, v in zip(starts[at].tolist(), ends[at + least - 1].tolist(), windowed(h, at, least).view(np.int64).tolist())]
+    hashes = windowed(h, np.arange(n - least + 1), least)
+    at = np.unique(np.concatenate([anchors[anchors + least <= n], winnowed(hashes, SURE_WORDS - least + 1)]))
+    out += [(1, p, q, least, v, None, None) for p, q, v in zip(starts[at].tolist(), ends[at + least - 1].tolist(), hashes[at].view(np.int64).tolist())]
     return out
 
 
+def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Places of the first least hash of every ``width`` in a row."""
+    width = min(width, len(hashes))
+    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(len(hashes) - width + 1))
+
+
+def contexts(text: str, wanted: np.ndarray, least: int = LEAST_WORDS) -> list[tuple]:
+    """(hash, start, end, left, right) of the chosen windows whose hash is wanted: the text beside them."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n, side = len(words), SURE_WORDS - least
+    if n < least:
+        return []
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
+    hashes = windowed(h, np.arange(n - least + 1), least)
+    at = winnowed(hashes, side + 1)
+    at = at[np.isin(hashes[at].view(np.int64), wanted)]
+    starts, ends, _ = places(text)
+    span = [starts[np.maximum(at - side, 0)], starts[at], ends[at + least - 1], ends[np.minimum(at + least + side, n) - 1]]
+    return [(v, a, b, text[p:a], text[b:q]) for v, p, a, b, q in zip(hashes[at].view(np.int64).tolist(), *(x.tolist() for x in span))]
+
+
+def equal_ends(a: str, b: str, last: bool) -> tuple[int, int]:
+    """How many characters of each belong to their equal words, from the last word back or from the first on."""
+    p, q = list(_WORD.finditer(a)), list(_WORD.finditer(b))
+    step, k = -1 if last else 1, 0
+    fold = lambda m: m.group().encode("utf-8", "surrogatepass").lower()
+    for x, y in zip(p[::step], q[::step]):
+        if fold(x) != fold(y):
+            break
+        k += 1
+    if not k:
+        return 0, 0
+    return (len(a) - p[-k].start(), len(b) - q[-k].start()) if last else (p[k - 1].end(), q[k - 1].end())
+
+
+def extended(docs: DataFrame, matched: DataFrame, of_windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, kept, start, end, c): equal runs around the chosen windows, in the document and in the one kept."""
+    wanted = matched.groupBy("doc").agg(F.collect_set("h").alias("hs"))
+    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("t")).join(wanted, "doc")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            for i, t, hs in zip(b.column("doc").to_pylist(), b.column("t"), b.column("hs")):
+                for x in contexts(t.as_py() or "", hs.values.to_numpy(zero_copy_only=False)):
+                    for c, v in zip(rows, (i, *x)):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "h", "start", "end", "left", "right"])
+
+    found = durable(src.select("doc", "t", "hs").mapInArrow(find, "doc long, h long, start int, end int, left string, right string"), "contexts").join(of_windows.select("h", "kept"), "h")
+    base = found.where("doc = kept").groupBy("h", "left", "right").agg(F.min(F.struct("start", "end")).alias("at"))
+    base = base.select("h", F.col("left").alias("l"), F.col("right").alias("r"), F.col("at.start").alias("s"), F.col("at.end").alias("e"))
+    pairs = found.where("doc <> kept").join(base, "h")
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[] for _ in range(5)]
+            for h, doc, kept, start, end, left, right, s, e, l, r in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
+                (p, u), (q, v) = equal_ends(left, l, True), equal_ends(right, r, False)
+                for x in ((doc, kept, start - p, end + q, h), (kept, kept, s - u, e + v, h)):
+                    for c, y in zip(rows, x):
+                        c.append(y)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "kept", "start", "end", "c"])
+
+    runs = pairs.select("h", "doc", "kept", "start", "end", "left", "right", "s", "e", "l", "r").mapInArrow(extend, "doc long, kept long, start int, end int, c long")
+    return runs.groupBy("doc", "kept", "start", "end").agg(F.min("c").alias("c"))
+
+
 UNITS = "doc long, kind int, start int, end int, n int, h long, keys array<long>, shingles binary"
 
 
@@ -208,6 +281,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of_lines = named.join(wide.select("c", "kept"), "c").select("kind", "h", "c", "kept")
     of_windows = seen.where("kind = 1 and lo < hi").select("kind", "h", F.col("h").alias("c"), F.col("lo").alias("kept"))
     found = u.select("doc", "kind", "start", "end", "h").join(of_lines.unionByName(of_windows), ["kind", "h"])
+    found = durable(found, "repeats")
+    runs = extended(docs, found.where("kind = 1").select("doc", "h"), of_windows, id_col, text_col)
+    found = found.select("doc", "kept", "start", "end", "c").unionByName(runs)
     order = Window.partitionBy("doc", "kept").orderBy("start", "end")
     new = (F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
     islands = found.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
