@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from causalnet.llm import mixing, packing, pii, quality, simhash
+from causalnet.llm import mixing, nearcopies, packing, pii, quality
 from causalnet.llm.queries import table, tokenizer_path
 from causalnet.llm.shared import durable
 
@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
