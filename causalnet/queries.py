@@ -483,7 +483,7 @@ _SUM = "SELECT l_returnflag AS x, l_linestatus AS y, CASE l_linenumber WHEN 1 TH
 
 
 def summary_table(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey < 2000").select(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y"), F.expr("CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN -2 WHEN 4 THEN 6 ELSE 0 END").alias("ort_inferred"), F.col("l_quantity").alias("info_shifted"), F.col("l_discount").alias("partial_correlation"))
+    return table(spark, d, "lineitem").select(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y"), F.expr("CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN -2 WHEN 4 THEN 6 ELSE 0 END").alias("ort_inferred"), F.col("l_quantity").alias("info_shifted"), F.col("l_discount").alias("partial_correlation"))
 
 
 @query("export_edges", f"SELECT CASE WHEN o = -2 THEN y ELSE x END AS source, CASE WHEN o = -2 THEN x ELSE y END AS target, CASE WHEN abs(o) = 2 THEN 'directed' WHEN o = 6 THEN 'bidirected' ELSE 'undirected' END AS kind, CASE WHEN abs(o) = 2 OR o = 6 THEN 6 ELSE 0 END AS target_arrow, CASE WHEN o = 6 THEN 6 ELSE 0 END AS source_arrow, round(greatest(log10(info_shifted), 0.2), 6) AS width, round(CASE WHEN info_shifted <= 1 THEN 1.0 WHEN info_shifted >= 20 THEN 8.0 ELSE info_shifted * 8 / 20 END, 6) AS weight, round((partial_correlation + 1) * 100)::INTEGER AS colour_step, CASE WHEN o = -2 THEN y ELSE x END || CASE WHEN abs(o) = 2 THEN '-->' WHEN o = 6 THEN '<->' ELSE '---' END || CASE WHEN o = -2 THEN x ELSE y END AS label FROM (SELECT *, ort_inferred AS o FROM ({_SUM})) WHERE o <> 0")
