@@ -152,8 +152,8 @@ def features(m: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans of all generators; kinds count on from those of BASE."""
-    digit = text.rlike("[0-9]")
-    return F.concat(*(matches(text, p, len(BASE) + k, digit) for k, p in enumerate(CANDIDATES.values())))
+    digit, long = text.rlike("[0-9]"), text.rlike("[A-Za-z0-9_+/=-]{16}")
+    return F.concat(*(matches(text, p, len(BASE) + k, long if name == "secret" else digit) for k, (name, p) in enumerate(CANDIDATES.items())))
 
 
 def _examples(n: int, seed: int = 7) -> list[tuple[int, str, bool]]:
