@@ -93,10 +93,10 @@ def choose_layers(tau: int, n_lagged: int, n_contextual: int = 0, max_nodes: int
 
 
 def estimate_dynamic(df: DataFrame, by: Sequence[str], time: str, values: Sequence[str], max_nodes: int = 50, n_contextual: int = 0, max_lag: int | None = None) -> DataFrame:
-    """One row: tau, n_layers, delta_t."""
+    """One row: tau, n_layers, delta_t. Lags go up to the shortest trajectory of more than one step, less one."""
     spark = df.sparkSession
     if max_lag is None:
-        max_lag = min(int(df.groupBy(*by).count().agg(F.max("count")).collect()[0][0] or 1) - 1, 50)
+        max_lag = int(df.groupBy(*by).count().where("count > 1").agg(F.min("count")).collect()[0][0] or 1) - 1
     rows = relaxation_times(df, by, time, values, max(max_lag, 1)).groupBy("variable").agg(F.avg("tau").alias("mean"), F.max("tau").alias("top")).collect()
     mean = sum(r["mean"] for r in rows) / len(rows) if rows else 1.0
     tau = max(1, math.floor(min(max_lag + 1, max((r["top"] for r in rows), default=1), 2 * mean)))

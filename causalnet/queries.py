@@ -444,7 +444,7 @@ def _acf(spark, d):
 
 @query("estimate_dynamic")
 def _dynamic(spark, d):
-    return temporal.estimate_dynamic(events(spark, d), ["user_id"], "t", ["value", "step"], max_lag=10)
+    return temporal.estimate_dynamic(events(spark, d), ["user_id"], "t", ["value", "step"])
 
 
 @query("temporal_network")
