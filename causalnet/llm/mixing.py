@@ -2,126 +2,101 @@
 
 Each source's documents, shuffled by a seeded hash, form a flow; a document's virtual finish time is
 the flow's cumulative tokens up to it divided by the source's target. The flows' documents (in as
-many epochs as the cap allows) are taken in the order of finish time until the total budget is used.
+many epochs as the cap allows) are range-sorted by finish time and taken until the total budget is used.
 
-Cumulative sums are two-level: a window within a bucket of some thousand rows of a source, plus the
-buckets' own running sums, so no task holds a source. The global order is cut by a histogram of
-finish times, then exactly within the one bucket that holds the cut. Only one row per source (a
-mixture's table of weights) and the cut itself reach the driver.
+All three orders (sources, flows, finish times) are range-sorted tables with running sums by two
+levels (``shared.running``), so no task holds a source, and a range holds a bounded number of rows.
+Only totals and the last document taken reach the driver.
 
-Defined cases: null texts have size 0 and are never taken more than in name (taken 0); null sources
-are one source, last in order; null ids keep their rows; repeated rows count and are taken each;
-an empty table gives no rows.
+Defined cases: null texts have size 0 and are never taken more than in name (taken 0); so have texts
+without a word; whole texts are counted, however long; null sources are one source, last in order;
+null ids keep their rows; repeated rows count and are taken each by itself; ties of finish time go by
+the seeded hash, then by source; extra columns of any name stay as they are; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import WORD, durable, fresh, join_back
+from causalnet.llm.shared import WORD, durable, lookup, row_hash, running
 
-BUCKET = 4096
-HISTOGRAM = 16_384
-#: A table of sources of at most so many rows is broadcast.
-SMALL = 100_000
+#: What orders the copies of documents: finish time, then what settles ties.
+QUEUE = ("f", "turn", "s", "e", "rh")
 
 
-def fill_targets(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
-    """Shares of ``total`` by weight, none above ``cap`` times its size; the excess is reshared."""
-    out, active, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
-    while active:
-        whole = sum(weights[i] for i in active)
-        over = [i for i in active if left * weights[i] / whole >= cap * sizes[i]]
-        if not over:
-            for i in active:
-                out[i] = left * weights[i] / whole
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-            active.discard(i)
-        left -= sum(out[i] for i in over)
-    return out
+def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, cap: float) -> DataFrame:
+    """(source, s, source_size, target, before) of sizes (source, size): s counts sources by name, null
+    last; before is the size of all sources before it.
 
+    A share of ``total`` by weight, none above ``cap`` times its size, the excess reshared by weight: with
+    the sources in order of cap * size / weight, the first that its share of what the former leave does
+    not fill sets the level of it and all after it."""
+    last = F.col("source").isNull().alias("last")
+    named = running(sizes.select("source", "size", last, F.coalesce("source", F.lit("")).alias("name")), ["last", "name"], {"n": "1", "upto": "size"}, "sources")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), ((F.col("n") - 1) % len(weights) + 1).cast("int"))
+    ratio = F.lit(float(cap)) * F.col("size") / F.col("w")
+    named = durable(named.withColumn("w", w).withColumn("ratio", ratio), "sources")
+    scale = max(1, *(len(str(float(x)).partition(".")[2]) for x in weights))
+    filled = running(named.withColumn("units", F.round(F.col("w") * 10**scale).cast("long")), ["ratio", "n"], {"sum_size": "size", "sum_units": "units"}, "sources")
+    units = named.agg(F.sum(F.round(F.col("w") * 10**scale).cast("long"))).collect()[0][0] or 0
+    left = F.lit(float(total)) - F.lit(float(cap)) * (F.col("sum_size") - F.col("size"))
+    level = left / ((F.lit(units) - (F.col("sum_units") - F.col("units"))) / F.lit(float(10**scale)))
+    first = filled.withColumn("level", level).where(F.col("level") < F.col("ratio")).agg(F.min(F.struct("ratio", "n", "level")).alias("k")).collect()[0]["k"]
+    target = F.lit(float(cap)) * F.col("size") if first is None else F.when((F.col("ratio") < first["ratio"]) | ((F.col("ratio") == first["ratio"]) & (F.col("n") < first["n"])), F.lit(float(cap)) * F.col("size")).otherwise(F.lit(first["level"]) * F.col("w"))
+    return named.select("source", (F.col("n") - 1).cast("int").alias("s"), F.col("size").alias("source_size"), target.alias("target"), (F.col("upto") - F.col("size")).alias("before"))
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, seed: int = 42) -> DataFrame:
-    """(id, th, source, size, source_size, target, epochs) of every row: epochs is how often it is taken,
-    th a hash of the text."""
-    spark = docs.sparkSession
+
+def flows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], budget: float, cap: int, seed: int, carry: bool) -> tuple[DataFrame, Column]:
+    """(table, takes): a durable row for each document with the end of its flow up to it, and the array of
+    (finish, epoch) at which the mix takes it. ``carry`` keeps the document's own columns in ``row``."""
+    text, ident = F.col(text_col).cast("string"), F.col(id_col)
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     sized = durable(
         docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(text_col)).alias("th"),
+            ident.alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("turn"), row_hash(docs).alias("rh"), *own,
         ),
         "sizes",
     )
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    total = budget * sum(r["size"] for r in rows)
-    targets = fill_targets([r["size"] for r in rows], [weights[i % len(weights)] for i in range(len(rows))], total, cap)
-    sources = spark.createDataFrame(
-        [(r["source"], i, r["size"], t, -(-r["n"] // BUCKET)) for i, (r, t) in enumerate(zip(rows, targets))],
-        "name string, s int, source_size long, target double, buckets long",
-    )
-    if len(rows) <= SMALL:
-        sources = F.broadcast(sources)
-    turn = F.xxhash64(F.lit(seed), "id", "th")
-    dealt = (
-        sized.join(sources, sized["source"].eqNullSafe(sources["name"]))
-        .withColumn("turn", turn)
-        .withColumn("bucket", F.floor((F.shiftrightunsigned("turn", 12) / F.lit(float(1 << 52))) * F.col("buckets")))
-        .withColumn("unsigned", F.col("turn").bitwiseXOR(F.lit(-(1 << 63))))
-    )
-    within = Window.partitionBy("s", "bucket").orderBy("unsigned", "id", "th").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("s", "bucket").agg(F.sum("size").alias("part")).select("s", "bucket", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("begin"))
-    placed = dealt.withColumn("inside", F.sum("size").over(within)).join(starts, ["s", "bucket"])
-    placed = durable(
-        placed.select("id", "source", "size", "th", "unsigned", "source_size", "target", "s", (F.col("begin") + F.col("inside")).alias("upto")), "flows"
-    )
-    finish = lambda e: F.when(F.col("target") > 0, (F.col("upto") + e * F.col("source_size")) / F.col("target"))
-    top = float(cap) * 1.0
-    # A taken document ends near virtual time 1; later times share the last bucket.
-    copies = placed.where("size > 0 and target > 0").select("size", "unsigned", "id", "th", "s", F.explode(F.array(*[F.struct(F.lit(e).alias("e"), finish(e).alias("f")) for e in range(cap)])).alias("x")).select("size", "unsigned", "id", "th", "s", "x.e", "x.f")
-    copies = copies.withColumn("b", F.least(F.floor(F.col("f") * (HISTOGRAM / top)), F.lit(HISTOGRAM - 1)))
-    sums = copies.groupBy("b").agg(F.sum("size").alias("size"))
-    cut = (
-        sums.withColumn("upto", F.sum("size").over(Window.orderBy("b")))
-        .where(F.col("upto") > F.lit(total))
-        .orderBy("b")
-        .limit(1)
-        .collect()
-    )
-    if not cut:
-        last = None
-        taken = sum((F.col("target") > 0).cast("int") for _ in range(cap))
-    else:
-        at, left = cut[0]["b"], total - (cut[0]["upto"] - cut[0]["size"])
-        order = Window.orderBy("f", "unsigned", "th", "s", "e").rangeBetween(Window.unboundedPreceding, 0)
-        last = (
-            copies.where(F.col("b") == at)
-            .withColumn("sum", F.sum("size").over(order))
-            .where(F.col("sum") <= F.lit(left))
-            .agg(F.max(F.struct("f", "unsigned", "th", "s", "e")).alias("k"))
-            .collect()[0]["k"]
-        )
-        taken = F.lit(0)
-        for e in range(cap):
-            b = F.least(F.floor(finish(e) * (HISTOGRAM / top)), F.lit(HISTOGRAM - 1))
-            take = b < at
-            if last is not None:
-                key = F.struct(finish(e).alias("f"), "unsigned", "th", "s", F.lit(e).alias("e"))
-                end = F.struct(F.lit(last["f"]).alias("f"), F.lit(last["unsigned"]).alias("unsigned"), F.lit(last["th"]).alias("th"), F.lit(last["s"]).alias("s"), F.lit(last["e"]).alias("e"))
-                take = take | ((b == at) & (key <= end))
-            taken = taken + F.coalesce(take, F.lit(False)).cast("int")
-    return placed.select("id", "th", "source", "size", "source_size", "target", taken.cast("int").alias("epochs"))
+    sums = durable(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "source-sizes")
+    total = budget * (sums.agg(F.sum("size")).collect()[0][0] or 0)
+    targets = durable(source_targets(sums.select("source", "size"), weights, total, cap), "targets")
+    key = lambda d: d.withColumn("z", F.col("source").isNull()).withColumn("k", F.coalesce("source", F.lit("")))
+    counts = key(sums).select("z", "k", "n")
+    dealt = lookup(durable(key(sized), "named-sizes") if not carry else key(sized), key(targets).drop("source"), ["z", "k"], counts=counts).drop("z", "k")
+    placed = running(dealt, ["s", "turn", "rh"], {"all": "size"}, "flows").withColumn("upto", F.col("all") - F.col("before")).drop("all", "before")
+    placed = durable(placed, "flows")
+
+    def finish(e: int) -> Column:
+        return F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("upto") + e * F.col("source_size")) / F.col("target"))
+
+    times = F.array(*(F.struct(finish(e).alias("f"), F.lit(e).alias("e")) for e in range(cap)))
+    copies = placed.select("size", "turn", "s", "rh", F.explode(F.filter(times, lambda x: x["f"].isNotNull())).alias("x")).select("x.f", "turn", "s", "x.e", "rh", "size")
+    queue = running(copies, QUEUE, {"used": "size"}, "queue")
+    last = queue.where(F.col("used") <= F.lit(total)).agg(F.max(F.struct(*QUEUE)).alias("k")).collect()[0]["k"]
+    if last is None:
+        return placed, F.filter(times, lambda x: F.lit(False))
+    end = F.struct(*(F.lit(last[c]).alias(c) for c in QUEUE))
+    return placed, F.filter(times, lambda x: x["f"].isNotNull() & (F.struct(x["f"].alias("f"), "turn", "s", x["e"].alias("e"), "rh") <= end))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, seed: int = 42) -> DataFrame:
+    """(id, source, size, source_size, target, finish, epochs) of every row: epochs is how often it is
+    taken, finish its first virtual finish time (null where it has none)."""
+    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed, False)
+    finish = F.when((F.col("target") > 0) & (F.col("size") > 0), F.col("upto") / F.col("target"))
+    return placed.select("id", "source", "size", "source_size", "target", finish.alias("finish"), F.size(takes).alias("epochs"))
+
+
+def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, seed: int = 42) -> DataFrame:
+    """(finish, epoch, row): a row for each time that the mix takes a document, range-sorted by finish time."""
+    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed, True)
+    taken = placed.withColumn("x", F.explode(takes)).select(F.col("x.f").alias("finish"), F.col("x.e").alias("epoch"), "turn", "s", "rh", "row")
+    order = ("finish", "turn", "s", "epoch", "rh")
+    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select("finish", "epoch", "row")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents as the mix takes them: a row for each time that it takes one."""
-    (n,) = fresh(docs, "n")
-    counts = mix(docs, id_col, text_col, **options).groupBy("id", "th").agg(F.max("epochs").alias(n)).where(F.col(n) > 0)
-    joined = join_back(docs, counts, "inner", id_col, text_col, (n,))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    """The documents as the mix takes them, in the order of the queue: a row for each time that it takes one."""
+    return queued(docs, id_col, text_col, **options).select("row.*")

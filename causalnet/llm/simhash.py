@@ -3,7 +3,9 @@
 Contract of ``near_duplicates``: every row of the input gives one row (its id, its fingerprint and
 the least id of its component). Null or blank texts have fingerprint zero and link like any other.
 Null ids keep their row and take their component's least id (null when it has none). Repeated rows
-repeat. Extra columns of any name are ignored; an empty table gives an empty table.
+repeat. Whole texts are read, however long. Extra columns of any name are ignored; an empty table
+gives an empty table. ``drop_near_duplicates`` keeps the row of least id, null ids last; of rows with
+one id the one whose hash of all columns is least; of rows equal in all columns one.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, join_back, ship
+from causalnet.llm.shared import connected_components, durable, join_back, lookup, row_hash, ship
 
 #: 4 differing bits spoil at most 4 of 7 blocks, so a linked pair shares 3 whole blocks.
 BLOCKS = 7
@@ -24,6 +26,8 @@ SHARED = 3
 BITS = 4
 #: Fingerprints of one block key compared in one task; longer runs are dealt out in pairs of chunks.
 RUN = 20_000
+#: Children of a node in the trees that stand for a component, so that no node is a hub.
+BRANCHES = 8
 
 
 def block_masks(blocks: int = BLOCKS, shared: int = SHARED) -> list[int]:
@@ -56,9 +60,9 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp, th): fp the fingerprint as a signed long, th a 64-bit hash of the text."""
+    """(id, fp, th): fp the fingerprint as a signed long, th the row's hash."""
     ship(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("t"))
+    src = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(docs).alias("th"), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,20 +73,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def forest(fp: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A star per component of "at most ``bits`` differing bits": its root and each other member."""
-    left, roots, leaves = np.arange(len(fp)), [], []
+    """A tree per component of "at most ``bits`` differing bits", no node of it with many branches: (parent, child)."""
+    left, parents, children = np.arange(len(fp)), [], []
     while len(left) > 1:
-        root, left = left[0], left[1:]
-        todo = [root]
-        while todo and len(left):
-            near = np.bitwise_count(fp[left] ^ fp[todo.pop()]) <= bits
+        found, left = [left[0]], left[1:]
+        k = 0
+        while k < len(found) and len(left):
+            near = np.bitwise_count(fp[left] ^ fp[found[k]]) <= bits
             if near.any():
-                hit, left = left[near], left[~near]
-                roots.append(np.full(len(hit), fp[root]))
-                leaves.append(fp[hit])
-                todo.extend(hit)
+                found.extend(left[near])
+                left = left[~near]
+            k += 1
+        own = fp[np.array(found)]
+        parents.append(own[(np.arange(1, len(own)) - 1) // BRANCHES])
+        children.append(own[1:])
     none = np.zeros(0, np.uint64)
-    return (np.concatenate(roots), np.concatenate(leaves)) if roots else (none, none)
+    return (np.concatenate(parents), np.concatenate(children)) if parents else (none, none)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], masks: np.ndarray, bits: int, most: int, small: int = 8):
@@ -168,22 +174,20 @@ def links(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCKS, most: int
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = BITS, blocks: int = BLOCKS, most: int = RUN) -> DataFrame:
-    """(id_col, fingerprint, component_id, fp, th) of every row."""
+    """(id_col, fingerprint, component_id, component, fp, th) of every row; th is its ``row_hash``."""
     prints = durable(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    groups = durable(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    groups = durable(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     comp = connected_components(links(groups.select("fp"), bits, blocks, most))
-    named = groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = durable(groups.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named-fingerprints")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id", "component")
-    return prints.join(named, "fp").select(
+    table = durable(lookup(named, least, ["component"]).select("fp", "component_id", "component"), "components")
+    return lookup(prints, table, ["fp"], counts=groups.select("fp", "n")).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component", "fp", "th"
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component: the one with the least (id, text hash), ids that are null last."""
-    found = durable(near_duplicates(docs, id_col, text_col, **options), "near-duplicates")
-    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("kid"), F.col("th").alias("kth"))).alias("k")).select("k.kid", "k.kth")
-    first = first.select(F.col("kid").alias("id"), F.col("kth").alias("th"))
-    kept = join_back(docs, first, "left_semi", id_col, text_col)
-    return kept.dropDuplicates([id_col, text_col])
+    """One row of each component: the one with the least (id, row hash), ids that are null last."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), "th")).alias("k")).select("k.id", "k.th")
+    return join_back(docs, first, "left_semi", id_col, once=True)

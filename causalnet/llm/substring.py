@@ -1,19 +1,29 @@
 """Repeated passages across documents: paragraph MinHash banding.
 
-Paragraphs of a text are its lines, and windows of 20 words that begin at a sentence or are chosen by
-winnowing: of every 31 windows in a row the least hash, so that any passage of 50 words holds the same
-chosen window wherever it stands. A line has a MinHash signature over its 5-word shingles; each of its values is a band of
-its own, which misses a pair of similarity 0.8 with probability 0.2^5. Lines that collide are
-verified by exact Jaccard of their shingle sets and clustered by connected components; of a crowded
-band a spanning forest is verified, never all pairs written. A window is banded by its whole content,
-that is, it collides with equal windows only; a window chosen by winnowing is then extended to the
-equal words on both sides, up to 30 each way. As chosen windows of an equal run lie at most 31 words
-apart and 30 from its ends, their spans together cover runs of 50 words and more whole. Of each cluster that spans several documents, the
-occurrences outside the least document are to be removed.
-
-Case is folded for A to Z in every text. Defined cases: null texts and texts under 20 words have no paragraphs; null ids count as one
-document, the first in order, and come back as null; repeated rows of one id are one document;
-repeats inside one document are left; an empty table gives no rows.
+A paragraph has ``LEAST_WORDS`` words at least. It is a line, or a piece of a line between sentence
+ends that the words beside them choose (so a passage is cut alike wherever it stands), or a window of
+``WINDOW`` words chosen by winnowing: of every ``SURE_WORDS - WINDOW + 1`` windows in a row the least
+hash, so that any run of ``SURE_WORDS`` equal words holds the same chosen window wherever it stands.
+
+* Lines and pieces have a MinHash signature over their 5-word shingles; each of its ``BANDS`` values
+  is a band of its own, which misses a pair of similarity 0.8 with probability 0.2^5, or 3 in 10,000.
+  Those that collide are verified by the exact Jaccard similarity of their sets of 64-bit shingle
+  hashes, made anew from their words, and clustered by connected components; of a crowded band a
+  spanning forest is verified, never all pairs written.
+* A window is banded by its whole content, that is, it collides with equal windows only. Windows that
+  touch in a document are one run; at both ends of a run the windows are compared word by word with
+  those of the document that is kept (a run whose hashes alone agree goes), and the run grows by the
+  equal words beyond them.
+
+So runs of 50 equal words and more are found whole, of 40 to 49 mostly, and shorter passages where they
+are whole paragraphs. Of each cluster that spans several documents, the occurrences outside the least
+document are to be removed. Lines are told apart by a 64-bit hash of their words.
+
+Case is folded for A to Z in every text. Defined cases: null texts and texts under 20 words have no
+paragraphs; whole texts are read, however long; null ids count as one document, the first in order,
+and come back as null; repeated rows are one; of one id with several texts each text has spans of its
+own (``text_hash`` tells them apart), and repeats among them are left like all repeats inside one
+document; extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,29 +33,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, ship
+from causalnet.llm.shared import connected_components, durable, fresh, lookup, ship
 
 WIDTH = 5
 SIMILAR = 0.8
 BANDS = 5
 LEAST_WORDS = 20
-#: Lines of one band compared in one task; longer runs are dealt out in pairs of chunks.
-RUN = 2000
-NO_ID = -(1 << 63)
+WINDOW = 40
 #: Equal runs of so many words always share a chosen window.
 SURE_WORDS = 50
+#: One sentence end in so many cuts a line into pieces.
+CUT = 6
+#: Paragraphs, and their bytes, of one band compared in one task; longer runs are dealt out in pairs of chunks.
+RUN = 2000
+RUN_BYTES = 8 << 20
+#: Children of a node in the trees that stand for a cluster, so that no node is a hub.
+BRANCHES = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_C = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> np.ndarray:
-    out = [1]
-    for _ in range(n - 1):
-        out.append(out[-1] * int(0xD6E8FEB86659FD93) % (1 << 64))
-    return np.array(out, np.uint64)
+_C = 0x9E3779B97F4A7C15
+_BASE = 0xD6E8FEB86659FD93
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,12 +63,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windowed(h: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the ``width`` words from each place."""
-    p, out = _powers(width), np.zeros(len(at), np.uint64)
-    for k in range(width):
-        out += h[at + k] * p[k]
-    return mixed(out)
+def windowed(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` words from each place, by doubling."""
+    out, have, part, size = None, 0, h, 1
+    while True:
+        if width & size:
+            tail = part[have : len(h) - size + 1]
+            out = part if out is None else out[: len(tail)] * np.uint64(pow(_BASE, size, 1 << 64)) + tail
+            have += size
+        if 2 * size > width:
+            return mixed(out[: len(h) - width + 1])
+        part = part[: len(part) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + part[size:]
+        size *= 2
+
+
+def fold(text: str) -> list[bytes]:
+    """The words of a text, A to Z in lower case."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingle_hashes(h: np.ndarray) -> np.ndarray:
+    """Of every 5 words; fewer words are one shingle."""
+    return windowed(h, WIDTH) if len(h) >= WIDTH else windowed(h, len(h)) if len(h) else h
+
+
+def minhashes(shingles: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarray:
+    """A row for each band: the least hash of the shingles in each [bounds[2i], bounds[2i + 1])."""
+    keys = np.empty((bands, len(bounds) // 2), np.int64)
+    for j in range(bands):
+        v = mixed(shingles * np.uint64((2 * j + 1) * _C % (1 << 64) | 1) + np.uint64(j))
+        keys[j] = (np.minimum.reduceat(np.append(v, v[-1:]), bounds)[0::2] ^ np.uint64(j * 0x9E3779B1)).view(np.int64)
+    return keys
 
 
 def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,35 +112,16 @@ def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, ends, np.flatnonzero(lines[starts[1:]] != lines[ends[:-1] - 1]) + 1 if len(starts) > 1 else starts[:0]
 
 
-def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS) -> list[tuple]:
-    """(kind, start, end, words, hash, keys, shingles) of each paragraph: kind 0 a line, with its MinHash
-    values and its set of 32-bit shingle hashes; kind 1 a window. Hashes are signed longs."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if n < least:
-        return []
-    starts, ends, breaks = places(text)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    out = []
-    shingles = windowed(h, np.arange(n - WIDTH + 1), WIDTH)
-    lines = [(a, b) for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), n]) if b - a >= least]
-    if lines:
-        ranges = np.array([(a, b - WIDTH + 1) for a, b in lines]).ravel()
-        keys = np.empty((bands, len(lines)), np.uint64)
-        for j in range(bands):
-            v = mixed(shingles * np.uint64((2 * j + 1) * int(_C) % (1 << 64) | 1) + np.uint64(j))
-            keys[j] = np.minimum.reduceat(np.append(v, v[-1:]), ranges)[0::2] ^ np.uint64(j * 0x9E3779B1)
-        high = (shingles >> np.uint64(32)).astype("<u4")
-        for k, (a, b) in enumerate(lines):
-            whole = xxhash.xxh64_intdigest(h[a:b].tobytes())
-            out.append((0, int(starts[a]), int(ends[b - 1]), b - a, whole - (1 << 64) if whole >> 63 else whole, keys[:, k].view(np.int64).tolist(), np.unique(high[a : b - WIDTH + 1]).tobytes()))
-    anchors = np.unique(np.concatenate([[0], breaks, [i + 1 for i, w in enumerate(words) if w[-1] in b".!?"]]).astype(np.int64))
-    hashes = windowed(h, np.arange(n - least + 1), least)
-    at = np.unique(np.concatenate([anchors[anchors + least <= n], winnowed(hashes, SURE_WORDS - least + 1)]))
-    out += [(1, p, q, least, v, None, None) for p, q, v in zip(starts[at].tolist(), ends[at + least - 1].tolist(), hashes[at].view(np.int64).tolist())]
-    return out
+def pieces(words: list[bytes], h: np.ndarray, breaks: list[int], least: int, cut: int) -> list[tuple[int, int]]:
+    """(from, to) of lines and of the pieces into which chosen sentence ends cut them."""
+    n, out = len(words), set()
+    ends = np.array([i + 1 for i, w in enumerate(words) if w[-1] in b".!?"], np.int64)
+    ends = ends[mixed(h[ends - 1] * np.uint64(3) + h[np.maximum(ends - 2, 0)]) % np.uint64(cut) == 0]
+    for a, b in zip([0, *breaks], [*breaks, n]):
+        inside = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, b)].tolist()
+        out.add((a, b))
+        out.update(zip([a, *inside], [*inside, b]))
+    return sorted(p for p in out if p[1] - p[0] >= least)
 
 
 def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -109,94 +130,81 @@ def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(len(hashes) - width + 1))
 
 
-def contexts(text: str, wanted: np.ndarray, least: int = LEAST_WORDS) -> list[tuple]:
-    """(hash, start, end, left, right) of the chosen windows whose hash is wanted: the text beside them."""
+def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS, cut: int = CUT) -> list[tuple]:
+    """(kind, start, end, hash, keys) of each paragraph: kind 0 a line or piece with its MinHash values;
+    kind 1 a window. Hashes are signed longs."""
     import xxhash
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    n, side = len(words), SURE_WORDS - least
+    words = fold(text)
+    n = len(words)
     if n < least:
         return []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-    hashes = windowed(h, np.arange(n - least + 1), least)
-    at = winnowed(hashes, side + 1)
-    at = at[np.isin(hashes[at].view(np.int64), wanted)]
-    starts, ends, _ = places(text)
-    span = [starts[np.maximum(at - side, 0)], starts[at], ends[at + least - 1], ends[np.minimum(at + least + side, n) - 1]]
-    return [(v, a, b, text[p:a], text[b:q]) for v, p, a, b, q in zip(hashes[at].view(np.int64).tolist(), *(x.tolist() for x in span))]
+    starts, ends, breaks = places(text)
+    h = hashed(words)
+    out: list[tuple] = []
+    if parts := pieces(words, h, breaks.tolist(), least, cut):
+        keys = minhashes(windowed(h, WIDTH), np.array([(a, b - WIDTH + 1) for a, b in parts]).ravel(), bands).T.tolist()
+        whole = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in parts], np.uint64).view(np.int64).tolist()
+        out += [(0, int(starts[a]), int(ends[b - 1]), v, k) for (a, b), v, k in zip(parts, whole, keys)]
+    if n >= WINDOW:
+        hashes = windowed(h, WINDOW)
+        at = winnowed(hashes, SURE_WORDS - WINDOW + 1)
+        out += [(1, p, q, v, None) for p, q, v in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), hashes[at].view(np.int64).tolist())]
+    return out
 
 
-def equal_ends(a: str, b: str, last: bool) -> tuple[int, int]:
-    """How many characters of each belong to their equal words, from the last word back or from the first on."""
-    p, q = list(_WORD.finditer(a)), list(_WORD.finditer(b))
-    step, k = -1 if last else 1, 0
-    fold = lambda m: m.group().encode("utf-8", "surrogatepass").lower()
-    for x, y in zip(p[::step], q[::step]):
-        if fold(x) != fold(y):
-            break
-        k += 1
-    if not k:
-        return 0, 0
-    return (len(a) - p[-k].start(), len(b) - q[-k].start()) if last else (p[k - 1].end(), q[k - 1].end())
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, t): doc orders null ids first."""
+    i = F.col(id_col).cast("long")
+    t = F.col(text_col).cast("string")
+    return docs.select(F.struct(i.isNotNull().alias("known"), F.coalesce(i, F.lit(0)).alias("id")).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
-def extended(docs: DataFrame, matched: DataFrame, of_windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, kept, start, end, c): equal runs around the chosen windows, in the document and in the one kept."""
-    wanted = matched.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).cast("string").alias("t")).join(wanted, "doc")
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
+    ship(docs.sparkSession)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for i, t, hs in zip(b.column("doc").to_pylist(), b.column("t"), b.column("hs")):
-                for x in contexts(t.as_py() or "", hs.values.to_numpy(zero_copy_only=False)):
-                    for c, v in zip(rows, (i, *x)):
+            rows: list[list] = [[] for _ in range(8)]
+            for k, i, th, t in zip(*(b.column(c).to_pylist() for c in ("known", "id", "th")), b.column("t")):
+                for unit in paragraphs(t.as_py() or "", bands=bands):
+                    for c, v in zip(rows, (k, i, th, *unit)):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "h", "start", "end", "left", "right"])
-
-    found = durable(src.select("doc", "t", "hs").mapInArrow(find, "doc long, h long, start int, end int, left string, right string"), "contexts").join(of_windows.select("h", "kept"), "h")
-    base = found.where("doc = kept").groupBy("h", "left", "right").agg(F.min(F.struct("start", "end")).alias("at"))
-    base = base.select("h", F.col("left").alias("l"), F.col("right").alias("r"), F.col("at.start").alias("s"), F.col("at.end").alias("e"))
-    pairs = found.where("doc <> kept").join(base, "h")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[list] = [[] for _ in range(5)]
-            for h, doc, kept, start, end, left, right, s, e, l, r in zip(*(b.column(c).to_pylist() for c in b.schema.names)):
-                (p, u), (q, v) = equal_ends(left, l, True), equal_ends(right, r, False)
-                for x in ((doc, kept, start - p, end + q, h), (kept, kept, s - u, e + v, h)):
-                    for c, y in zip(rows, x):
-                        c.append(y)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "kept", "start", "end", "c"])
-
-    runs = pairs.select("h", "doc", "kept", "start", "end", "left", "right", "s", "e", "l", "r").mapInArrow(extend, "doc long, kept long, start int, end int, c long")
-    return runs.groupBy("doc", "kept", "start", "end").agg(F.min("c").alias("c"))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["known", "id", "th", "kind", "start", "end", "h", "keys"])
 
+    src = keyed(docs, id_col, text_col).select("doc.known", "doc.id", "th", "t")
+    made = src.mapInArrow(run, "known boolean, id long, th long, kind int, start int, end int, h long, keys array<long>")
+    return made.select(F.struct("known", "id").alias("doc"), "th", "kind", "start", "end", "h", "keys")
 
-UNITS = "doc long, kind int, start int, end int, n int, h long, keys array<long>, shingles binary"
 
-
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("t"))
-    ship(docs.sparkSession)
+def slices(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, beside: int = SURE_WORDS - WINDOW) -> DataFrame:
+    """(doc, th, start, end, left, body, right) of wanted (doc, th, start, end): their text and that of
+    ``beside`` words on both sides."""
+    asked = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # spans of one text
+    src = keyed(docs, id_col, text_col).join(asked, ["doc", "th"]).select("doc.known", "doc.id", "th", "t", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[list] = [[] for _ in range(8)]
-            for i, t in zip(b.column("id").to_pylist(), b.column("t")):
-                for unit in paragraphs(t.as_py() or "", bands=bands):
-                    for c, v in zip(rows, (i, *unit)):
+            for k, i, th, t, spans in zip(*(b.column(c).to_pylist() for c in ("known", "id", "th")), b.column("t"), b.column("spans")):
+                text = t.as_py() or ""
+                starts, ends, _ = places(text)
+                for s in spans.as_py():
+                    p, q = s["start"], s["end"]
+                    a = int(starts[max(int(np.searchsorted(starts, p)) - beside, 0)])
+                    z = int(ends[min(int(np.searchsorted(ends, q)) + beside, len(ends) - 1)])
+                    for c, v in zip(rows, (k, i, th, p, q, text[a:p], text[p:q], text[q:z])):
                         c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc", "kind", "start", "end", "n", "h", "keys", "shingles"])
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["known", "id", "th", "start", "end", "left", "body", "right"])
 
-    return src.mapInArrow(run, UNITS)
+    out = src.mapInArrow(run, "known boolean, id long, th long, start int, end int, left string, body string, right string")
+    return out.select(F.struct("known", "id").alias("doc"), "th", "start", "end", "left", "body", "right").dropDuplicates(["doc", "th", "start", "end"])
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links that join exactly those whose sets are, by a chain of pairs, at least ``least`` alike."""
+    """Trees over those whose sets are, by a chain of pairs, at least ``least`` alike."""
     sizes = np.array([len(s) for s in sets])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     left, out = np.ones(len(sets), bool), []
@@ -204,98 +212,159 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMIL
         if not left[k]:
             continue
         left[k] = False
-        todo = [k]
-        while todo:
-            p = todo.pop()
+        found, at = [k], 0
+        while at < len(found):
+            p = found[at]
+            at += 1
             pos = np.searchsorted(sets[p], values)
             hit = sets[p][np.minimum(pos, len(sets[p]) - 1)] == values
             both = np.bincount(owner[hit], minlength=len(sets))
             near = np.flatnonzero(left & (both >= least * (sizes + sizes[p] - both) - 1e-9))
-            out += [(int(ids[p]), int(ids[q])) for q in near]
-            left[near] = False
-            todo += near.tolist()
-            keep = left[owner]
             if len(near):
+                found += near.tolist()
+                left[near] = False
+                keep = left[owner]
                 values, owner = values[keep], owner[keep]
+        out += [(int(ids[found[(i - 1) // BRANCHES]]), int(ids[found[i]])) for i in range(1, len(found))]
     return out
 
 
-def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct (key, h): those rows whose key has more than one h."""
-    key, h, many = None, None, False
-    for b in batches:
-        k, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "h"))
-        if not len(k):
-            continue
-        joined_k, joined_v = (k, v) if key is None else (np.append(key, k), np.append(h, v))
-        like_before = np.append(False, joined_k[1:] == joined_k[:-1])
-        like_before[0] = many
-        like_after = np.append(joined_k[1:] == joined_k[:-1], False)
-        use = (like_before | like_after)[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(joined_k[:-1][use]), pa.array(joined_v[:-1][use])], ["key", "h"])
-        key, h, many = joined_k[-1], joined_v[-1], bool(like_before[-1])
-    if key is not None and many:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([key])), pa.array(np.array([h]))], ["key", "h"])
-
-
-def line_links(lines: DataFrame, least: float = SIMILAR, most: int = RUN) -> DataFrame:
-    """Edges (a, b) between line hashes."""
-    pairs = lines.select("h", F.explode("keys").alias("key")).groupBy("key", "h").agg(F.count(F.lit(1)).alias("c")).select("key", "h")
-    crowd = durable(pairs.repartition("key").sortWithinPartitions("key", "h").mapInArrow(_crowds, "key long, h long"), "crowded-bands")
-    wanted = crowd.select("h").distinct()
-    sets = lines.select("h", "shingles").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("shingles").alias("shingles"))
-    numbered = crowd.withColumn("part", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 20)))
-    width = crowd.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("w"))
-    dealt = numbered.join(width, "key").withColumn("own", (F.col("part") % F.col("w")).cast("int"))
-    dealt = dealt.select("key", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), "own").select("key", "h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    full = dealt.join(sets, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
+def crowded(pairs: DataFrame, most: int = RUN) -> DataFrame:
+    """Durable (key, h, n, w): those of distinct (key, h, n) whose key has more than one h; n is a size in
+    bytes, w the chunks into which the key's are dealt."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / RUN_BYTES)).cast("int")
+    width = durable(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), parts.alias("w")).where("c > 1"), "crowded-bands")
+    return durable(lookup(pairs, width.select("key", "w"), ["key"], counts=width.select("key", F.col("c").alias("n"))), "crowd")
+
+
+def verified(crowd: DataFrame, bodies: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Durable edges (a, b) between the h of a crowd; ``bodies`` (h, body) has their text."""
+    own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("w")).cast("int").alias("own")
+    dealt = crowd.select("key", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), own)
+    dealt = dealt.select("key", "h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+    full = dealt.join(bodies, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(ids, sets):
-            got = similar_forest(np.array(ids), [np.frombuffer(s, "<u4") for s in sets], least) if len(ids) > 1 else []
+            got = similar_forest(np.array(ids), sets, least) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
         now, ids, held = None, [], []
         for b in batches:
-            for key, i, j, h, s in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "h", "shingles"))):
+            for key, i, j, h, body in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "h")), b.column("body")):
                 if (key, i, j) != now:
                     if len(ids) > 1:
                         yield links(ids, held)
                     now, ids, held = (key, i, j), [], []
                 ids.append(h)
-                held.append(s)
+                held.append(np.unique(shingle_hashes(hashed(fold(body.as_py())))))
         if len(ids) > 1:
             yield links(ids, held)
 
-    return durable(full.select("key", "i", "j", "h", "shingles").mapInArrow(run, "a long, b long"), "line-links")
+    return durable(full.select("key", "i", "j", "h", "body").mapInArrow(run, "a long, b long").distinct(), "similar")
+
+
+def equal_ends(a: str, b: str, last: bool) -> tuple[int, int]:
+    """How many characters of each belong to their equal words, from the last word back or from the first on."""
+    p, q = list(_WORD.finditer(a)), list(_WORD.finditer(b))
+    step, k = -1 if last else 1, 0
+    for x, y in zip(p[::step], q[::step]):
+        if fold(x.group()) != fold(y.group()):
+            break
+        k += 1
+    if not k:
+        return 0, 0
+    return (len(a) - p[-k].start(), len(b) - q[-k].start()) if last else (p[k - 1].end(), q[k - 1].end())
+
+
+def merged(spans: DataFrame, *first: Column) -> DataFrame:
+    """Spans (doc, th, kept, start, end, ...) of a text that overlap become one; ``first`` are aggregates of each."""
+    order = Window.partitionBy("doc", "th", "kept").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")
+    islands = spans.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy("doc", "th", "kept", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first).drop("k")
+
+
+def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, ends, wanted) of durable units: runs of equal windows in documents that share them, their
+    first and last windows beside those of the document kept, and the slices needed to compare these."""
+    of = u.where("kind = 1").groupBy("h").agg(F.min("doc").alias("kept"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("kept < hi")
+    of = durable(of.select("h", "kept", "n"), "shared-windows")
+    rows = lookup(u.where("kind = 1").select("doc", "th", "start", "end", "h"), of.select("h", "kept"), ["h"], counts=of.select("h", "n"))
+    rows = durable(rows, "window-repeats")
+    at = F.struct("start", "end", "h")
+    runs = durable(merged(rows, F.min(at).alias("head"), F.max(at).alias("tail"), F.min("h").alias("c")).withColumn("run", F.monotonically_increasing_id()), "runs")
+    base = rows.where("doc = kept").groupBy("h").agg(F.min(F.struct("th", "start", "end")).alias("at"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("tail"), F.col("head").alias("w")), F.struct(F.lit(True).alias("tail"), F.col("tail").alias("w")))).alias("s")
+    ends = durable(runs.where("doc <> kept").select("run", "doc", "th", "kept", sides).select("run", "doc", "th", "kept", "s.tail", "s.w.start", "s.w.end", "s.w.h"), "run-ends")
+    ends = lookup(ends, base.select("h", F.col("at.th").alias("kth"), F.col("at.start").alias("ks"), F.col("at.end").alias("ke")), ["h"])
+    ends = durable(ends, "run-ends")
+    wanted = ends.select("doc", "th", "start", "end").unionByName(ends.select(F.col("kept").alias("doc"), F.col("kth").alias("th"), F.col("ks").alias("start"), F.col("ke").alias("end")))
+    return runs, ends, wanted
+
+
+def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
+    """(doc, th, kept, start, end, c): the runs, verified at both ends and grown to all equal words there."""
+    mine = ends.join(text, ["doc", "th", "start", "end"])
+    mine = durable(mine.select("run", "tail", "kept", "kth", "ks", "ke", *(F.col(c).alias(f"{c}_") for c in ("left", "body", "right"))), "run-texts")
+    theirs = text.select(F.col("doc").alias("kept"), F.col("th").alias("kth"), F.col("start").alias("ks"), F.col("end").alias("ke"), "left", "body", "right")
+    both = lookup(mine, theirs, ["kept", "kth", "ks", "ke"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(3)]
+            for tail, l_, b_, r_, left, body, right in zip(*(b.column(c).to_pylist() for c in ("tail", "left_", "body_", "right_", "left", "body", "right"))):
+                x, y = equal_ends(r_, right, False) if tail else equal_ends(l_, left, True)
+                for c, v in zip(out, (fold(b_) == fold(body), x, y)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([b.column("run"), b.column("tail"), *(b.column(c) for c in ("known", "id", "kth", "ks", "ke")), pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["run", "tail", "known", "id", "kth", "ks", "ke", "same", "x", "y"])
+
+    src = both.select("run", "tail", "kept.known", "kept.id", "kth", "ks", "ke", "left_", "body_", "right_", "left", "body", "right")
+    found = durable(src.mapInArrow(compare, "run long, tail boolean, known boolean, id long, kth long, ks int, ke int, same boolean, x int, y int"), "compared-ends")
+    more = found.groupBy("run").agg(F.min("same").alias("same"), F.sum(F.when(F.col("tail"), 0).otherwise(F.col("x"))).alias("xl"), F.sum(F.when(F.col("tail"), F.col("x")).otherwise(0)).alias("xr")).where("same")
+    others = runs.where("doc <> kept").join(more, "run").select("doc", "th", "kept", (F.col("start") - F.col("xl")).cast("int").alias("start"), (F.col("end") + F.col("xr")).cast("int").alias("end"), "c")
+    own = found.where("same").groupBy(F.struct("known", "id").alias("doc"), F.col("kth").alias("th"), "ks", "ke").agg(F.max(F.when(~F.col("tail"), F.col("y"))).alias("yl"), F.max(F.when(F.col("tail"), F.col("y"))).alias("yr"))
+    head = own.select("doc", "th", F.col("ks").alias("hs"), F.col("ke").alias("he"), "yl")
+    tail = own.select("doc", "th", F.col("ks").alias("ts"), F.col("ke").alias("te"), "yr")
+    kept = runs.where("doc = kept").select("*", F.col("head.start").alias("hs"), F.col("head.end").alias("he"), F.col("tail.start").alias("ts"), F.col("tail.end").alias("te"))
+    kept = kept.join(head, ["doc", "th", "hs", "he"], "left").join(tail, ["doc", "th", "ts", "te"], "left")
+    kept = kept.select("doc", "th", "kept", (F.col("start") - F.coalesce("yl", F.lit(0))).cast("int").alias("start"), (F.col("end") + F.coalesce("yr", F.lit(0))).cast("int").alias("end"), "c")
+    return others.unionByName(kept)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, bands: int = BANDS, most: int = RUN) -> DataFrame:
-    """Spans (id_col, start, end, cluster_id, kept_id, removed), merged where they overlap in a document."""
+    """Spans (id_col, start, end, cluster_id, kept_id, removed, text_hash), merged where they overlap in a text."""
     u = durable(units(docs, id_col, text_col, bands), "paragraphs")
     lines = u.where("kind = 0")
-    seen = u.groupBy("kind", "h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    comp = connected_components(line_links(lines, least, most)).withColumnRenamed("node", "h")
-    named = seen.where("kind = 0").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h"))
-    wide = named.groupBy("c").agg(F.min("lo").alias("kept"), F.max("hi").alias("hi")).where("kept < hi")
-    of_lines = named.join(wide.select("c", "kept"), "c").select("kind", "h", "c", "kept")
-    of_windows = seen.where("kind = 1 and lo < hi").select("kind", "h", F.col("h").alias("c"), F.col("lo").alias("kept"))
-    found = u.select("doc", "kind", "start", "end", "h").join(of_lines.unionByName(of_windows), ["kind", "h"])
-    found = durable(found, "repeats")
-    runs = extended(docs, found.where("kind = 1").select("doc", "h"), of_windows, id_col, text_col)
-    found = found.select("doc", "kept", "start", "end", "c").unionByName(runs)
-    order = Window.partitionBy("doc", "kept").orderBy("start", "end")
-    new = (F.col("start") > F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
-    islands = found.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc", "kept", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("c").alias("cluster_id"))
-    back = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return spans.select(back("doc").alias(id_col), "start", "end", "cluster_id", back("kept").alias("kept_id"), (F.col("doc") != F.col("kept")).alias("removed"))
+    place = F.struct("doc", "th", "start", "end")
+    reps = durable(lines.groupBy("h").agg(F.min(place).alias("at"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct-lines")
+    pairs = reps.select("h", (F.col("at.end") - F.col("at.start")).alias("n"), F.explode(F.array_distinct("keys")).alias("key"))
+    crowd = crowded(pairs, most)
+    asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
+    runs, ends, wanted = window_runs(u)
+    text = durable(slices(docs, wanted.unionByName(asked.drop("h")), id_col, text_col), "slices")
+    bodies = asked.join(text, ["doc", "th", "start", "end"]).select("h", "body")
+    comp = connected_components(verified(crowd, bodies, least)).withColumnRenamed("node", "h")
+    named = durable(reps.select("h", F.col("at.doc").alias("lo"), "hi", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h")), "named-lines")
+    wide = named.groupBy("c").agg(F.min("lo").alias("kept"), F.max("hi").alias("hi")).where("kept < hi").select("c", "kept")
+    of_lines = durable(lookup(named, wide, ["c"]).select("h", "c", "kept", "n"), "repeated-lines")
+    found = lookup(lines.select("doc", "th", "start", "end", "h"), of_lines.select("h", "c", "kept"), ["h"], counts=of_lines.select("h", "n"))
+    spans = merged(found.select("doc", "th", "kept", "start", "end", "c").unionByName(grown(runs, ends, text)), F.min("c").alias("cluster_id"))
+    back = lambda c: F.when(F.col(c)["known"], F.col(c)["id"])
+    return spans.select(back("doc").alias(id_col), "start", "end", "cluster_id", back("kept").alias("kept_id"), (F.col("doc") != F.col("kept")).alias("removed"), F.col("th").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without the spans that are to be removed."""
-    gone = spans.where("removed").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cut_spans_"))
-    joined = docs.join(gone.withColumnRenamed(id_col, "cut_id_"), F.col(id_col).cast("long").eqNullSafe(F.col("cut_id_")), "left")
-    step = lambda a, m: F.struct(F.greatest(a["at"], m["end"]).alias("at"), F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.greatest(m["start"] - a["at"], F.lit(0)))).alias("out"))
-    cut = F.aggregate("cut_spans_", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.char_length(F.col(text_col)))))
-    return joined.withColumn(text_col, F.when(F.col("cut_spans_").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    """The documents without the spans that are to be removed; other rows and columns as they are."""
+    i, no, th, cuts = fresh(docs, "id", "no", "th", "cuts")
+    key = lambda c: (F.coalesce(F.col(c).cast("long"), F.lit(0)), F.col(c).isNull())
+    k, n = key(id_col)
+    gone = spans.where("removed").groupBy(k.alias(i), n.alias(no), F.col("text_hash").alias(th)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    joined = docs.withColumns({i: k, no: n, th: F.xxhash64(F.col(text_col).cast("string"))}).join(gone, [i, no, th], "left")
+    t, own = F.col(text_col), F.col(cuts)
+    upto = F.transform(own, lambda m, j: F.aggregate(F.slice(own, F.lit(1), j), F.lit(0), lambda s, x: F.greatest(s, x["end"])))
+    parts = F.zip_with(own, upto, lambda m, at: F.substring(t, at + 1, F.greatest(m["start"] - at, F.lit(0))))
+    rest = F.aggregate(own, F.lit(0), lambda s, x: F.greatest(s, x["end"]))
+    cut = F.concat(F.array_join(parts, ""), F.substring(t, rest + 1, F.char_length(t)))
+    return joined.withColumn(text_col, F.when(own.isNotNull(), cut).otherwise(t)).select(*docs.columns)
