@@ -54,17 +54,24 @@ def test_elias_fano():
     for _ in range(50):
         v = np.cumsum([r.choice([0, 1, 5, 300]) for _ in range(r.randint(1, 300))])
         e = token_ids.EliasFano.build(v)
-        assert (e.all() == v).all() and [e.select(i) for i in range(len(v))] == v.tolist()
+        assert [e.select(i) for i in range(len(v))] == v.tolist()
+        for _ in range(20):
+            i, j = sorted((r.randint(0, len(v)), r.randint(0, len(v))))
+            assert e.select_range(i, j).tolist() == v[i:j].tolist()
+    long = np.cumsum(np.full(100_000, 700))
+    assert token_ids.EliasFano.build(long).size() < 100_000 * 14 / 8  # under 14 bits each
 
 
-def test_token_ids(spark, docs, empty):
+@pytest.mark.parametrize("most", [1 << 26, 3000])
+def test_token_ids(spark, docs, empty, most):
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(-(1 << 63)).cast("long")))
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    got = token_ids.read_token_ids(token_ids.tokenize_to_shards(spark, docs, path)).collect()
+    got = token_ids.read_token_ids(token_ids.tokenize_to_shards(spark, docs, path, shard_tokens=most), docs=3, ids=500).collect()
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     at, want = 0, []
-    for i, x in sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda p: (p[0] is not None, p[0] or 0, p[1] is not None, p[1] or "")):
+    for i, x in sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda p: (p[0] is not None, 0 if p[0] is None else p[0], p[1] is not None, p[1] or "")):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
         want.append((i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
