@@ -1,15 +1,19 @@
 """Vector best-fit packing of token pieces into sequences.
 
 A piece uses three capacities of a sequence: tokens, document count and attention cost (its length
-squared). Pieces are placed longest first; among the open sequences that keep every capacity, the
-one with the least weighted norm of what would remain is taken ("norm"), or the one with the
-greatest weighted dot product of need and remainder ("dot").
+squared). Pieces are placed in falling order of their greatest share of a capacity; among the open
+sequences that keep every capacity, the one with the least weighted norm of what would remain is taken
+("norm"; sequences are opened as needed, which fills tokens tightly), or the one with the greatest
+weighted dot product of need and remainder ("dot"; as many sequences as any packing needs are open from
+the start, which keeps several binding capacities in balance). Ties take the sequence opened first.
 
 Pieces are dealt at random to groups of about ``group`` pieces, each packed in one task, so memory is
 bounded, hot sources do not matter, and each group leaves one part-filled sequence or so.
 
-Defined cases: a null or empty text is one piece of its end id; texts longer than a sequence, and
-only those, are cut; repeated rows are separate pieces; an empty table gives no rows.
+Defined cases: a null or empty text is one piece of its end id; whole texts are encoded, however long,
+and texts longer than a piece may be, and only those, are cut; null ids keep their rows; repeated rows
+are separate pieces; equal lengths go in the order of a hash; extra columns of any name are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,28 +57,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id:
 
 def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_cost: float, weights: tuple[float, float, float], rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each piece; sequences count from 0."""
-    order = np.argsort(-lengths, kind="stable")
-    least = int(lengths.min()) if len(lengths) else 0
     whole = np.array([size, max_docs, max_cost], float)
+    needs = np.stack([lengths, np.ones(len(lengths)), lengths.astype(float) ** 2]) / whole[:, None]
+    slack = 1e-9
+    if len(lengths) and needs.max() > 1 + slack:
+        raise ValueError("a piece exceeds a whole sequence's capacity")
+    order = np.lexsort((-lengths, -needs.max(axis=0)))
+    least = needs.min(axis=1) if len(lengths) else np.zeros(3)
     w = np.asarray(weights, float)[:, None]
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    room = np.zeros((3, 256))  # of the open sequences, as shares of each capacity
-    name = np.zeros(256, np.int64)
-    used = np.zeros(256, np.int64)
-    n_open = made = 0
-    slack = 1e-9
+    n_open = made = lower_bound(lengths, size, max_docs, max_cost) if rule == "dot" else 0
+    width = max(256, 2 * n_open)
+    room = np.ones((3, width))  # of the open sequences, as shares of each capacity
+    name, used = np.arange(width), np.zeros(width, np.int64)
     for p in order:
-        n = int(lengths[p])
-        need = np.array([n, 1.0, float(n) * n])[:, None] / whole[:, None]
-        if (need > 1 + slack).any():
-            raise ValueError("a piece exceeds a whole sequence's capacity")
+        need = needs[:, p : p + 1]
         rest = room[:, :n_open] - need
         fits = (rest > -slack).all(axis=0)
         if fits.any():
-            if rule == "dot":
-                k = int(np.argmax(np.where(fits, (w * need * room[:, :n_open]).sum(axis=0), -np.inf)))
-            else:
-                k = int(np.argmin(np.where(fits, (w * rest * rest).sum(axis=0), np.inf)))
+            good = (w * need * room[:, :n_open]).sum(axis=0) if rule == "dot" else -(w * rest * rest).sum(axis=0)
+            top = np.where(fits, good, -np.inf)
+            best = np.flatnonzero(top >= top.max() - slack)
+            k = int(best[np.argmin(name[best])])
         else:
             if n_open == room.shape[1]:
                 room, name, used = np.hstack([room, np.zeros_like(room)]), np.append(name, np.zeros_like(name)), np.append(used, np.zeros_like(used))
@@ -83,13 +87,19 @@ def best_fit(lengths: np.ndarray, size: int, max_docs: int, max_cost: float, wei
             made += 1
         bins[p], offsets[p] = name[k], used[k]
         room[:, k] -= need[:, 0]
-        used[k] += n
-        if size - used[k] < least or room[1, k] * max_docs < 1 - 1e-6:
+        used[k] += lengths[p]
+        if (room[:, k] < least - slack).any():  # nothing fits any more
             n_open -= 1
             room[:, k], name[k], used[k] = room[:, n_open], name[n_open], used[n_open]
     return bins, offsets
 
 
+def lower_bound(lengths: np.ndarray, size: int, max_docs: int, max_cost: float) -> int:
+    """Sequences that any packing needs: the greatest of the three sums over its capacity."""
+    n = np.asarray(lengths, float)
+    return int(np.ceil(max(n.sum() / size, len(n) / max_docs, (n * n).sum() / max_cost) - 1e-9))
+
+
 def pack(pieces: DataFrame, size: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", group: int = GROUP) -> DataFrame:
     """(pid, sequence_id, offset). The default document and cost capacities bind no sequence that the token capacity allows."""
     max_docs, max_cost = max_docs or size, max_cost or float(size) ** 2
@@ -100,12 +110,12 @@ def pack(pieces: DataFrame, size: int = 4096, max_docs: int | None = None, max_c
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("pid")
+        pdf = pdf.sort_values("h")
         b, o = best_fit(pdf["length"].to_numpy(), size, max_docs, max_cost, weights, rule)
         return pd.DataFrame({"pid": pdf["pid"], "sequence_id": (int(pdf["g"].iloc[0]) << 32) + b, "offset": o})
 
     return (
-        pieces.select("pid", "length", F.pmod(F.xxhash64("pid"), F.lit(groups)).alias("g"))
+        pieces.select("pid", "length", F.xxhash64("pid").alias("h")).withColumn("g", F.pmod("h", F.lit(groups)))
         .groupBy("g")
         .applyInPandas(run, "pid long, sequence_id long, offset long")
     )
