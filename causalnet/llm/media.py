@@ -3,18 +3,20 @@
 A payload is cut where a rolling gear hash of its last 32 bytes has its top bits zero, within a least
 and a greatest chunk length, so an edit moves only nearby cuts. Each task appends the chunks that are
 new to it to a pack file (zstd, one frame a chunk) in the shared folder; Spark joins the digests of
-all tasks and picks one place for each; packs are then rewritten with only the chosen chunks. A
-document keeps its ordered chunk list. Reading follows the list, checks every digest, and rebuilds
-the stored form:
+all tasks and picks one place for each; packs are then rewritten with only the chosen chunks, an eighth
+of them at a time, and an eighth of the first packs goes when its successor's places are safely written.
+A document keeps its ordered chunk list. Its stored form, as digested, is what is stored for it:
 
-    "CDC1", payload bytes, chunk count (little-endian 64-bit), then 32-byte digest and 32-bit length
-    of each chunk in order, then the chunks' bytes in order.
+    for each chunk in order, its 32-byte digest, its length and its frame's length (little-endian
+    32-bit); then the zstd frames in order, as read from the packs.
 
-Bytes never go through a shuffle; digests and places do. Packs are named by task attempt, and only
-those in the finished tables are read, so a lost executor costs its tasks and unreferenced files.
+Reading follows the list, unpacks the frames and checks every digest. Bytes never go through a shuffle;
+digests and places do. Packs are named by task attempt, and only those in the finished tables are read,
+so a lost executor costs its tasks and unreferenced files; nothing is deleted inside a task.
 
 Defined cases: a null or empty text is 64 zero bytes; null ids keep their rows; repeated rows have
-equal values; whole texts are read; an empty table writes no pack.
+equal values; whole texts are read, however long; equal chunks are one, stored at the least of their
+places; extra columns of any name are ignored; an empty table writes no pack.
 """
 
 from __future__ import annotations
@@ -30,12 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import durable, new_folder, open_fs, ship
+from causalnet.llm.shared import delete, durable, lookup, new_folder, open_fs, ship
 
 LEAST, GREATEST, BITS = 1024, 16_384, 11
-MAGIC = b"CDC1"
+#: Parts in which packs are rewritten.
+PARTS = 8
+#: Payload bytes that a reading task takes.
+READ = 32 << 20
 #: Bytes that a pack gathers in memory before it writes them.
 BUFFER = 4 << 20
+#: Chunks that a writing task remembers.
+SEEN = 500_000
 
 
 def gear_table() -> np.ndarray:
@@ -84,15 +91,15 @@ def payload(text: str | None) -> tuple[bytes, int]:
 class Pack:
     """An append-only file of zstd frames under a shared URI, opened at the first chunk."""
 
-    def __init__(self, folder: str):
-        self.uri = f"{folder}/{uuid.uuid4().hex}.pack"
-        self.file, self.held, self.at = None, [], 0
+    def __init__(self, uri: str):
+        self.uri = uri
+        self.file, self.held, self.at, self.written = None, [], 0, 0
 
     def add(self, frame: bytes) -> int:
         at = self.at
         self.held.append(frame)
         self.at += len(frame)
-        if sum(map(len, self.held)) >= BUFFER:
+        if self.at - self.written >= BUFFER:
             self._flush()
         return at
 
@@ -102,7 +109,7 @@ class Pack:
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             self.file = fs.open_output_stream(path)
         self.file.write(b"".join(self.held))
-        self.held = []
+        self.held, self.written = [], self.at
 
     def close(self) -> None:
         if self.held:
@@ -125,7 +132,8 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z, pack, seen = zstandard.ZstdCompressor(3), Pack(first), {}
+        mark = uuid.uuid4().hex
+        z, pack, seen = zstandard.ZstdCompressor(3), Pack(f"{first}/{int(mark, 16) % PARTS}/{mark}.pack"), {}
         for b in batches:
             ids, sizes, whole, lists = [], [], [], []
             for i, t in zip(b.column("id").to_pylist(), b.column("t")):
@@ -138,7 +146,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     if place is None:
                         frame = z.compress(part)
                         place = (pack.add(frame), len(frame))
-                        if len(seen) > 500_000:  # a chunk stored twice by a task is merged below
+                        if len(seen) > SEEN:  # a chunk stored twice by a task is merged below
                             seen.clear()
                         seen[digest] = place
                     own.append({"digest": digest, "n": end - at, "pack": pack.uri, "at": place[0], "len": place[1]})
@@ -149,51 +157,35 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     rows = durable(src.mapInArrow(write, f"doc_id long, n_bytes long, payload_bytes long, chunks {LIST}").withColumn("row", F.monotonically_increasing_id()), "media-rows")
     each = rows.select("row", F.posexplode("chunks").alias("k", "c")).select("row", "k", "c.*")
-    chosen = each.groupBy("digest").agg(F.min(F.struct("pack", "at", "len")).alias("p")).select("digest", "p.*")
+    chosen = durable(each.groupBy("digest").agg(F.min(F.struct("pack", "at", "len")).alias("p"), F.count(F.lit(1)).alias("n")).select("digest", "p.*", "n"), "media-chosen")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted (pack, at) rows: the chosen frames of a pack, copied in order, then the first pack goes.
-
-        Places are running sums of lengths and the new name is the old one's, so a repeated task gives the
-        same rows, and copies only what is not yet there."""
-        name = old = out = path = None
-        at = 0
-
-        def finish() -> None:
-            if out is not None:
-                out.close()
-                old.close()
-                fs.move(f"{path}.{mark}", path)
-            if name is not None and fs.get_file_info(was).type.name == "File":
-                fs.delete_file(was)
-
+        """Sorted (pack, at) rows: the chosen frames of each pack, copied in order to a pack of the attempt's own."""
+        name = old = out = None
         for b in batches:
             places, names = [], []
             for u, a, n in zip(b.column("pack").to_pylist(), b.column("at").to_pylist(), b.column("len").to_pylist()):
                 if u != name:
-                    finish()
-                    name, at, old, out, mark = u, 0, None, None, uuid.uuid4().hex[:8]
-                    fs, was = open_fs(u)
-                    uri = f"{final}/{u.rpartition('/')[2]}"
-                    path = open_fs(uri)[1]
-                    if fs.get_file_info(path).type.name != "File":
-                        fs.create_dir(path.rpartition("/")[0], recursive=True)
-                        old, out = fs.open_input_file(was), fs.open_output_stream(f"{path}.{mark}")
-                if out is not None:
-                    out.write(old.read_at(n, a))
-                places.append(at)
-                names.append(uri)
-                at += n
+                    if old is not None:
+                        old.close()
+                        out.close()
+                    fs, path = open_fs(u)
+                    name, old, out = u, fs.open_input_file(path), Pack(f"{final}/{uuid.uuid4().hex}.pack")
+                places.append(out.add(old.read_at(n, a)))
+                names.append(out.uri)
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(names, pa.string()), pa.array(places, pa.int64()), b.column("len")], ["digest", "pack", "at", "len"])
-        finish()
-
-    # A pack is as large as its task's input; all of its rows go to one task, which then deletes it.
-    placed = chosen.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, "digest binary, pack string, at long, len int")
-    placed = durable(placed, "media-places")
-    fs, path = open_fs(first)
-    if fs.get_file_info(path).type.name == "Directory":
-        fs.delete_dir(path)
-    found = each.select("row", "k", "digest", "n").join(placed, "digest")
+        if old is not None:
+            old.close()
+            out.close()
+
+    placed = None
+    for part in range(PARTS):
+        own = chosen.where(F.col("pack").startswith(f"{first}/{part}/")).select("digest", "pack", "at", "len")
+        done = durable(own.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, "digest binary, pack string, at long, len int"), "media-places")
+        placed = done if placed is None else placed.unionByName(done)
+        delete(spark, [f"{first}/{part}"])
+    delete(spark, [first])
+    found = lookup(each.select("row", "k", "digest", "n"), placed, ["digest"], counts=chosen.select("digest", "n"))
     lists = found.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "digest", "n", "pack", "at", "len"))), lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"), c["pack"].alias("pack"), c["at"].alias("at"), c["len"].alias("len"))).alias("chunks"))
     return durable(rows.drop("chunks").join(lists, "row"), "media")
 
@@ -209,18 +201,22 @@ def features(data: np.ndarray) -> str:
 
 
 def rebuild(chunks: list[dict], read, size: int) -> tuple[bytes, bytes]:
-    """(payload, head of the stored form) of an ordered chunk list; ``read(pack, at, len)`` gives a frame."""
-    parts, table = [], []
+    """(payload, stored form) of an ordered chunk list; ``read(pack, at, len)`` gives a frame as stored."""
+    import zstandard
+
+    z, parts, frames, table = zstandard.ZstdDecompressor(), [], [], []
     for c in chunks:
-        part = read(c["pack"], c["at"], c["len"])
+        frame = read(c["pack"], c["at"], c["len"])
+        part = z.decompress(frame)
         if len(part) != c["n"] or hashlib.sha256(part).digest() != c["digest"]:
             raise OSError(f"chunk {c['digest'].hex()} is damaged")
         parts.append(part)
-        table.append(c["digest"] + struct.pack("<I", c["n"]))
+        frames.append(frame)
+        table.append(c["digest"] + struct.pack("<II", c["n"], len(frame)))
     data = b"".join(parts)
     if len(data) != size:
         raise OSError("chunks do not add up to the payload")
-    return data, MAGIC + struct.pack("<qq", len(data), len(parts)) + b"".join(table)
+    return data, b"".join(table + frames)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -228,9 +224,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     ship(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z, files = zstandard.ZstdDecompressor(), {}
+        files = {}
 
         def read(pack: str, at: int, n: int) -> bytes:
             if pack not in files:
@@ -238,19 +232,18 @@ def read_media(stored: DataFrame) -> DataFrame:
                     files.pop(next(iter(files))).close()
                 fs, path = open_fs(pack)
                 files[pack] = fs.open_input_file(path)
-            return z.decompress(files[pack].read_at(n, at))
+            return files[pack].read_at(n, at)
 
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
         for b in batches:
             out = []
             for i, n, size, chunks in zip(*(b.column(c) for c in ("doc_id", "n_bytes", "payload_bytes", "chunks"))):
-                data, head = rebuild(chunks.as_py(), read, size.as_py())
-                media = hashlib.sha256(head)
-                media.update(data)
-                out.append((i.as_py(), n.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(head) + len(data), media.hexdigest(), features(np.frombuffer(data, np.uint8)), len(chunks)))
+                data, form = rebuild(chunks.as_py(), read, size.as_py())
+                out.append((i.as_py(), n.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(form), hashlib.sha256(form).hexdigest(), features(np.frombuffer(data, np.uint8)), len(chunks)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names)
 
-    return stored.select("doc_id", "n_bytes", "payload_bytes", "chunks").mapInArrow(
+    tasks = -(-(stored.agg(F.sum("payload_bytes")).collect()[0][0] or 1) // READ)
+    return stored.select("doc_id", "n_bytes", "payload_bytes", "chunks").repartition(tasks).mapInArrow(
         run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks int"
     )

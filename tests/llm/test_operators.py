@@ -181,6 +181,19 @@ def test_media(docs, empty):
         p += bytes(-n % 64 or (0 if n else 64))
         want[(r["doc_id"], n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert collections.Counter(tuple(r)[:5] for r in got) == want
+    forms = collections.defaultdict(set)
+    for r in got:
+        forms[r["payload_sha256"]].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in forms.values())
+    import zstandard
+
+    for t in ("", "x" * 30_000, "ab c" * 5000):  # the stored form, chunk by chunk
+        p, z = media.payload(t)[0], zstandard.ZstdCompressor(3)
+        parts = [p[i:j] for i, j in zip([0, *media.cuts(p)], media.cuts(p))]
+        frames = [z.compress(x) for x in parts]
+        form = b"".join(hashlib.sha256(x).digest() + struct.pack("<II", len(x), len(f)) for x, f in zip(parts, frames)) + b"".join(frames)
+        row = media.read_media(media.store(docs.limit(1).withColumn("text", F.lit(t)))).collect()[0]
+        assert (row["media_bytes"], row["media_sha256"]) == (len(form), hashlib.sha256(form).hexdigest())
     assert media.read_media(media.store(empty)).count() == 0
     a = bytes(random.Random(1).randbytes(60_000))
     x, y = ({a[i:j] for i, j in zip([0, *c], c)} for c in [media.cuts(a)] * 2)
