@@ -2,27 +2,31 @@
 
 Each language has a codeword; for each bit a linear classifier of hashed byte 3-grams predicts
 whether a text's language has that bit. Decoding takes the codeword with the least logistic loss,
-weighted by how well each bit's classifier did on the learning rows; scores are a softmax of the
-negative losses, and a text whose two nearest codewords lie close is flagged ambiguous.
+weighted by how much better than chance each bit's classifier did on every fifth learning row, which it
+had not learned from; scores are a softmax of the negative losses, and a text whose two nearest codewords
+lie close is flagged ambiguous.
+
+At most ``LEARN`` rows are learned from, an equal share of each language (all rows of a language with
+fewer), the first by a hash of their id; executors count their n-grams, and those counts reach the driver.
 
 Defined cases: ``und`` (score 0) for null texts, texts without a letter, or when nothing could be
-learned; null ids are never held out and never learned from; repeated rows repeat; an empty table
-gives no rows. Whole texts are read, in bounded pieces.
+learned; null ids are never held out and never learned from; codewords that tie go by name; repeated
+rows repeat; extra columns of any name are ignored; an empty table gives no rows. Whole texts are read,
+in bounded pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import first_by_hash, ship
+from causalnet.llm.shared import durable, ship
 
-#: Hashed n-gram features, and labelled rows (the first by a hash of their id) for learning.
+#: Hashed n-gram features, and labelled rows for learning.
 BUCKETS = 4096
 LEARN = 3000
 AMBIGUOUS = 0.2
@@ -65,7 +69,7 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     for _ in range(200):
         code = rng.choice([-1.0, 1.0], (n, width))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        least = min((np.sum(code[a] != code[b]) for a, b in combinations(range(n), 2)), default=0)
+        least = ((code.shape[1] - code @ code.T)[~np.eye(n, dtype=bool)].min()) / 2
         if best is None or least > best[0]:
             best = (least, code)
     return best[1]
@@ -85,33 +89,82 @@ class Codes:
         return p.argmax(axis=1), order[:, -1], order[:, -1] - (order[:, -2] if p.shape[1] > 1 else 0)
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = BUCKETS, steps: int = 150, rate: float = 8.0, ridge: float = 1e-4) -> Codes:
+def fit(x: np.ndarray, langs: list[str], steps: int = 150, rate: float = 8.0, ridge: float = 1e-4) -> Codes:
+    """From rows of features and their languages; every fifth row of a language judges the bits only."""
     names = sorted(set(langs))
     code = codewords(len(names))
-    x = np.stack([ngram_counts(t, buckets) for t in texts])
-    want = code[[names.index(v) for v in langs]].astype(np.float32)
-    w, b, last = np.zeros((buckets, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), None
+    at = np.array([names.index(v) for v in langs])
+    seen = np.zeros(len(names), int)
+    judge = np.zeros(len(at), bool)
+    for k, v in enumerate(at):
+        seen[v] += 1
+        judge[k] = seen[v] % 5 == 0
+    own, want = x[~judge], code[at[~judge]].astype(np.float32)
+    share = 1 / np.bincount(at[~judge], minlength=len(names))[at[~judge]]
+    share = (share / share.sum()).astype(np.float32)[:, None]
+    w, b, last = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), None
     for k in range(steps):
         ahead = w if last is None else w + (k / (k + 3)) * (w - last)
-        g = -want / (1 + np.exp(np.clip(want * (x @ ahead + b), -30, 30)))
-        last, w = w, ahead - rate * (x.T @ g / len(x) + ridge * ahead)
-        b = b - rate * 0.1 * g.mean(axis=0)
-    right = ((x @ w + b) * want > 0).mean(axis=0)
-    return Codes(names, code, w, b, np.maximum(right, 1e-3) / max(right.sum(), 1e-3) * code.shape[1])
+        g = -share * want / (1 + np.exp(np.clip(want * (own @ ahead + b), -30, 30)))
+        last, w = w, ahead - rate * (own.T @ g + ridge * ahead)
+        b = b - rate * 0.1 * g.sum(axis=0)
+    use = judge if judge.any() else ~judge
+    return Codes(names, code, w, b, trust((x[use] @ w + b) * code[at[use]] > 0))
+
+
+def trust(right: np.ndarray) -> np.ndarray:
+    """A weight for each bit, their mean 1: how far its share of right answers lies above one half."""
+    edge = np.maximum(right.mean(axis=0) - 0.5, 1e-3)
+    return edge / edge.mean()
 
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
+def learning_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn: int, buckets: int) -> tuple[np.ndarray, list[str]]:
+    """(features, languages) of at most ``learn`` rows that are not held out. A row a language, then the
+    features of the chosen rows, reach the driver."""
+    known = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col))
+    mine = docs.where(known).select(F.xxhash64(F.col(id_col)).alias("k"), F.xxhash64(F.col(text_col)).alias("h"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
+    sizes = mine.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(learn)
+    # With the smaller languages taken whole, the level to which the larger ones are cut.
+    counts = [r["n"] for r in sizes.select("n").collect()]
+    left, level = learn, 0
+    for rest, n in zip(range(len(counts), 0, -1), reversed(counts)):
+        level = left // rest
+        if n > level:
+            break
+        left, level = left - n, n
+    # About 1.5 times as many as wanted by the hash alone, so that no sort sees more; then exactly.
+    share = F.least(F.lit(1.0), F.lit(1.5 * level + 50) / F.col("n"))
+    near = mine.join(F.broadcast(sizes), "lang").where(F.shiftrightunsigned("k", 12) / F.lit(float(1 << 52)) <= share)  # at most ``learn`` languages
+    order = Window.partitionBy("lang").orderBy("k", "h")
+    chosen = durable(near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= level).drop("at", "n"), "learning-rows")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, value = [], []
+            for t in b.column("t"):
+                v = ngram_counts(t.as_py(), buckets)
+                i = np.flatnonzero(v)
+                at.append(i.astype("<u4").tobytes())
+                value.append(v[i].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), b.column("lang"), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["k", "h", "lang", "at", "value"])
+
+    rows = chosen.mapInArrow(count, "k long, h long, lang string, at binary, value binary").orderBy("k", "h", "lang").collect()  # at most ``learn``
+    x = np.zeros((len(rows), buckets), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["at"], "<u4")] = np.frombuffer(r["value"], "<f4")
+    return x, [r["lang"] for r in rows]
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: int = LEARN, buckets: int = BUCKETS, ambiguous: float = AMBIGUOUS) -> DataFrame:
     """(id, held_out, lang_pred, score, ambiguous) of every row."""
     spark = docs.sparkSession
-    mine = docs.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    key = mine.select(F.xxhash64(F.col(id_col)).alias("k"), F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
-    ends = first_by_hash(key.select("k"), "k", learn).orderBy("k").limit(learn).agg(F.max("k").alias("k")).collect()[0]["k"]
-    rows = key.where(F.col("k") <= F.lit(ends)).orderBy("k", "i", F.xxhash64("t")).limit(learn).collect() if ends is not None else []
-    model = fit([r["t"] for r in rows], [r["lang"] for r in rows], buckets) if rows else None
+    ship(spark)
+    x, langs = learning_rows(docs, id_col, text_col, lang_col, learn, buckets)
+    model = fit(x, langs) if langs else None
     shared = spark.sparkContext.broadcast(model)  # its size is buckets times bits, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +180,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                         lang[at + k], score[at + k], close[at + k] = m.names[v], s, g < ambiguous
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(lang, pa.string()), pa.array(score), pa.array(close)], ["id", "held_out", "lang_pred", "score", "ambiguous"])
 
-    ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("t"))
     return src.mapInArrow(run, "id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
