@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causalnet.llm import langid, media, mixing, packing, pii, quality, rules, simhash, substring, token_ids
+from causalnet.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +47,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "js_char", "js_word")
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *((F.round(c, 6) + 0.0).alias(c) for c in ("js_char", "js_word")))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +56,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("epochs") * F.col("size")).alias("taken"))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", (F.round("target", 6) + 0.0).alias("target"), (F.col("epochs") * F.col("size")).alias("taken"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +91,3 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
 }
-ORACLES: dict[str, str] = {}

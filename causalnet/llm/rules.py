@@ -1,30 +1,40 @@
 """Quality rules: fixed base rules, then divergence from a language's reference.
 
-A text's histograms (character classes; frequent words of its language against all others) are
-compared with the language's references by Jensen-Shannon distance. References are means over the
-documents that pass the base rules, refined once over those no further than their language's median.
-The verdict is the joint distance against a limit with an allowance of 1/sqrt(words), so short texts
-are not judged on noise; below the least number of words the base rules have already decided.
-
-Main path: Column expressions and grouped aggregation only. One row per language reaches the driver.
-
-Defined cases: null texts have no words and fail; a null or unknown language takes the reference
-whose frequent words the text has most of; null ids and repeated rows keep their rows; an empty
-table gives no rows.
+A text's histograms (character classes; its language's frequent words against all others) are compared
+with the language's references by Jensen-Shannon distance. All references come from the table: the
+frequent words of a language are those that most of its documents hold, and its histograms are means
+over its documents that pass the base rules, taken once more over those no further than the mean
+distance. Documents of no language, of a language with under ``LEAST_DOCUMENTS`` documents, and of any
+beyond the ``MOST_LANGUAGES`` largest are taken together and have references of their own, learned from
+them alike; where they too are fewer, there is no reference, and the base rules decide alone. The verdict
+is the joint distance against a limit with an allowance of 1/sqrt(words), so short texts are not judged on
+noise; below the least number of words the base rules have already decided.
+
+Main path: Column expressions and grouped aggregation only. One row per language with a reference
+reaches the driver.
+
+Defined cases: null texts have no words and fail; whole texts are counted, however long; frequent words that tie go by code point; a distance equal to its limit is kept; null ids
+and repeated rows keep their rows; extra columns of any name are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.llm.pii import let
-from causalnet.llm.shared import durable
-from causalnet.llm.textstats import ALL_COMMON, CLASSES, COMMON, text_stats
+from causalnet.llm.shared import SPACE, durable
+from causalnet.llm.textstats import CLASSES, text_counts
 
 LEAST_WORDS = 50
 LIMIT = 0.2
 ALLOWANCE = 1.0
+#: Frequent words of a reference.
+FREQUENT = 12
+LEAST_DOCUMENTS = 20
+MOST_LANGUAGES = 500
+#: The language of whatever has no reference of its own.
+OTHERS = ""
 
 
 def histogram(counts: Column) -> Column:
@@ -39,26 +49,60 @@ def jensen_shannon(p: Column, q: Column) -> Column:
         return F.when((a > 0) & (m > 0), a * F.log2(F.when((a > 0) & (m > 0), a / m).otherwise(1.0))).otherwise(0.0)
 
     terms = F.zip_with(p, q, lambda a, b: let((a + b) / 2, lambda m: part(a, m) + part(b, m)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2))
-
-
-def language_counts(common: Column, n_words: Column, lang: str) -> Column:
-    """Counts of a language's frequent words, and of all other words."""
-    own = F.array(*(F.element_at(common, ALL_COMMON.index(w) + 1) for w in COMMON[lang]))
-    return let(own, lambda o: F.concat(o, F.array((n_words - F.aggregate(o, F.lit(0), lambda s, v: s + v)).cast("int"))))
-
-
-def chosen_language(lang: Column, stats: Column) -> Column:
-    hits = F.array(*(F.struct(F.aggregate(language_counts(stats["common"], F.lit(0), k), F.lit(0), lambda s, v: s + F.greatest(v, F.lit(0))).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(sorted(COMMON))))
-    best = F.array_max(F.transform(hits, lambda h: F.struct(h["n"].alias("n"), (-h["i"]).alias("i"), h["k"].alias("k"))))["k"]
-    return F.when(lang.isin(*COMMON), lang).otherwise(best)
+    total = F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2
+    return F.sqrt(F.when(total > 0, total).when(total <= 0, 0.0))
+
+
+def named_languages(docs: DataFrame, lang_col: str) -> list[str]:
+    """The languages that have a reference, and ``OTHERS`` if what is left has one."""
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(OTHERS))
+    sizes = docs.groupBy(lang.alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    own = [r["l"] for r in sizes.where((F.col("n") >= LEAST_DOCUMENTS) & (F.col("l") != OTHERS)).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES).collect()]
+    rest = sizes.where(~F.col("l").isin(own)).agg(F.sum("n")).collect()[0][0] or 0
+    return own + [OTHERS] * (rest >= LEAST_DOCUMENTS)
+
+
+def language(lang_col: str, named: list[str]) -> Column:
+    lang = F.col(lang_col).cast("string")
+    own = [k for k in named if k != OTHERS]
+    return F.when(lang.isin(own), lang).otherwise(F.lit(OTHERS)) if own else F.lit(OTHERS)
+
+
+def frequent_words(docs: DataFrame, text_col: str, lang_col: str, named: list[str], most: int = FREQUENT) -> dict[str, list[str]]:
+    """The words that most documents of each language hold (in any case), the most common first.
+
+    First the best within parts of a language's vocabulary, then over the parts, so no task sorts one whole."""
+    words = F.array_distinct(F.split(F.lower(F.col(text_col).cast("string")), SPACE))
+    each = docs.select(language(lang_col, named).alias("l"), F.explode(words).alias("w")).where(F.col("l").isin(named) & (F.col("w") != "")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("n"), F.col("w")]
+    inside = Window.partitionBy("l", F.pmod(F.xxhash64("w"), F.lit(256))).orderBy(*order)
+    near = each.withColumn("at", F.row_number().over(inside)).where(F.col("at") <= most)
+    best = near.withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy(*order))).where(F.col("at") <= most)
+    rows = best.groupBy("l").agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("best")).collect()
+    return {r["l"]: [x["w"] for x in r["best"]] for r in rows}
+
+
+def word_counts(words: Column, lang: Column, frequent: dict[str, list[str]]) -> Column:
+    """array of how often each frequent word of the text's language occurs (in any case), then all other words."""
+    own = F.lit(None).cast("array<string>")
+    for k, v in frequent.items():
+        own = F.when(lang == k, F.array(*map(F.lit, v))).otherwise(own)
+    # In lower case a word has a third of its bytes at least, so only these can be frequent words.
+    longest = 3 * max((len(w.encode()) for v in frequent.values() for w in v), default=0)
+    return let(
+        F.struct(own.alias("o"), F.size(words).alias("n"), F.transform(F.filter(words, lambda w: F.octet_length(w) <= longest), lambda w: F.lower(w)).alias("w")),
+        lambda x: let(
+            F.transform(x["o"], lambda k: F.size(F.filter(x["w"], lambda w: w == k))),
+            lambda c: F.concat(c, F.array(x["n"] - F.aggregate(c, F.lit(0), lambda s, v: s + v))),
+        ),
+    )
 
 
 def reference(rows: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     """Mean histograms by language: a row for each reaches the driver."""
-    nc, nw = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
+    nc, nw = len(CLASSES) + 1, FREQUENT + 1
     got = rows.groupBy("l").agg(*(F.avg(F.get("pc", F.lit(i))).alias(f"c{i}") for i in range(nc)), *(F.avg(F.get("pw", F.lit(i))).alias(f"w{i}") for i in range(nw))).orderBy("l").collect()
-    return [(r["l"], [r[f"c{i}"] or 0.0 for i in range(nc)], [r[f"w{i}"] or 0.0 for i in range(nw)]) for r in got if r["l"] is not None]
+    return [(r["l"], [r[f"c{i}"] or 0.0 for i in range(nc)], [r[f"w{i}"] or 0.0 for i in range(nw)]) for r in got]
 
 
 def with_distance(rows: DataFrame, refs: list[tuple[str, list[float], list[float]]]) -> DataFrame:
@@ -72,22 +116,23 @@ def with_distance(rows: DataFrame, refs: list[tuple[str, list[float], list[float
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: float = LIMIT, allowance: float = ALLOWANCE, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Per row: id, the counts of text_stats, base_failed, js_char, js_word, kept."""
-    s = durable(docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), text_stats(F.col(text_col)).alias("s")), "text-stats")
-    lang = chosen_language(F.col("lang"), F.col("s"))
-    pw = F.lit(None).cast("array<double>")
-    for k in COMMON:
-        pw = F.when(F.col("l") == k, histogram(language_counts(F.col("s.common"), F.col("s.n_words"), k))).otherwise(pw)
+    """Per row: id, the base counts, base_failed, js_char, js_word, kept."""
+    named = named_languages(docs, lang_col)
+    frequent = frequent_words(docs, text_col, lang_col, named)
+    l = language(lang_col, named)  # noqa: E741
+    counts = text_counts(F.col(text_col), lambda w: [word_counts(w, l, frequent).alias("common")])
+    s = durable(docs.select(F.col(id_col).alias("id"), l.alias("l"), counts.alias("s")), "text-stats")
     failed = (F.col("s.n_words") < least_words) | (100 * F.col("s.n_repeat_words") > 50 * F.col("s.n_words"))
-    rows = s.withColumn("l", lang).withColumn("pc", histogram(F.col("s.classes"))).withColumn("pw", pw).withColumn("base_failed", failed)
+    pw = histogram(F.col("s.common"))
+    rows = s.withColumn("pc", histogram(F.col("s.classes"))).withColumn("pw", pw).withColumn("base_failed", failed)
     joint = F.sqrt(F.col("js_char") ** 2 + F.col("js_word") ** 2)
-    good = rows.where(~F.col("base_failed"))
+    good = rows.where(~F.col("base_failed") & F.col("l").isin(named))
     first = reference(good)
     near = with_distance(good, first).withColumn("j", joint)
-    middle = {r["l"]: r["m"] for r in near.groupBy("l").agg(F.percentile_approx("j", 0.5, 10_000).alias("m")).collect()}
+    middle = {r["l"]: r["m"] for r in near.groupBy("l").agg(F.avg("j").alias("m")).collect()}
     level = F.lit(None).cast("double")
     for k, m in middle.items():
         level = F.when(F.col("l") == k, F.lit(m)).otherwise(level)
-    refs = reference(near.where(F.col("j") <= level)) or first
+    refs = reference(near.where(F.col("j") <= level + F.lit(1e-12))) or first
     kept = ~F.col("base_failed") & F.coalesce(joint <= limit + allowance / F.sqrt(F.col("s.n_words").cast("double")), F.lit(True))
-    return with_distance(rows, refs).select("id", "s.*", "base_failed", "js_char", "js_word", kept.alias("kept"))
+    return with_distance(rows, refs).select("id", F.col("l").alias("reference"), "s.n_words", "s.word_chars", "s.n_symbols", "s.n_dup_lines", "s.n_repeat_words", "base_failed", "js_char", "js_word", kept.alias("kept"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from causalnet.llm.pii import let
@@ -105,8 +107,8 @@ def common_counts(words: Column) -> Column:
     return let(short, count)
 
 
-def text_stats(text: Column) -> Column:
-    """One struct of all counts; a null text counts as empty."""
+def text_counts(text: Column, more: Callable[[Column], list[Column]] = lambda words: []) -> Column:
+    """One struct of the base counts and of ``more`` of the array of words; a null text counts as empty."""
 
     def of(t: Column) -> Column:
         lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
@@ -120,14 +122,14 @@ def text_stats(text: Column) -> Column:
                 F.size(x["l"]).cast("long").alias("n_lines"),
                 (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
                 repeated_words(x["w"]).cast("long").alias("n_repeat_words"),
-                F.size(F.array_distinct(x["w"])).cast("long").alias("n_distinct_words"),
                 F.array(*(x["c"][n] for n in (*CLASSES, "other"))).alias("classes"),
-                common_counts(x["w"]).alias("common"),
+                *more(x["w"]),
             ),
         )
 
     return let(F.coalesce(text.cast("string"), F.lit("")), of)
 
 
-def with_stats(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    return docs.withColumn(name, text_stats(F.col(text_col)))
+def text_stats(text: Column) -> Column:
+    """The base counts, the number of distinct words, and how often each word of ``ALL_COMMON`` occurs."""
+    return text_counts(text, lambda w: [F.size(F.array_distinct(w)).cast("long").alias("n_distinct_words"), common_counts(w).alias("common")])
