@@ -3,15 +3,17 @@
 All of the main path is Column expressions: patterns, span arithmetic, features and trees. Only the
 fit (once a session, on a bounded generated table) happens on the driver.
 
-Defined cases: a null text is empty and has no spans; null ids keep their row; repeated rows repeat;
-long texts are searched whole (patterns run in linear time: possessive, and anchored where a run
-begins or the last match ended); an empty table gives no rows.
+Defined cases: a null text is empty and has no spans (and stays null where texts are rewritten); null ids
+keep their row; repeated rows repeat; long texts are searched whole (patterns run in linear time:
+possessive, and anchored where a run begins or the last match ended); of an added span and a base span
+that overlap the base span stays, and a probability equal to the threshold is enough; where rewritten
+spans overlap, the first names them all; extra columns of any name stay as they are; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import random
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +39,14 @@ CANDIDATES = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 CONTEXT = 32
+#: Code points of a block of text, where spans are replaced.
+BLOCK = 4096
 ASKS = r"(?i)(?:token|secret|passw|api|key|auth|bearer|credential)"
 PERSON = r"(?i)(?:phone|tel|call|mobile|fax|ssn|social|iban|account|card|passport|licen[cs]e no)"
 OTHER = r"(?i)(?:order|version|item|isbn|page|part|sku|serial|commit|hash|sha|checksum|md5|ticket|build|issue|figure|section|year|total)"
 FEATURES = ("kind", "len", "digits", "uppers", "hex", "distinct", "marks", "luhn", "asks", "person", "other", "assigned", "quoted", "glued")
-#: Rows of the generated table that the trees learn from, and the precision their threshold must reach.
-LEARN = 2000
+#: Generated sentences for learning, and the precision that the threshold must reach on families not learned from.
+LEARN = 3000
 PRECISION = 0.99
 
 
@@ -156,54 +160,77 @@ def candidates(text: Column) -> Column:
     return F.concat(*(matches(text, p, len(BASE) + k, long if name == "secret" else digit) for k, (name, p) in enumerate(CANDIDATES.items())))
 
 
-def _examples(n: int, seed: int = 7) -> list[tuple[int, str, bool]]:
-    """Generated sentences with one string each that is private (True) or only looks so."""
+def _examples(n: int, seed: int = 7) -> list[tuple[int, str, bool, int]]:
+    """(i, sentence, private, family): generated sentences with one string each that is private or only looks
+    so. A family is a form with a cue; many cues are in none of the feature lists."""
     r = random.Random(seed)
-    chars = "0123456789abcdef"
     base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("aeinorstlhdu") for _ in range(r.randint(2, 9)))
     line = lambda: " ".join(word() for _ in range(r.randint(2, 6)))
-    hexes = lambda k: "".join(r.choice(chars) for _ in range(k))
+    hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    wide = lambda k: "".join(r.choice(base64) for _ in range(k))
     quote = lambda s: r.choice([f'"{s}"', f"'{s}'", s])
+    cued = lambda cues, form: [(lambda c=c: f"{c}{form()}") for c in cues]
+    keys = ["token", "api_key", "secret", "password", "TOKEN", "auth key", "access_token", "signing", "webhook", "session", "login", "clef", "Kennwort", "clave", "bearer", "credential", "pin code", "client"]
+    given = lambda v: r.choice([" = ", ": ", "=", ":"]) + quote(v())
+    calls = ["phone ", "call ", "tel: ", "mobile ", "fax ", "reach me at ", "llamar al ", "appelez le ", "ring ", "", "Telefon ", "office ", "home "]
+    people = ["ssn ", "social security ", "id ", "", "insured ", "member ", "file of "]
+    banks = ["iban ", "account ", "", "pay to ", "compte ", "Konto ", "transfer: "]
+    cards = ["card ", "account ", "passport ", "card no ", "passport no. "]
+    goods = ["order ", "item ", "part ", "sku ", "serial ", "ticket ", "total ", "", "invoice ", "pedido ", "Nummer ", "stock ", "about "]
+    sums = ["commit ", "sha ", "checksum ", "md5 ", "hash ", "checksum: ", "sha256=", "commit=", "build hash ", "hash: "]
     yes = [
-        lambda: r.choice(["token", "api_key", "secret", "password", "TOKEN", "auth key", "access_token"]) + r.choice([" = ", ": ", "=", ":"]) + quote(r.choice([hexes(r.choice([20, 24, 32, 40, 64])), hexes(40).upper(), "".join(r.choice(base64) for _ in range(r.randint(20, 60)))])),
-        lambda: r.choice(["phone ", "call ", "tel: ", "mobile ", "fax ", line() + " "]) + r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]),
-        lambda: r.choice(["ssn ", "social security ", "id ", line() + " "]) + f"{d(3)}-{d(2)}-{d(4)}",
-        lambda: r.choice(["iban ", "account ", line() + " "]) + r.choice(["DE", "FR", "ES", "GB"]) + d(2) + r.choice([d(18), "".join(" " + d(4) for _ in range(4)) + " " + d(2)]),
-        lambda: r.choice(["card ", "account ", "passport "]) + d(r.choice([9, 12, 16])),
+        *cued(keys, lambda: given(lambda: hexes(r.choice([20, 24, 32, 40, 64])))), *cued(keys, lambda: given(lambda: hexes(40).upper())), *cued(keys, lambda: given(lambda: wide(r.randint(20, 60)))),
+        *cued(calls, lambda: f"({d(3)}) {d(3)}-{d(4)}"), *cued(calls, lambda: f"{d(3)}-{d(3)}-{d(4)}"), *cued(calls, lambda: f"{d(3)}.{d(3)}.{d(4)}"), *cued(calls, lambda: f"{d(3)} {d(3)} {d(4)}"),
+        *cued(people, lambda: f"{d(3)}-{d(2)}-{d(4)}"),
+        *cued(banks, lambda: r.choice(["DE", "FR", "ES", "GB"]) + d(20)), *cued(banks, lambda: r.choice(["DE", "FR", "ES", "GB"]) + d(2) + "".join(" " + d(4) for _ in range(4)) + " " + d(2)),
+        *cued(cards, lambda: d(r.choice([9, 12, 16]))),
     ]
     no = [
-        lambda: r.choice(["order ", "item ", "part ", "sku ", "serial ", "ticket ", "total ", line() + " "]) + d(r.randint(7, 14)),
-        lambda: r.choice(["commit ", "sha ", "checksum ", "md5 ", "hash "]) + hexes(r.choice([32, 40, 64])),
-        lambda: r.choice(["version ", "build ", "section "]) + ".".join(d(r.randint(1, 3)) for _ in range(4)) + "." + d(3),
-        lambda: "".join(r.choice("abcdefghiklmnoprstuv") for _ in range(r.randint(16, 40))),
-        lambda: "-".join(word() for _ in range(4)) + "-" + d(r.randint(1, 4)),
-        lambda: r.choice(["year ", "page ", "figure "]) + f"{d(4)}-{d(2)}-{d(2)}",
-        lambda: "=" * r.randint(16, 40),
-        lambda: f"{d(4)} {d(4)} {d(4)}",
+        *cued(goods, lambda: d(r.randint(7, 14))), *cued(goods, lambda: f"{d(4)} {d(4)} {d(4)}"),
+        *cued(sums, lambda: hexes(r.choice([32, 40, 64]))),
+        *cued(["version ", "build ", "section ", "v", "release "], lambda: ".".join(d(r.randint(1, 3)) for _ in range(4)) + "." + d(3)),
+        *cued(["", "see ", "the ", "name: ", "path = ", "tag="], lambda: "".join(r.choice("abcdefghiklmnoprstuv") for _ in range(r.randint(16, 40)))),
+        *cued(["", "see ", "the ", "slug: ", "page "], lambda: "-".join(word() for _ in range(4)) + "-" + d(r.randint(1, 4))),
+        *cued(["year ", "page ", "figure ", "on ", "le ", ""], lambda: f"{d(4)}-{d(2)}-{d(2)}"),
+        *cued(["", "rule ", "a"], lambda: "=" * r.randint(16, 40)), *cued(["", "menu ", "a"], lambda: "-" * r.randint(16, 40)),
     ]
     out = []
     for i in range(n):
         private = r.random() < 0.5
-        out.append((i, f"{line()} {r.choice(yes if private else no)()} {line()} 7", private))
+        k = r.randrange(len(yes if private else no))
+        out.append((i, f"{line()} {(yes if private else no)[k]()} {line()} 7", private, 2 * k + private))
     return out
 
 
-@lru_cache(maxsize=4)
-def learned(app: str, rows: int = LEARN, precision: float = PRECISION) -> tuple[boosting.Boosted, float]:
-    """The trees and their threshold, for the running application."""
-    spark = SparkSession.getActiveSession()
-    made = _examples(rows)
-    table = spark.createDataFrame(made, "i int, t string, y boolean").coalesce(1)
-    got = table.select("i", "y", F.explode(F.transform(candidates(F.col("t")), features)).alias("x")).select("i", "y", "x.*").orderBy("i", "kind").collect()
-    x = np.array([[r[f] for f in FEATURES] for r in got])
-    y = np.array([r["y"] for r in got], float)
-    own = np.array([r["i"] % 3 for r in got])
-    model = boosting.calibrate(boosting.fit(x[own != 2], y[own != 2], FEATURES), x[own == 2], y[own == 2])
-    p = 1 / (1 + np.exp(-(model.margin(x[own == 2]) * model.slope + model.shift)))
-    threshold = next((t for t in np.linspace(0.5, 0.995, 100) if y[own == 2][p >= t].mean() >= precision), 0.995)
-    return model, float(threshold)
+_fitted: dict[tuple, tuple[boosting.Boosted, float]] = {}
+
+
+def learned(spark: SparkSession, rows: int = LEARN, precision: float = PRECISION) -> tuple[boosting.Boosted, float]:
+    """The trees and their threshold, once for an application.
+
+    Families of generated sentences are dealt to three parts: the trees learn from one, are calibrated on
+    the second, and the threshold is the least that reaches ``precision`` on the third, or an error."""
+    key = (spark.sparkContext.applicationId, rows, precision)
+    if key not in _fitted:
+        table = spark.createDataFrame(_examples(rows), "i int, t string, y boolean, f int").coalesce(1)
+        got = table.select("i", "y", "f", F.explode(F.transform(candidates(F.col("t")), features)).alias("x")).select("i", "y", "f", "x.*").orderBy("i", "kind").collect()
+        x = np.array([[r[f] for f in FEATURES] for r in got])
+        y = np.array([r["y"] for r in got], float)
+        part = np.array([(r["f"] // 2) % 5 for r in got])
+        fit, second, third = part < 3, part == 3, part == 4
+        model = boosting.calibrate(boosting.fit(x[fit], y[fit], FEATURES), x[second], y[second])
+        _fitted[key] = model, threshold_for(1 / (1 + np.exp(-(model.margin(x[third]) * model.slope + model.shift))), y[third], precision)
+    return _fitted[key]
+
+
+def threshold_for(p: np.ndarray, y: np.ndarray, precision: float) -> float:
+    """The least probability from 0.5 on from which the share of private strings is ``precision`` or more."""
+    for t in np.linspace(0.5, 0.995, 100):
+        if (p >= t).any() and y[p >= t].mean() >= precision:
+            return float(t)
+    raise ValueError(f"no threshold reaches a precision of {precision}")
 
 
 def spans(text: Column, model: boosting.Boosted, threshold: float) -> Column:
@@ -227,10 +254,18 @@ def named(kind: Column) -> Column:
 
 def find(docs: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
     """``docs`` with an array of (kind, start, end); start and end count code points, end exclusive."""
-    model, threshold = learned(docs.sparkSession.sparkContext.applicationId)
+    model, threshold = learned(docs.sparkSession)
     return docs.withColumn(out_col, let(F.coalesce(F.col(text_col).cast("string"), F.lit("")), lambda t: spans(t, model, threshold)))
 
 
+def reached(ends: Column, block: int = 64) -> Column:
+    """0, then the greatest of all ends up to each, by blocks: near-linear in their number."""
+    top = lambda a: F.coalesce(F.array_max(a), F.lit(0))
+    n = F.size(ends)
+    tops = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / block).cast("int"))), lambda b: top(F.slice(ends, b * block + 1, F.lit(block))))
+    return let(tops, lambda b: F.transform(F.sequence(F.lit(0), n), lambda i: F.greatest(top(F.slice(b, F.lit(1), F.floor(i / block).cast("int"))), top(F.slice(ends, F.floor(i / block).cast("int") * block + 1, i % block)))))
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; overlapping spans merge."""
     from causalnet.llm.shared import fresh
@@ -238,12 +273,21 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     (c,) = fresh(docs, "spans")
 
     def rewrite(t: Column, s: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         order = F.array_sort(F.transform(s, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["kind"].alias("kind"))))
-        step = lambda a, m: F.when(
-            m["start"] < a["at"], F.struct(F.greatest(a["at"], m["end"]).alias("at"), a["out"].alias("out"))
-        ).otherwise(F.struct(m["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, m["start"] - a["at"]), F.lit("["), F.upper(named(m["kind"])), F.lit("]")).alias("out")))
-        return F.aggregate(order, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.char_length(t))))
+        # Blocks of a fixed number of code points, so that a slice costs its own length, wherever it lies.
+        blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+        def cut(b: Column, start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            parts = F.slice(b, first + 1, F.floor((end - 1) / BLOCK).cast("int") - first + 1)
+            return F.when(end <= start, F.lit("")).otherwise(F.substring(F.array_join(parts, ""), start - first * BLOCK + 1, end - start))
+
+        def pieces(b: Column, o: Column, reach: Column) -> Column:
+            """What lies before each span that begins behind all former ones, and its kind; then the rest."""
+            body = F.transform(o, lambda m, i: let(F.element_at(reach, i + 1), lambda at: F.when(m["start"] < at, F.lit("")).otherwise(F.concat(cut(b, at, m["start"]), F.lit("["), F.upper(named(m["kind"])), F.lit("]")))))
+            return F.concat(F.array_join(body, ""), cut(b, F.element_at(reach, -1), F.char_length(t)))
+
+        return let(order, lambda o: let(reached(F.transform(o, lambda m: m["end"])), lambda reach: let(blocks, lambda b: pieces(b, o, reach))))
 
     found = find(docs, text_col, c)
     text = F.col(text_col)
