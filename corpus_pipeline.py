@@ -1,7 +1,16 @@
 """From raw documents to packed training sequences, in five durable stages.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as
-Parquet and read again. All but the last return the columns of documents.
+Parquet and read again; what it wrote on the way, and its input, are then deleted. All but the last
+return the columns of documents.
+
+Defined cases, for every stage: extra columns stay, whatever their names, until the last stage, which
+returns pieces; null ids, sources and languages are values like others (nulls last); an empty table
+gives an empty table. A null or blank text is an empty document: the classifier judges it like any
+other, all such documents are near copies of each other, it has no spans, the mix never takes it.
+Repeated rows are judged and redacted alike; near-dedup keeps one of them; a mix of equal rows takes
+each by itself. Ties: the least id stays, then the least hash of the whole row. Whole texts are used,
+however long; only the last stage cuts, into pieces of ``PIECE`` tokens.
 """
 
 from __future__ import annotations
@@ -12,7 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from causalnet.llm import mixing, nearcopies, packing, pii, quality
 from causalnet.llm.queries import table, tokenizer_path
-from causalnet.llm.shared import durable
+from causalnet.llm.shared import delete, durable, made
+
+#: Tokens of a sequence and of a piece at most; documents and attention cost (squared lengths) of a sequence.
+SEQUENCE, PIECE, DOCUMENTS, COST = 4096, 2048, 64, 1.5 * 2048**2
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +33,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays."""
+    """One document of each group of near copies stays: SimHash and MinHash candidates of a 5-word Jaccard of 0.8 or more."""
     return nearcopies.drop_near_copies(docs)
 
 
@@ -36,9 +48,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its ids and its place in a sequence."""
-    pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), size=4096, end_id=1)
-    return packing.packed(pieces, size=4096).drop("pid")
+    """A row per piece with its ids and its place in a sequence; tokens, documents and attention cost bind."""
+    pieces = packing.token_pieces(docs, tokenizer_path("word_bpe_49k.json"), size=PIECE, end_id=1)
+    return packing.packed(pieces, size=SEQUENCE, max_docs=DOCUMENTS, max_cost=COST, weights=(1.0, 1.0, 1.0), rule="dot").drop("pid")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,5 +68,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        before = len(made)
         docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete(spark, made[before - (name != STAGES[0][0]) : -1])  # the stage's own tables, and its input
     return docs
