@@ -15,7 +15,7 @@ hash, so that any run of ``SURE_WORDS`` equal words holds the same chosen window
   those of the document that is kept (a run whose hashes alone agree goes), and the run grows by the
   equal words beyond them.
 
-So runs of 50 equal words and more are found whole, of 40 to 49 mostly, and shorter passages where they
+So runs of 50 equal words and more are found whole, of 30 to 49 often, and shorter passages where they
 are whole paragraphs. Of each cluster that spans several documents, the occurrences outside the least
 document are to be removed. Lines are told apart by a 64-bit hash of their words.
 
@@ -42,11 +42,12 @@ WIDTH = 5
 SIMILAR = 0.8
 BANDS = 5
 LEAST_WORDS = 20
-WINDOW = 40
+WINDOW = 30
 #: Equal runs of so many words always share a chosen window.
 SURE_WORDS = 50
-#: One sentence end in so many cuts a line into pieces.
-CUT = 6
+#: One sentence end in so many cuts a line of ``LONG`` words or more into pieces.
+CUT = 8
+LONG = 100
 #: Paragraphs, and their bytes, of one band compared in one task; longer runs are dealt out in pairs of chunks.
 RUN = 2000
 RUN_BYTES = 8 << 20
@@ -118,7 +119,7 @@ def pieces(words: list[bytes], h: np.ndarray, breaks: list[int], least: int, cut
     ends = np.array([i + 1 for i, w in enumerate(words) if w[-1] in b".!?"], np.int64)
     ends = ends[mixed(h[ends - 1] * np.uint64(3) + h[np.maximum(ends - 2, 0)]) % np.uint64(cut) == 0]
     for a, b in zip([0, *breaks], [*breaks, n]):
-        inside = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, b)].tolist()
+        inside = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, b)].tolist() if b - a >= LONG else []
         out.add((a, b))
         out.update(zip([a, *inside], [*inside, b]))
     return sorted(p for p in out if p[1] - p[0] >= least)
@@ -153,54 +154,70 @@ def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS, cut: int
     return out
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, t): doc orders null ids first."""
-    i = F.col(id_col).cast("long")
-    t = F.col(text_col).cast("string")
-    return docs.select(F.struct(i.isNotNull().alias("known"), F.coalesce(i, F.lit(0)).alias("id")).alias("doc"), F.xxhash64(t).alias("th"), t.alias("t"))
-
-
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
+    """(id, th, kind, place, h, keys) of every paragraph; th is the text's hash, place its start and end in one long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for k, i, th, t in zip(*(b.column(c).to_pylist() for c in ("known", "id", "th")), b.column("t")):
-                for unit in paragraphs(t.as_py() or "", bands=bands):
-                    for c, v in zip(rows, (k, i, th, *unit)):
+            rows: list[list] = [[] for _ in range(6)]
+            for i, th, t in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("t")):
+                for kind, start, end, h, keys in paragraphs(t.as_py() or "", bands=bands):
+                    for c, v in zip(rows, (i, th, kind, start << 32 | end, h, keys)):
                         c.append(v)
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["known", "id", "th", "kind", "start", "end", "h", "keys"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "th", "kind", "place", "h", "keys"])
+
+    t = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    return src.mapInArrow(run, "id long, th long, kind int, place long, h long, keys array<long>")
+
+
+def start_of(place: Column) -> Column:
+    return F.shiftright(place, 32).cast("int")
 
-    src = keyed(docs, id_col, text_col).select("doc.known", "doc.id", "th", "t")
-    made = src.mapInArrow(run, "known boolean, id long, th long, kind int, start int, end int, h long, keys array<long>")
-    return made.select(F.struct("known", "id").alias("doc"), "th", "kind", "start", "end", "h", "keys")
+
+def end_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def known(df: DataFrame, *names: str) -> DataFrame:
+    """Each nullable id of ``names`` as two columns that joins compare: name_z (null) and name_i."""
+    return df.withColumns({f"{n}_z": F.col(n).isNull() for n in names} | {f"{n}_i": F.coalesce(F.col(n), F.lit(0)) for n in names})
+
+
+def across(by: list[str], rows: DataFrame, *more: Column) -> DataFrame:
+    """Groups that span several documents: by, n, kept (the least id; null ids are one document, the first)."""
+    i = F.col("id")
+    g = rows.groupBy(*by).agg(F.min(i).alias("lo"), F.max(i).alias("hi"), F.max(i.isNull()).alias("z"), F.count(F.lit(1)).alias("n"), *more)
+    several = (F.col("lo") < F.col("hi")) | (F.col("z") & F.col("lo").isNotNull())
+    return g.where(several).withColumn("kept", F.when(~F.col("z"), F.col("lo"))).drop("lo", "hi", "z")
 
 
 def slices(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, beside: int = SURE_WORDS - WINDOW) -> DataFrame:
-    """(doc, th, start, end, left, body, right) of wanted (doc, th, start, end): their text and that of
-    ``beside`` words on both sides."""
-    asked = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # spans of one text
-    src = keyed(docs, id_col, text_col).join(asked, ["doc", "th"]).select("doc.known", "doc.id", "th", "t", "spans")
+    """(id_i, id_z, th, place, left, body, right) of wanted (id, th, place): their text and that of ``beside``
+    words on both sides."""
+    asked = known(wanted, "id").groupBy("id_i", "id_z", "th").agg(F.collect_set("place").alias("places"))  # places of one text
+    t = F.col(text_col).cast("string")
+    src = known(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t")), "id").drop("id").join(asked, ["id_i", "id_z", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            for k, i, th, t, spans in zip(*(b.column(c).to_pylist() for c in ("known", "id", "th")), b.column("t"), b.column("spans")):
+            rows: list[list] = [[] for _ in range(7)]
+            for i, z, th, t, spans in zip(*(b.column(c).to_pylist() for c in ("id_i", "id_z", "th")), b.column("t"), b.column("places").to_pylist()):
                 text = t.as_py() or ""
                 starts, ends, _ = places(text)
-                for s in spans.as_py():
-                    p, q = s["start"], s["end"]
+                for place in spans:
+                    p, q = place >> 32, place & ((1 << 32) - 1)
                     a = int(starts[max(int(np.searchsorted(starts, p)) - beside, 0)])
-                    z = int(ends[min(int(np.searchsorted(ends, q)) + beside, len(ends) - 1)])
-                    for c, v in zip(rows, (k, i, th, p, q, text[a:p], text[p:q], text[q:z])):
+                    e = int(ends[min(int(np.searchsorted(ends, q)) + beside, len(ends) - 1)])
+                    for c, v in zip(rows, (i, z, th, place, text[a:p], text[p:q], text[q:e])):
                         c.append(v)
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["known", "id", "th", "start", "end", "left", "body", "right"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id_i", "id_z", "th", "place", "left", "body", "right"])
 
-    out = src.mapInArrow(run, "known boolean, id long, th long, start int, end int, left string, body string, right string")
-    return out.select(F.struct("known", "id").alias("doc"), "th", "start", "end", "left", "body", "right").dropDuplicates(["doc", "th", "start", "end"])
+    out = src.select("id_i", "id_z", "th", "t", "places").mapInArrow(run, "id_i long, id_z boolean, th long, place long, left string, body string, right string")
+    return out.dropDuplicates(["id_i", "id_z", "th", "place"])
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -278,38 +295,39 @@ def equal_ends(a: str, b: str, last: bool) -> tuple[int, int]:
 
 
 def merged(spans: DataFrame, *first: Column) -> DataFrame:
-    """Spans (doc, th, kept, start, end, ...) of a text that overlap become one; ``first`` are aggregates of each."""
-    order = Window.partitionBy("doc", "th", "kept").orderBy("start", "end")
+    """Spans (id, th, kept, start, end, ...) of a text that overlap become one; ``first`` are aggregates of each."""
+    order = Window.partitionBy("id", "th", "kept").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = (F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")
     islands = spans.withColumn("new", new).withColumn("k", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc", "th", "kept", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first).drop("k")
+    return islands.groupBy("id", "th", "kept", "k").agg(F.min("start").alias("start"), F.max("end").alias("end"), *first).drop("k")
 
 
 def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, ends, wanted) of durable units: runs of equal windows in documents that share them, their
-    first and last windows beside those of the document kept, and the slices needed to compare these."""
-    of = u.where("kind = 1").groupBy("h").agg(F.min("doc").alias("kept"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).where("kept < hi")
-    of = durable(of.select("h", "kept", "n"), "shared-windows")
-    rows = lookup(u.where("kind = 1").select("doc", "th", "start", "end", "h"), of.select("h", "kept"), ["h"], counts=of.select("h", "n"))
-    rows = durable(rows, "window-repeats")
-    at = F.struct("start", "end", "h")
-    runs = durable(merged(rows, F.min(at).alias("head"), F.max(at).alias("tail"), F.min("h").alias("c")).withColumn("run", F.monotonically_increasing_id()), "runs")
-    base = rows.where("doc = kept").groupBy("h").agg(F.min(F.struct("th", "start", "end")).alias("at"))
-    sides = F.explode(F.array(F.struct(F.lit(False).alias("tail"), F.col("head").alias("w")), F.struct(F.lit(True).alias("tail"), F.col("tail").alias("w")))).alias("s")
-    ends = durable(runs.where("doc <> kept").select("run", "doc", "th", "kept", sides).select("run", "doc", "th", "kept", "s.tail", "s.w.start", "s.w.end", "s.w.h"), "run-ends")
-    ends = lookup(ends, base.select("h", F.col("at.th").alias("kth"), F.col("at.start").alias("ks"), F.col("at.end").alias("ke")), ["h"])
-    ends = durable(ends, "run-ends")
-    wanted = ends.select("doc", "th", "start", "end").unionByName(ends.select(F.col("kept").alias("doc"), F.col("kth").alias("th"), F.col("ks").alias("start"), F.col("ke").alias("end")))
+    first and last windows beside those of the document kept, and the places needed to compare these."""
+    windows = u.where("kind = 1").select("h", "id", "th", "place")
+    of = durable(across(["h"], windows), "shared-windows")
+    rows = durable(lookup(windows, of.select("h", "kept"), ["h"], counts=of.select("h", "n")), "window-repeats")
+    # Windows have one number of words, so the one that starts last ends last.
+    at = rows.select("id", "th", "kept", start_of(F.col("place")).alias("start"), end_of(F.col("place")).alias("end"), "place", "h")
+    runs = merged(at, F.min("place").alias("head"), F.max("place").alias("tail"), F.min_by("h", "place").alias("hh"), F.max_by("h", "place").alias("ht"))
+    runs = durable(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
+    base = rows.where(F.col("id").eqNullSafe(F.col("kept"))).groupBy("h").agg(F.min(F.struct("th", "place")).alias("at")).select("h", F.col("at.th").alias("kth"), F.col("at.place").alias("kplace"))
+    sides = F.explode(F.array(F.struct(F.lit(False).alias("tail"), F.col("head").alias("place"), F.col("hh").alias("h")), F.struct(F.lit(True).alias("tail"), F.col("tail").alias("place"), F.col("ht").alias("h")))).alias("s")
+    ends = durable(runs.where(~F.col("id").eqNullSafe(F.col("kept"))).select("run", "id", "th", "kept", sides).select("run", "id", "th", "kept", "s.tail", "s.place", "s.h"), "run-ends")
+    ends = durable(lookup(ends, base, ["h"]), "run-ends")
+    wanted = ends.select("id", "th", "place").unionByName(ends.select(F.col("kept").alias("id"), F.col("kth").alias("th"), F.col("kplace").alias("place")).distinct())
     return runs, ends, wanted
 
 
 def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
-    """(doc, th, kept, start, end, c): the runs, verified at both ends and grown to all equal words there."""
-    mine = ends.join(text, ["doc", "th", "start", "end"])
-    mine = durable(mine.select("run", "tail", "kept", "kth", "ks", "ke", *(F.col(c).alias(f"{c}_") for c in ("left", "body", "right"))), "run-texts")
-    theirs = text.select(F.col("doc").alias("kept"), F.col("th").alias("kth"), F.col("start").alias("ks"), F.col("end").alias("ke"), "left", "body", "right")
-    both = lookup(mine, theirs, ["kept", "kth", "ks", "ke"])
+    """(id, th, kept, start, end, c): the runs, verified at both ends and grown to all equal words there."""
+    mine = known(ends, "id", "kept").join(text, ["id_i", "id_z", "th", "place"])
+    mine = durable(mine.select("run", "tail", "kept_i", "kept_z", "kth", "kplace", *(F.col(c).alias(f"{c}_") for c in ("left", "body", "right"))), "run-texts")
+    theirs = text.select(F.col("id_i").alias("kept_i"), F.col("id_z").alias("kept_z"), F.col("th").alias("kth"), F.col("place").alias("kplace"), "left", "body", "right")
+    both = lookup(mine, theirs, ["kept_i", "kept_z", "kth", "kplace"])
+    keep = ("run", "tail", "kept_i", "kept_z", "kth", "kplace")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,41 +336,43 @@ def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
                 x, y = equal_ends(r_, right, False) if tail else equal_ends(l_, left, True)
                 for c, v in zip(out, (fold(b_) == fold(body), x, y)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("run"), b.column("tail"), *(b.column(c) for c in ("known", "id", "kth", "ks", "ke")), pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["run", "tail", "known", "id", "kth", "ks", "ke", "same", "x", "y"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(out[0], pa.bool_()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], [*keep, "same", "x", "y"])
 
-    src = both.select("run", "tail", "kept.known", "kept.id", "kth", "ks", "ke", "left_", "body_", "right_", "left", "body", "right")
-    found = durable(src.mapInArrow(compare, "run long, tail boolean, known boolean, id long, kth long, ks int, ke int, same boolean, x int, y int"), "compared-ends")
+    src = both.select(*keep, "left_", "body_", "right_", "left", "body", "right")
+    found = durable(src.mapInArrow(compare, "run long, tail boolean, kept_i long, kept_z boolean, kth long, kplace long, same boolean, x int, y int"), "compared-ends")
     more = found.groupBy("run").agg(F.min("same").alias("same"), F.sum(F.when(F.col("tail"), 0).otherwise(F.col("x"))).alias("xl"), F.sum(F.when(F.col("tail"), F.col("x")).otherwise(0)).alias("xr")).where("same")
-    others = runs.where("doc <> kept").join(more, "run").select("doc", "th", "kept", (F.col("start") - F.col("xl")).cast("int").alias("start"), (F.col("end") + F.col("xr")).cast("int").alias("end"), "c")
-    own = found.where("same").groupBy(F.struct("known", "id").alias("doc"), F.col("kth").alias("th"), "ks", "ke").agg(F.max(F.when(~F.col("tail"), F.col("y"))).alias("yl"), F.max(F.when(F.col("tail"), F.col("y"))).alias("yr"))
-    head = own.select("doc", "th", F.col("ks").alias("hs"), F.col("ke").alias("he"), "yl")
-    tail = own.select("doc", "th", F.col("ks").alias("ts"), F.col("ke").alias("te"), "yr")
-    kept = runs.where("doc = kept").select("*", F.col("head.start").alias("hs"), F.col("head.end").alias("he"), F.col("tail.start").alias("ts"), F.col("tail.end").alias("te"))
-    kept = kept.join(head, ["doc", "th", "hs", "he"], "left").join(tail, ["doc", "th", "ts", "te"], "left")
-    kept = kept.select("doc", "th", "kept", (F.col("start") - F.coalesce("yl", F.lit(0))).cast("int").alias("start"), (F.col("end") + F.coalesce("yr", F.lit(0))).cast("int").alias("end"), "c")
+    mine = F.col("id").eqNullSafe(F.col("kept"))
+    others = runs.where(~mine).join(more, "run").select("id", "th", "kept", (F.col("start") - F.col("xl")).cast("int").alias("start"), (F.col("end") + F.col("xr")).cast("int").alias("end"), F.col("hh").alias("c"))
+    own = found.where("same").groupBy("kept_i", "kept_z", "kth", "kplace").agg(F.max(F.when(~F.col("tail"), F.col("y"))).alias("yl"), F.max(F.when(F.col("tail"), F.col("y"))).alias("yr"))
+    own = own.select(F.col("kept_i").alias("id_i"), F.col("kept_z").alias("id_z"), F.col("kth").alias("th"), "kplace", "yl", "yr")
+    kept = known(runs.where(mine), "id")
+    kept = kept.join(own.select("id_i", "id_z", "th", F.col("kplace").alias("head"), "yl"), ["id_i", "id_z", "th", "head"], "left")
+    kept = kept.join(own.select("id_i", "id_z", "th", F.col("kplace").alias("tail"), "yr"), ["id_i", "id_z", "th", "tail"], "left")
+    kept = kept.select("id", "th", "kept", (F.col("start") - F.coalesce("yl", F.lit(0))).cast("int").alias("start"), (F.col("end") + F.coalesce("yr", F.lit(0))).cast("int").alias("end"), F.col("hh").alias("c"))
     return others.unionByName(kept)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, bands: int = BANDS, most: int = RUN) -> DataFrame:
     """Spans (id_col, start, end, cluster_id, kept_id, removed, text_hash), merged where they overlap in a text."""
     u = durable(units(docs, id_col, text_col, bands), "paragraphs")
-    lines = u.where("kind = 0")
-    place = F.struct("doc", "th", "start", "end")
-    reps = durable(lines.groupBy("h").agg(F.min(place).alias("at"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")), "distinct-lines")
-    pairs = reps.select("h", (F.col("at.end") - F.col("at.start")).alias("n"), F.explode(F.array_distinct("keys")).alias("key"))
-    crowd = crowded(pairs, most)
-    asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
+    lines = u.where("kind = 0").drop("kind")
+    reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    reps = durable(reps, "distinct-lines")
+    size = end_of(F.col("at.place")) - start_of(F.col("at.place"))
+    crowd = crowded(reps.select("h", size.alias("n"), F.explode(F.array_distinct("keys")).alias("key")), most)
+    asked = durable(reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*"), "colliding-lines")
     runs, ends, wanted = window_runs(u)
     text = durable(slices(docs, wanted.unionByName(asked.drop("h")), id_col, text_col), "slices")
-    bodies = asked.join(text, ["doc", "th", "start", "end"]).select("h", "body")
+    bodies = known(asked, "id").join(text, ["id_i", "id_z", "th", "place"]).select("h", "body")
     comp = connected_components(verified(crowd, bodies, least)).withColumnRenamed("node", "h")
-    named = durable(reps.select("h", F.col("at.doc").alias("lo"), "hi", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h")), "named-lines")
-    wide = named.groupBy("c").agg(F.min("lo").alias("kept"), F.max("hi").alias("hi")).where("kept < hi").select("c", "kept")
-    of_lines = durable(lookup(named, wide, ["c"]).select("h", "c", "kept", "n"), "repeated-lines")
-    found = lookup(lines.select("doc", "th", "start", "end", "h"), of_lines.select("h", "c", "kept"), ["h"], counts=of_lines.select("h", "n"))
-    spans = merged(found.select("doc", "th", "kept", "start", "end", "c").unionByName(grown(runs, ends, text)), F.min("c").alias("cluster_id"))
-    back = lambda c: F.when(F.col(c)["known"], F.col(c)["id"])
-    return spans.select(back("doc").alias(id_col), "start", "end", "cluster_id", back("kept").alias("kept_id"), (F.col("doc") != F.col("kept")).alias("removed"), F.col("th").alias("text_hash"))
+    named = durable(reps.select("h", "lo", "hi", "z", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h")), "named-lines")
+    wide = named.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("z").alias("z"))
+    wide = wide.where((F.col("lo") < F.col("hi")) | (F.col("z") & F.col("lo").isNotNull())).select("c", F.when(~F.col("z"), F.col("lo")).alias("kept"))
+    of_lines = durable(lookup(named.select("h", "c", "n"), wide, ["c"]), "repeated-lines")
+    found = lookup(lines.select("id", "th", "place", "h"), of_lines.select("h", "c", "kept"), ["h"], counts=of_lines.select("h", "n"))
+    found = found.select("id", "th", "kept", start_of(F.col("place")).alias("start"), end_of(F.col("place")).alias("end"), "c")
+    spans = merged(found.unionByName(grown(runs, ends, text)), F.min("c").alias("cluster_id"))
+    return spans.select(F.col("id").alias(id_col), "start", "end", "cluster_id", F.col("kept").alias("kept_id"), (~F.col("id").eqNullSafe(F.col("kept"))).alias("removed"), F.col("th").alias("text_hash"))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
