@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, join_back, lookup, row_hash, ship
+from causalnet.llm.shared import connected_components, durable, join_back, release, row_hash, ship
 from causalnet.llm.simhash import near_duplicates
-from causalnet.llm.substring import BANDS, SIMILAR, WIDTH, crowded, fold, hashed, minhashes, shingle_hashes, verified
+from causalnet.llm.substring import BANDS, SIMILAR, WIDTH, crowded, fold, hashed, minhashes, packed_set, shingle_hashes, verified
 
 
 def signature(text: str, bands: int = BANDS) -> tuple[int, list[int], int]:
@@ -55,6 +55,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row of each group: the one with the least (id, row hash), ids that are null last."""
     alike = near_duplicates(docs, id_col, text_col, width=WIDTH).select(F.col(id_col).alias("id"), "th", "component")
+    release(docs.sparkSession)
     found = durable(signatures(docs, id_col, text_col), "signatures")
     at = F.struct(F.col("id").isNull().alias("z"), "id", "th")
     reps = durable(found.groupBy("h").agg(F.min(at).alias("k"), F.max("n").alias("n"), F.first("keys").alias("keys")), "distinct-texts")
@@ -66,7 +67,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     crowd = crowded(pairs.where("n > 0"))
     wanted = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", *key(reps, "k.id", "k.th"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i_"), F.col(id_col).isNull().alias("z_"), row_hash(docs).alias("t_"), F.col(text_col).cast("string").alias("body"))
-    bodies = durable(wanted.join(texts, ["i_", "z_", "t_"]).groupBy("h").agg(F.min("body").alias("body")), "bodies")
-    comp = connected_components(verified(crowd, bodies, least)).withColumnRenamed("node", "h")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([packed_set(t.as_py()) for t in b.column("body")], pa.binary())], ["h", "shingles"])
+
+    sets = wanted.join(texts, ["i_", "z_", "t_"]).select("h", "body").mapInArrow(shingled, "h long, shingles binary")
+    sets = durable(sets.groupBy("h").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    release(docs.sparkSession)
+    comp = connected_components(verified(crowd, sets, least)).withColumnRenamed("node", "h")
     first = reps.join(comp, "h", "left").groupBy(F.coalesce("component", "h").alias("c")).agg(F.min("k").alias("k")).select("k.id", "k.th")
     return join_back(docs, first, "left_semi", id_col, once=True)

@@ -8,6 +8,7 @@ recomputation of its own task at most, and later plans see true sizes.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from causalnet.plans.shipping import ship
 
 DIR_KEY = "spark.checkpoint.dir"
-__all__ = ["SPACE", "WORD", "connected_components", "delete", "durable", "first_by_hash", "fresh", "join_back", "lookup", "made", "new_folder", "open_fs", "row_hash", "running", "shared_dir", "ship"]
+__all__ = ["SPACE", "WORD", "connected_components", "delete", "durable", "first_by_hash", "fresh", "join_back", "lookup", "made", "new_folder", "open_fs", "release", "row_hash", "running", "shared_dir", "ship"]
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key is hot that holds more than one in so many of all rows, so there are fewer hot keys than this.
@@ -74,6 +75,15 @@ def delete(spark: SparkSession, uris: Sequence[str]) -> None:
             made.remove(uri)
 
 
+def release(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of queries that have ended, all of whose results are durable
+    by now: Spark does so when the driver's collector finds that nothing refers to them. It holds on to the
+    last job's plan, so an empty job comes first."""
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that ``df`` does not have."""
     have = {c.lower() for c in df.columns}

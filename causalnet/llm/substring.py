@@ -7,15 +7,15 @@ hash, so that any run of ``SURE_WORDS`` equal words holds the same chosen window
 
 * Lines and pieces have a MinHash signature over their 5-word shingles; each of its ``BANDS`` values
   is a band of its own, which misses a pair of similarity 0.8 with probability 0.2^5, or 3 in 10,000.
-  Those that collide are verified by the exact Jaccard similarity of their sets of 64-bit shingle
-  hashes, made anew from their words, and clustered by connected components; of a crowded band a
-  spanning forest is verified, never all pairs written.
+  Those that collide are verified by the exact Jaccard similarity of their sets of shingles (told apart
+  by 48-bit hashes, made anew from their words), and clustered by connected components; of a crowded
+  band a spanning forest is verified, never all pairs written.
 * A window is banded by its whole content, that is, it collides with equal windows only. Windows that
   touch in a document are one run; at both ends of a run the windows are compared word by word with
   those of the document that is kept (a run whose hashes alone agree goes), and the run grows by the
   equal words beyond them.
 
-So runs of 50 equal words and more are found whole, of 30 to 49 often, and shorter passages where they
+So runs of 50 equal words and more are found whole, of 30 to 49 with a chance that grows with length, and shorter passages where they
 are whole paragraphs. Of each cluster that spans several documents, the occurrences outside the least
 document are to be removed. Lines are told apart by a 64-bit hash of their words.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, fresh, lookup, ship
+from causalnet.llm.shared import connected_components, durable, fresh, lookup, release, ship
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -94,6 +94,17 @@ def shingle_hashes(h: np.ndarray) -> np.ndarray:
     return windowed(h, WIDTH) if len(h) >= WIDTH else windowed(h, len(h)) if len(h) else h
 
 
+def packed_set(text: str) -> bytes:
+    """The set of a text's shingles, 6 bytes of hash each."""
+    return np.unique(shingle_hashes(hashed(fold(text))) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
 def minhashes(shingles: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarray:
     """A row for each band: the least hash of the shingles in each [bounds[2i], bounds[2i + 1])."""
     keys = np.empty((bands, len(bounds) // 2), np.int64)
@@ -105,7 +116,7 @@ def minhashes(shingles: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarra
 
 def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends) of the words in code points, and the words before which a line begins."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     space = np.concatenate([[True], (c == 32) | ((c >= 9) & (c <= 13)), [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edge[0::2], edge[1::2]
@@ -116,6 +127,8 @@ def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def pieces(words: list[bytes], h: np.ndarray, breaks: list[int], least: int, cut: int) -> list[tuple[int, int]]:
     """(from, to) of lines and of the pieces into which chosen sentence ends cut them."""
     n, out = len(words), set()
+    if max(b - a for a, b in zip([0, *breaks], [*breaks, n])) < LONG:
+        return [p for p in zip([0, *breaks], [*breaks, n]) if p[1] - p[0] >= least]
     ends = np.array([i + 1 for i, w in enumerate(words) if w[-1] in b".!?"], np.int64)
     ends = ends[mixed(h[ends - 1] * np.uint64(3) + h[np.maximum(ends - 2, 0)]) % np.uint64(cut) == 0]
     for a, b in zip([0, *breaks], [*breaks, n]):
@@ -195,33 +208,48 @@ def across(by: list[str], rows: DataFrame, *more: Column) -> DataFrame:
 
 
 def slices(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, beside: int = SURE_WORDS - WINDOW) -> DataFrame:
-    """(id_i, id_z, th, place, left, body, right) of wanted (id, th, place): their text and that of ``beside``
-    words on both sides."""
-    asked = known(wanted, "id").groupBy("id_i", "id_z", "th").agg(F.collect_set("place").alias("places"))  # places of one text
+    """(id_i, id_z, th, place, h, left, body, right, shingles) of wanted (id, th, place, h): where h is null,
+    their text and that of ``beside`` words on both sides, else their set of shingles. A row that is there
+    twice may be there more often."""
+    asked = known(wanted, "id").groupBy("id_i", "id_z", "th").agg(F.collect_set(F.struct("place", "h")).alias("places"))  # of one text
     t = F.col(text_col).cast("string")
-    src = known(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t")), "id").drop("id").join(asked, ["id_i", "id_z", "th"])
+    src = known(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t")), "id").drop("id")
+    src = src.join(asked.hint("merge"), ["id_i", "id_z", "th"])  # sorted by these, so repeated rows lie together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for i, z, th, t, spans in zip(*(b.column(c).to_pylist() for c in ("id_i", "id_z", "th")), b.column("t"), b.column("places").to_pylist()):
+            rows: list[list] = [[] for _ in range(9)]
+            for i, z, th, t, spans in zip(*(b.column(c).to_pylist() for c in ("id_i", "id_z", "th")), b.column("t"), b.column("places")):
+                if (i, z, th) == last:
+                    continue
+                last = (i, z, th)
                 text = t.as_py() or ""
                 starts, ends, _ = places(text)
-                for place in spans:
+                for m in spans.as_py():
+                    place, left, body, right, shingles = m["place"], None, None, None, None
                     p, q = place >> 32, place & ((1 << 32) - 1)
-                    a = int(starts[max(int(np.searchsorted(starts, p)) - beside, 0)])
-                    e = int(ends[min(int(np.searchsorted(ends, q)) + beside, len(ends) - 1)])
-                    for c, v in zip(rows, (i, z, th, place, text[a:p], text[p:q], text[q:e])):
+                    if m["h"] is not None:
+                        shingles = packed_set(text[p:q])
+                    else:
+                        body = text[p:q]
+                        left = text[int(starts[max(int(np.searchsorted(starts, p)) - beside, 0)]) : p]
+                        right = text[q : int(ends[min(int(np.searchsorted(ends, q)) + beside, len(ends) - 1)])]
+                    for c, v in zip(rows, (i, z, th, place, m["h"], left, body, right, shingles)):
                         c.append(v)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id_i", "id_z", "th", "place", "left", "body", "right"])
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id_i", "id_z", "th", "place", "h", "left", "body", "right", "shingles"])
 
-    out = src.select("id_i", "id_z", "th", "t", "places").mapInArrow(run, "id_i long, id_z boolean, th long, place long, left string, body string, right string")
-    return out.dropDuplicates(["id_i", "id_z", "th", "place"])
+    schema = "id_i long, id_z boolean, th long, place long, h long, left string, body string, right string, shingles binary"
+    return src.select("id_i", "id_z", "th", "t", "places").mapInArrow(run, schema)
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
     """Trees over those whose sets are, by a chain of pairs, at least ``least`` alike."""
+    if len(sets) == 2:
+        a, b = sorted(sets, key=len)
+        both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) >= least * len(b) else 0
+        return [(int(ids[0]), int(ids[1]))] if both >= least * (len(a) + len(b) - both) - 1e-9 else []
     sizes = np.array([len(s) for s in sets])
     values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
     left, out = np.ones(len(sets), bool), []
@@ -248,18 +276,21 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMIL
 
 def crowded(pairs: DataFrame, most: int = RUN) -> DataFrame:
     """Durable (key, h, n, w): those of distinct (key, h, n) whose key has more than one h; n is a size in
-    bytes, w the chunks into which the key's are dealt."""
+    bytes, w the chunks into which the key's are dealt. Of keys that hold the same h, told by two 64-bit
+    sums, one stays."""
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / most), F.ceil(F.sum("n") / RUN_BYTES)).cast("int")
-    width = durable(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), parts.alias("w")).where("c > 1"), "crowded-bands")
+    sums = (F.bit_xor(F.xxhash64("h", F.lit(k))).alias(f"s{k}") for k in (1, 2))
+    width = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("c"), parts.alias("w"), *sums).where("c > 1")
+    width = durable(width.groupBy("c", "s1", "s2").agg(F.min("key").alias("key"), F.max("w").alias("w")).select("key", "c", "w"), "crowded-bands")
     return durable(lookup(pairs, width.select("key", "w"), ["key"], counts=width.select("key", F.col("c").alias("n"))), "crowd")
 
 
-def verified(crowd: DataFrame, bodies: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Durable edges (a, b) between the h of a crowd; ``bodies`` (h, body) has their text."""
+def verified(crowd: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Durable edges (a, b) between the h of a crowd; ``sets`` (h, shingles) has their packed sets."""
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("w")).cast("int").alias("own")
     dealt = crowd.select("key", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), own)
     dealt = dealt.select("key", "h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    full = dealt.join(bodies, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
+    full = dealt.join(sets, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(ids, sets):
@@ -268,17 +299,17 @@ def verified(crowd: DataFrame, bodies: DataFrame, least: float = SIMILAR) -> Dat
 
         now, ids, held = None, [], []
         for b in batches:
-            for key, i, j, h, body in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "h")), b.column("body")):
+            for key, i, j, h, raw in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "h", "shingles"))):
                 if (key, i, j) != now:
                     if len(ids) > 1:
                         yield links(ids, held)
                     now, ids, held = (key, i, j), [], []
                 ids.append(h)
-                held.append(np.unique(shingle_hashes(hashed(fold(body.as_py())))))
+                held.append(unpacked(raw))
         if len(ids) > 1:
             yield links(ids, held)
 
-    return durable(full.select("key", "i", "j", "h", "body").mapInArrow(run, "a long, b long").distinct(), "similar")
+    return durable(full.select("key", "i", "j", "h", "shingles").mapInArrow(run, "a long, b long").distinct(), "similar")
 
 
 def equal_ends(a: str, b: str, last: bool) -> tuple[int, int]:
@@ -309,6 +340,7 @@ def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     windows = u.where("kind = 1").select("h", "id", "th", "place")
     of = durable(across(["h"], windows), "shared-windows")
     rows = durable(lookup(windows, of.select("h", "kept"), ["h"], counts=of.select("h", "n")), "window-repeats")
+    release(u.sparkSession)
     # Windows have one number of words, so the one that starts last ends last.
     at = rows.select("id", "th", "kept", start_of(F.col("place")).alias("start"), end_of(F.col("place")).alias("end"), "place", "h")
     runs = merged(at, F.min("place").alias("head"), F.max("place").alias("tail"), F.min_by("h", "place").alias("hh"), F.max_by("h", "place").alias("ht"))
@@ -318,11 +350,12 @@ def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     ends = durable(runs.where(~F.col("id").eqNullSafe(F.col("kept"))).select("run", "id", "th", "kept", sides).select("run", "id", "th", "kept", "s.tail", "s.place", "s.h"), "run-ends")
     ends = durable(lookup(ends, base, ["h"]), "run-ends")
     wanted = ends.select("id", "th", "place").unionByName(ends.select(F.col("kept").alias("id"), F.col("kth").alias("th"), F.col("kplace").alias("place")).distinct())
-    return runs, ends, wanted
+    return runs, ends, wanted.withColumn("h", F.lit(None).cast("long"))
 
 
 def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
     """(id, th, kept, start, end, c): the runs, verified at both ends and grown to all equal words there."""
+    text = text.where("h is null").drop("h")
     mine = known(ends, "id", "kept").join(text, ["id_i", "id_z", "th", "place"])
     mine = durable(mine.select("run", "tail", "kept_i", "kept_z", "kth", "kplace", *(F.col(c).alias(f"{c}_") for c in ("left", "body", "right"))), "run-texts")
     theirs = text.select(F.col("id_i").alias("kept_i"), F.col("id_z").alias("kept_z"), F.col("th").alias("kth"), F.col("place").alias("kplace"), "left", "body", "right")
@@ -340,7 +373,7 @@ def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
 
     src = both.select(*keep, "left_", "body_", "right_", "left", "body", "right")
     found = durable(src.mapInArrow(compare, "run long, tail boolean, kept_i long, kept_z boolean, kth long, kplace long, same boolean, x int, y int"), "compared-ends")
-    more = found.groupBy("run").agg(F.min("same").alias("same"), F.sum(F.when(F.col("tail"), 0).otherwise(F.col("x"))).alias("xl"), F.sum(F.when(F.col("tail"), F.col("x")).otherwise(0)).alias("xr")).where("same")
+    more = found.groupBy("run").agg(F.min("same").alias("same"), F.max(F.when(~F.col("tail"), F.col("x"))).alias("xl"), F.max(F.when(F.col("tail"), F.col("x"))).alias("xr")).where("same")
     mine = F.col("id").eqNullSafe(F.col("kept"))
     others = runs.where(~mine).join(more, "run").select("id", "th", "kept", (F.col("start") - F.col("xl")).cast("int").alias("start"), (F.col("end") + F.col("xr")).cast("int").alias("end"), F.col("hh").alias("c"))
     own = found.where("same").groupBy("kept_i", "kept_z", "kth", "kplace").agg(F.max(F.when(~F.col("tail"), F.col("y"))).alias("yl"), F.max(F.when(F.col("tail"), F.col("y"))).alias("yr"))
@@ -358,13 +391,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = u.where("kind = 0").drop("kind")
     reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     reps = durable(reps, "distinct-lines")
+    release(docs.sparkSession)
     size = end_of(F.col("at.place")) - start_of(F.col("at.place"))
     crowd = crowded(reps.select("h", size.alias("n"), F.explode(F.array_distinct("keys")).alias("key")), most)
-    asked = durable(reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*"), "colliding-lines")
+    asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
+    release(docs.sparkSession)
     runs, ends, wanted = window_runs(u)
-    text = durable(slices(docs, wanted.unionByName(asked.drop("h")), id_col, text_col), "slices")
-    bodies = known(asked, "id").join(text, ["id_i", "id_z", "th", "place"]).select("h", "body")
-    comp = connected_components(verified(crowd, bodies, least)).withColumnRenamed("node", "h")
+    release(docs.sparkSession)
+    text = durable(slices(docs, wanted.unionByName(asked), id_col, text_col), "slices")
+    release(docs.sparkSession)
+    sets = text.where("h is not null").select("h", "shingles")
+    comp = connected_components(verified(crowd, sets, least)).withColumnRenamed("node", "h")
+    release(docs.sparkSession)
     named = durable(reps.select("h", "lo", "hi", "z", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h")), "named-lines")
     wide = named.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("z").alias("z"))
     wide = wide.where((F.col("lo") < F.col("hi")) | (F.col("z") & F.col("lo").isNotNull())).select("c", F.when(~F.col("z"), F.col("lo")).alias("kept"))
