@@ -1,9 +1,12 @@
 """Information of mixed discrete and continuous variables, from a table of weighted value codes.
 
 A ``Sample`` holds, for each variable, the dense code of every row's value (in value order) and the
-rows' weights; rows with equal codes may be merged. Continuous variables are cut so as to maximise
-information minus complexity, by dynamic programming over at most ``maxbins`` groups of neighbouring
-values, in turn for each variable until the result repeats.
+rows' weights; rows with equal codes may be merged. A continuous variable is cut into bins of
+neighbouring values. What is maximised is information less complexity, where a variable of r bins out
+of m places also pays log C(m - 1, r - 1) for the choice of its cuts. For one variable, the others' bins
+being as they are, ``best_cuts`` finds the best cuts exactly; the variables take turns (coordinate
+ascent), from the best of several equal-frequency starts (of two variables also from the finest), as
+long as the whole gains.
 """
 
 from __future__ import annotations
@@ -85,52 +88,45 @@ def equal_frequency_bins(value_counts: np.ndarray, bins: int) -> np.ndarray:
     return (j + np.minimum.accumulate(raw - j)).astype(np.int64)
 
 
-def best_cuts(target: np.ndarray, joint_factor: np.ndarray, base: np.ndarray, w: np.ndarray, n_values: int, other_levels: int, levels_before: int, maxbins: int, cplx: str) -> np.ndarray:
-    """Bin of each value of the target that maximises sum n ln n over the joint factor less that over
-    the base factor, less the complexity of ``other_levels``."""
+def best_cuts(target: np.ndarray, joint_factor: np.ndarray, base: np.ndarray, w: np.ndarray, n_values: int, other_levels: int, maxbins: int, cplx: str) -> np.ndarray:
+    """Bin of each value of the target that maximises, over all ways to cut its at most ``maxbins`` groups of
+    neighbouring values, the sum over bins of (n ln n over the joint factor, less that over the base
+    factor, less the complexity of ``other_levels`` given the base factor), less the log of the number
+    of ways to place as many cuts.
+
+    best[r, e] is the best sum of r bins that cover the first e groups; origin[r, e] where the last begins.
+    Of values within ``EPSILON`` the least number of bins is taken."""
     group = max(1, math.ceil(n_values / maxbins))
     m = math.ceil(n_values / group)
-    g = target // group
-    n = float(w.sum())
-
-    def cumulated(f: np.ndarray) -> np.ndarray:
-        r = int(f.max(initial=0)) + 1
-        return np.cumsum(np.bincount(g * r + f, weights=w, minlength=m * r).reshape(m, r), axis=0)
-
-    cj, cb = cumulated(joint_factor), cumulated(base)
-    k_bic = 0.5 * (other_levels - 1) * cb.shape[1] * math.log(n)
-    cut_cost = 0.0
-    if cplx == "nml":
-        cut_cost = log_choose(m - 1, levels_before - 1) / (levels_before - 1) if levels_before > 1 else math.nan
-    total = np.full(m, -np.inf)
-    link, before = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    for e in range(m):
-        # Row 0 is the whole interval up to e, row c + 1 the interval after the cut behind group c.
-        dj = cj[e] - np.vstack([np.zeros(cj.shape[1]), cj[:e]])
-        db = cb[e] - np.vstack([np.zeros(cb.shape[1]), cb[:e]])
-        value = nln(dj).sum(axis=1) - nln(db).sum(axis=1)
+    place = target // group
+
+    def upto(f: np.ndarray) -> np.ndarray:
+        """Weights of the first 0, 1, ..., m groups at each level of a factor."""
+        k = int(f.max(initial=0)) + 1
+        return np.vstack([np.zeros(k), np.cumsum(np.bincount(place * k + f, weights=w, minlength=m * k).reshape(m, k), axis=0)])
+
+    together, given = upto(joint_factor), upto(base)
+    worth = np.full((m + 1, m + 1), -np.inf)  # of a bin from group a up to group e
+    for e in range(1, m + 1):
+        inner, outer = together[e] - together[:e], given[e] - given[:e]
         if cplx == "nml":
-            value = value - log_c_array(whole(db), other_levels).sum(axis=1)
+            paid = log_c_array(whole(outer), other_levels).sum(axis=1)
         else:
-            value = value - k_bic * (db > 0).sum(axis=1)
-        total[e] = value[0]
-        for c in range(e):
-            with_cut = total[c] + value[c + 1] - cut_cost
-            if with_cut - total[e] > EPSILON:
-                total[e], before[e] = with_cut, c
-                # The sign tells whether the chain of cuts ends here; it is read one group further on.
-                link[e] = -(c + 1) if link[c + 1] == 0 else c + 1
-    ends = []
-    if link[-1] != 0:
-        at, chain = int(link[-1]), 1
-        while at > 0 and link[at - 1] != 0:
-            chain, at = chain + 1, int(link[at - 1])
-        ends, at = [int(before[-1])], int(link[-1])
-        while at > 0 and len(ends) < chain:
-            ends.append(int(before[at - 1]))
-            at = int(link[at - 1])
-    values = np.arange(n_values) // group
-    return np.searchsorted(np.sort(np.array(ends, np.int64)), values, side="left").astype(np.int64)
+            paid = 0.5 * (other_levels - 1) * math.log(float(w.sum())) * (outer > 0).sum(axis=1)
+        worth[:e, e] = nln(inner).sum(axis=1) - nln(outer).sum(axis=1) - paid
+    best, origin = np.full((m + 1, m + 1), -np.inf), np.zeros((m + 1, m + 1), np.int64)
+    best[0, 0] = 0.0
+    for r in range(1, m + 1):
+        through = best[r - 1][:, None] + worth
+        origin[r], best[r] = through.argmax(axis=0), through.max(axis=0)
+    choice = np.array([log_choose(m - 1, r - 1) for r in range(1, m + 1)]) if cplx == "nml" else np.zeros(m)
+    score = best[1:, m] - choice
+    bins = 1 + int(np.argmax(score > score.max() - EPSILON))
+    starts, e = [], m
+    for r in range(bins, 0, -1):
+        e = int(origin[r, e])
+        starts.append(e)
+    return np.searchsorted(np.sort(np.array(starts)), np.arange(n_values) // group, side="right").astype(np.int64) - 1
 
 
 class Sample:
@@ -158,53 +154,53 @@ class Sample:
         least = min([self.levels[v] for v in vs if self.continuous[v]], default=self.n_rows)
         return range(2, min(self.initbins, 20, least))
 
+    def _result(self, info: float, shifted: float, negative_info: bool, cuts: list) -> Info:
+        if shifted < 0 and not negative_info:
+            info = shifted = 0.0
+        return Info(self.n, float(info), float(info - shifted), cuts)
+
+    def _climb(self, maps: dict, turns: Sequence[int], cut, value) -> tuple[tuple[float, float], list]:
+        """Let the variables of ``turns`` take their best cuts in turn while the value, of (info, shifted), gains.
+
+        ``cut(v, maps)`` gives new bins of v and ``value(maps)`` the whole's; returns the best value seen and
+        the cuts of each round that gained, the start first."""
+        places = lambda: {v: np.flatnonzero(np.diff(maps[v])) for v in maps}
+        best, rounds = value(maps), [places()]
+        for _ in range(MOST_STEPS):
+            for v in turns:
+                maps[v] = cut(v, maps)
+            now = value(maps)
+            if now[1] <= best[1] + EPSILON:
+                break
+            best = now
+            rounds.append(places())
+            if len(turns) < 2:
+                break
+        return best, rounds
+
     def mutual(self, x: int = 0, y: int = 1, negative_info: bool = False) -> Info:
         """I(x;y); of two discrete variables it is not clamped at zero."""
         if self.n <= 2 or self.levels[x] <= 1 or self.levels[y] <= 1:
             return Info(self.n, 0.0, 0.0)
         if not (self.continuous[x] or self.continuous[y]):
             return Info(self.n, *block(self.codes[x], self.codes[y], self.w, self.levels[x], self.levels[y], self.cplx))
-        f = [None, None]
-        r = [0, 0]
-
-        def place(maps: list[np.ndarray]) -> None:
-            for i, v in enumerate((x, y)):
-                f[i] = maps[i][self.codes[v]]
-                r[i] = int(maps[i].max()) + 1
-
-        best, bins = -math.inf, self.initbins
-        for b in self._starts((x, y)):
-            place([self._equal(x, b), self._equal(y, b)])
-            i, k = block(f[0], f[1], self.w, r[0], r[1], self.cplx)
-            if i - k > best:
-                best, bins = i - k, b
-        maps = [self._equal(x, bins), self._equal(y, bins)]
-        place(maps)
-        history, cuts = [], []
-        out = (0.0, 0.0)
-        for _ in range(MOST_STEPS):
-            none = np.zeros(self.n_rows, np.int64)
-            new = list(maps)
-            for i, v in enumerate((x, y)):
-                if self.continuous[v]:
-                    new[i] = best_cuts(self.codes[v], f[1 - i], none, self.w, self.levels[v], r[1 - i], r[i], self.maxbins, self.cplx)
-            maps = new
-            place(maps)
-            cuts.append([np.flatnonzero(np.diff(m)) for m in maps])
-            i, k = block(f[0], f[1], self.w, r[0], r[1], self.cplx)
-            k += self._cut_cost(x, r[0]) + self._cut_cost(y, r[1])
-            history.append((i, i - k))
-            out, same = (i, i - k), [j for j in range(len(history) - 1) if abs(history[j][1] - (i - k)) < EPSILON]
-            if same:
-                cycle = np.array(history[same[-1] : -1])
-                out = tuple(cycle.mean(axis=0))
-                break
-            if not (self.continuous[x] and self.continuous[y]):
-                break
-        info, shifted = out
-        if not negative_info and shifted < 0:
-            info = shifted = 0.0
-        return Info(self.n, float(info), float(info - shifted), cuts)
+        none = np.zeros(self.n_rows, np.int64)
+        size = lambda m: int(m.max()) + 1
+
+        def value(maps: dict) -> tuple[float, float]:
+            i, k = block(maps[x][self.codes[x]], maps[y][self.codes[y]], self.w, size(maps[x]), size(maps[y]), self.cplx)
+            return i, i - k - self._cut_cost(x, size(maps[x])) - self._cut_cost(y, size(maps[y]))
+
+        def cut(v: int, maps: dict) -> np.ndarray:
+            o = y if v == x else x
+            return best_cuts(self.codes[v], maps[o][self.codes[o]], none, self.w, self.levels[v], size(maps[o]), self.maxbins, self.cplx)
+
+        starts = [{v: self._equal(v, b) for v in (x, y)} for b in self._starts((x, y)) or [self.initbins]]
+        turns = [v for v in (x, y) if self.continuous[v]]
+        # From the best coarse start and from the finest: the first may stop at too few bins.
+        climbs = [self._climb(m, turns, cut, value) for m in (max(starts, key=lambda m: value(m)[1]), {v: np.arange(self.levels[v]) // -(-self.levels[v] // self.maxbins) if self.continuous[v] else np.arange(self.levels[v]) for v in (x, y)})]
+        best, rounds = max(climbs, key=lambda c: c[0][1])
+        return self._result(*best, negative_info, [[r[x], r[y]] for r in rounds])
 
     def discrete_conditional(self, x: int, y: int, us: Sequence[int], negative_info: bool = False) -> Info:
         fu = joint([self.codes[u] for u in us], self.n_rows)
@@ -223,7 +219,7 @@ class Sample:
         return Info(self.n, info, k)
 
     def conditional(self, x: int, y: int, us: Sequence[int], negative_info: bool = False) -> Info:
-        """I(x;y|us)."""
+        """I(x;y|us): half of [I(x;y,us) - I(x;us)] + [I(y;x,us) - I(y;us)], each term with its own best cuts of us."""
         us = list(us)
         if not us:
             return self.mutual(x, y, negative_info)
@@ -231,83 +227,43 @@ class Sample:
             return Info(self.n, 0.0, 0.0)
         if not any(self.continuous[v] for v in (x, y, *us)):
             return self.discrete_conditional(x, y, us, negative_info)
-        u_bins = min(30, max(2, int(0.5 + self.n ** (1 / (2 + len(us))))))
-        maps = {v: np.arange(self.levels[v]) for v in (x, y, *us)}
-        factor = lambda v, m=None: (maps if m is None else m)[v][self.codes[v]]
-        size = lambda v, m=None: int((maps if m is None else m)[v].max()) + 1
-        tie = lambda vs, m=None: joint([factor(v, m) for v in vs], self.n_rows)
+        first = min(30, max(2, int(0.5 + self.n ** (1 / (2 + len(us))))))
+        factor = lambda v, m: m[v][self.codes[v]]
+        size = lambda v, m: int(m[v].max()) + 1
+        tie = lambda vs, m: joint([factor(v, m) for v in vs], self.n_rows)
 
-        def given(a: int, rest: list[int], m: dict) -> tuple[float, float]:
+        def gain(a: int, rest: list[int], m: dict) -> tuple[float, float]:
+            """Information of a about the rest, and the same less its complexity given the rest."""
             b = tie(rest, m)
             i, k = block(factor(a, m), b, self.w, size(a, m), int(b.max()) + 1, self.cplx, True)
             return i, i - k
 
-        best, bins = -math.inf, self.initbins
-        for b in self._starts((x, y, *us)):
-            trial = {v: self._equal(v, b) for v in (x, y, *us)}
-            score = given(y, [x, *us], trial)[1] + given(x, [y, *us], trial)[1]
-            if score > best:
-                best, bins = score, b
-        maps |= {v: self._equal(v, bins) for v in (x, y)}
-
-        def cut_u(more: list[int], a: int, saved: dict | None) -> dict:
-            """The us cut for information of ``a`` with (us, more), x and y being as they are."""
-            if saved is not None:
-                return saved
-            m = maps | {u: self._equal(u, u_bins) for u in us}
-            for _ in range(1 if len(us) == 1 else U_SWEEPS):
-                before = dict(m)
+        def fitted(a: int, beside: list[int], m: dict) -> dict:
+            """The bins of us that tell most about a, together with ``beside``, less their complexity."""
+            own = dict(m) | {u: self._equal(u, first) for u in us}
+            for _ in range(U_SWEEPS if len(us) > 1 else 1):
                 for u in us:
                     if self.continuous[u]:
-                        others = [v for v in us if v != u]
-                        m[u] = best_cuts(self.codes[u], tie([*others, *more, a], before), tie([*others, *more], before), self.w, self.levels[u], size(a, before), size(u, before), self.maxbins, self.cplx)
-            return {u: m[u] for u in us}
-
-        history: list = []
-        out, saved_x, saved_y, last, step = (0.0, 0.0), None, None, MOST_STEPS, 0
-        reuse_x = reuse_y = False
-        cuts = []
-        while step < last:
-            keep_x, keep_y = (saved_x if reuse_x else None), (saved_y if reuse_y else None)
-            now = maps | cut_u([x], y, keep_y)
-            i_y_xu, ik_y_xu = given(y, [x, *us], now)
-            ik_y_xu -= self._cut_cost(x, size(x))
-            new_x = maps[x]
-            if self.continuous[x]:
-                new_x = best_cuts(self.codes[x], tie([y, *us], now), tie(us, now), self.w, self.levels[x], size(y), size(x), self.maxbins, self.cplx)
-            now = maps | cut_u([y], x, keep_x)
-            i_x_yu, ik_x_yu = given(x, [y, *us], now)
-            ik_x_yu -= self._cut_cost(y, size(y))
-            new_y = maps[y]
-            if self.continuous[y]:
-                new_y = best_cuts(self.codes[y], tie([x, *us], now), tie(us, now), self.w, self.levels[y], size(x), size(y), self.maxbins, self.cplx)
-            saved_x = cut_u([], x, keep_x)
-            i_x_u, ik_x_u = given(x, us, maps | saved_x)
-            saved_y = cut_u([], y, keep_y)
-            i_y_u, ik_y_u = given(y, us, maps | saved_y)
-            maps |= {x: new_x, y: new_y}
-            cuts.append([np.flatnonzero(np.diff(maps[v])) for v in (x, y)])
-            one, two = i_x_yu - i_x_u, i_y_xu - i_y_u
-            reuse_x, reuse_y = one < TINY or (reuse_x and two < TINY), two < TINY or (reuse_y and one < TINY)
-            step += 1
-            if reuse_x or reuse_y:
-                single = size(x) == 1 or size(y) == 1
-                if single and step < last:
-                    last = step + 1
-                if not single:
-                    history.append((0.0, 0.0))
-                    continue
-            i, ik = 0.5 * (one + two), 0.5 * (ik_x_yu - ik_x_u + ik_y_xu - ik_y_u)
-            history.append((i, ik))
-            same = [j for j in range(len(history) - 1) if abs(history[j][1] - ik) < EPSILON]
-            if same:
-                out = tuple(np.array(history[same[-1] : -1]).mean(axis=0))
-                break
-            out = (i, ik)
-        info, shifted = out
-        if not negative_info and shifted < 0:
-            info = shifted = 0.0
-        return Info(self.n, float(info), float(info - shifted), cuts)
+                        rest = [*(v for v in us if v != u), *beside]
+                        own[u] = best_cuts(self.codes[u], tie([*rest, a], own), tie(rest, own), self.w, self.levels[u], size(a, own), self.maxbins, self.cplx)
+            return own
+
+        def value(m: dict) -> tuple[float, float]:
+            total = np.zeros(2)
+            for a, o in ((x, y), (y, x)):
+                with_o, alone = gain(a, [o, *us], fitted(a, [o], m)), gain(a, us, fitted(a, [], m))
+                total += np.array(with_o) - np.array(alone) - np.array([0.0, self._cut_cost(o, size(o, m))])
+            return tuple(0.5 * total)
+
+        def cut(v: int, m: dict) -> np.ndarray:
+            o = y if v == x else x
+            own = fitted(o, [v], m)
+            return best_cuts(self.codes[v], tie([o, *us], own), tie(us, own), self.w, self.levels[v], size(o, own), self.maxbins, self.cplx)
+
+        starts = [{v: self._equal(v, b) for v in (x, y, *us)} for b in self._starts((x, y, *us)) or [self.initbins]]
+        begin = max(starts, key=lambda m: gain(y, [x, *us], m)[1] + gain(x, [y, *us], m)[1])
+        best, rounds = self._climb({v: begin[v] for v in (x, y)} | {u: self._equal(u, first) for u in us}, [v for v in (x, y) if self.continuous[v]], cut, value)
+        return self._result(*best, negative_info, [[r[x], r[y]] for r in rounds])
 
     def three_point(self, x: int, y: int, z: int, us: Sequence[int] = ()) -> dict[str, float]:
         """i3, k3, i2, k2 and the score of z as a contributor to (x, y)."""

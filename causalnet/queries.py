@@ -202,34 +202,41 @@ def _mi_bins(spark, d):
 
 # Continuous and mixed information: iterative, so tests hold them against brute force
 
+def noisy_sizes(spark, d) -> DataFrame:
+    """Sizes of parts, a noisy copy of them, and the class that both depend on."""
+    p = table(spark, d, "part")
+    return p.select("p_size", (F.col("p_size") + F.col("p_partkey") % 9).cast("double").alias("noisy"), F.when(F.col("p_size") > 25, "large").otherwise("small").alias("class"))
+
+
 @query("mi_continuous")
 def _mi_cont(spark, d):
-    return r6(standalone.mutual_information(table(spark, d, "part"), "p_size", "p_retailprice"))
+    return r6(standalone.mutual_information(noisy_sizes(spark, d), "p_size", "noisy"))
 
 
 @query("mi_mixed")
 def _mi_mixed(spark, d):
-    return r6(standalone.mutual_information(table(spark, d, "part"), "p_type", "p_retailprice"))
+    return r6(standalone.mutual_information(noisy_sizes(spark, d), "class", "noisy"))
 
 
 @query("cmi_continuous")
 def _cmi_cont(spark, d):
-    return r6(standalone.mutual_information(table(spark, d, "part"), "p_size", "p_retailprice", ["p_type"]))
+    return r6(standalone.mutual_information(noisy_sizes(spark, d), "p_size", "noisy", ["class"]))
 
 
 @query("three_point_mixed")
 def _three_mixed(spark, d):
-    return r6(standalone.three_point_information(table(spark, d, "part"), "p_size", "p_retailprice", "p_type"))
+    return r6(standalone.three_point_information(noisy_sizes(spark, d), "p_size", "noisy", "class"))
 
 
 @query("discretize_mutual_cutpoints")
 def _cutpoints(spark, d):
-    return r6(standalone.discretise_mutual(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"))
+    line = table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") * 3 + F.col("l_orderkey") % 11).alias("noisy"))
+    return r6(standalone.discretise_mutual(line, "l_quantity", "noisy"))
 
 
 @query("discretize_mdl")
 def _mdl(spark, d):
-    return r6(standalone.discretise_mdl(table(spark, d, "supplier"), "s_acctbal"))
+    return r6(standalone.discretise_mdl(table(spark, d, "supplier").select((F.col("s_acctbal") + F.col("s_suppkey") % 2 * 100_000).alias("two")), "two"))
 
 
 @query("bin_density", "SELECT (CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END)::INTEGER AS bin_x, (CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END)::INTEGER AS bin_y, count(*) AS n, round(count(*) / sum(count(*)) OVER () / (25.0 * CASE WHEN l_tax > 0.04 THEN 0.06 ELSE 0.04 END), 6) AS density FROM (SELECT l_quantity, l_tax, l_tax > 0.04 AS hi FROM lineitem WHERE l_quantity IS NOT NULL AND l_tax > 0) GROUP BY 1, 2, l_tax > 0.04")

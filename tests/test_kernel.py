@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -44,22 +45,55 @@ def test_equal_frequency(counts, bins):
     assert got.tolist() == want
 
 
-def test_cuts_against_all_partitions():
-    rng = np.random.default_rng(0)
-    target = np.repeat(np.arange(6), 40)
-    other = ((target >= 3) ^ (rng.random(240) < 0.1)).astype(int)
-    w = np.ones(240)
-    got = best_cuts(target, other, np.zeros(240, int), w, 6, 2, 3, 50, "nml")
-    assert got.tolist() == [0, 0, 0, 1, 1, 1]
-
-    def value(cut):
-        total = 0.0
-        for a, b in zip([0, *cut], [*cut, 6]):
-            c = np.bincount(other[(target >= a) & (target < b)], minlength=2)
-            total += nln(c.astype(float)).sum() - c.sum() * math.log(c.sum()) - log_c(int(c.sum()), 2)
-        return total
-
-    assert all(value((3,)) >= value(c) for c in [(), (1,), (2,), (4,), (5,)])
+def objective(cut, target, other, base, levels, m):
+    """The sum that best_cuts maximises, for bins that begin at 0 and at ``cut``, by plain counting."""
+    total = -(math.lgamma(m) - math.lgamma(len(cut) + 1) - math.lgamma(m - len(cut)))
+    for a, b in zip([0, *cut], [*cut, m]):
+        rows = (target >= a) & (target < b)
+        for v in set(base[rows].tolist()):
+            own = rows & (base == v)
+            n = int(own.sum())
+            total -= n * math.log(n) + log_c(n, levels)
+            for o in set(other[own].tolist()):
+                k = int((own & (other == o)).sum())
+                total += k * math.log(k)
+    return total
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_cuts_against_all_partitions(seed):
+    rng = np.random.default_rng(seed)
+    m, levels = int(rng.integers(2, 9)), int(rng.integers(2, 4))
+    target = rng.integers(0, m, 240)
+    target[:m] = np.arange(m)
+    other = np.where(rng.random(240) < 0.6, (target * levels) // m, rng.integers(0, levels, 240))
+    base = rng.integers(0, 2, 240) if seed % 2 else np.zeros(240, int)
+    got = best_cuts(target, base * levels + other, base, np.ones(240), m, levels, 50, "nml")
+    cuts = [c for k in range(m) for c in itertools.combinations(range(1, m), k)]
+    top = max(objective(c, target, other, base, levels, m) for c in cuts)
+    mine = tuple(np.flatnonzero(np.diff(got)) + 1)
+    assert objective(mine, target, other, base, levels, m) > top - 1e-4 and got[0] == 0
+
+
+def test_mutual_against_all_pairs_of_partitions():
+    rng = np.random.default_rng(7)
+    for _ in range(6):
+        x = rng.integers(0, 6, 300)
+        y = np.clip(np.where(rng.random(300) < 0.7, 5 - x if rng.random() < 0.5 else x, rng.integers(0, 6, 300)), 0, 5)
+        s = Sample([x, y], [True, True])
+
+        def bins(c):
+            return np.searchsorted(np.array(c), np.arange(6), side="right")
+
+        best = -np.inf
+        cuts = [c for k in range(6) for c in itertools.combinations(range(1, 6), k)]
+        for a in cuts:
+            for b in cuts:
+                i, k = block(bins(a)[x], bins(b)[y], s.w, len(a) + 1, len(b) + 1, "nml")
+                cost = sum(math.log(math.comb(5, len(c))) if 0 < len(c) < 5 else 0.0 for c in (a, b))
+                best = max(best, i - k - cost)
+        got = s.mutual().shifted
+        assert got <= best + 1e-6 and got > 0.9 * best, (got, best)
 
 
 def test_symmetry_and_weights():
