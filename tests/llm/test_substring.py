@@ -79,4 +79,6 @@ def test_awkward_rows(spark):
     cut = substring.without_repeats(d, got)
     assert cut.columns == d.columns
     left = sorted(((x["doc_id"], x["text"]) for x in cut.collect()), key=repr)
-    assert left == sorted([(i, t if t is None or i is None else t.replace(p, "")) for i, t in rows], key=repr)
+    # With one word more the line is still a near copy, so it goes whole.
+    want = [(i, t if t is None or i is None else "" if t == p + " tail" else t.replace(p, "")) for i, t in rows]
+    assert left == sorted(want, key=repr)
