@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import WORD, durable, lookup, row_hash, running
+from causalnet.llm.shared import WORD, durable, lookup, release, row_hash, running
 
 #: What orders the copies of documents: finish time, then what settles ties.
 QUEUE = ("f", "turn", "s", "e", "rh")
@@ -47,15 +47,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, c
     return named.select("source", (F.col("n") - 1).cast("int").alias("s"), F.col("size").alias("source_size"), target.alias("target"), (F.col("upto") - F.col("size")).alias("before"))
 
 
-def flows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], budget: float, cap: int, seed: int, carry: bool) -> tuple[DataFrame, Column]:
-    """(table, takes): a durable row for each document with the end of its flow up to it, and the array of
-    (finish, epoch) at which the mix takes it. ``carry`` keeps the document's own columns in ``row``."""
+def flows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], budget: float, cap: int, seed: int) -> tuple[DataFrame, Column]:
+    """(table, takes): a durable row for each document with the end of its flow up to it and its ``row_hash``
+    rh, and the array of (finish, epoch) at which the mix takes it."""
     text, ident = F.col(text_col).cast("string"), F.col(id_col)
-    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     sized = durable(
         docs.select(
             ident.alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("turn"), row_hash(docs).alias("rh"), *own,
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(ident.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))).alias("turn"), row_hash(docs).alias("rh"),
+            F.col(source_col).isNull().alias("z"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("k"),
         ),
         "sizes",
     )
@@ -64,7 +64,7 @@ def flows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
     targets = durable(source_targets(sums.select("source", "size"), weights, total, cap), "targets")
     key = lambda d: d.withColumn("z", F.col("source").isNull()).withColumn("k", F.coalesce("source", F.lit("")))
     counts = key(sums).select("z", "k", "n")
-    dealt = lookup(durable(key(sized), "named-sizes") if not carry else key(sized), key(targets).drop("source"), ["z", "k"], counts=counts).drop("z", "k")
+    dealt = lookup(sized, key(targets).drop("source"), ["z", "k"], counts=counts).drop("z", "k")
     placed = running(dealt, ["s", "turn", "rh"], {"all": "size"}, "flows").withColumn("upto", F.col("all") - F.col("before")).drop("all", "before")
     placed = durable(placed, "flows")
 
@@ -84,17 +84,23 @@ def flows(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, seed: int = 42) -> DataFrame:
     """(id, source, size, source_size, target, finish, epochs) of every row: epochs is how often it is
     taken, finish its first virtual finish time (null where it has none)."""
-    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed, False)
+    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed)
     finish = F.when((F.col("target") > 0) & (F.col("size") > 0), F.col("upto") / F.col("target"))
     return placed.select("id", "source", "size", "source_size", "target", finish.alias("finish"), F.size(takes).alias("epochs"))
 
 
 def queued(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, cap: int = 2, seed: int = 42) -> DataFrame:
     """(finish, epoch, row): a row for each time that the mix takes a document, range-sorted by finish time."""
-    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed, True)
-    taken = placed.withColumn("x", F.explode(takes)).select(F.col("x.f").alias("finish"), F.col("x.e").alias("epoch"), "turn", "s", "rh", "row")
-    order = ("finish", "turn", "s", "epoch", "rh")
-    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select("finish", "epoch", "row")
+    placed, takes = flows(docs, id_col, text_col, source_col, weights, budget, cap, seed)
+    i, no, rh = keys = ["id_", "no_", "rh_"]
+    name = lambda c: (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(i), F.col(c).isNull().alias(no))
+    taken = placed.withColumn("x", F.explode(takes)).select(*name("id"), F.col("rh").alias(rh), F.col("x.f").alias("finish"), F.col("x.e").alias("epoch"), "turn", "s")
+    release(docs.sparkSession)
+    # Rows equal in all columns are one row of this table, and meet the takes of all of them.
+    own = docs.select(*name(id_col), row_hash(docs).alias(rh), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).dropDuplicates(keys)
+    out = lookup(durable(taken, "takes"), own, keys)
+    order = ("finish", "turn", "s", "epoch", rh)
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select("finish", "epoch", "row")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
