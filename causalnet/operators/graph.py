@@ -158,6 +158,16 @@ def average_probability(history: DataFrame) -> DataFrame:
     return history.groupBy("x", "y").agg(F.avg(F.when(F.col("p") != -1, F.col("p"))).alias("p"))
 
 
+def consensus_orientation(edges: DataFrame, ratio: float = 1.0) -> DataFrame:
+    """Adds ort_consensus and is_causal_consensus from p_y2x and p_x2y, the average probabilities of a head at
+    x and at y; 1 where neither is sure. An unknown probability is never sure."""
+    sure = lambda p: F.coalesce((F.col(p) > 0) & (1 - F.col(p) < ratio * F.col(p)), F.lit(False))
+    tail = lambda p: F.coalesce((F.col(p) < 1) & (F.col(p) < ratio * (1 - F.col(p))), F.lit(False))
+    x, y = sure("p_y2x"), sure("p_x2y")
+    code = F.when(x & y, 6).when(y, 2).when(x, -2).otherwise(1)
+    return edges.withColumn("ort_consensus", code).withColumn("is_causal_consensus", (~x & y & tail("p_y2x")) | (x & ~y & tail("p_x2y")))
+
+
 def truth_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: tp, fp, fn, precision, recall, fscore, of pairs without direction."""
     key = lambda d: d.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

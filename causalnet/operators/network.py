@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from causalnet.operators import graph
 from causalnet.operators.orientation import propagate
-from causalnet.plans.requests import Engine
-from causalnet.sources.observations import Options, Variable, check_observations, variables
+from causalnet.plans.requests import Engine, amounts
+from causalnet.sources.observations import Options, Variable, check_observations, usable_weights, variables
 
 EDGES = (
     "x string, y string, n double, info double, cplx double, info_cond double, cplx_cond double, info_shifted double, ai array<string>, contributions array<double>, "
@@ -264,9 +264,14 @@ class Reconstruction:
         return self.engine.spark.createDataFrame(rows, "source1 string, p1 double, p2 double, target string, p3 double, p4 double, source2 string, ni3 double, conflict boolean")
 
     def history_table(self) -> DataFrame:
+        """Every pair in every iteration of the cycle, its names in alphabetic order."""
         n = [k.name for k in self.engine.variables]
-        rows = [(n[x], n[y], i, code) for i, h in enumerate(self.history) for (x, y), (code, _) in h.items()]
-        return self.engine.spark.createDataFrame(rows, "x string, y string, iteration int, adj int")
+        rows = []
+        for i, h in enumerate(self.history):
+            for (x, y), (code, p) in h.items():
+                a, b = sorted((x, y), key=lambda k: n[k])
+                rows.append((n[a], n[b], i, code if a == x else {2: -2, -2: 2}.get(code, code), p.get(a), p.get(b)))
+        return self.engine.spark.createDataFrame(rows, "x string, y string, iteration int, adj int, p_y2x double, p_x2y double")
 
 
 def permutation_means(engine: Engine, pairs: Sequence[tuple[int, int]], n_shuffles: int, seed: int = 42) -> dict[tuple[int, int], float]:
@@ -289,7 +294,9 @@ def permutation_means(engine: Engine, pairs: Sequence[tuple[int, int]], n_shuffl
         xs = sorted({x for x, _ in pairs})
         m = base.join(moved.select("b", "at", *(F.col(f"v{x}").alias(f"x{x}") for x in xs)), ["b", "at"])
         req = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"x{x}").alias("x"), F.col(f"v{y}").alias("y")) for k, (x, y) in enumerate(pairs)))
-        cells.append(m.select(F.explode(req).alias("r")).select("r.*").where("x is not null and y is not null").groupBy("k", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")).withColumn("s", F.lit(s)))
+        own = ["w_"] if engine.weighted else []  # the weight stays with y
+        each = m.select(F.explode(req).alias("r"), *own).select("r.*", *own).where("x is not null and y is not null")
+        cells.append(each.groupBy("k", "x", "y").agg(*amounts(engine.weighted)).where("w > 0").withColumn("s", F.lit(s)))
     whole = cells[0]
     for c in cells[1:]:
         whole = whole.unionByName(c)
@@ -321,10 +328,19 @@ class Result:
 
 
 def reconstruct(df: DataFrame, metadata: Iterable[Variable | dict] = (), black_box: Iterable[tuple[str, str]] = (), true_edges: DataFrame | None = None, age: dict[str, int] | None = None, **options) -> Result:
-    """The network of a table's columns."""
+    """The network of a table's columns; the one that ``sample_weights`` names, if any, weighs the rows instead."""
     o = Options(**options)
-    df = check_observations(df, drop_rows=o.mode == "S")
-    found = variables(df, metadata)
+    if o.sample_weights is not None:
+        w, values = o.sample_weights, df.drop(o.sample_weights)
+        if usable_weights(df, w):
+            names = check_observations(values, drop_rows=False).columns
+            df = df.select(*names, w).dropna(how="all", subset=names) if o.mode == "S" else df.select(*names, w)
+        else:
+            o = replace(o, sample_weights=None)
+            df = check_observations(values, drop_rows=o.mode == "S")
+    else:
+        df = check_observations(df, drop_rows=o.mode == "S")
+    found = variables(df.drop(o.sample_weights) if o.sample_weights else df, metadata)
     at = {v.name: i for i, v in enumerate(found)}
     engine = Engine(df, found, o)
     try:

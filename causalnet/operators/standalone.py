@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.functions.kernel import Sample, histogram_cuts
-from causalnet.plans.requests import ATOMS, encoded
+from causalnet.plans.requests import ATOMS, amounts, encoded
 from causalnet.plans.shipping import ship
-from causalnet.sources.observations import Variable, numeric_columns
+from causalnet.sources.observations import Variable, numeric_columns, usable_weights
 
 
-def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None, atoms: int | None = ATOMS) -> tuple[DataFrame, list[bool]]:
-    """(v0, v1, ..., w): weighted counts of code tuples over complete rows."""
+def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None, atoms: int | None = ATOMS, weights: str | None = None) -> tuple[DataFrame, list[bool]]:
+    """(v0, v1, ..., w, m): weights and rows of code tuples over complete rows."""
     ship(df.sparkSession)
     numbers = set(numeric_columns(df))
     kinds = [c in numbers for c in columns] if continuous is None else list(continuous)
     whole = df.dropna(subset=list(columns))
     found = [Variable(c, k) for c, k in zip(columns, kinds)]
-    codes, _ = encoded(whole.select(*columns), found, atoms)
-    return codes.groupBy(*codes.columns).agg(F.count(F.lit(1)).cast("double").alias("w")), kinds
+    weights = weights if usable_weights(df, weights) else None
+    codes, _ = encoded(whole, found, atoms, weights)
+    return codes.groupBy(*(f"v{i}" for i in range(len(columns)))).agg(*amounts(weights is not None)).where("w > 0"), kinds
 
 
 def _kernel(cells: DataFrame, kinds: list[bool], cplx: str, n_eff: float | None, maxbins: int | None, use, schema: str) -> DataFrame:
@@ -32,19 +33,22 @@ def _kernel(cells: DataFrame, kinds: list[bool], cplx: str, n_eff: float | None,
         import pandas as pd
 
         w = pdf["w"].to_numpy()
-        n = int(w.sum())
+        n = int(pdf["m"].sum())
         if n < 3:
             raise ValueError("fewer than 3 complete rows")
         start = min(30, round(n ** (1 / 3)))
-        s = Sample([pdf[f"v{i}"].to_numpy() for i in range(d)], kinds, w * ((n_eff or n) / n), cplx, min(n, maxbins or min(5 * start, 50)), start, n)
+        s = Sample([pdf[f"v{i}"].to_numpy() for i in range(d)], kinds, w * (n_eff / n if n_eff else 1.0), cplx, min(n, maxbins or min(5 * start, 50)), start, n)
         return pd.DataFrame([use(s)])
 
     return cells.withColumn("one_", F.lit(1)).groupBy("one_").applyInPandas(run, schema)
 
 
-def mutual_information(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, maxbins: int | None = None, continuous: Sequence[bool] | None = None) -> DataFrame:
-    """One row: n, info, infok (shifted), n_iterations; in nats times samples."""
-    cells, kinds = _counts(df, [x, y, *given], continuous)
+def mutual_information(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, maxbins: int | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
+    """One row: n, info, infok (shifted), n_iterations; in nats times samples.
+
+    A column of ``sample_weights`` (0 to 1) weighs the rows, and ``n_eff`` then counts for nothing."""
+    cells, kinds = _counts(df, [x, y, *given], continuous, weights=sample_weights)
+    n_eff = None if sample_weights else n_eff
 
     def use(s: Sample) -> dict:
         r = s.conditional(0, 1, range(2, len(kinds)))
@@ -53,9 +57,10 @@ def mutual_information(df: DataFrame, x: str, y: str, given: Sequence[str] = (),
     return _kernel(cells, kinds, cplx, n_eff, maxbins, use, "n double, info double, infok double, n_iterations int")
 
 
-def three_point_information(df: DataFrame, x: str, y: str, z: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, continuous: Sequence[bool] | None = None) -> DataFrame:
+def three_point_information(df: DataFrame, x: str, y: str, z: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
     """One row: n, i3, i3k, i2, i2k, score."""
-    cells, kinds = _counts(df, [x, y, z, *given], continuous)
+    cells, kinds = _counts(df, [x, y, z, *given], continuous, weights=sample_weights)
+    n_eff = None if sample_weights else n_eff
 
     def use(s: Sample) -> dict:
         r = s.three_point(0, 1, 2, range(3, len(kinds)))
@@ -64,7 +69,7 @@ def three_point_information(df: DataFrame, x: str, y: str, z: str, given: Sequen
     return _kernel(cells, kinds, cplx, n_eff, None, use, "n double, i3 double, i3k double, i2 double, i2k double, score double")
 
 
-def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", maxbins: int | None = None, continuous: Sequence[bool] | None = None) -> DataFrame:
+def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", maxbins: int | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
     """(iteration, variable, cut): the cut points of x and y at each iteration, midpoints of neighbouring values.
 
     Values are never merged: the kernel groups and the cuts are looked up by rank among all distinct values."""
@@ -72,13 +77,13 @@ def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (),
     kinds = [c in numbers for c in (x, y, *given)] if continuous is None else list(continuous)
     if not (kinds[0] or kinds[1]):
         raise ValueError("at least one of the two variables must be continuous")
-    cells, kinds = _counts(df, [x, y, *given], continuous, None)
+    cells, kinds = _counts(df, [x, y, *given], continuous, None, sample_weights)
 
     def run(pdf):
         import pandas as pd
 
         w = pdf["w"].to_numpy()
-        n = int(w.sum())
+        n = int(pdf["m"].sum())
         start = min(30, round(n ** (1 / 3)))
         s = Sample([pdf[f"v{i}"].to_numpy() for i in range(len(kinds))], kinds, w, cplx, min(n, maxbins or min(5 * start, 50)), start, n)
         got = s.conditional(0, 1, range(2, len(kinds)))

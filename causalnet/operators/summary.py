@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.operators.graph import edge_statistics
+from causalnet.operators.graph import consensus_orientation, edge_statistics
 from causalnet.sources.observations import Options, Variable, numeric_columns
 
 
@@ -42,9 +42,29 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
 
 
 def partial_spearman(df: DataFrame, x: str, y: str, given: Sequence[str] = ()) -> float:
-    p = np.linalg.pinv(correlation_matrix(df, [x, y, *given]))
+    return partial_of(correlation_matrix(df, [x, y, *given]))
+
+
+def partial_of(m: np.ndarray) -> float:
+    """The correlation of the first two variables given the others, from all their correlations."""
+    if len(m) == 2:
+        return float(m[0, 1])
+    p = np.linalg.pinv(m)
     scale = np.sqrt(p[0, 0] * p[1, 1])
-    return float(-p[0, 1] / scale) if given and scale > 0 else float(correlation_matrix(df, [x, y])[0, 1]) if not given else 0.0
+    return float(-p[0, 1] / scale) if scale > 0 else 0.0
+
+
+def partial_correlations(df: DataFrame, edges: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], float]:
+    """Of each (x, y, conditions...). Columns without gaps share one matrix; an edge with a gap somewhere has its own complete rows."""
+    names = sorted({c for e in edges for c in e})
+    if not names:
+        return {}
+    gaps = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names))).collect()[0]
+    full = [c for i, c in enumerate(names) if gaps[f"g{i}"] == 0]
+    at = {c: i for i, c in enumerate(full)}
+    m = correlation_matrix(df, full) if any(set(e) <= at.keys() for e in edges) else None
+    pick = lambda e: [at[c] for c in e]
+    return {e: partial_of(m[np.ix_(pick(e), pick(e))]) if set(e) <= at.keys() else partial_spearman(df, e[0], e[1], e[2:]) for e in edges}
 
 
 def as_numbers(df: DataFrame, found: Sequence[Variable]) -> tuple[DataFrame, set[str]]:
@@ -66,33 +86,54 @@ SUMMARY = (
 
 
 def summarise(df: DataFrame, edges: DataFrame, found: Sequence[Variable], o: Options, history: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
-    """A row for each kept edge, and for each removed one that has contributors; strongest first."""
-    rows = edges.where("connected or size(ai) > 0").collect()  # bounded by the number of pairs
+    """A row for each kept edge, for each removed one that has contributors, and for each true one; strongest first.
+
+    ``truth`` has an edge a row, from its first to its second column. Over a cycle of several graphs the
+    probabilities are averages, and the consensus follows from them; of one graph there is no consensus."""
+    real = {}
+    for r in truth.collect() if truth is not None else ():
+        real[r[0], r[1]], real[r[1], r[0]] = 2, -2
+    wanted = F.col("connected") | (F.size("ai") > 0)
+    if real:
+        pairs = df.sparkSession.createDataFrame(sorted({tuple(sorted(p)) for p in real}), "x string, y string")
+        rows = edges.where(wanted).unionByName(edges.where(~wanted).join(F.broadcast(pairs), ["x", "y"], "left_semi").select(*edges.columns))
+    else:
+        rows = edges.where(wanted)
+    rows = rows.collect()  # bounded by the number of pairs
     data, numbers = as_numbers(df, found)
-    real = {tuple(sorted((r[0], r[1]))) for r in truth.collect()} if truth is not None else None
-    stats = {(r["x"], r["y"]): r for r in edge_statistics(history, o.consensus_threshold).collect()} if history is not None and o.consistent != "no" else {}
+    stats = {}
+    if history is not None and o.consistent != "no" and history.agg(F.max("iteration")).collect()[0][0]:
+        average = history.groupBy("x", "y").agg(F.avg("p_y2x").alias("p_y2x"), F.avg("p_x2y").alias("p_x2y"))
+        both = consensus_orientation(edge_statistics(history, o.consensus_threshold).join(average, ["x", "y"]), o.ort_consensus_ratio)
+        stats = {(r["x"], r["y"]): r for r in both.collect()}
+    deducible = o.latent != "no" and not o.propagation
+    partials = partial_correlations(data, [(r["x"], r["y"], *r["ai"]) for r in rows if r["connected"] and {r["x"], r["y"], *r["ai"]} <= numbers])
     out = []
 
     def ratio(a: float, b: float) -> float:
         return a / b if b > 0 else float("inf")
 
     for r in rows:
-        x, y, ai = r["x"], r["y"], list(r["ai"])
+        x, y, ai, code = r["x"], r["y"], list(r["ai"]), r["ort_inferred"]
         kind = "P" if r["connected"] else "N"
-        if real is not None:
+        if truth is not None:
             kind = {("P", True): "TP", ("P", False): "FP", ("N", True): "FN", ("N", False): "TN"}[(kind, (x, y) in real)]
-        causal = None
-        if o.latent != "no" and not o.propagation:
-            p, q, code = r["p_x2y"], r["p_y2x"], r["ort_inferred"]
+        right = real.get((x, y), 0) if truth is not None else None
+        s = stats.get((x, y))
+        p, q = (s["p_x2y"], s["p_y2x"]) if s else (r["p_x2y"], r["p_y2x"])
+        consensus = sure = causal = None
+        if s:
+            consensus = s["ort_consensus"] if s["connected"] else 0
+            if deducible:
+                sure = s["is_causal_consensus"] if s["connected"] else None
+                causal = bool(sure) and code == consensus if code else None
+        elif deducible and code:
             head, tail = (p, q) if code == 2 else (q, p)
             causal = code in (2, -2) and ratio(1 - head, head) < o.ort_consensus_ratio and ratio(tail, 1 - tail) < o.ort_consensus_ratio
-        sign = partial = None
-        if r["connected"] and {x, y, *ai} <= numbers:
-            partial = partial_spearman(data, x, y, ai)
-            sign = "+" if partial >= 0 else "-"
-        s = stats.get((x, y)) or stats.get((y, x))
+        partial = partials.get((x, y, *ai)) if r["connected"] else None
+        sign = None if partial is None else "+" if partial >= 0 else "-"
         csv = lambda a: ",".join(a) or None
         shares = [f"{c:.6f}" for c in r["contributions"] or []]
-        out.append((x, y, kind, csv(ai), csv(shares), csv(shares), r["info"], r["n"], r["info_cond"], r["cplx_cond"], r["n"], r["info_shifted"], r["ort_inferred"], None, None, causal, r["ort_inferred"] if s is None or s["connected"] else 0, causal, s["edge_stats"] if s else None, sign, partial, r["p_y2x"], r["p_x2y"], r["confidence"]))
+        out.append((x, y, kind, csv(ai), csv(shares), csv(shares), r["info"], r["n"], r["info_cond"], r["cplx_cond"], r["n"], r["info_shifted"], code, right, None if right is None else code == right, causal, consensus, sure, s["edge_stats"] if s else None, sign, partial, q, p, r["confidence"]))
     out.sort(key=lambda t: (-t[11], t[0], t[1]))
     return df.sparkSession.createDataFrame(out, SUMMARY)

@@ -146,6 +146,14 @@ def flatten(edges: DataFrame, display: str = "compact", value: str = "info_shift
     raise ValueError(f"unknown display {display}")
 
 
+def lagged_pairs(pairs: DataFrame, contextual: Sequence[str] = (), x: str = "var1", y: str = "var2", lag: str = "lag") -> DataFrame:
+    """(x, y) of (x, y, lag): the first at its lag, the second at lag 0; contextual variables only exist at lag 0."""
+    still = F.col(x).isin(*contextual) if contextual else F.lit(False)
+    old = F.when(still, F.lit(0)).otherwise(F.col(lag).cast("int"))
+    name = lambda v, k: F.concat(F.col(v), F.lit("_lag"), k.cast("string"))
+    return pairs.select(name(x, old).alias(x), name(y, F.lit(0)).alias(y)).where(F.col(x).isNotNull() & (F.col(x) != F.col(y))).distinct()
+
+
 def starting_edges(pairs: DataFrame, contextual: Sequence[str] = ()) -> DataFrame:
     """Pairs that touch layer 0; contextual variables only with layer 0."""
     e = lagged_edges(pairs)

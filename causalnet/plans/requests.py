@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.functions.kernel import TINY, Sample, joint
@@ -22,11 +22,13 @@ from causalnet.sources.observations import Options, Variable
 ATOMS = 4096
 
 
-def encoded(df: DataFrame, variables: list[Variable], atoms: int | None = ATOMS) -> tuple[DataFrame, DataFrame]:
+def encoded(df: DataFrame, variables: list[Variable], atoms: int | None = ATOMS, weights: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(codes, raw): int codes named by position, v0, v1, ..., null where unknown; and the persisted columns they come from.
 
-    Without ``atoms`` no values are merged: every code is the rank of its value."""
-    raw = base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables))).persist()
+    Without ``atoms`` no values are merged: every code is the rank of its value. ``weights`` names a column
+    that comes along as w_."""
+    more = [F.col(weights).cast("double").alias("w_")] if weights else []
+    raw = base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables)), *more).persist()
     sizes = {} if atoms is None else raw.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
     for i, v in enumerate(variables):
         c = f"v{i}"
@@ -38,7 +40,13 @@ def encoded(df: DataFrame, variables: list[Variable], atoms: int | None = ATOMS)
         table = raw.where(F.col(c).isNotNull()).select(F.col(c).alias("l_")).distinct()
         table = table.select("l_", (F.row_number().over(Window.orderBy("l_")) - 1).alias("c_"))
         base = base.join(table, F.col(c) == F.col("l_"), "left").withColumn(c, F.col("c_")).drop("l_", "c_")
-    return base.select(*(F.col(f"v{i}").cast("int") for i in range(len(variables)))), raw
+    return base.select(*(F.col(f"v{i}").cast("int") for i in range(len(variables))), *(["w_"] if weights else [])), raw
+
+
+def amounts(weighted: bool) -> list[Column]:
+    """What is counted of a code tuple: w, the sum of its rows' weights, and m, its rows."""
+    rows = F.count(F.lit(1)).cast("double")
+    return [(F.sum("w_") if weighted else rows).alias("w"), rows.alias("m")]
 
 
 def missing_at_random_rejects(x: np.ndarray, y: np.ndarray, known: np.ndarray, w: np.ndarray) -> bool:
@@ -60,12 +68,13 @@ class Engine:
         self.variables, self.options, self.maxbins = variables, options, maxbins
         self.spark = df.sparkSession
         ship(self.spark)
-        self.codes, self.raw = encoded(df, variables)
+        self.weighted = options.sample_weights is not None
+        self.codes, self.raw = encoded(df, variables, weights=options.sample_weights)
         self.codes = self.codes.persist()
         one = self.codes.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in self.codes.columns)).collect()[0]
         self.n = one["n"]
         self.gaps = [one[f"v{i}"] < self.n for i in range(len(variables))]
-        self.weight = options.n_eff / self.n if 0 < options.n_eff < self.n else 1.0
+        self.weight = options.n_eff / self.n if 0 < options.n_eff < self.n and not self.weighted else 1.0
         self.cache: dict = {}
         self.batches = 0
 
@@ -101,9 +110,10 @@ class Engine:
             )
             for k, (r, s) in enumerate(zip(todo, sets))
         ]
-        each = self.codes.select(F.explode(F.expr(f"array({', '.join(structs)})")).alias("r")).select("r.*").where("whole")
+        own = ["w_"] if self.weighted else []
+        each = self.codes.select(F.explode(F.expr(f"array({', '.join(structs)})")).alias("r"), *own).select("r.*", *own).where("whole")
         names = [f"c{j}" for j in range(width)]
-        cells = each.groupBy("k", *names).agg(F.count(F.lit(1)).cast("double").alias("w"))
+        cells = each.groupBy("k", *names).agg(*amounts(self.weighted)).where("w > 0")
         continuous = [v.continuous for v in self.variables]
         o, maxbins, weight, n_all = self.options, self.maxbins, self.weight, self.n
 
@@ -113,14 +123,14 @@ class Engine:
             k = int(key[0])
             r, s = todo[k], sets[k]
             codes = pdf[names[: len(s)]].to_numpy(dtype=np.int64).T
-            w = pdf["w"].to_numpy() * weight
+            w, m = pdf["w"].to_numpy() * weight, pdf["m"].to_numpy()
             make = lambda keep: Sample([c[keep] for c in codes], [continuous[i] for i in s], w[keep], o.cplx, min(maxbins, n_all), n_samples=n_all)
             if r[0] == "2":
                 got = make(np.ones(len(w), bool)).conditional(0, 1, range(2, len(s)), o.negative_info)
                 out = (got.n, got.info, got.cplx, 0.0, 0.0, 0.0)
             else:
                 known = codes[2] >= 0
-                if not known.any() or w[known].sum() <= 2 or (o.test_mar and missing_at_random_rejects(codes[0], codes[1], known, w)):
+                if m[known].sum() <= 2 or (o.test_mar and missing_at_random_rejects(codes[0], codes[1], known, w)):
                     out = (float(w[known].sum()), 0.0, 0.0, 0.0, 0.0, -1e300)
                 else:
                     t = make(known).three_point(0, 1, 2, range(3, len(s)))

@@ -155,6 +155,12 @@ for _c in ("bic", "nml"):
         return r6(discrete.three_point_info(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", "l_linenumber", ["l_tax"], c))
 
 
+@query("mi_sample_weights_bic", r6_sql("SELECT n, info, info - cplx AS infok FROM (" + sqlgen.info(_L, "l_returnflag", "l_linestatus", cplx="bic", weight="l_discount") + ")", "n, info, infok"))
+def _sample_weights(spark, d):
+    one = standalone.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", cplx="bic", sample_weights="l_discount")
+    return r6(one.select("n", "info", "infok"))
+
+
 @query("mi_weighted_neff", r6_sql(_shifted(sqlgen.info(_L, "l_returnflag", "l_linestatus", cplx="nml", weight="0.1")), "n, info, cplx, info_shifted"))
 def _weighted(spark, d):
     return r6(discrete.mutual_info(table(spark, d, "lineitem").withColumn("w", F.lit(0.1)), "l_returnflag", "l_linestatus", weight="w"))
@@ -401,6 +407,15 @@ def _blocks(spark, d):
     return spark.createDataFrame(rows, "x string, y string, between string")
 
 
+_HEADS = "SELECT l_orderkey, l_linenumber, l_discount * 10 AS p, l_tax * 12.5 AS q FROM lineitem"
+
+
+@query("consensus_orientation", f"SELECT l_orderkey, l_linenumber, CASE WHEN a AND b THEN 6 WHEN b THEN 2 WHEN a THEN -2 ELSE 1 END AS ort_consensus, (b AND NOT a AND p / nullif(1 - p, 0) < 0.3) OR (a AND NOT b AND q / nullif(1 - q, 0) < 0.3) AS is_causal_consensus FROM (SELECT *, coalesce((1 - p) / nullif(p, 0) < 0.3, false) AS a, coalesce((1 - q) / nullif(q, 0) < 0.3, false) AS b FROM ({_HEADS}))")
+def _consensus(spark, d):
+    heads = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("p_y2x"), (F.col("l_tax") * 12.5).alias("p_x2y"))
+    return graph.consensus_orientation(heads, 0.3).drop("p_y2x", "p_x2y")
+
+
 # Correlation
 
 _RANK = lambda c: f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2)"
@@ -465,6 +480,12 @@ def _temporal(spark, d):
     return r6(reconstruct_series(e, ["user_id"], "t", ["event_type", "value"], n_layers=3, delta_t=1).edges.select("x", "y", "n", "info", "cplx", "info_shifted", "connected", "ort_inferred"))
 
 
+@query("lagged_pair_lists", "SELECT DISTINCT CASE WHEN l_returnflag = 'A' THEN 'A_lag0' ELSE l_returnflag || '_lag' || l_linenumber END AS var1, l_linestatus || '_lag0' AS var2 FROM lineitem")
+def _lagged_pairs(spark, d):
+    pairs = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("var1"), F.col("l_linestatus").alias("var2"), F.col("l_linenumber").alias("lag"))
+    return temporal.lagged_pairs(pairs, ["A"])
+
+
 @query("stationarity_repeat_edges", "WITH p AS (SELECT *, regexp_replace(x, '_lag[0-9]+$', '') AS xv, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS xl, regexp_replace(y, '_lag[0-9]+$', '') AS yv, regexp_extract(y, '_lag([0-9]+)$', 1)::INTEGER AS yl FROM " + LAGGED_SQL + ") SELECT xv || '_lag' || (xl + s) AS x, yv || '_lag' || (yl + s) AS y, info_shifted::DOUBLE AS info_shifted FROM p, range(0, 3) r(s) WHERE greatest(xl, yl) + s <= 2")
 def _repeat(spark, d):
     return temporal.repeat_over_history(lagged(spark), 3)

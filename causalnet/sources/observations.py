@@ -67,6 +67,18 @@ def check_observations(df: DataFrame, drop_rows: bool = True) -> DataFrame:
     return kept.dropna(how="all") if drop_rows else kept
 
 
+def usable_weights(df: DataFrame, column: str | None) -> bool:
+    """Whether ``column`` can weigh rows: numbers from 0 to 1, all known. If it can't, a warning says so."""
+    if column is None:
+        return False
+    if column not in df.columns:
+        raise ValueError(f"{column} is not a column, so it can't hold sample weights")
+    fair = column in numeric_columns(df) and not df.where(F.col(column).isNull() | ~F.col(column).between(0, 1)).limit(1).count()
+    if not fair:
+        warnings.warn(f"sample weights must be known and between 0 and 1; those of {column} are ignored", stacklevel=2)
+    return fair
+
+
 def first_names(names: Sequence[str], n: int = 10) -> str:
     return ", ".join(map(str, names[:n])) + (f" and {len(names) - n} more" if len(names) > n else "")
 
@@ -154,6 +166,7 @@ class Options:
     propagation: bool = False
     latent: str = "orientation"
     n_eff: int = -1
+    sample_weights: str | None = None
     n_shuffles: int = 0
     conf_threshold: float = 0.0
     test_mar: bool = True
@@ -177,3 +190,9 @@ class Options:
             object.__setattr__(self, "conf_threshold", 0.0)
         if self.ort_consensus_ratio is None:
             object.__setattr__(self, "ort_consensus_ratio", self.ort_proba_ratio)
+        if not 0 <= self.ort_consensus_ratio <= 1:
+            raise ValueError("ort_consensus_ratio must lie between 0 and 1")
+        if self.n_eff != -1 and self.n_eff <= 0:
+            raise ValueError("n_eff must be positive, or -1 for the number of rows")
+        if self.max_iteration < 1 or self.n_shuffles < 0:
+            raise ValueError("max_iteration must be at least 1 and n_shuffles at least 0")
