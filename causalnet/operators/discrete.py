@@ -30,7 +30,8 @@ def request_cells(df: DataFrame, requests: Sequence[tuple[str, ...]], weight: st
     ]
     own = df.select(F.explode(F.array(*rows)).alias("r"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     own = own.select("r.k", *(F.get("r.v", F.lit(i)).alias(f"v{i}") for i in range(width)), F.exists("r.v", lambda v: v.isNull()).alias("gap"), "w")
-    return own.where(~F.col("gap")).groupBy("k", *(f"v{i}" for i in range(width))).agg(F.sum("w").alias("n"))
+    # Persisted: every marginal is made from these few rows, the table is read once.
+    return own.where(~F.col("gap")).groupBy("k", *(f"v{i}" for i in range(width))).agg(F.sum("w").alias("n")).persist()
 
 
 def conditional_info(cells: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", negative_info: bool = False, suffix: str = "") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -46,6 +47,12 @@ class Edge:
         return self.info_cond - self.cplx_cond
 
 
+def split_name(name: str) -> tuple[str, int]:
+    """(variable, lag) of a lagged name; lag 0 without a suffix."""
+    m = re.fullmatch(r"(.*)_lag([0-9]+)", name, re.DOTALL)
+    return (m[1], int(m[2])) if m else (name, 0)
+
+
 class Waiting(Exception):
     """A needed request is not yet answered; the next batch will have it."""
 
@@ -58,6 +65,10 @@ class Reconstruction:
         v = engine.variables
         forbidden = {tuple(sorted(p)) for p in black_box}
         self.pairs = [(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if (i, j) not in forbidden and not (v[i].consequence and v[j].consequence) and not (age and min(age.get(i, 0), age.get(j, 0)) > 0)]
+        names = [split_name(k.name) for k in v] if options.mode == "TS" else []
+        self.kin = [name for name, _ in names]  # of a series, the variable without its lag
+        self.lag = [lag for _, lag in names]
+        self.at = {place: i for i, place in enumerate(names)}
         self.base: dict[tuple[int, int], Edge] = {}
         self.edges: dict[tuple[int, int], Edge] = {}
         self.triples: list[dict] = []
@@ -76,9 +87,25 @@ class Reconstruction:
         return [
             z
             for z in range(len(v))
-            if z not in (x, y) and z not in us and not v[z].consequence and (self.o.latent == "yes" or z in near.get(x, ()) or z in near.get(y, ())) and (allowed is None or z in allowed(x, y))
+            if z not in (x, y) and z not in us and not v[z].consequence and not self._own_past(x, y, z) and (self.o.latent == "yes" or z in near.get(x, ()) or z in near.get(y, ())) and (allowed is None or z in allowed(x, y))
         ]
 
+    def _own_past(self, x: int, y: int, z: int) -> bool:
+        """Whether z is the other variable of a pair with a contextual one, at another lag."""
+        v = self.engine.variables
+        return bool(self.kin) and ((v[x].contextual and self.kin[y] == self.kin[z]) or (v[y].contextual and self.kin[x] == self.kin[z]))
+
+    def repeats(self, x: int, y: int) -> list[tuple[int, int]]:
+        """The same edge at earlier times, as far as there are lags; contextual variables have no earlier times."""
+        v, out = self.engine.variables, []
+        if not self.kin or (v[x].contextual and v[y].contextual):
+            return out
+        for s in sorted(set(self.lag))[1:]:
+            i, j = (n if v[n].contextual else self.at.get((self.kin[n], self.lag[n] + s)) for n in (x, y))
+            if i is not None and j is not None:
+                out.append((i, j))
+        return out
+
     def _answer(self, request: tuple) -> dict:
         r = self.engine.get(request)
         if r is None:
@@ -87,18 +114,28 @@ class Reconstruction:
         return r
 
     def _best(self, e: Edge, us: list[int], near, allowed) -> None:
-        """The contributor of highest positive score; ties go to the least position."""
-        g, missing, best = self.engine, False, (0.0, None, 0.0)
+        """The contributor of highest positive score. Of those that tie, the one that shares most information
+        with both ends; then the least position."""
+        g, missing, found = self.engine, False, []
         for z in self._candidates(e.x, e.y, us, near, allowed):
             r = g.get(g.three(e.x, e.y, z, us))
             if r is None:
                 self.wanted.append(g.three(e.x, e.y, z, us))
                 missing = True
-            elif r["score"] > best[0] + 1e-12:
-                best = (r["score"], z, (r["i3"] - r["k3"]) / (r["i2"] - r["k2"]) if r["i2"] - r["k2"] else 0.0)
+            elif r["score"] > 0:
+                found.append((r["score"], z, (r["i3"] - r["k3"]) / (r["i2"] - r["k2"]) if r["i2"] - r["k2"] else 0.0))
         if missing:
             raise Waiting
-        e.score, e.top, e.share = best[0], best[1], best[2]
+        most = max((s for s, _, _ in found), default=0.0)
+        found = [f for f in found if f[0] >= most - 1e-12]
+        if len(found) > 1:
+            ask = [g.tie(e.x, e.y, z) for _, z, _ in found]
+            if unknown := [q for q in ask if g.get(q) is None]:
+                self.wanted += unknown
+                raise Waiting
+            shared = [g.get(q)["shared"] for q in ask]
+            found = [f for f, h in zip(found, shared) if h >= max(shared) - 1e-12]
+        e.score, e.top, e.share = found[0] if found else (0.0, None, 0.0)
 
     def skeleton(self, allowed=None) -> None:
         """Remove edges that contributors explain away, the strongest first. The order is sequential;
@@ -173,9 +210,13 @@ class Reconstruction:
         if not self.o.orientation:
             return
         v, g = self.engine.variables, self.engine
+        latent = self.o.latent in ("yes", "orientation")
         kept = {p: e for p, e in self.edges.items() if e.connected}
-        near = graph.neighbours(kept)
-        triples = [(x, z, y) for z in sorted(near) for x in sorted(near[z]) for y in sorted(near[z]) if x < y and (x, y) not in kept]
+        # With latent variables a series' edges also stand at earlier times, where they make more triples.
+        stands = {p: [p, *(self.repeats(*p) if latent else ())] for p in kept}
+        joined = {tuple(sorted(q)) for group in stands.values() for q in group}
+        near = graph.neighbours(joined)
+        triples = [(x, z, y) for z in sorted(near) for x in sorted(near[z]) for y in sorted(near[z]) if x < y and (x, y) not in joined]
         ask = {t: g.three(t[0], t[2], t[1], [u for u in (self.edges.get((t[0], t[2])) or Edge(0, 0)).us if u != t[1]]) for t in triples}
         g.run(ask.values())
         i3 = []
@@ -184,23 +225,23 @@ class Reconstruction:
             i3.append(r["i3"] - r["k3"])
         context = [i for i, k in enumerate(v) if k.contextual]
         effects = [i for i, k in enumerate(v) if k.consequence]
-        latent = self.o.latent in ("yes", "orientation")
         tips = propagate(triples, i3, latent, self.o.propagation, context, effects, self.age)
         for e in kept.values():
             e.p, e.tip = {e.x: 0.5, e.y: 0.5}, {e.x: 1, e.y: 1}
         self.triples = []
-        used = set()
+        heads: dict[tuple[int, int], float] = {}  # (node, other): the strongest of its triples
         for (x, z, y), v3, (px, pzx, pzy, py) in zip(triples, i3, tips):
-            for a, b, pa, pb in ((x, z, px, pzx), (y, z, py, pzy)):
-                e = kept[(min(a, b), max(a, b))]
-                used.add(e.key)
-                for node, p in ((a, pa), (b, pb)):
-                    if abs(p - 0.5) > abs(e.p[node] - 0.5):
-                        e.p[node] = p
+            for tip, p in (((x, z), px), ((z, x), pzx), ((z, y), pzy), ((y, z), py)):
+                if abs(p - 0.5) > abs(heads.setdefault(tip, 0.5) - 0.5):
+                    heads[tip] = p
             call = pzx > 0.5 and pzy > 0.5
             self.triples.append({"x": x, "z": z, "y": y, "i3": v3, "p1": px, "p2": pzx, "p3": pzy, "p4": py, "conflict": (v3 < 0) != call if v3 else False})
         for e in kept.values():
-            if e.key not in used:
+            for i, j in stands[e.key]:  # the strongest of all times
+                for node, tip in ((e.x, (i, j)), (e.y, (j, i))):
+                    if abs(heads.get(tip, 0.5) - 0.5) > abs(e.p[node] - 0.5):
+                        e.p[node] = heads[tip]
+            if not any(q in heads for q in stands[e.key]):
                 for node, other in ((e.x, e.y), (e.y, e.x)):
                     if v[node].contextual:
                         e.p[node] = 0.0

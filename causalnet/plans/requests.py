@@ -62,7 +62,9 @@ def missing_at_random_rejects(x: np.ndarray, y: np.ndarray, known: np.ndarray, w
 
 
 class Engine:
-    """Answers ("2", x, y, us) and ("3", x, y, z, us) requests over variable positions."""
+    """Answers ("2", x, y, us), ("3", x, y, z, us) and ("tie", x, y, (z,)) requests over variable positions.
+
+    The last is I'(x;z) + I'(y;z) over the rows that know all three."""
 
     def __init__(self, df: DataFrame, variables: list[Variable], options: Options = Options(), maxbins: int = 50):
         self.variables, self.options, self.maxbins = variables, options, maxbins
@@ -90,6 +92,10 @@ class Engine:
     def three(x: int, y: int, z: int, us: Iterable[int] = ()) -> tuple:
         return ("3", min(x, y), max(x, y), z, tuple(sorted(us)))
 
+    @staticmethod
+    def tie(x: int, y: int, z: int) -> tuple:
+        return ("tie", min(x, y), max(x, y), (z,))
+
     def get(self, request: tuple) -> dict | None:
         return self.cache.get(request)
 
@@ -128,6 +134,10 @@ class Engine:
             if r[0] == "2":
                 got = make(np.ones(len(w), bool)).conditional(0, 1, range(2, len(s)), o.negative_info)
                 out = (got.n, got.info, got.cplx, 0.0, 0.0, 0.0)
+            elif r[0] == "tie":
+                both = make(np.ones(len(w), bool))
+                parts = [both.conditional(v, 2, [], o.negative_info) for v in (0, 1)] if m.sum() > 2 else []
+                out = (float(w.sum()), sum(p.shifted for p in parts), 0.0, 0.0, 0.0, 0.0)
             else:
                 known = codes[2] >= 0
                 if m[known].sum() <= 2 or (o.test_mar and missing_at_random_rejects(codes[0], codes[1], known, w)):
@@ -142,8 +152,11 @@ class Engine:
             small = lambda v: 0.0 if abs(v) < TINY else v
             if q[0] == "2":
                 self.cache[q] = {"n": r["n"], "info": small(r["a"]), "cplx": small(r["b"])}
+            elif q[0] == "tie":
+                self.cache[q] = {"n": r["n"], "shared": r["a"]}
             else:
                 self.cache[q] = {"n": r["n"], "i3": r["a"], "k3": r["b"], "i2": r["c"], "k2": r["d"], "score": r["score"]}
+        nothing = {"2": {"info": 0.0, "cplx": 0.0}, "3": {"i3": 0.0, "k3": 0.0, "i2": 0.0, "k2": 0.0, "score": -1e300}, "tie": {"shared": 0.0}}
         for q in todo:  # without a complete row
-            self.cache.setdefault(q, {"n": 0.0, "info": 0.0, "cplx": 0.0} if q[0] == "2" else {"n": 0.0, "i3": 0.0, "k3": 0.0, "i2": 0.0, "k2": 0.0, "score": -1e300})
+            self.cache.setdefault(q, {"n": 0.0} | nothing[q[0]])
 
