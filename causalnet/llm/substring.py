@@ -107,11 +107,10 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def minhashes(shingles: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarray:
     """A row for each band: the least hash of the shingles in each [bounds[2i], bounds[2i + 1])."""
-    keys = np.empty((bands, len(bounds) // 2), np.int64)
-    for j in range(bands):
-        v = mixed(shingles * np.uint64((2 * j + 1) * _C % (1 << 64) | 1) + np.uint64(j))
-        keys[j] = (np.minimum.reduceat(np.append(v, v[-1:]), bounds)[0::2] ^ np.uint64(j * 0x9E3779B1)).view(np.int64)
-    return keys
+    j = np.arange(bands, dtype=np.uint64)[:, None]
+    odd = (np.uint64(2) * j + np.uint64(1)) * np.uint64(_C) | np.uint64(1)
+    v = mixed(np.concatenate([shingles, shingles[-1:]]) * odd + j)  # bounds may end at the last shingle's end
+    return (np.minimum.reduceat(v, bounds, axis=1)[:, 0::2] ^ j * np.uint64(0x9E3779B1)).view(np.int64)
 
 
 def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,10 +137,23 @@ def pieces(words: list[bytes], h: np.ndarray, breaks: list[int], least: int, cut
     return sorted(p for p in out if p[1] - p[0] >= least)
 
 
+def extreme(values: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of every ``width`` in a row, by doubling."""
+    size = 1
+    while size < width:
+        step = min(size, width - size)
+        values = of(values[:-step], values[step:])
+        size += step
+    return values
+
+
 def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Places of the first least hash of every ``width`` in a row."""
+    """Places of the least hashes of every ``width`` in a row: those that equal the greatest of the minima
+    of the rows of ``width`` that hold them."""
     width = min(width, len(hashes))
-    return np.unique(np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(len(hashes) - width + 1))
+    least = np.zeros(len(hashes) + width - 1, np.uint64)
+    least[width - 1 : len(hashes)] = extreme(hashes, width, np.minimum)
+    return np.flatnonzero(extreme(least, width, np.maximum) == hashes)
 
 
 def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS, cut: int = CUT) -> list[tuple]:
