@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, fresh, lookup, release, ship
+from causalnet.llm.shared import connected_components, delete, durable, fresh, lookup, made, release, ship
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -349,7 +349,7 @@ def merged(spans: DataFrame, *first: Column) -> DataFrame:
 def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, ends, wanted) of durable units: runs of equal windows in documents that share them, their
     first and last windows beside those of the document kept, and the places needed to compare these."""
-    windows = u.where("kind = 1").select("h", "id", "th", "place")
+    windows, before = u.where("kind = 1").select("h", "id", "th", "place"), len(made)
     of = durable(across(["h"], windows), "shared-windows")
     rows = durable(lookup(windows, of.select("h", "kept"), ["h"], counts=of.select("h", "n")), "window-repeats")
     release(u.sparkSession)
@@ -359,8 +359,9 @@ def window_runs(u: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     runs = durable(runs.withColumn("run", F.monotonically_increasing_id()), "runs")
     base = rows.where(F.col("id").eqNullSafe(F.col("kept"))).groupBy("h").agg(F.min(F.struct("th", "place")).alias("at")).select("h", F.col("at.th").alias("kth"), F.col("at.place").alias("kplace"))
     sides = F.explode(F.array(F.struct(F.lit(False).alias("tail"), F.col("head").alias("place"), F.col("hh").alias("h")), F.struct(F.lit(True).alias("tail"), F.col("tail").alias("place"), F.col("ht").alias("h")))).alias("s")
-    ends = durable(runs.where(~F.col("id").eqNullSafe(F.col("kept"))).select("run", "id", "th", "kept", sides).select("run", "id", "th", "kept", "s.tail", "s.place", "s.h"), "run-ends")
+    ends = durable(runs.where(~F.col("id").eqNullSafe(F.col("kept"))).select("run", "id", "th", "kept", sides).select("run", "id", "th", "kept", "s.tail", "s.place", "s.h"), "run-sides")
     ends = durable(lookup(ends, base, ["h"]), "run-ends")
+    delete(u.sparkSession, [t for t in made[before:] if not t.rpartition("/")[2].startswith(("runs-", "run-ends-"))])
     wanted = ends.select("id", "th", "place").unionByName(ends.select(F.col("kept").alias("id"), F.col("kth").alias("th"), F.col("kplace").alias("place")).distinct())
     return runs, ends, wanted.withColumn("h", F.lit(None).cast("long"))
 
@@ -403,10 +404,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lines = u.where("kind = 0").drop("kind")
     reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     reps = durable(reps, "distinct-lines")
+    of_reps = made[-1]
     release(docs.sparkSession)
     size = end_of(F.col("at.place")) - start_of(F.col("at.place"))
     crowd = crowded(reps.select("h", size.alias("n"), F.explode(F.array_distinct("keys")).alias("key")), most)
-    asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
+    # Lines that meet no other and stand in one document are no repeats: only the rest goes on.
+    several = (F.col("lo") < F.col("hi")) | (F.col("z") & F.col("lo").isNotNull())
+    met = reps.drop("keys").join(crowd.select("h", F.lit(True).alias("met")).distinct(), "h", "left")
+    reps = durable(met.where(F.col("met") | several), "lines-that-meet")
+    asked = reps.where("met").select("h", "at.*")
+    delete(docs.sparkSession, [of_reps])
     release(docs.sparkSession)
     runs, ends, wanted = window_runs(u)
     release(docs.sparkSession)
