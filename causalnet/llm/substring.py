@@ -257,15 +257,36 @@ def slices(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, besid
 
 
 def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Trees over those whose sets are, by a chain of pairs, at least ``least`` alike."""
+    """Trees over those whose sets are, by a chain of pairs, at least ``least`` alike.
+
+    Of two such sets each holds ``least`` of the other, so they share one of their rarest members even if
+    the rest of each is left out (prefix filter, exact): only sets that share a rare member are compared."""
     if len(sets) == 2:
         a, b = sorted(sets, key=len)
         both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) >= least * len(b) else 0
         return [(int(ids[0]), int(ids[1]))] if both >= least * (len(a) + len(b) - both) - 1e-9 else []
     sizes = np.array([len(s) for s in sets])
-    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, member, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(np.bincount(owner, held[member] > 1) >= least * sizes - 1e-9)
+    if 2 * len(some) < len(sets):
+        return similar_forest(ids[some], [sets[k] for k in some], least) if len(some) > 1 else []
+    rank = np.empty(len(held), np.int64)
+    rank[np.argsort(held, kind="stable")] = np.arange(len(held))
+    order = np.argsort(owner << 40 | rank[member])  # rarest first in each set
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    rare = order[place < np.repeat(sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1, sizes)]
+    by, whose = rank[member[rare]], owner[rare]
+    times = np.bincount(by, minlength=len(held))
+    by, whose = by[times[by] > 1], whose[times[by] > 1]
+    mine = np.searchsorted(whose, np.arange(len(sets) + 1))  # the rare shared members of each set: by[mine[k] : mine[k + 1]]
+    holders: dict[int, np.ndarray] = {}
+    if len(by):
+        sort = np.argsort(by, kind="stable")
+        cuts = np.flatnonzero(np.diff(by[sort])) + 1
+        holders = dict(zip(by[sort][np.append(0, cuts)].tolist(), np.split(whose[sort], cuts)))
     left, out = np.ones(len(sets), bool), []
-    for k in range(len(sets)):
+    for k in np.flatnonzero(np.diff(mine)).tolist():
         if not left[k]:
             continue
         left[k] = False
@@ -273,15 +294,18 @@ def similar_forest(ids: np.ndarray, sets: list[np.ndarray], least: float = SIMIL
         while at < len(found):
             p = found[at]
             at += 1
-            pos = np.searchsorted(sets[p], values)
-            hit = sets[p][np.minimum(pos, len(sets[p]) - 1)] == values
-            both = np.bincount(owner[hit], minlength=len(sets))
-            near = np.flatnonzero(left & (both >= least * (sizes + sizes[p] - both) - 1e-9))
-            if len(near):
-                found += near.tolist()
-                left[near] = False
-                keep = left[owner]
-                values, owner = values[keep], owner[keep]
+            for r in (members := by[mine[p] : mine[p + 1]].tolist()):
+                holders[r] = holders[r][left[holders[r]]]
+            some = np.unique(np.concatenate([holders[r] for r in members]))
+            some = some[(sizes[some] >= least * sizes[p] - 1e-9) & (sizes[p] >= least * sizes[some] - 1e-9)]
+            if not len(some):
+                continue
+            values = np.concatenate([sets[i] for i in some])
+            hit = sets[p][np.minimum(np.searchsorted(sets[p], values), sizes[p] - 1)] == values
+            both = np.bincount(np.repeat(np.arange(len(some)), sizes[some])[hit], minlength=len(some))
+            near = some[both >= least * (sizes[some] + sizes[p] - both) - 1e-9]
+            found += near.tolist()
+            left[near] = False
         out += [(int(ids[found[(i - 1) // BRANCHES]]), int(ids[found[i]])) for i in range(1, len(found))]
     return out
 
@@ -297,8 +321,30 @@ def crowded(pairs: DataFrame, most: int = RUN) -> DataFrame:
     return durable(lookup(pairs, width.select("key", "w"), ["key"], counts=width.select("key", F.col("c").alias("n"))), "crowd")
 
 
-def verified(crowd: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """Durable edges (a, b) between the h of a crowd; ``sets`` (h, shingles) has their packed sets."""
+def promising(sets: DataFrame, least: float) -> DataFrame:
+    """The h of those of distinct (h, shingles) of whose members ``least`` or more are in another set too: no other set is like any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                members = [unpacked(x) for x in b.column("shingles").to_pylist()]
+                h = np.repeat(b.column("h").to_numpy(zero_copy_only=False), [len(x) for x in members])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(members).view(np.int64))], ["h", "m"])
+
+    order = Window.partitionBy("m").orderBy("h")
+    shared = F.lag("h").over(order).isNotNull() | F.lead("h").over(order).isNotNull()
+    found = sets.select("h", "shingles").mapInArrow(run, "h long, m long").select("h", shared.cast("int").alias("shared"))
+    return found.groupBy("h").agg(F.sum("shared").alias("s"), F.count(F.lit(1)).alias("c")).where(F.col("s") >= least * F.col("c") - 1e-9).select("h")
+
+
+def verified(crowd: DataFrame, sets: DataFrame, least: float = SIMILAR, most: int = RUN) -> DataFrame:
+    """Durable edges (a, b) between the h of a crowd; ``sets`` (h, shingles) has their packed sets. Of keys
+    dealt in chunks, those whose sets can't be like any other go before, so that chunks follow what is alike."""
+    wide = crowd.where("w > 1")
+    if not wide.isEmpty():
+        able = durable(promising(wide.select("h").distinct().join(sets, "h"), least), "promising-sets")
+        wide = crowded(durable(wide.join(able, "h", "left_semi").select("key", "h", "n"), "promising"), most)
+        crowd = crowd.where("w = 1").unionByName(wide)
     own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("w")).cast("int").alias("own")
     dealt = crowd.select("key", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), own)
     dealt = dealt.select("key", "h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
@@ -413,7 +459,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text = durable(slices(docs, wanted.unionByName(asked), id_col, text_col), "slices")
     release(docs.sparkSession)
     sets = text.where("h is not null").select("h", "shingles")
-    comp = connected_components(verified(crowd, sets, least)).withColumnRenamed("node", "h")
+    comp = connected_components(verified(crowd, sets, least, most)).withColumnRenamed("node", "h")
     release(docs.sparkSession)
     named = durable(reps.select("h", "lo", "hi", "z", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h")), "named-lines")
     wide = named.groupBy("c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("z").alias("z"))
