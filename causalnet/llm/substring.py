@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.llm.shared import connected_components, durable, fresh, lookup, release, ship
+from causalnet.llm.shared import connected_components, delete, durable, fresh, lookup, made, release, ship
 
 WIDTH = 5
 SIMILAR = 0.8
@@ -445,7 +445,8 @@ def grown(runs: DataFrame, ends: DataFrame, text: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR, bands: int = BANDS, most: int = RUN) -> DataFrame:
     """Spans (id_col, start, end, cluster_id, kept_id, removed, text_hash), merged where they overlap in a text."""
-    u = durable(units(docs, id_col, text_col, bands), "paragraphs")
+    u = durable(units(docs, id_col, text_col, bands), "paragraphs", by="kind")
+    windows = f"{made[-1]}/kind=1"
     lines = u.where("kind = 0").drop("kind")
     reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     reps = durable(reps, "distinct-lines")
@@ -455,6 +456,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
     release(docs.sparkSession)
     runs, ends, wanted = window_runs(u)
+    delete(docs.sparkSession, [windows])  # what of them repeats is in tables of its own by now
     release(docs.sparkSession)
     text = durable(slices(docs, wanted.unionByName(asked), id_col, text_col), "slices")
     release(docs.sparkSession)

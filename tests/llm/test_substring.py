@@ -1,10 +1,11 @@
 """Passages against a comparison of all pairs, recall by length, and awkward rows."""
 
+import os
 import random
 
 import pytest
 
-from causalnet.llm import substring
+from causalnet.llm import shared, substring
 
 
 def shingles(words):
@@ -82,3 +83,15 @@ def test_awkward_rows(spark):
     # With one word more the line is still a near copy, so it goes whole.
     want = [(i, t if t is None or i is None else "" if t == p + " tail" else t.replace(p, "")) for i, t in rows]
     assert left == sorted(want, key=repr)
+
+
+def test_windows_go_once_their_repeats_are_found(spark):
+    r = random.Random(6)
+    words = lambda n: " ".join("w" + str(r.randrange(5000)) for _ in range(n))
+    p = words(60)
+    before = list(shared.made)
+    got = substring.repeated_passages(spark.createDataFrame([(1, f"{words(30)} {p}"), (2, f"{words(40)} {p} {words(30)}")], "doc_id long, text string"))
+    (units,) = [u.partition("://")[2] for u in shared.made if u not in before and "/paragraphs-" in u]
+    assert [x for x in os.listdir(units) if x.startswith("kind=")] == ["kind=0"]
+    assert {q["doc_id"]: q["removed"] for q in got.collect()} == {1: False, 2: True}
+    assert substring.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
