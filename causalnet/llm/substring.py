@@ -7,9 +7,10 @@ hash, so that any run of ``SURE_WORDS`` equal words holds the same chosen window
 
 * Lines and pieces have a MinHash signature over their 5-word shingles; each of its ``BANDS`` values
   is a band of its own, which misses a pair of similarity 0.8 with probability 0.2^5, or 3 in 10,000.
-  Those that collide are verified by the exact Jaccard similarity of their sets of shingles (told apart
-  by 48-bit hashes, made anew from their words), and clustered by connected components; of a crowded
-  band a spanning forest is verified, never all pairs written.
+  Of those that collide, the ones go first that by size and sketch (``sketches``) can't be like any other
+  of their band; this loses no pair. The rest are verified by the exact Jaccard similarity of their sets of
+  shingles (told apart by 48-bit hashes, made anew from their words), and clustered by connected
+  components; of a crowded band a spanning forest is verified, never all pairs written.
 * A window is banded by its whole content, that is, it collides with equal windows only. Windows that
   touch in a document are one run; at both ends of a run the windows are compared word by word with
   those of the document that is kept (a run whose hashes alone agree goes), and the run grows by the
@@ -51,6 +52,9 @@ LONG = 100
 #: Paragraphs, and their bytes, of one band compared in one task; longer runs are dealt out in pairs of chunks.
 RUN = 2000
 RUN_BYTES = 8 << 20
+#: Sets that are sketched at once, rows of a batch of paragraphs.
+SKETCHED = 1 << 12
+ROWS = 1 << 16
 #: Children of a node in the trees that stand for a cluster, so that no node is a hub.
 BRANCHES = 8
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +117,24 @@ def minhashes(shingles: np.ndarray, bounds: np.ndarray, bands: int) -> np.ndarra
     return (np.minimum.reduceat(v, bounds, axis=1)[:, 0::2] ^ j * np.uint64(0x9E3779B1)).view(np.int64)
 
 
+def sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row (size, 128 bits in two longs) for the set of 48-bit hashes in each [from, to) of ``bounds``: a
+    bit is the parity of the members that fall to it. So two sketches differ in no more bits than the sets
+    in members."""
+    out = np.zeros((len(bounds), 3), np.int64)
+    for k in range(0, len(bounds), SKETCHED):
+        first, n = bounds[k : k + SKETCHED, 0], bounds[k : k + SKETCHED, 1] - bounds[k : k + SKETCHED, 0]
+        at = np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+        v = (shingles[at] >> np.uint64(16)) | (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(48))
+        v.sort()
+        v = v[np.append(True, v[1:] != v[:-1])]
+        owner = (v >> np.uint64(48)).astype(np.int64)
+        out[k : k + SKETCHED, 0] = np.bincount(owner, minlength=len(n))
+        odd = np.bincount(owner * 128 + (v & np.uint64(127)).astype(np.int64), minlength=128 * len(n)) & 1
+        out[k : k + SKETCHED, 1:] = np.packbits(odd.astype(np.uint8).reshape(-1, 128), axis=1).view(np.int64)
+    return out
+
+
 def places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends) of the words in code points, and the words before which a line begins."""
     c = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -156,46 +178,57 @@ def winnowed(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(extreme(least, width, np.maximum) == hashes)
 
 
-def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS, cut: int = CUT) -> list[tuple]:
-    """(kind, start, end, hash, keys) of each paragraph: kind 0 a line or piece with its MinHash values;
-    kind 1 a window. Hashes are signed longs."""
+def paragraphs(text: str, least: int = LEAST_WORDS, bands: int = BANDS, cut: int = CUT) -> tuple[np.ndarray, ...]:
+    """(place, hash, keys, sketch) of lines and pieces, a row of MinHash values and a sketch each, and then
+    (place, hash) of windows. A place is the start and end in one long; hashes are signed longs."""
     import xxhash
 
     words = fold(text)
-    n = len(words)
+    n, none = len(words), np.zeros(0, np.int64)
+    own = windows = (none, none)
+    keys, sketch = np.zeros((0, bands), np.int64), np.zeros((0, 3), np.int64)
     if n < least:
-        return []
+        return *own, keys, sketch, *windows
     starts, ends, breaks = places(text)
     h = hashed(words)
-    out: list[tuple] = []
     if parts := pieces(words, h, breaks.tolist(), least, cut):
-        keys = minhashes(windowed(h, WIDTH), np.array([(a, b - WIDTH + 1) for a, b in parts]).ravel(), bands).T.tolist()
-        whole = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in parts], np.uint64).view(np.int64).tolist()
-        out += [(0, int(starts[a]), int(ends[b - 1]), v, k) for (a, b), v, k in zip(parts, whole, keys)]
+        shingles, at = windowed(h, WIDTH), np.array(parts, np.int64)
+        bounds = at - [0, WIDTH - 1]
+        keys, sketch = minhashes(shingles, bounds.ravel(), bands).T, sketches(shingles, bounds)
+        whole = np.array([xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in parts], np.uint64).view(np.int64)
+        own = (starts[at[:, 0]].astype(np.int64) << 32 | ends[at[:, 1] - 1], whole)
     if n >= WINDOW:
         hashes = windowed(h, WINDOW)
         at = winnowed(hashes, SURE_WORDS - WINDOW + 1)
-        out += [(1, p, q, v, None) for p, q, v in zip(starts[at].tolist(), ends[at + WINDOW - 1].tolist(), hashes[at].view(np.int64).tolist())]
-    return out
+        windows = (starts[at].astype(np.int64) << 32 | ends[at + WINDOW - 1], hashes[at].view(np.int64))
+    return *own, keys, sketch, *windows
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """(id, th, kind, place, h, keys) of every paragraph; th is the text's hash, place its start and end in one long."""
+    """(id, th, kind, place, h, keys, sketch) of every paragraph: kind 0 a line or piece with its MinHash values
+    and its sketch, kind 1 a window; th is the text's hash, place its start and end in one long."""
     ship(docs.sparkSession)
+    longs = pa.list_(pa.int64())
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(np.ascontiguousarray(rows).ravel()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            for i, th, t in zip(b.column("id").to_pylist(), b.column("th").to_pylist(), b.column("t")):
-                for kind, start, end, h, keys in paragraphs(t.as_py() or "", bands=bands):
-                    for c, v in zip(rows, (i, th, kind, start << 32 | end, h, keys)):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["id", "th", "kind", "place", "h", "keys"])
+            if not b.num_rows:
+                continue
+            made = [paragraphs(t.as_py() or "", bands=bands) for t in b.column("t")]
+            for kind, of in ((0, 0), (1, 4)):
+                place, h = (np.concatenate([m[of + k] for m in made]) for k in (0, 1))
+                row = pa.array(np.repeat(np.arange(len(made)), [len(m[of]) for m in made]))
+                more = [pa.nulls(len(h), longs)] * 2 if kind else [lists(np.concatenate([m[k] for m in made])) for k in (2, 3)]
+                columns = [b.column("id").take(row), b.column("th").take(row), pa.array(np.full(len(h), kind, np.int32)), pa.array(place), pa.array(h), *more]
+                out = pa.RecordBatch.from_arrays(columns, ["id", "th", "kind", "place", "h", "keys", "sketch"])
+                yield from (out.slice(k, ROWS) for k in range(0, len(h), ROWS))
 
     t = F.col(text_col).cast("string")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(t).alias("th"), t.alias("t"))
-    return src.mapInArrow(run, "id long, th long, kind int, place long, h long, keys array<long>")
+    return src.mapInArrow(run, "id long, th long, kind int, place long, h long, keys array<long>, sketch array<long>")
 
 
 def start_of(place: Column) -> Column:
@@ -321,6 +354,57 @@ def crowded(pairs: DataFrame, most: int = RUN) -> DataFrame:
     return durable(lookup(pairs, width.select("key", "w"), ["key"], counts=width.select("key", F.col("c").alias("n"))), "crowd")
 
 
+def dealt(crowd: DataFrame) -> DataFrame:
+    """(key, h, n, i, j) of a crowd: the chunks of a key in all pairs, so that each two sets meet."""
+    own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("w")).cast("int").alias("own")
+    each = crowd.select("key", "h", "n", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), own)
+    return each.select("key", "h", "n", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
+
+
+def with_like(group: np.ndarray, size: np.ndarray, bits: tuple[np.ndarray, ...], least: float) -> np.ndarray:
+    """Which sets may be ``least`` alike another of their group, by their sizes (ascending in a group) and
+    sketches: of such two the smaller has ``least`` of the greater's size, and no more than
+    (1 - least) / (1 + least) of both sizes is in one only."""
+    most, hit, r, d = (1 - least) / (1 + least), np.zeros(len(size), bool), np.arange(len(size)), 0
+    while len(r):
+        d += 1
+        r = r[: np.searchsorted(r, len(size) - d)]
+        r = r[(group[r] == group[r + d]) & (size[r] >= least * size[r + d] - 1e-9)]  # all that come later are larger
+        apart = sum(np.bitwise_count((x[r] ^ x[r + d]).view(np.uint64)).astype(np.int64) for x in bits)
+        ok = r[apart <= most * (size[r] + size[r + d]) + 1e-9]
+        hit[ok] = hit[ok + d] = True
+    return hit
+
+
+def possible(crowd: DataFrame, sketched: DataFrame, least: float, most: int = RUN) -> DataFrame:
+    """The crowd without those that by ``sketched`` (h, sketch) can't be ``least`` alike any other of their key."""
+    c = [F.col("sketch")[k].alias(f"s{k}") for k in range(3)]
+    full = dealt(crowd).join(sketched.select("h", *c), "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "s0")
+    names = ("key", "i", "j", "h", "n", "s0", "s1", "s2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(key, i, j, h, n, size, *bits):
+            new = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            hit = with_like(np.append(0, np.cumsum(new)), size, bits, least)
+            return pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (key, h, n)], ["key", "h", "n"])
+
+        held: list[np.ndarray] = []  # the last group so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(x).to_numpy(zero_copy_only=False) for x in names]
+            held = [np.concatenate(x) for x in zip(held, now)] if held else now
+            last = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in held[:3]]))
+            if len(last):
+                yield found(*(x[: last[-1] + 1] for x in held))
+                held = [x[last[-1] + 1 :] for x in held]
+        if held:
+            yield found(*held)
+
+    left = full.select(*names).mapInArrow(run, "key long, h long, n int").distinct()
+    return crowded(durable(left, "possible"), most)
+
+
 def promising(sets: DataFrame, least: float) -> DataFrame:
     """The h of those of distinct (h, shingles) of whose members ``least`` or more are in another set too: no other set is like any."""
 
@@ -345,10 +429,7 @@ def verified(crowd: DataFrame, sets: DataFrame, least: float = SIMILAR, most: in
         able = durable(promising(wide.select("h").distinct().join(sets, "h"), least), "promising-sets")
         wide = crowded(durable(wide.join(able, "h", "left_semi").select("key", "h", "n"), "promising"), most)
         crowd = crowd.where("w = 1").unionByName(wide)
-    own = F.pmod(F.xxhash64("h", F.lit(1)), F.col("w")).cast("int").alias("own")
-    dealt = crowd.select("key", "h", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("o"), own)
-    dealt = dealt.select("key", "h", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    full = dealt.join(sets, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
+    full = dealt(crowd).join(sets, "h").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(ids, sets):
@@ -448,11 +529,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     u = durable(units(docs, id_col, text_col, bands), "paragraphs", by="kind")
     windows = f"{made[-1]}/kind=1"
     lines = u.where("kind = 0").drop("kind")
-    reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    reps = lines.groupBy("h").agg(F.min(F.struct("id", "th", "place")).alias("at"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("id").isNull()).alias("z"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = durable(reps, "distinct-lines")
     release(docs.sparkSession)
     size = end_of(F.col("at.place")) - start_of(F.col("at.place"))
     crowd = crowded(reps.select("h", size.alias("n"), F.explode(F.array_distinct("keys")).alias("key")), most)
+    release(docs.sparkSession)
+    crowd = possible(crowd, reps, least, most)
     asked = reps.join(crowd.select("h").distinct(), "h", "left_semi").select("h", "at.*")
     release(docs.sparkSession)
     runs, ends, wanted = window_runs(u)

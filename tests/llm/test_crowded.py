@@ -66,3 +66,36 @@ def test_crowded_key_is_cut_to_what_may_be_alike(spark):
     assert {r["h"] for r in substring.promising(table, 0.8).collect()} == {k for k in ids if k % 10 > 7}
     found = [(r["a"], r["b"]) for r in substring.verified(crowd, table, 0.8, 50).collect()]
     assert components(found, ids) == all_pairs(ids, sets, 0.8)
+
+
+def test_sketches_lose_no_pair():
+    r = random.Random(23)
+    shared = np.random.default_rng(5).integers(0, 1 << 63, 400, dtype=np.uint64)
+    for least in (0.5, 0.8, 1.0):
+        parts = []
+        for _ in range(60):
+            x = shared[: r.randint(5, 400)].copy()
+            for _ in range(r.randint(0, len(x) // 8)):
+                x[r.randrange(len(x))] = r.getrandbits(63)
+            parts += [x, np.append(x, x[:3])]
+        ends = np.cumsum([len(x) for x in parts])
+        rows = substring.sketches(np.concatenate(parts), np.array([(e - len(x), e) for x, e in zip(parts, ends)]))
+        sets = [set((x >> np.uint64(16)).tolist()) for x in parts]
+        assert rows[:, 0].tolist() == [len(s) for s in sets]
+        order = np.argsort(rows[:, 0], kind="stable")
+        hit = substring.with_like(np.zeros(len(sets), int), rows[order, 0], (rows[order, 1], rows[order, 2]), least)
+        alike = {i for i in range(len(sets)) for j in range(len(sets)) if i != j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
+        assert alike <= set(order[hit].tolist())
+
+
+def test_what_is_like_no_other_of_its_key_is_not_fetched(spark):
+    sets = sets_with_common_members(300, 3, 60)
+    flat = np.concatenate(sets) << np.uint64(16)
+    ends = np.cumsum([len(s) for s in sets])
+    rows = substring.sketches(flat, np.array([(e - len(s), e) for s, e in zip(sets, ends)]))
+    sketched = spark.createDataFrame([(h, x) for h, x in enumerate(rows.tolist())], "h long, sketch array<long>")
+    pairs = spark.createDataFrame([(k, h, 400) for h in range(300) for k in (1, 2 + h // 10)], "key long, h long, n int")
+    for most in (50, 2000):
+        left = {(r["key"], r["h"]) for r in substring.possible(substring.crowded(pairs, most), sketched, 0.8, most).collect()}
+        near = {h for h in range(300) if h % 10 > 7}
+        assert near == {h for _, h in left} and {k for k, _ in left} <= {1, *range(2, 32)}
