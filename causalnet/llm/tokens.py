@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 
@@ -18,6 +19,8 @@ import numpy as np
 REMEMBERED = 450_000
 _ODD = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
 _PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!&%$#*|;:?]*)\Z")
+#: A mark after a Latin-1 letter, at the end of a piece, is a pre-token of its own.
+_MARK = re.compile(r"[.,!&%$#*|;:?](?=[ \n]|\Z)(?<=[A-Za-zÀ-ÖØ-öø-ÿ].)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,6 +56,7 @@ class Encoder:
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.made = 0
+        self.new: list = []
 
     def _generation(self) -> dict:
         encoder = self
@@ -78,20 +82,35 @@ class Encoder:
         self.old, self.seen = dict(zip(self.seen, range(len(k)))), self._generation()
 
     def _store(self, ids) -> int:
-        k, n, at = self.made, len(ids), self.used
-        if k >= len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.start, self.length))
-        while at + n > len(self.flat):
+        self.new.append(ids)
+        self.made += 1
+        return self.made - 1
+
+    def _flush(self) -> None:
+        """What was stored since the last time goes to the arrays."""
+        if not self.new:
+            return
+        n = np.fromiter(map(len, self.new), np.int64, len(self.new))
+        first, at, more = self.made - len(n), self.used, int(n.sum())
+        while self.made > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros(max(len(x), 16), x.dtype)]) for x in (self.start, self.length))
+        while at + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), 16), self.kind)])
-        self.flat[at : at + n] = ids
-        self.start[k], self.length[k], self.used, self.made = at, n, at + n, k + 1
-        return k
+        self.flat[at : at + more] = np.fromiter(chain.from_iterable(self.new), self.kind, more)
+        self.start[first : self.made], self.length[first : self.made] = at + np.cumsum(n) - n, n
+        self.used, self.new = at + more, []
+
+    def _ids(self, k: int) -> list[int]:
+        late = k - self.made + len(self.new)
+        return self.new[late] if late >= 0 else self.flat[self.start[k] : self.start[k] + self.length[k]].tolist()
 
     def _library(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, piece: str):
         """Ids of a piece. Latin-1 letters with marks after them are two pre-tokens, each the model's own work."""
+        if self.bytes_model and piece.isascii() and piece.removeprefix(" ").isalpha():
+            return [t.id for t in self.model.tokenize(piece.replace(" ", self.letters[32]))]
         m = _PLAIN.match(piece)
         if not m or piece in ("", " "):
             return self._library(piece)
@@ -100,7 +119,7 @@ class Encoder:
             gap = ""
         if word and marks:
             a, b = self.seen[gap + word], self.seen[marks]
-            return np.concatenate([self.flat[self.start[k] : self.start[k] + self.length[k]] for k in (a, b)])
+            return self._ids(a) + self._ids(b)
         text = gap + word + marks
         if not self.bytes_model:
             text = unicodedata.normalize("NFC", text).lower()
@@ -112,7 +131,7 @@ class Encoder:
         if self.bytes_model:
             if _ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
                 return np.array(self._library(text), self.kind)
-            pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            pieces = _MARK.sub("\0\\g<0>", text).replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         else:
             if _ODD.search(text):
                 return np.array(self._library(text), self.kind)
@@ -122,6 +141,7 @@ class Encoder:
         if len(self.seen) > self.remembered:
             self._rotate()
         k = np.fromiter(map(self.seen.__getitem__, pieces), np.int64, len(pieces))
+        self._flush()
         n = self.length[k]
         ends = np.cumsum(n)
         if not ends[-1]:
