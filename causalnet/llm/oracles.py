@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from causalnet.llm import rules
 from causalnet.llm.textstats import CLASSES
 
@@ -74,4 +76,48 @@ n AS (SELECT doc_id, turn, count(*) AS n FROM q WHERE used <= total GROUP BY 1,
 SELECT p.doc_id, p.size::BIGINT AS size, p.source_size, round(p.target, 6) + 0.0 AS target, (coalesce(n.n, 0) * p.size)::BIGINT AS taken FROM p LEFT JOIN n ON n.doc_id IS NOT DISTINCT FROM p.doc_id AND n.turn = p.turn""".strip()
 
 
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules(), "op8_mixing": mixing()}
+def filter_audit() -> str:
+    """Verdicts as a bit mask per document, counted by mask and part, summed for each place in each order."""
+    orders = ", ".join(f"('{''.join(o)}')" for o in permutations("ABCDE"))
+    bit = "(1 << (position(f IN 'ABCDE') - 1))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_WORD}') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY 1),
+v AS (SELECT part, (len(w) < 200)::INTEGER + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INTEGER + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INTEGER
+ + 8 * regexp_matches(t, '[#$%&*|]')::INTEGER + 16 * coalesce(first < doc_id, false)::INTEGER AS m, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, m, count(*) AS n, count_if(good) AS g, count_if(toxic) AS x FROM v GROUP BY 1, 2),
+s AS (SELECT o AS filter_order, step, substr(o, step, 1) AS f, coalesce(list_sum([1 << (position(substr(o, j, 1) IN 'ABCDE') - 1) for j in range(1, step)]), 0)::INTEGER AS b FROM (VALUES {orders}) AS t(o), range(1, 6) AS r(step)),
+k AS (SELECT part, filter_order, step, f, sum(CASE WHEN m & (b | {bit}) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN m & b = 0 AND m & {bit} <> 0 THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN m & b <> 0 AND m & {bit} <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN m = {bit} THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN m & b = 0 AND m & {bit} <> 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN m & b = 0 AND m & {bit} <> 0 THEN x ELSE 0 END) AS toxic_lost FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+ toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM k""".strip()
+
+
+def fill_in_middle(seed: int = 42, rate: int = 50, spm: int = 80) -> str:
+    """Tokens as a list, cut by list slices. A text has no mark where the form is not plain, so it is its own restoration."""
+    piece = lambda a, b: f"coalesce(array_to_string(list_slice(w, {a}, {b}), ''), '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, {", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT AS h{i + 1}" for i in range(4))} FROM d),
+n AS (SELECT *, len(w) AS n, h1 % (len(w) + 1) AS r1, h2 % (len(w) + 1) AS r2 FROM w),
+f AS (SELECT *, least(r1, r2) AS k1, greatest(r1, r2) AS k2, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {rate} THEN 'plain' WHEN h4 % 100 < {spm} THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, {piece('1', 'k1')} AS a, {piece('k1 + 1', 'k2')} AS m, {piece('k2 + 1', 'n')} AS z FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""".strip()
+
+
+def near_vectors(threshold: float = 0.95) -> str:
+    """All pairs; components by the least id that spreads along links."""
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(e, lambda c: c * c)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {threshold}),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.vec_id AND l.b > r.c),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY 1),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN k ON a = vec_id""".strip()
+
+
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules(), "op8_mixing": mixing(), "op11_filter_audit": filter_audit(), "op12_fill_in_middle": fill_in_middle(), "op13_vectors": near_vectors()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from causalnet.llm import langid, media, mixing, packing, pii, quality, rules, simhash, substring, token_ids
+from causalnet.llm import filter_audit, infill, langid, media, mixing, packing, pii, quality, rules, simhash, substring, token_ids, vectors
 from causalnet.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES", "table", "tokenizer_path"]
@@ -79,6 +79,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digest.alias("d")).select("doc_id", "d.*")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(rows, filter_audit.FIVE)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.transform(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256)
+    return cut.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        sha("output").alias("output_sha256"), sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op6_language_id": op6_language_id,
@@ -90,4 +108,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_pii": op10_pii,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_vectors": op13_vectors,
 }
