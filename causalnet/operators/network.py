@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.operators import graph
 from causalnet.operators.orientation import propagate
-from causalnet.plans.requests import Engine, amounts
+from causalnet.plans.requests import Engine
 from causalnet.sources.observations import Options, Variable, check_observations, usable_weights, variables
 
 EDGES = (
@@ -316,44 +319,78 @@ class Reconstruction:
 
 
 def permutation_means(engine: Engine, pairs: Sequence[tuple[int, int]], n_shuffles: int, seed: int = 42) -> dict[tuple[int, int], float]:
-    """Mean exp(-I') over shuffles of x. Rows get a seeded random place for each shuffle; x is joined at
-    that place, so one shuffle serves all pairs with the same x and nothing is sorted in one task."""
-    from pyspark.sql import Window
-
-    spark = engine.spark
-    width = 64
-    rows = engine.codes.withColumn("i", F.monotonically_increasing_id())
-
-    def places(d: DataFrame, key, name: str) -> DataFrame:
-        """Dense places within hash buckets of known size: a bucketed random permutation."""
-        return d.withColumn("b", F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(width))).withColumn(name, F.row_number().over(Window.partitionBy("b").orderBy(key, "i")))
-
-    base = places(rows, F.col("i"), "at")
-    cells = []
-    for s in range(n_shuffles):
-        moved = places(rows, F.xxhash64("i", F.lit(seed + 1 + s)), "at")
-        xs = sorted({x for x, _ in pairs})
-        m = base.join(moved.select("b", "at", *(F.col(f"v{x}").alias(f"x{x}") for x in xs)), ["b", "at"])
-        req = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"x{x}").alias("x"), F.col(f"v{y}").alias("y")) for k, (x, y) in enumerate(pairs)))
-        own = ["w_"] if engine.weighted else []  # the weight stays with y
-        each = m.select(F.explode(req).alias("r"), *own).select("r.*", *own).where("x is not null and y is not null")
-        cells.append(each.groupBy("k", "x", "y").agg(*amounts(engine.weighted)).where("w > 0").withColumn("s", F.lit(s)))
-    whole = cells[0]
-    for c in cells[1:]:
-        whole = whole.unionByName(c)
-    continuous, cplx, maxbins, n_all, weight = [v.continuous for v in engine.variables], engine.options.cplx, engine.maxbins, engine.n, engine.weight
-
-    def finish(key, pdf):
-        import pandas as pd
-
-        from causalnet.functions.kernel import Sample
-
-        x, y = pairs[int(key[0])]
-        got = Sample([pdf["x"].to_numpy(), pdf["y"].to_numpy()], [continuous[x], continuous[y]], pdf["w"].to_numpy() * weight, cplx, min(maxbins, n_all), n_samples=n_all).mutual()
-        return pd.DataFrame({"k": [int(key[0])], "e": [float(np.exp(-max(got.shifted, 0.0)))]})
-
-    means = whole.groupBy("k", "s").applyInPandas(finish, "k int, e double").groupBy("k").agg(F.avg("e").alias("m")).collect()
-    return {pairs[r["k"]]: r["m"] for r in means}
+    """Mean exp(-I') over shuffles of x. Rows have dense numbers that follow from their values alone, and a keyed bijection of
+    these numbers is a shuffle; one serves all pairs. The weight stays with y."""
+    sums = dict.fromkeys(pairs, 0.0)
+    rows, groups = numbered(engine.rows)
+    rows = rows.persist()
+    xs = sorted({x for x, _ in pairs})
+    try:
+        for s in range(n_shuffles):
+            left = rows.select("at_", *(F.col(f"v{x}").alias(f"x{x}") for x in xs)).mapInArrow(_shuffled(engine.n, seed + 1 + s), "at_ long, " + ", ".join(f"x{x} {dict(rows.dtypes)[f'v{x}']}" for x in xs))
+            moved = rows.join(left, "at_").drop("at_").persist()
+            try:
+                found = engine.moved(moved, [(f"x{x}", f"v{y}") for x, y in pairs])
+            finally:
+                moved.unpersist()
+            for k, p in enumerate(pairs):
+                sums[p] += float(np.exp(-max(found[k], 0.0)))
+    finally:
+        rows.unpersist()
+        groups.unpersist()
+    return {p: v / n_shuffles for p, v in sums.items()}
+
+
+def numbered(rows: DataFrame, span: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(numbered, groups): ``rows`` with at_ = 0, 1, ... in the order of a hash of all columns, then of the columns themselves.
+
+    Equal rows are interchangeable, so the numbers don't depend on partitions or on what is computed again. A task orders
+    one of equal parts of the hashes' range, of about ``span`` different rows; one sum for each is carried over. ``groups`` is persisted; the caller lets it go."""
+    columns = rows.columns
+    groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_")).withColumn("h_", F.xxhash64(*columns)).persist()
+    bits = max(0, math.ceil(math.log2(max(1, groups.count() / span))))
+    parts = groups.withColumn("part_", F.shiftright("h_", 64 - bits) if bits else F.lit(0).cast("long"))
+    before, total = [], 0
+    for r in parts.groupBy("part_").agg(F.sum("n_").alias("n")).orderBy("part_").collect():
+        before.append((r["part_"], total))
+        total += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "part_ long, before_ long")
+    upto = F.sum("n_").over(Window.partitionBy("part_").orderBy("h_", *columns).rowsBetween(Window.unboundedPreceding, 0))
+    first = parts.withColumn("upto_", upto).join(F.broadcast(offsets), "part_").withColumn("first_", F.col("before_") + F.col("upto_") - F.col("n_"))  # a row a part
+    piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / 4096)))
+    pieces = first.withColumn("piece_", piece)
+    pieces = pieces.where("n_ <= 4096").unionByName(pieces.where("n_ > 4096").repartition("first_", "piece_"))
+    low = F.col("first_") + F.col("piece_") * 4096
+    return pieces.withColumn("at_", F.explode(F.sequence(low, F.least(low + 4096, F.col("first_") + F.col("n_")) - 1))).select("at_", *columns), groups
+
+
+def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
+    """A bijection of 0, ..., n - 1 for each key: four rounds over the halves of the number's bits, again where n is passed."""
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    mask = np.uint64((1 << half) - 1)
+    keys = [np.uint64(int.from_bytes(hashlib.sha256(f"{key}:{i}".encode()).digest()[:8], "little")) for i in range(4)]
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> np.uint64(half), v & mask
+        for k in keys:
+            mixed = (right ^ k) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((mixed >> np.uint64(32)) & mask)
+        return left << np.uint64(half) | right
+
+    with np.errstate(over="ignore"):
+        out = once(at.astype(np.uint64))
+        while (beyond := out >= n).any():
+            out[beyond] = once(out[beyond])
+    return out.astype(np.int64)
+
+
+def _shuffled(n: int, key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(0, "at_", pa.array(permuted(b.column("at_").to_numpy(), n, key)))
+
+    return run
 
 
 @dataclass

@@ -7,100 +7,82 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from causalnet.functions.kernel import Sample, histogram_cuts
-from causalnet.plans.requests import ATOMS, amounts, encoded
+from causalnet.functions.kernel import histogram_cuts
+from causalnet.operators.encode import encode
+from causalnet.plans import rounds, scales
+from causalnet.plans.rounds import Request, Setting
 from causalnet.plans.shipping import ship
-from causalnet.sources.observations import Variable, numeric_columns, usable_weights
+from causalnet.sources.observations import numeric_columns, usable_weights
 
 
-def _counts(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None, atoms: int | None = ATOMS, weights: str | None = None) -> tuple[DataFrame, list[bool]]:
-    """(v0, v1, ..., w, m): weights and rows of code tuples over complete rows."""
-    ship(df.sparkSession)
+def _kinds(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None) -> list[bool]:
     numbers = set(numeric_columns(df))
-    kinds = [c in numbers for c in columns] if continuous is None else list(continuous)
-    whole = df.dropna(subset=list(columns))
-    found = [Variable(c, k) for c, k in zip(columns, kinds)]
-    weights = weights if usable_weights(df, weights) else None
-    codes, _ = encoded(whole, found, atoms, weights)
-    return codes.groupBy(*(f"v{i}" for i in range(len(columns)))).agg(*amounts(weights is not None)).where("w > 0"), kinds
+    return [c in numbers for c in columns] if continuous is None else list(continuous)
 
 
-def _kernel(cells: DataFrame, kinds: list[bool], cplx: str, n_eff: float | None, maxbins: int | None, use, schema: str) -> DataFrame:
-    """One group: all counts of one request, bounded by the tuples that occur."""
-    d = len(kinds)
-
-    def run(pdf):
-        import pandas as pd
-
-        w = pdf["w"].to_numpy()
-        n = int(pdf["m"].sum())
+def _answer(df: DataFrame, kind: str, columns: Sequence[str], kinds: Sequence[bool], cplx: str, n_eff: float | None, maxbins: int | None, weights: str | None) -> tuple[dict, list[scales.Places | None]]:
+    """(result, places of each column) of one request over the rows that know all columns."""
+    ship(df.sparkSession)
+    weights = weights if usable_weights(df, weights) else None
+    whole = df.dropna(subset=list(columns))
+    rows = rounds.observed(whole.where(F.col(weights) > 0) if weights else whole, list(zip(columns, kinds)), weights)
+    names = [f"v{i}" for i in range(len(columns))]
+    rows = rows.dropna(subset=names).persist()
+    try:
+        n = rows.count()
         if n < 3:
             raise ValueError("fewer than 3 complete rows")
         start = min(30, round(n ** (1 / 3)))
-        s = Sample([pdf[f"v{i}"].to_numpy() for i in range(d)], kinds, w * (n_eff / n if n_eff else 1.0), cplx, min(n, maxbins or min(5 * start, 50)), start, n)
-        return pd.DataFrame([use(s)])
-
-    return cells.withColumn("one_", F.lit(1)).groupBy("one_").applyInPandas(run, schema)
+        o = Setting(cplx, min(n, maxbins or min(5 * start, 50)), start, False, n_eff / n if n_eff and not weights else 1.0)
+        wanted = [(c, ()) for c, number in zip(names, kinds) if number]
+        if wanted:
+            o.scales = dict(zip(wanted, scales.places(scales.tally(rows, wanted), len(wanted), o.maxbins)))
+        found = rounds.solve(rows, [Request(kind, tuple(names))], dict(zip(names, kinds)), set(), o, weights is not None, n_rows=n)[0]
+        return found, [o.scales.get((c, ())) for c in names]
+    finally:
+        rows.unpersist()
 
 
 def mutual_information(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, maxbins: int | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
     """One row: n, info, infok (shifted), n_iterations; in nats times samples.
 
     A column of ``sample_weights`` (0 to 1) weighs the rows, and ``n_eff`` then counts for nothing."""
-    cells, kinds = _counts(df, [x, y, *given], continuous, weights=sample_weights)
-    n_eff = None if sample_weights else n_eff
-
-    def use(s: Sample) -> dict:
-        r = s.conditional(0, 1, range(2, len(kinds)))
-        return {"n": r.n, "info": r.info, "infok": r.shifted, "n_iterations": len(r.cuts)}
-
-    return _kernel(cells, kinds, cplx, n_eff, maxbins, use, "n double, info double, infok double, n_iterations int")
+    columns = [x, y, *given]
+    r, _ = _answer(df, "2", columns, _kinds(df, columns, continuous), cplx, n_eff, maxbins, sample_weights)
+    return df.sparkSession.createDataFrame([(r["n"], r["info"], r["info"] - r["cplx"], len(r["cuts"]))], "n double, info double, infok double, n_iterations int")
 
 
 def three_point_information(df: DataFrame, x: str, y: str, z: str, given: Sequence[str] = (), cplx: str = "nml", n_eff: float | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
     """One row: n, i3, i3k, i2, i2k, score."""
-    cells, kinds = _counts(df, [x, y, z, *given], continuous, weights=sample_weights)
-    n_eff = None if sample_weights else n_eff
-
-    def use(s: Sample) -> dict:
-        r = s.three_point(0, 1, 2, range(3, len(kinds)))
-        return {"n": r["n"], "i3": r["i3"], "i3k": r["i3"] - r["k3"], "i2": r["i2"], "i2k": r["i2"] - r["k2"], "score": r["score"]}
+    columns = [x, y, z, *given]
+    r, _ = _answer(df, "3", columns, _kinds(df, columns, continuous), cplx, n_eff, None, sample_weights)
+    return df.sparkSession.createDataFrame([(r["n"], r["i3"], r["i3"] - r["k3"], r["i2"], r["i2"] - r["k2"], r["score"])], "n double, i3 double, i3k double, i2 double, i2k double, score double")
 
-    return _kernel(cells, kinds, cplx, n_eff, None, use, "n double, i3 double, i3k double, i2 double, i2k double, score double")
 
-
-def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", maxbins: int | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None) -> DataFrame:
+def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", maxbins: int | None = None, continuous: Sequence[bool] | None = None, sample_weights: str | None = None, ends: bool = True) -> DataFrame:
     """(iteration, variable, cut): the cut points of x and y at each iteration, midpoints of neighbouring values.
 
-    Values are never merged: the kernel groups and the cuts are looked up by rank among all distinct values."""
-    numbers = set(numeric_columns(df))
-    kinds = [c in numbers for c in (x, y, *given)] if continuous is None else list(continuous)
+    With ``ends`` they begin below the least value, by a hundredth of the smaller standard deviation of x and y (of a discrete
+    one, that of its codes), and end at the greatest."""
+    columns = [x, y, *given]
+    kinds = _kinds(df, columns, continuous)
     if not (kinds[0] or kinds[1]):
         raise ValueError("at least one of the two variables must be continuous")
-    cells, kinds = _counts(df, [x, y, *given], continuous, None, sample_weights)
-
-    def run(pdf):
-        import pandas as pd
-
-        w = pdf["w"].to_numpy()
-        n = int(pdf["m"].sum())
-        start = min(30, round(n ** (1 / 3)))
-        s = Sample([pdf[f"v{i}"].to_numpy() for i in range(len(kinds))], kinds, w, cplx, min(n, maxbins or min(5 * start, 50)), start, n)
-        got = s.conditional(0, 1, range(2, len(kinds)))
-        rows = [(i + 1, v, int(c)) for i, cuts in enumerate(got.cuts) for v in (0, 1) if kinds[v] for c in cuts[v]]
-        return pd.DataFrame(rows, columns=["iteration", "v", "code"])
-
-    codes = cells.withColumn("one_", F.lit(1)).groupBy("one_").applyInPandas(run, "iteration int, v int, code int")
-    out = None
-    for k, c in enumerate((x, y)):
-        if not kinds[k]:
-            continue
-        values = df.dropna(subset=[x, y, *given]).select(F.col(c).cast("double").alias("value")).distinct()
-        order = Window.orderBy("value")
-        mid = values.select((F.row_number().over(order) - 1).alias("at"), ((F.col("value") + F.lead("value").over(order)) / 2).alias("cut"))
-        part = codes.where(F.col("v") == k).join(mid, F.col("code") == F.col("at")).select("iteration", F.lit(c).alias("variable"), "cut")
-        out = part if out is None else out.unionByName(part)
-    return out
+    r, places = _answer(df, "2", columns, kinds, cplx, None, maxbins, sample_weights)
+    outer = {}
+    if ends:
+        whole = df.dropna(subset=columns).select(x, y)
+        discrete = [c for c, number in zip((x, y), kinds) if not number]
+        one = (encode(whole, discrete) if discrete else whole).agg(*(f(F.col(c).cast("double")).alias(f"{name}{i}") for i, c in enumerate((x, y)) for name, f in (("s", F.stddev_samp), ("a", F.min), ("b", F.max)))).collect()[0]
+        step = min(one["s0"], one["s1"]) / 100
+        outer = {i: (one[f"a{i}"] - step, one[f"b{i}"]) for i in (0, 1)}
+    rows = []
+    for i, cuts in enumerate(r["cuts"], 1):
+        for k, c in enumerate((x, y)):
+            if kinds[k]:
+                inner = [places[k].middle(at) for at in cuts[k]]
+                rows += [(i, c, v) for v in ([outer[k][0], *inner, outer[k][1]] if ends else inner)]
+    return df.sparkSession.createDataFrame(rows, "iteration int, variable string, cut double")
 
 
 def discretise_mdl(df: DataFrame, x: str, max_bins: int = 20) -> DataFrame:

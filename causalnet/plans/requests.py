@@ -1,60 +1,35 @@
-"""Batches of information requests: one Spark job counts for all of them, a kernel per request finishes.
+"""Answers to batches of information requests about the columns of one table.
 
-The rows are encoded once (levels to codes; a continuous variable of very many values to at most
-``ATOMS`` groups of neighbouring values). A batch explodes each row into its requests' code tuples and
-counts them, so what leaves a task is bounded by the tuples that occur, not by rows; the kernel then
-sees counts. Results are one row per request, cached on the driver.
+Columns are observed once (numbers, hashes of levels, gaps); a batch first gets the exact places of its continuous
+variables on the rows that count for each request (``plans.scales``), then its counts and searches (``plans.rounds``), and
+whether gaps fall at random where that matters (``operators.neighbours``). Results are one row per request, cached on the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causalnet.functions.kernel import TINY, Sample, joint
+from causalnet.functions.kernel import TINY, joint
+from causalnet.operators.neighbours import missing_at_random
+from causalnet.plans import rounds, scales
+from causalnet.plans.rounds import Request, Setting
 from causalnet.plans.shipping import ship
 from causalnet.sources.observations import Options, Variable
 
-ATOMS = 4096
-
-
-def encoded(df: DataFrame, variables: list[Variable], atoms: int | None = ATOMS, weights: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(codes, raw): int codes named by position, v0, v1, ..., null where unknown; and the persisted columns they come from.
-
-    Without ``atoms`` no values are merged: every code is the rank of its value. ``weights`` names a column
-    that comes along as w_."""
-    more = [F.col(weights).cast("double").alias("w_")] if weights else []
-    raw = base = df.select(*(F.col(v.name).alias(f"v{i}") for i, v in enumerate(variables)), *more).persist()
-    sizes = {} if atoms is None else raw.agg(*(F.approx_count_distinct(f"v{i}").alias(f"v{i}") for i in range(len(variables)))).collect()[0]
-    for i, v in enumerate(variables):
-        c = f"v{i}"
-        if atoms is not None and v.continuous and sizes[c] > atoms:
-            cuts = sorted(set(raw.approxQuantile(c, [k / atoms for k in range(1, atoms)], 1 / (8 * atoms))))
-            base = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=c, outputCol="b_", handleInvalid="keep").transform(base)
-            base = base.withColumn(c, F.when(F.col(c).isNotNull(), F.col("b_").cast("int"))).drop("b_")
-            continue
-        table = raw.where(F.col(c).isNotNull()).select(F.col(c).alias("l_")).distinct()
-        table = table.select("l_", (F.row_number().over(Window.orderBy("l_")) - 1).alias("c_"))
-        base = base.join(table, F.col(c) == F.col("l_"), "left").withColumn(c, F.col("c_")).drop("l_", "c_")
-    return base.select(*(F.col(f"v{i}").cast("int") for i in range(len(variables))), *(["w_"] if weights else [])), raw
-
-
-def amounts(weighted: bool) -> list[Column]:
-    """What is counted of a code tuple: w, the sum of its rows' weights, and m, its rows."""
-    rows = F.count(F.lit(1)).cast("double")
-    return [(F.sum("w_") if weighted else rows).alias("w"), rows.alias("m")]
+NOTHING = {"2": {"info": 0.0, "cplx": 0.0}, "3": {"i3": 0.0, "k3": 0.0, "i2": 0.0, "k2": 0.0, "score": -1e300}, "tie": {"shared": 0.0}}
 
 
 def missing_at_random_rejects(x: np.ndarray, y: np.ndarray, known: np.ndarray, w: np.ndarray) -> bool:
-    """Whether the rows that know z have another (x, y) distribution than all, by n KL > ln n."""
+    """Whether the rows that know z have another (x, y) distribution than all, by n KL > ln n; x and y are discrete."""
     n, nq = float(w[known].sum()), float(w.sum())
     if n <= 0 or n == nq:
         return False
-    f = joint([x, y], len(x))
+    f = joint([np.unique(c, return_inverse=True)[1] for c in (x, y)], len(x))
     q, p = np.bincount(f, weights=w), np.bincount(f[known], weights=w[known], minlength=int(f.max()) + 1)
     at = p > 0
     kl = float((p[at] * np.log(p[at] / n * nq / q[at])).sum())
@@ -67,22 +42,24 @@ class Engine:
     The last is I'(x;z) + I'(y;z) over the rows that know all three."""
 
     def __init__(self, df: DataFrame, variables: list[Variable], options: Options = Options(), maxbins: int = 50):
-        self.variables, self.options, self.maxbins = variables, options, maxbins
+        self.variables, self.options = variables, options
         self.spark = df.sparkSession
         ship(self.spark)
         self.weighted = options.sample_weights is not None
-        self.codes, self.raw = encoded(df, variables, weights=options.sample_weights)
-        self.codes = self.codes.persist()
-        one = self.codes.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in self.codes.columns)).collect()[0]
+        self.rows = rounds.observed(df, [(v.name, v.continuous) for v in variables], options.sample_weights).persist()
+        one = self.rows.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in self.rows.columns)).collect()[0]
         self.n = one["n"]
-        self.gaps = [one[f"v{i}"] < self.n for i in range(len(variables))]
-        self.weight = options.n_eff / self.n if 0 < options.n_eff < self.n and not self.weighted else 1.0
+        self.names = [f"v{i}" for i in range(len(variables))]
+        self.kinds = {f"v{i}": v.continuous for i, v in enumerate(variables)}
+        self.gaps = {c for c in self.names if one[c] < self.n}
+        weight = options.n_eff / self.n if 0 < options.n_eff < self.n and not self.weighted else 1.0
+        start = min(30, int(0.5 + self.n ** (1 / 3)))
+        self.setting = Setting(options.cplx, max(1, min(maxbins, self.n)), start, options.negative_info, weight)
         self.cache: dict = {}
         self.batches = 0
 
     def close(self) -> None:
-        self.codes.unpersist()
-        self.raw.unpersist()
+        self.rows.unpersist()
 
     @staticmethod
     def two(x: int, y: int, us: Iterable[int] = ()) -> tuple:
@@ -99,64 +76,64 @@ class Engine:
     def get(self, request: tuple) -> dict | None:
         return self.cache.get(request)
 
+    def measure(self, requests: Iterable[Request], rows: DataFrame | None = None) -> None:
+        """Find the places that these requests need and that are not known yet."""
+        wanted = {(c, rounds.contexts(r, self.gaps)) for r in requests for c in r.columns if self.kinds[c]}
+        new = sorted(k for k in wanted if k not in self.setting.scales)
+        if new:
+            tallies = scales.tally(self.rows if rows is None else rows, new, "w_" if self.weighted else None)
+            self.setting.scales |= dict(zip(new, scales.places(tallies, len(new), self.setting.maxbins)))
+
+    def _biased(self, todo: list[tuple]) -> set[tuple]:
+        """Three-point requests with a continuous x or y whose third variable's gaps don't fall at random."""
+        v = lambda i: f"v{i}"
+        ask = [q for q in todo if q[0] == "3" and self.options.test_mar and v(q[3]) in self.gaps and (self.kinds[v(q[1])] or self.kinds[v(q[2])])]
+        if not ask:
+            return set()
+        tests = [(v(q[1]), v(q[2]), v(q[3]), [v(u) for u in q[4]]) for q in ask]
+        found = missing_at_random(self.rows.where("w_ > 0") if self.weighted else self.rows, tests, {c for c, number in self.kinds.items() if number})
+        return {q for q, (n1, n2, kl) in zip(ask, found) if 2 < n1 < n2 and kl - np.log(n1) > 0}
+
+    def moved(self, rows: DataFrame, pairs: list[tuple[str, str]]) -> dict[int, float]:
+        """I' of each pair of columns of a table whose column x3 is a shuffled v3; by place in the list."""
+        name = lambda c: f"v{c[1:]}"
+        columns = {c for p in pairs for c in p}
+        gaps = {c for c in columns if name(c) in self.gaps}
+        kinds = {c: self.kinds[name(c)] for c in columns}
+        asked = [Request("2", p) for p in pairs]
+        wanted = {(c, rounds.contexts(r, gaps)) for r in asked for c in r.columns if kinds[c]}
+        setting = replace(self.setting, scales={(c, o): self.setting.scales[name(c), ()] for c, o in wanted if not o and (name(c), ()) in self.setting.scales})
+        if new := sorted(wanted - setting.scales.keys()):
+            setting.scales |= dict(zip(new, scales.places(scales.tally(rows, new, "w_" if self.weighted else None), len(new), setting.maxbins)))
+        found = rounds.solve(rows, asked, kinds, gaps, setting, self.weighted, n_rows=self.n)
+        return {k: found[k]["info"] - found[k]["cplx"] if k in found else 0.0 for k in range(len(pairs))}
+
     def run(self, requests: Iterable[tuple]) -> None:
         todo = [r for r in dict.fromkeys(requests) if r not in self.cache]
         if not todo:
             return
         self.batches += 1
-        sets = [(r[1], r[2], *([r[3], *r[4]] if r[0] == "3" else r[3])) for r in todo]
-        width = max(map(len, sets))
-        # Of a three-point request the third may be unknown (-1): the missing-at-random test needs those rows.
-        code = lambda i, third: f"coalesce(v{i}, -1)" if third else f"v{i}"
-        structs = [
-            "named_struct('k', {}, {}, 'whole', {})".format(
-                k,
-                ", ".join(f"'c{j}', {code(s[j], r[0] == '3' and j == 2) if j < len(s) else '0'}" for j in range(width)),
-                " and ".join(f"v{v} is not null" for j, v in enumerate(s) if self.gaps[v] and not (r[0] == "3" and j == 2)) or "true",
-            )
-            for k, (r, s) in enumerate(zip(todo, sets))
-        ]
-        own = ["w_"] if self.weighted else []
-        each = self.codes.select(F.explode(F.expr(f"array({', '.join(structs)})")).alias("r"), *own).select("r.*", *own).where("whole")
-        names = [f"c{j}" for j in range(width)]
-        cells = each.groupBy("k", *names).agg(*amounts(self.weighted)).where("w > 0")
-        continuous = [v.continuous for v in self.variables]
-        o, maxbins, weight, n_all = self.options, self.maxbins, self.weight, self.n
-
-        def finish(key, pdf):
-            import pandas as pd
-
-            k = int(key[0])
-            r, s = todo[k], sets[k]
-            codes = pdf[names[: len(s)]].to_numpy(dtype=np.int64).T
-            w, m = pdf["w"].to_numpy() * weight, pdf["m"].to_numpy()
-            make = lambda keep: Sample([c[keep] for c in codes], [continuous[i] for i in s], w[keep], o.cplx, min(maxbins, n_all), n_samples=n_all)
-            if r[0] == "2":
-                got = make(np.ones(len(w), bool)).conditional(0, 1, range(2, len(s)), o.negative_info)
-                out = (got.n, got.info, got.cplx, 0.0, 0.0, 0.0)
-            elif r[0] == "tie":
-                both = make(np.ones(len(w), bool))
-                parts = [both.conditional(v, 2, [], o.negative_info) for v in (0, 1)] if m.sum() > 2 else []
-                out = (float(w.sum()), sum(p.shifted for p in parts), 0.0, 0.0, 0.0, 0.0)
-            else:
-                known = codes[2] >= 0
-                if m[known].sum() <= 2 or (o.test_mar and missing_at_random_rejects(codes[0], codes[1], known, w)):
-                    out = (float(w[known].sum()), 0.0, 0.0, 0.0, 0.0, -1e300)
-                else:
-                    t = make(known).three_point(0, 1, 2, range(3, len(s)))
-                    out = (t["n"], t["i3"], t["k3"], t["i2"], t["k2"], t["score"])
-            return pd.DataFrame([(k, *map(float, out))], columns=["k", "n", "a", "b", "c", "d", "score"])
-
-        for r in cells.groupBy("k").applyInPandas(finish, "k int, n double, a double, b double, c double, d double, score double").collect():
-            q = todo[r["k"]]
-            small = lambda v: 0.0 if abs(v) < TINY else v
-            if q[0] == "2":
-                self.cache[q] = {"n": r["n"], "info": small(r["a"]), "cplx": small(r["b"])}
-            elif q[0] == "tie":
-                self.cache[q] = {"n": r["n"], "shared": r["a"]}
-            else:
-                self.cache[q] = {"n": r["n"], "i3": r["a"], "k3": r["b"], "i2": r["c"], "k2": r["d"], "score": r["score"]}
-        nothing = {"2": {"info": 0.0, "cplx": 0.0}, "3": {"i3": 0.0, "k3": 0.0, "i2": 0.0, "k2": 0.0, "score": -1e300}, "tie": {"shared": 0.0}}
-        for q in todo:  # without a complete row
-            self.cache.setdefault(q, {"n": 0.0} | nothing[q[0]])
-
+        biased = self._biased(todo)
+        for q in biased:
+            self.cache[q] = {"n": 0.0} | NOTHING["3"]
+        todo = [q for q in todo if q not in biased]
+        asked = []
+        for q in todo:
+            own = (q[1], q[2], *([q[3], *q[4]] if q[0] == "3" else q[3]))
+            columns = tuple(f"v{i}" for i in own)
+            discrete = not (self.kinds[columns[0]] or self.kinds[columns[1]])
+            asked.append(Request(q[0], columns, q[0] == "3" and self.options.test_mar and columns[2] in self.gaps and discrete))
+        self.measure(asked)
+        setting = self.setting
+
+        def finish(r: Request, codes, whole, w, m, sample) -> dict:
+            if r.kind != "2" and (m[whole].sum() <= 2 or (r.third and missing_at_random_rejects(codes[0], codes[1], whole, w))):
+                return {"n": float(w[whole].sum())} | NOTHING[r.kind]
+            s = sample()
+            return rounds.plain(s.run(rounds.begin(s.search, r.kind, len(r.columns), setting)))
+
+        found = rounds.solve(self.rows, asked, self.kinds, self.gaps, setting, self.weighted, finish, self.n)
+        small = lambda v: 0.0 if abs(v) < TINY else v
+        for k, q in enumerate(todo):
+            r = found.get(k, {"n": 0.0} | NOTHING[q[0]])
+            self.cache[q] = {"n": r["n"], "info": small(r["info"]), "cplx": small(r["cplx"])} if q[0] == "2" else r
