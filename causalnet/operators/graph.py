@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causalnet.functions.scores import accepted_head, adjacency_code
+from causalnet.plans.shipping import ship
 
 
 def neighbours(edges: Iterable[tuple[int, int]]) -> dict[int, set[int]]:
@@ -177,6 +178,22 @@ def truth_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     return c.select("tp", "fp", "fn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 4).alias("fscore"))
 
 
+def path_candidates(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(x, y, between): the nodes on simple paths from x to y, by name, as text. Edges of a graph of variables, whose nodes the
+    driver holds as a list of neighbours; pairs stay where they are and each is answered from a broadcast copy of that list."""
+    near = neighbours((r["x"], r["y"]) for r in edges.select("x", "y").distinct().collect())
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("x"), b.column("y"), pa.array([",".join(sorted(on_paths(near, p, q))) for p, q in zip(x, y)])], ["x", "y", "between"])
+
+    ship(edges.sparkSession)
+    return pairs.select("x", "y").mapInArrow(run, "x string, y string, between string")
+
+
 def reachable(edges: DataFrame, start: str) -> DataFrame:
     """Nodes that a path joins to ``start``: rounds of joins until nothing is new."""
     both = edges.select("x", "y").unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()

@@ -19,7 +19,7 @@ from causalnet.plans.requests import Engine
 from causalnet.sources.observations import Options, Variable, check_observations, usable_weights, variables
 
 EDGES = (
-    "x string, y string, n double, info double, cplx double, info_cond double, cplx_cond double, info_shifted double, ai array<string>, contributions array<double>, "
+    "x string, y string, n double, info double, cplx double, n_cond double, info_cond double, cplx_cond double, info_shifted double, ai array<string>, raw_contributions array<double>, contributions array<double>, "
     "confidence double, connected boolean, p_y2x double, p_x2y double, tip_x int, tip_y int, ort_inferred int"
 )
 
@@ -31,11 +31,13 @@ class Edge:
     n: float = 0.0
     info: float = 0.0
     cplx: float = 0.0
+    n_cond: float = 0.0
     info_cond: float = 0.0
     cplx_cond: float = 0.0
     connected: bool = True
     us: list[int] = field(default_factory=list)
-    shares: list[float] = field(default_factory=list)
+    raw_shares: list[float] = field(default_factory=list)  # of the information without conditions
+    shares: list[float] = field(default_factory=list)  # of the information that the former conditions leave
     top: int | None = None
     score: float = 0.0
     confidence: float | None = None
@@ -81,7 +83,7 @@ class Reconstruction:
         e.run(e.two(*p) for p in self.pairs)
         for p in self.pairs:
             r = e.get(e.two(*p))
-            k = Edge(*p, r["n"], r["info"], r["cplx"], r["info"], r["cplx"])
+            k = Edge(*p, r["n"], r["info"], r["cplx"], r["n"], r["info"], r["cplx"])
             k.connected = k.shifted() > 0
             self.base[p] = k
 
@@ -126,19 +128,20 @@ class Reconstruction:
                 self.wanted.append(g.three(e.x, e.y, z, us))
                 missing = True
             elif r["score"] > 0:
-                found.append((r["score"], z, (r["i3"] - r["k3"]) / (r["i2"] - r["k2"]) if r["i2"] - r["k2"] else 0.0))
+                shared = r["i3"] - r["k3"]
+                found.append((r["score"], z, *(shared / v if v else 0.0 for v in (e.info - e.cplx, r["i2"] - r["k2"]))))
         if missing:
             raise Waiting
-        most = max((s for s, _, _ in found), default=0.0)
+        most = max((f[0] for f in found), default=0.0)
         found = [f for f in found if f[0] >= most - 1e-12]
         if len(found) > 1:
-            ask = [g.tie(e.x, e.y, z) for _, z, _ in found]
+            ask = [g.tie(e.x, e.y, f[1]) for f in found]
             if unknown := [q for q in ask if g.get(q) is None]:
                 self.wanted += unknown
                 raise Waiting
             shared = [g.get(q)["shared"] for q in ask]
             found = [f for f, h in zip(found, shared) if h >= max(shared) - 1e-12]
-        e.score, e.top, e.share = found[0] if found else (0.0, None, 0.0)
+        e.score, e.top, e.raw_share, e.share = found[0] if found else (0.0, None, 0.0, 0.0)
 
     def skeleton(self, allowed=None) -> None:
         """Remove edges that contributors explain away, the strongest first. The order is sequential;
@@ -153,7 +156,7 @@ class Reconstruction:
 
     def _replay(self, allowed) -> None:
         g = self.engine
-        edges = {p: Edge(e.x, e.y, e.n, e.info, e.cplx, e.info, e.cplx, e.connected) for p, e in self.base.items()}
+        edges = {p: Edge(e.x, e.y, e.n, e.info, e.cplx, e.n, e.info, e.cplx, e.connected) for p, e in self.base.items()}
         near = graph.neighbours(p for p, e in edges.items() if e.connected)
         waiting = False
         for e in edges.values():
@@ -181,19 +184,20 @@ class Reconstruction:
                 r = self._answer(g.two(e.x, e.y, us))
                 removed = r["info"] - r["cplx"] <= 0
                 if not removed:
-                    trial = Edge(e.x, e.y)
+                    trial = Edge(e.x, e.y, e.n, e.info, e.cplx)
                     self._best(trial, us, near, allowed)
             except Waiting:
                 speculate()
                 raise
-            e.us, e.shares, e.n, e.info_cond, e.cplx_cond = us, [*e.shares, e.share], r["n"], r["info"], r["cplx"]
+            e.us, e.raw_shares, e.shares = us, [*e.raw_shares, e.raw_share], [*e.shares, e.share]
+            e.n_cond, e.info_cond, e.cplx_cond = r["n"], r["info"], r["cplx"]
             if removed:
                 e.connected = False
                 open_edges.discard(p)
                 near.get(e.x, set()).discard(e.y)
                 near.get(e.y, set()).discard(e.x)
             else:
-                e.score, e.top, e.share = trial.score, trial.top, trial.share
+                e.score, e.top, e.raw_share, e.share = trial.score, trial.top, trial.raw_share, trial.share
                 if e.top is None:
                     open_edges.discard(p)
         self.edges = edges
@@ -298,8 +302,8 @@ class Reconstruction:
             p = (e.p.get(a), e.p.get(b)) if e.connected and e.p else (None, None)
             code = self.code(e)
             code = {2: -2, -2: 2}.get(code, code) if a != e.x else code
-            rows.append((v[a].name, v[b].name, e.n, e.info, e.cplx, e.info_cond, e.cplx_cond, e.shifted(), [v[u].name for u in e.us], [float(s) for s in e.shares], e.confidence, e.connected, *p, e.tip.get(a, 1) if e.connected else 0, e.tip.get(b, 1) if e.connected else 0, code))
-        rows.sort(key=lambda r: (not r[11], -r[7], r[0], r[1]))
+            rows.append((v[a].name, v[b].name, e.n, e.info, e.cplx, e.n_cond, e.info_cond, e.cplx_cond, e.shifted(), [v[u].name for u in e.us], [float(s) for s in e.raw_shares], [float(s) for s in e.shares], e.confidence, e.connected, *p, e.tip.get(a, 1) if e.connected else 0, e.tip.get(b, 1) if e.connected else 0, code))
+        rows.sort(key=lambda r: (not r[13], -r[8], r[0], r[1]))
         return self.engine.spark.createDataFrame(rows, EDGES)
 
     def triple_table(self) -> DataFrame:

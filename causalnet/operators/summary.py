@@ -133,7 +133,7 @@ def summarise(df: DataFrame, edges: DataFrame, found: Sequence[Variable], o: Opt
         partial = partials.get((x, y, *ai)) if r["connected"] else None
         sign = None if partial is None else "+" if partial >= 0 else "-"
         csv = lambda a: ",".join(a) or None
-        shares = [f"{c:.6f}" for c in r["contributions"] or []]
-        out.append((x, y, kind, csv(ai), csv(shares), csv(shares), r["info"], r["n"], r["info_cond"], r["cplx_cond"], r["n"], r["info_shifted"], code, right, None if right is None else code == right, causal, consensus, sure, s["edge_stats"] if s else None, sign, partial, q, p, r["confidence"]))
+        raw, shares = ([f"{c:.6f}" for c in r[name] or []] for name in ("raw_contributions", "contributions"))
+        out.append((x, y, kind, csv(ai), csv(raw), csv(shares), r["info"], r["n"], r["info_cond"], r["cplx_cond"], r["n_cond"], r["info_shifted"], code, right, None if right is None else code == right, causal, consensus, sure, s["edge_stats"] if s else None, sign, partial, q, p, r["confidence"]))
     out.sort(key=lambda t: (-t[11], t[0], t[1]))
     return df.sparkSession.createDataFrame(out, SUMMARY)

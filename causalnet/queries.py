@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from causalnet import sqlgen
 from causalnet.functions import complexity, scores
-from causalnet.operators import discrete, encode, graph, network, standalone, summary, temporal
+from causalnet.operators import discrete, encode, graph, neighbours, network, standalone, summary, temporal
 from causalnet.sources import observations, sinks
 from causalnet.sources.observations import Variable
 
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LINE = ["l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax"]
 ORDERED = "SELECT doc_id, lang, source, n_chars, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"
-EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "d"), ("d", "e"), ("e", "f"), ("g", "h")]
-EDGES_SQL = "(VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in EDGES) + ") AS e(x, y)"
-LAGGED = [("a_lag1", "b_lag0", 10.0), ("a_lag2", "b_lag0", 4.0), ("b_lag1", "b_lag0", 7.0), ("b_lag1", "a_lag0", 9.0), ("c_lag0", "a_lag0", 3.0)]
-LAGGED_SQL = "(VALUES " + ", ".join(f"('{x}', '{y}', {v})" for x, y, v in LAGGED) + ") AS e(x, y, info_shifted)"
+# A graph of regions, nations and suppliers: suppliers in debt also stand beside their region, which closes triangles.
+EDGES_SQL = (
+    "(SELECT r_name AS x, n_name AS y FROM region JOIN nation ON r_regionkey = n_regionkey UNION ALL SELECT n_name, s_name FROM nation JOIN supplier ON n_nationkey = s_nationkey UNION ALL "
+    "SELECT s_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal < 0) AS e(x, y)"
+)
+# Edges between lagged variables, named after levels of order lines.
+LAGGED_SQL = (
+    "(SELECT l_linestatus || '_lag' || (l_linenumber % 3) AS x, o_orderstatus || '_lag' || (l_orderkey % 2) AS y, sum(l_quantity) / 1000 AS info_shifted "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) AS e(x, y, info_shifted)"
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +58,18 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "lang", "source", "n_chars", "quality", "toxic")
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(EDGES, "x string, y string")
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    nation, supplier = table(spark, d, "nation"), table(spark, d, "supplier")
+    of_region = nation.join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    of_supplier = of_region.join(supplier, F.col("s_nationkey") == F.col("n_nationkey"))
+    all_of = of_region.select(F.col("r_name").alias("x"), F.col("n_name").alias("y")).unionByName(of_supplier.select(F.col("n_name").alias("x"), F.col("s_name").alias("y")))
+    return all_of.unionByName(of_supplier.where("s_acctbal < 0").select(F.col("s_name").alias("x"), F.col("r_name").alias("y")))
 
 
-def lagged(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LAGGED, "x string, y string, info_shifted double")
+def lagged(spark: SparkSession, d: str) -> DataFrame:
+    name = lambda v, k: F.concat(F.col(v), F.lit("_lag"), k.cast("string"))
+    both = lines_and_orders(spark, d)
+    return both.groupBy(name("l_linestatus", F.col("l_linenumber") % 3).alias("x"), name("o_orderstatus", F.col("l_orderkey") % 2).alias("y")).agg((F.sum("l_quantity") / 1000).alias("info_shifted"))
 
 
 # Sources and checks
@@ -78,9 +90,13 @@ def _pairs(spark, d):
     return observations.canonical_pairs(j.select(F.col("l_returnflag").alias("var1"), F.col("o_orderstatus").alias("var2")))
 
 
-@query("black_box_filter", f"SELECT x, y FROM {EDGES_SQL} WHERE NOT (least(x, y) = 'b' AND greatest(x, y) = 'c') AND NOT (least(x, y) = 'd' AND greatest(x, y) = 'e')")
+_BLACK_SQL = "(SELECT s_name AS var1, n_name AS var2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)"
+
+
+@query("black_box_filter", f"SELECT x, y FROM {EDGES_SQL} WHERE NOT EXISTS (SELECT 1 FROM {_BLACK_SQL} b WHERE least(e.x, e.y) = least(var1, var2) AND greatest(e.x, e.y) = greatest(var1, var2))")
 def _black(spark, d):
-    return observations.without_pairs(edges(spark), spark.createDataFrame([("c", "b"), ("d", "e")], "var1 string, var2 string"))
+    rich = table(spark, d, "supplier").where("s_acctbal > 5000").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return observations.without_pairs(edges(spark, d), rich.select(F.col("s_name").alias("var1"), F.col("n_name").alias("var2")))
 
 
 @query("encode_codes", "SELECT level, n, (dense_rank() OVER (ORDER BY level) - 1)::INTEGER AS code FROM (SELECT o_orderpriority AS level, count(*) AS n FROM orders GROUP BY 1)")
@@ -180,9 +196,17 @@ def _contributors(spark, d):
     return r6(discrete.contributors(lines_and_orders(spark, d), _E2, [*LINE, "o_orderstatus"], "bic").select("x", "y", "z", "score"))
 
 
-@query("best_contributor", r6_sql(f"SELECT x, y, z, score FROM ({_BEST}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY score DESC, z) = 1", "score", "x, y, z"))
+_STEPS = "SELECT floor(l_quantity / 5) AS fine, floor(l_quantity / 10) AS middle, floor(l_quantity / 20) AS coarse, l_returnflag, l_linestatus, l_linenumber, l_tax FROM lineitem"
+_E3 = [("fine", "coarse"), ("l_returnflag", "l_linestatus")]
+_Z3 = ["middle", "l_linenumber", "l_tax"]
+_MEDIATED = " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, '{z}' AS z, score FROM ({sqlgen.three_point(_STEPS, x, y, z, cplx='bic')})" for x, y in _E3 for z in _Z3)
+
+
+@query("best_contributor", r6_sql(f"SELECT x, y, z, score FROM ({_MEDIATED}) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY score DESC, z) = 1", "score", "x, y, z"))
 def _best(spark, d):
-    return r6(discrete.best_contributor(discrete.contributors(lines_and_orders(spark, d), _E2, [*LINE, "o_orderstatus"], "bic"))).select("x", "y", "z", "score")
+    line = table(spark, d, "lineitem")
+    steps = line.select(*(F.floor(F.col("l_quantity") / k).alias(c) for c, k in (("fine", 5), ("middle", 10), ("coarse", 20))), "l_returnflag", "l_linestatus", "l_linenumber", "l_tax")
+    return r6(discrete.best_contributor(discrete.contributors(steps, _E3, _Z3, "bic"))).select("x", "y", "z", "score")
 
 
 @query("kl_mar_discrete", r6_sql("WITH c AS (SELECT lang, source, count(*) AS q, count(quality) AS p FROM (" + ORDERED + ") GROUP BY 1, 2), t AS (SELECT sum(q) AS nq, sum(p) AS n FROM c) SELECT n::DOUBLE AS n, sum(CASE WHEN p > 0 THEN p * ln((p / n) / (q / nq)) ELSE 0 END) AS kl, ln(n) AS penalty, sum(CASE WHEN p > 0 THEN p * ln((p / n) / (q / nq)) ELSE 0 END) - ln(n) > 0 AS rejected FROM c, t GROUP BY n", "n, kl, penalty", "rejected"))
@@ -190,12 +214,42 @@ def _kl(spark, d):
     return r6(discrete.kl_missing_at_random(labelled(spark, d), "lang", "source", "quality").withColumn("n", F.col("n").cast("double")))
 
 
-_NR = [(2, 2), (2, 3), (100, 2), (100, 5), (500, 2), (1000, 3), (1001, 4), (60000, 2), (60000, 7)]
+@query("logc_table", "SELECT key, n, r, round(" + sqlgen.log_c("n", "r") + ", 6) AS log_c FROM (SELECT 's' || l_suppkey AS key, count(*) AS n, count(DISTINCT l_linenumber) AS r FROM lineitem GROUP BY 1 UNION ALL SELECT l_returnflag, count(*), count(DISTINCT l_linestatus) FROM lineitem GROUP BY 1 UNION ALL SELECT 'o' || l_orderkey, count(*), count(DISTINCT l_returnflag) FROM lineitem GROUP BY 1)")
+def _logc(spark, d):
+    line = table(spark, d, "lineitem")
+    count = lambda key, r: line.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(r).alias("r"))
+    groups = count(F.concat(F.lit("s"), "l_suppkey"), "l_linenumber").unionByName(count(F.col("l_returnflag"), "l_linestatus")).unionByName(count(F.concat(F.lit("o"), "l_orderkey"), "l_returnflag"))
+    return r6(groups.withColumn("log_c", complexity.log_c_col(F.col("n"), F.col("r"))))
+
 
+# Whether gaps fall at random, where variables are continuous
 
-@query("logc_table", "SELECT n, r, round(" + sqlgen.log_c("n", "r") + ", 6) AS log_c FROM (VALUES " + ", ".join(f"({n}, {r})" for n, r in _NR) + ") AS t(n, r)")
-def _logc(spark, d):
-    return r6(spark.createDataFrame(_NR, "n int, r int").withColumn("log_c", complexity.log_c_col(F.col("n"), F.col("r"))))
+def _knn_sql(groups: str, d: int) -> str:
+    """(k, n1, n2, kl) of points (k, x, y, known), by all distances to the 5th neighbour."""
+    u = lambda c, salt: f"{c} + (('0x' || substr(md5('{salt}|' || x || '|' || {'y' if d > 1 else chr(39) * 2} || '|' || copy), 1, 8))::BIGINT / 2147483648.0 - 1) * greatest({neighbours.NOISE}, abs({c}) * 1e-10)"
+    far = "sqrt((a.px - b.px) ** 2 + (a.py - b.py) ** 2)"
+    fifth = lambda where: f"(SELECT k, i, list_sort(list({far.replace('a.', 'a.').replace('b.', 'b.')}))[{neighbours.K}] AS r FROM p a JOIN (SELECT k AS bk, px, py, known AS bknown FROM p) b ON a.k = bk {where} WHERE a.known GROUP BY 1, 2)"
+    return (
+        f"WITH g AS ({groups}), c AS (SELECT *, row_number() OVER (PARTITION BY k, x{', y' if d > 1 else ''} ORDER BY known DESC) - 1 AS copy FROM g), "
+        f"p AS MATERIALIZED (SELECT k, known, row_number() OVER () AS i, {u('x', 0)} AS px, {u('y', 1) if d > 1 else '0.0'} AS py FROM c), "
+        f"n AS (SELECT k, count_if(known) AS n1, count(*) AS n2 FROM p GROUP BY 1), "
+        f"s AS (SELECT k, sum(ln(a.r / b.r)) AS s FROM {fifth('')} a JOIN {fifth('AND bknown')} b USING (k, i) GROUP BY 1) "
+        f"SELECT k, n1, n2, CASE WHEN n1 > {neighbours.K} THEN {d} * s + n1 * ln((n2 - 1) / (n1 - 1)) END AS kl FROM n LEFT JOIN s USING (k)"
+    )
+
+
+_PLACES = ORDERED.replace("SELECT doc_id", "SELECT doc_id::DOUBLE AS x, n_chars::DOUBLE AS y, lang AS level, quality IS NOT NULL AS known, doc_id")
+_VERDICT = "n1::DOUBLE AS n, round(kl, 6) + 0.0 AS kl, round(ln(n1), 6) AS penalty, kl > ln(n1) AS rejected"
+
+
+@query("kl_mar_continuous", f"SELECT {_VERDICT} FROM ({_knn_sql(f'SELECT 1 AS k, x, y, known FROM ({_PLACES})', 2)})")
+def _kl_continuous(spark, d):
+    return r6(neighbours.kl_missing_at_random(labelled(spark, d), "doc_id", "n_chars", "quality", continuous=["doc_id", "n_chars"]))
+
+
+@query("kl_mar_mixed", f"SELECT {_VERDICT} FROM (SELECT sum(n1)::BIGINT AS n1, sum(greatest(0, coalesce(kl, 0)) + CASE WHEN n1 > 0 THEN n1 * ln(n1 / t1 * t2 / n2) ELSE 0 END) AS kl FROM (SELECT *, sum(n1) OVER () AS t1, sum(n2) OVER () AS t2 FROM ({_knn_sql(f'SELECT level AS k, y AS x, 0.0 AS y, known FROM ({_PLACES})', 1)})))")
+def _kl_mixed(spark, d):
+    return r6(neighbours.kl_missing_at_random(labelled(spark, d), "lang", "n_chars", "quality", continuous=["n_chars"]))
 
 
 _EF = _EQUAL.replace("SELECT value, n, (j", "SELECT value, (j")
@@ -245,9 +299,9 @@ def _mdl(spark, d):
     return r6(standalone.discretise_mdl(table(spark, d, "supplier").select((F.col("s_acctbal") + F.col("s_suppkey") % 2 * 100_000).alias("two")), "two"))
 
 
-@query("bin_density", "SELECT (CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END)::INTEGER AS bin_x, (CASE WHEN l_tax > 0.04 THEN 2 ELSE 1 END)::INTEGER AS bin_y, count(*) AS n, round(count(*) / sum(count(*)) OVER () / (25.0 * CASE WHEN l_tax > 0.04 THEN 0.06 ELSE 0.04 END), 6) AS density FROM (SELECT l_quantity, l_tax, l_tax > 0.04 AS hi FROM lineitem WHERE l_quantity IS NOT NULL AND l_tax > 0) GROUP BY 1, 2, l_tax > 0.04")
+@query("bin_density", "SELECT (CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END)::INTEGER AS bin_x, (CASE WHEN hi THEN 2 ELSE 1 END)::INTEGER AS bin_y, count(*) AS n, round(count(*) / sum(count(*)) OVER () / (25.0 * CASE WHEN hi THEN 0.06 ELSE 0.05 END), 6) AS density FROM (SELECT l_quantity, l_tax, l_tax > 0.04 AS hi FROM lineitem WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL) GROUP BY 1, 2, hi")
 def _density(spark, d):
-    return r6(standalone.bin_density(table(spark, d, "lineitem").where("l_tax > 0"), "l_quantity", "l_tax", [0.0, 25.0, 50.0], [0.0, 0.04, 0.1]))
+    return r6(standalone.bin_density(table(spark, d, "lineitem"), "l_quantity", "l_tax", [0.0, 25.0, 50.0], [-0.01, 0.04, 0.1]))
 
 
 # Network
@@ -264,7 +318,8 @@ def observation_table(spark, d) -> DataFrame:
 @query("reconstruct_network")
 def reconstruct_network(spark, d):
     r = network.reconstruct(observation_table(spark, d), [Variable("l_discount", False), Variable("l_tax", False)])
-    return r6(r.edges.withColumn("ai", F.array_join("ai", ",")).withColumn("contributions", F.array_join(F.transform("contributions", lambda c: F.round(c, 6).cast("string")), ",")))
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.round(v, 6).cast("string")), ",")
+    return r6(r.edges.withColumns({"ai": F.array_join("ai", ","), "raw_contributions": text("raw_contributions"), "contributions": text("contributions")}))
 
 
 @query("network_summary")
@@ -307,25 +362,25 @@ _TRIPLES = f"WITH n AS ({_NEAR}) SELECT p.a AS x, p.z, q.a AS y FROM n p JOIN n
 
 @query("unshielded_triples", _TRIPLES)
 def _triples(spark, d):
-    return graph.unshielded_triples(edges(spark))
+    return graph.unshielded_triples(edges(spark, d))
 
 
 @query("edges_outside_triples", f"SELECT x, y FROM {EDGES_SQL} WHERE NOT EXISTS (SELECT 1 FROM ({_TRIPLES}) t WHERE (least(e.x, e.y) = least(t.x, t.z) AND greatest(e.x, e.y) = greatest(t.x, t.z)) OR (least(e.x, e.y) = least(t.y, t.z) AND greatest(e.x, e.y) = greatest(t.y, t.z)))")
 def _outside(spark, d):
-    e = edges(spark)
+    e = edges(spark, d)
     return graph.edges_outside_triples(e, graph.unshielded_triples(e))
 
 
-@query("vstructure_score", "SELECT i3, round(-i3 - ln(2) + ln(1 + exp(i3)), 6) AS s, round(1 / (1 + exp(-(-i3 - ln(2) + ln(1 + exp(i3))))), 6) AS p FROM (SELECT -i / 4.0 AS i3 FROM range(1, 41) t(i))")
+@query("vstructure_score", "SELECT l_orderkey, l_linenumber, round(-i3 - ln(2) + ln(1 + exp(i3)), 6) AS s, round(1 / (1 + exp(-(-i3 - ln(2) + ln(1 + exp(i3))))), 6) AS p FROM (SELECT l_orderkey, l_linenumber, -l_quantity / 4 AS i3 FROM lineitem)")
 def _v(spark, d):
-    i = spark.range(1, 41).select((-F.col("id") / 4.0).alias("i3"))
-    return r6(i.withColumn("s", scores.v_structure_score(F.col("i3"))).withColumn("p", scores.logistic(F.col("s"))))
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (-F.col("l_quantity") / 4).alias("i3"))
+    return r6(i.withColumn("s", scores.v_structure_score(F.col("i3"))).withColumn("p", scores.logistic(F.col("s")))).drop("i3")
 
 
-@query("induced_score", "SELECT i3, w, round(least(abs(i3), w) - ln(1 + exp(least(abs(i3), w) - greatest(abs(i3), w)) + exp(-greatest(abs(i3), w))), 6) AS s FROM (SELECT i / 2.0 AS i3, j / 3.0 AS w FROM range(-8, 9) a(i), range(1, 9) b(j))")
+@query("induced_score", "SELECT l_orderkey, l_linenumber, round(least(abs(i3), w) - ln(1 + exp(least(abs(i3), w) - greatest(abs(i3), w)) + exp(-greatest(abs(i3), w))), 6) AS s FROM (SELECT l_orderkey, l_linenumber, (l_quantity - 25) / 4 AS i3, l_extendedprice / 10000 AS w FROM lineitem)")
 def _induced(spark, d):
-    i = spark.range(-8, 9).select((F.col("id") / 2.0).alias("i3"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda j: j / 3.0)).alias("w"))
-    return r6(i.withColumn("s", scores.induced_score(F.col("i3"), F.col("w")))).withColumn("w", F.col("w"))
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25) / 4).alias("i3"), (F.col("l_extendedprice") / 10000).alias("w"))
+    return r6(i.withColumn("s", scores.induced_score(F.col("i3"), F.col("w")))).drop("i3", "w")
 
 
 _TIPS = "SELECT l_returnflag AS edge, l_linestatus AS node, round(l_discount * 10, 2) AS p FROM lineitem"
@@ -337,14 +392,14 @@ def _tips(spark, d):
     return r6(graph.merged_tips(t, "edge", "node"))
 
 
-_P = "SELECT DISTINCT l_discount * 10 AS p_x, l_tax * 12 AS p_y FROM lineitem WHERE l_tax < 0.085"
+_P = "SELECT DISTINCT l_discount * 10 AS p_x, l_tax * 12 AS p_y FROM lineitem"
 _TIP = lambda p: f"CASE WHEN {p} > 0 AND (1 - {p}) / {p} < 0.8 THEN 2 ELSE 1 END"
 _ADJ = f"SELECT p_x, p_y, {_TIP('p_x')} AS tip_x, {_TIP('p_y')} AS tip_y FROM ({_P})"
 _ADJ = f"SELECT *, CASE WHEN tip_x = 2 AND tip_y = 2 THEN 6 WHEN tip_y = 2 THEN 2 WHEN tip_x = 2 THEN -2 ELSE 1 END AS adj FROM ({_ADJ})"
 
 
 def tip_table(spark, d):
-    return table(spark, d, "lineitem").where("l_tax < 0.085").select((F.col("l_discount") * 10).alias("p_x"), (F.col("l_tax") * 12).alias("p_y")).distinct()
+    return table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("p_x"), (F.col("l_tax") * 12).alias("p_y")).distinct()
 
 
 @query("accept_tips_adjacency", r6_sql(_ADJ, "p_x, p_y", "tip_x, tip_y, adj"))
@@ -375,18 +430,19 @@ def _average(spark, d):
     return r6(graph.average_probability(h))
 
 
-_TRUTH = [("b", "a"), ("c", "b"), ("a", "e"), ("g", "h")]
-_TRUTH_SQL = "(VALUES " + ", ".join(f"('{x}', '{y}')" for x, y in _TRUTH) + ") AS t(x, y)"
+_TRUTH_SQL = "(SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0 UNION ALL SELECT r_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 9000) AS t(x, y)"
 
 
 @query("truth_scores", f"WITH f AS (SELECT DISTINCT least(x, y) AS x, greatest(x, y) AS y FROM {EDGES_SQL}), t AS (SELECT DISTINCT least(x, y) AS x, greatest(x, y) AS y FROM {_TRUTH_SQL}), c AS (SELECT count_if(f.x IS NOT NULL AND t.x IS NOT NULL)::BIGINT AS tp, count_if(t.x IS NULL)::BIGINT AS fp, count_if(f.x IS NULL)::BIGINT AS fn FROM f FULL JOIN t ON f.x = t.x AND f.y = t.y) SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS fscore FROM c")
 def _truth(spark, d):
-    return graph.truth_scores(edges(spark), spark.createDataFrame(_TRUTH, "x string, y string"))
+    of = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    truth = of.where("s_acctbal > 0").select(F.col("s_name").alias("x"), F.col("n_name").alias("y")).unionByName(of.where("s_acctbal > 9000").select(F.col("r_name").alias("x"), F.col("s_name").alias("y")))
+    return graph.truth_scores(edges(spark, d), truth)
 
 
 @query("node_degree", f"SELECT node, count(*) AS degree FROM (SELECT x AS node FROM {EDGES_SQL} UNION ALL SELECT y FROM {EDGES_SQL}) GROUP BY 1")
 def _degree(spark, d):
-    return graph.node_degree(edges(spark))
+    return graph.node_degree(edges(spark, d))
 
 
 @query("multi_edge_count", "SELECT least(l_returnflag, o_orderstatus) AS x, greatest(l_returnflag, o_orderstatus) AS y, count(*) AS n_edges FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2 HAVING count(*) > 1")
@@ -394,17 +450,18 @@ def _multi(spark, d):
     return graph.multi_edges(lines_and_orders(spark, d).select(F.col("l_returnflag").alias("x"), F.col("o_orderstatus").alias("y")))
 
 
-@query("graph_reachability", f"WITH RECURSIVE n AS ({_NEAR}), r AS (SELECT 'a' AS node UNION SELECT n.z FROM r JOIN n ON n.a = r.node) SELECT node FROM r")
+@query("graph_reachability", f"WITH RECURSIVE n AS ({_NEAR}), r AS (SELECT min(r_name) AS node FROM region UNION SELECT n.z FROM r JOIN n ON n.a = r.node) SELECT node FROM r")
 def _reach(spark, d):
-    return graph.reachable(edges(spark), "a")
+    return graph.reachable(edges(spark, d), table(spark, d, "region").agg(F.min("r_name")).collect()[0][0])
+
+
+_ENDS = "SELECT r_name AS x, n_name AS y FROM region JOIN nation ON r_regionkey = n_regionkey"
 
 
-@query("block_path_candidates")
+@query("block_path_candidates", f"WITH RECURSIVE n AS ({_NEAR}), p AS (SELECT x, y, [x] AS nodes, x AS here FROM ({_ENDS}) UNION ALL SELECT p.x, p.y, list_append(nodes, n.z), n.z FROM p JOIN n ON n.a = p.here WHERE p.here <> p.y AND NOT list_contains(nodes, n.z)) SELECT e.x, e.y, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS between FROM ({_ENDS}) e LEFT JOIN (SELECT x, y, unnest(nodes) AS b FROM p WHERE here = y) u ON u.x = e.x AND u.y = e.y AND b <> e.x AND b <> e.y GROUP BY 1, 2")
 def _blocks(spark, d):
-    ids = {c: i for i, c in enumerate("abcdefgh")}
-    near = graph.neighbours((ids[x], ids[y]) for x, y in EDGES)
-    rows = [(x, y, ",".join(sorted("abcdefgh"[k] for k in graph.on_paths(near, ids[x], ids[y])))) for x in "abcdefgh" for y in "abcdefgh" if x < y]
-    return spark.createDataFrame(rows, "x string, y string, between string")
+    ends = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("x"), F.col("n_name").alias("y"))
+    return graph.path_candidates(edges(spark, d), ends)
 
 
 _HEADS = "SELECT l_orderkey, l_linenumber, l_discount * 10 AS p, l_tax * 12.5 AS q FROM lineitem"
@@ -486,12 +543,12 @@ def _lagged_pairs(spark, d):
     return temporal.lagged_pairs(pairs, ["A"])
 
 
-@query("stationarity_repeat_edges", "WITH p AS (SELECT *, regexp_replace(x, '_lag[0-9]+$', '') AS xv, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS xl, regexp_replace(y, '_lag[0-9]+$', '') AS yv, regexp_extract(y, '_lag([0-9]+)$', 1)::INTEGER AS yl FROM " + LAGGED_SQL + ") SELECT xv || '_lag' || (xl + s) AS x, yv || '_lag' || (yl + s) AS y, info_shifted::DOUBLE AS info_shifted FROM p, range(0, 3) r(s) WHERE greatest(xl, yl) + s <= 2")
+@query("stationarity_repeat_edges", "WITH p AS (SELECT *, regexp_replace(x, '_lag[0-9]+$', '') AS xv, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS xl, regexp_replace(y, '_lag[0-9]+$', '') AS yv, regexp_extract(y, '_lag([0-9]+)$', 1)::INTEGER AS yl FROM " + LAGGED_SQL + ") SELECT xv || '_lag' || (xl + s) AS x, yv || '_lag' || (yl + s) AS y, round(info_shifted, 6) + 0.0 AS info_shifted FROM p, range(0, 3) r(s) WHERE greatest(xl, yl) + s <= 2")
 def _repeat(spark, d):
-    return temporal.repeat_over_history(lagged(spark), 3)
+    return r6(temporal.repeat_over_history(lagged(spark, d), 3))
 
 
-_FLAT = "SELECT CASE WHEN o THEN xv ELSE yv END AS x, CASE WHEN o THEN yv ELSE xv END AS y, abs(xl - yl)::INTEGER AS lag, info_shifted::DOUBLE AS info_shifted FROM (SELECT *, xl > yl OR (xl = yl AND xv <= yv) AS o FROM (SELECT *, regexp_replace(x, '_lag[0-9]+$', '') AS xv, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS xl, regexp_replace(y, '_lag[0-9]+$', '') AS yv, regexp_extract(y, '_lag([0-9]+)$', 1)::INTEGER AS yl FROM " + LAGGED_SQL + "))"
+_FLAT = "SELECT CASE WHEN o THEN xv ELSE yv END AS x, CASE WHEN o THEN yv ELSE xv END AS y, abs(xl - yl)::INTEGER AS lag, round(info_shifted, 6) + 0.0 AS info_shifted FROM (SELECT *, xl > yl OR (xl = yl AND xv <= yv) AS o FROM (SELECT *, regexp_replace(x, '_lag[0-9]+$', '') AS xv, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS xl, regexp_replace(y, '_lag[0-9]+$', '') AS yv, regexp_extract(y, '_lag([0-9]+)$', 1)::INTEGER AS yl FROM " + LAGGED_SQL + "))"
 _FLATS = {
     "compact": _FLAT,
     "drop": f"SELECT * FROM ({_FLAT}) WHERE x <> y",
@@ -502,12 +559,12 @@ for _k, _q in _FLATS.items():
 
     @query(f"flatten_{_k}", _q)
     def _flat(spark, d, k=_k):
-        return temporal.flatten(lagged(spark), k)
+        return r6(temporal.flatten(lagged(spark, d), k))
 
 
 # Exports
 
-_SUM = "SELECT l_returnflag AS x, l_linestatus AS y, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN -2 WHEN 4 THEN 6 ELSE 0 END AS ort_inferred, l_quantity AS info_shifted, l_discount AS partial_correlation FROM lineitem WHERE l_orderkey < 2000"
+_SUM = "SELECT l_returnflag AS x, l_linestatus AS y, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN -2 WHEN 4 THEN 6 ELSE 0 END AS ort_inferred, l_quantity AS info_shifted, l_discount AS partial_correlation FROM lineitem"
 
 
 def summary_table(spark, d):
@@ -526,5 +583,5 @@ def _nodes(spark, d):
 
 @query("graphml_lines")
 def _graphml(spark, d):
-    s = summary_table(spark, d).groupBy("x", "y").agg(F.first("ort_inferred").alias("ort_inferred"), F.first("info_shifted").alias("info_shifted"), F.first("partial_correlation").alias("partial_correlation"))
+    s = summary_table(spark, d).groupBy("x", "y").agg(F.min(F.struct("ort_inferred", "info_shifted", "partial_correlation")).alias("least")).select("x", "y", "least.*")
     return spark.createDataFrame([(i, x) for i, x in enumerate(sinks.graphml_lines(s, ["A", "F", "N", "O", "R"]))], "i int, line string")
