@@ -2,7 +2,8 @@
 
 Both pre-tokenizers cut at white space, so a text's ids are those of its pieces. A piece is encoded
 by the library once and then looked up; the id arrays are gathered by numpy. Texts for which a cut
-could matter (adjacent or unusual white space) go to the library whole.
+could matter (adjacent or unusual white space) go to the library whole, and so do texts that hold one of the file's added
+tokens, such as an end mark, in any case of its letters: the library takes these out before it does anything else.
 """
 
 from __future__ import annotations
@@ -40,7 +41,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
+        marks = [re.match(r"[^\w\s]*", c)[0] for c in added]
+        self.hint = os.path.commonprefix(marks)  # what a text with an added token holds, to be searched for first
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # pieces are in lower case by then, so no added token may be seen in them
         self.model = self.tokenizer.model
         self.bytes_model = self.tokenizer.normalizer is None
         self.letters = _byte_letters()
@@ -128,6 +134,8 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, self.kind)
+        if self.hint in text and self.added.search(text):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind)
         if self.bytes_model:
             if _ODD.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
                 return np.array(self._library(text), self.kind)
