@@ -34,49 +34,66 @@ def request_cells(df: DataFrame, requests: Sequence[tuple[str, ...]], weight: st
     return own.where(~F.col("gap")).groupBy("k", *(f"v{i}" for i in range(width))).agg(F.sum("w").alias("n")).persist()
 
 
-def conditional_info(cells: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", negative_info: bool = False, suffix: str = "") -> DataFrame:
-    """(k, n, info, cplx) of I(x;y|given), in nats times samples; clamped at zero when conditional."""
-    u = list(given)
-    count = lambda *by: cells.groupBy("k", *by, *u).agg(F.sum("n").alias("n"))
-    whole = lambda c: F.greatest(F.lit(1), F.round(c).cast("long"))
-    levels = cells.groupBy("k").agg(F.sum("n").alias("total"), F.count_distinct(x).alias("rx"), F.count_distinct(y).alias("ry"), *(F.count_distinct(c).alias(f"r_{c}") for c in u))
+def marginals(cells: DataFrame, own: Sequence[str], given: Sequence[str], cplx: str) -> DataFrame:
+    """One row per request, with the sums that all informations among ``own`` given ``given`` are made of.
+
+    total; r0, r1, ... and ru, the levels of each and the product of those of ``given``; for each subset of ``own`` (bit i: the
+    i-th) with ``given``: h<bits>, the sum of n ln n over its level combinations, and for NML c<bits>_<j>, that of log C of their
+    counts over the levels of the j-th variable outside. One aggregate by grouping sets makes all marginals of the cells."""
+    d, u, columns = len(own), list(given), [*own, *given]
+    levels = cells.groupBy("k").agg(F.sum("n").alias("total"), *(F.count_distinct(c).alias(f"r{i}") for i, c in enumerate(own)), *(F.count_distinct(c).alias(f"u{i}") for i in range(len(u)) for c in (u[i],)))
     ru = F.lit(1)
-    for c in u:
-        ru = ru * F.col(f"r_{c}")
-    levels = levels.select("k", "total", "rx", "ry", ru.cast("long").alias("ru"))
-
-    def part(by: list[str], name: str, *other: str) -> DataFrame:
-        """Sum of n ln n, and of log C of the counts over each of the other variables' levels."""
-        t = count(*by)
-        if cplx != "nml" or not other:
-            return t.groupBy("k").agg(F.sum(n_log_n(F.col("n"))).alias(name))
-        t = t.join(levels, "k")
-        return t.groupBy("k").agg(F.sum(n_log_n(F.col("n"))).alias(name), *(F.sum(log_c_col(whole(F.col("n")), F.col(o))).alias(f"{name}_{o}") for o in other))
-
-    out = levels
-    for p in (part([x, y], "xy"), part([x], "x", "ry"), part([y], "y", "rx"), part([], "u", "rx", "ry")):
-        out = out.join(p, "k")
-    info = F.col("xy") + F.col("u") - F.col("x") - F.col("y")
-    info = F.when((F.col("rx") <= 1) | (F.col("ry") <= 1) | (F.abs(info) < SMALL), 0.0).otherwise(info)
+    for i in range(len(u)):
+        ru = ru * F.col(f"u{i}")
+    levels = levels.select("k", "total", *(f"r{i}" for i in range(d)), ru.cast("long").alias("ru"))
+    sets = [["k", *(c for i, c in enumerate(own) if bits >> i & 1), *u] for bits in range(1 << d)]
+    inside = sum(((1 - F.grouping(c)) * (1 << i) for i, c in enumerate(own)), F.lit(0))
+    each = cells.groupingSets([[F.col(c) for c in s] for s in sets], "k", *columns).agg(F.sum("n").alias("n"), inside.alias("bits"))
+    each = each.select("k", "bits", "n")
+    of = lambda bits, v: F.sum(F.when(F.col("bits") == bits, v))
+    sums = [of(bits, n_log_n(F.col("n"))).alias(f"h{bits}") for bits in range(1 << d)]
     if cplx == "nml":
-        k = 0.5 * (F.col("x_ry") - F.col("u_ry") + F.col("y_rx") - F.col("u_rx"))
+        count = F.greatest(F.lit(1), F.round("n").cast("long"))
+        outside = [(bits, j) for bits in range(1 << d) for j in range(d) if not bits >> j & 1 and bits != (1 << d) - 1]
+        each = each.join(levels.select("k", *(f"r{i}" for i in range(d))), "k").withColumns({f"l{j}": log_c_col(count, F.col(f"r{j}")) for j in range(d)})
+        sums += [of(bits, F.col(f"l{j}")).alias(f"c{bits}_{j}") for bits, j in outside]
+    return levels.join(each.groupBy("k").agg(*sums), "k")
+
+
+def _info(i: int, j: int, with_: int, cplx: str) -> tuple[Column, Column]:
+    """Information of the i-th and the j-th variable of ``marginals`` given those of the bits ``with_``, and its complexity."""
+    a, b = 1 << i, 1 << j
+    h = lambda bits: F.col(f"h{bits | with_}")
+    c = lambda bits, v: F.col(f"c{bits | with_}_{v}")
+    ri, rj = F.col(f"r{i}"), F.col(f"r{j}")
+    info = h(a | b) + h(0) - h(a) - h(b)
+    one = (ri <= 1) | (rj <= 1)
+    if cplx == "nml":
+        k = 0.5 * (c(a, j) - c(0, j) + c(b, i) - c(0, i))
     else:
-        k = 0.5 * F.log("total") * (F.col("rx") - 1) * (F.col("ry") - 1) * F.col("ru")
-    k = F.when((F.col("rx") <= 1) | (F.col("ry") <= 1), 0.0).otherwise(k)
-    clamp = (info - k < 0) if u and not negative_info else F.lit(False)
-    zero = lambda c: F.when(clamp, 0.0).otherwise(c)
-    return out.select("k", F.col("total").alias(f"n{suffix}"), zero(info).alias(f"info{suffix}"), zero(k).alias(f"cplx{suffix}"))
+        ru = F.col("ru")
+        for v in range(8):
+            if with_ >> v & 1:
+                ru = ru * F.col(f"r{v}")
+        k = 0.5 * F.log("total") * (ri - 1) * (rj - 1) * ru
+    return F.when(one | (F.abs(info) < SMALL), 0.0).otherwise(info), F.when(one, 0.0).otherwise(k)
+
+
+def conditional_info(cells: DataFrame, x: str, y: str, given: Sequence[str] = (), cplx: str = "nml", negative_info: bool = False, suffix: str = "") -> DataFrame:
+    """(k, n, info, cplx) of I(x;y|given), in nats times samples; clamped at zero when conditional."""
+    info, k = _info(0, 1, 0, cplx)
+    out = marginals(cells, [x, y], given, cplx).select("k", F.col("total").alias(f"n{suffix}"), info.alias("i_"), k.alias("k_"))
+    clamp = (F.col("i_") - F.col("k_") < 0) if given and not negative_info else F.lit(False)
+    zero = lambda c: F.when(clamp, 0.0).otherwise(F.col(c))
+    return out.select("k", f"n{suffix}", zero("i_").alias(f"info{suffix}"), zero("k_").alias(f"cplx{suffix}"))
 
 
 def three_point(cells: DataFrame, x: str = "v0", y: str = "v1", z: str = "v2", given: Sequence[str] = (), cplx: str = "nml") -> DataFrame:
     """(k, n, i3, i3k, i2, i2k, score): I(x;y;z|given), I(x;y|given) and the contribution score of z.
 
     i3k and i2k are shifted by their complexity."""
-    u = list(given)
-    a = conditional_info(cells, x, y, u, cplx, suffix="_xy").withColumnRenamed("n_xy", "n")
-    parts = [conditional_info(cells, x, y, [*u, z], cplx, suffix="_xyz"), conditional_info(cells, x, z, u, cplx, suffix="_xz"), conditional_info(cells, y, z, u, cplx, suffix="_yz")]
-    for p in parts:
-        a = a.join(p.drop("n_xyz", "n_xz", "n_yz"), "k")
+    terms = {"xy": _info(0, 1, 0, cplx), "xyz": _info(0, 1, 4, cplx), "xz": _info(0, 2, 0, cplx), "yz": _info(1, 2, 0, cplx)}
+    a = marginals(cells, [x, y, z], given, cplx).select("k", F.col("total").alias("n"), *(c.alias(f"{n}_{name}") for name, (i, k) in terms.items() for n, c in (("info", i), ("cplx", k))))
 
     def clamped(name: str) -> tuple[Column, Column]:
         i, k = F.col(f"info_{name}"), F.col(f"cplx_{name}")

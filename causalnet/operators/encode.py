@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a running aggregate is cut into.
-PARTS = 64
+#: Rows that one task orders.
+RANGE = 1 << 20
 
 
 def level_codes(df: DataFrame, column: str) -> DataFrame:
-    """(level, code, n): the known levels in order, codes from 0. The window sees one row per level."""
+    """(level, code, n): the known levels in order, codes from 0."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("code", (F.row_number().over(Window.orderBy("level")) - 1).cast("int"))
+    return running(counts.withColumn("one_", F.lit(1)), "level", {"code": "one_"}).select("level", "n", (F.col("code") - 1).cast("int").alias("code"))
 
 
 def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,18 +26,20 @@ def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
-def running(df: DataFrame, order: str, amounts: dict[str, str], how: str = "sum", parts: int = PARTS) -> DataFrame:
-    """Adds running aggregates over the whole table in the order of ``order``, by two levels: within
-    ranges of the order (cut at approximate quantiles), then over the ranges, so no task sees all rows."""
-    f = getattr(F, how)
-    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.25 / parts)))
-    part = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + (c < F.col(order)).cast("int")) if cuts else F.lit(0)
-    dealt = df.withColumn("part_", part)
-    inside = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+def running(df: DataFrame, order: str, amounts: dict[str, str], how: str = "sum", span: int | None = None) -> DataFrame:
+    """Adds running aggregates over the whole table in the order of ``order``, by two levels: within ranges of about ``span``
+    rows, then over the ranges, so no task sees all rows of a large table. A small one is a single range."""
+    f, span = getattr(F, how), span or RANGE
+    parts = -(-df.count() // span)
+    before = lambda by: by.rowsBetween(Window.unboundedPreceding, 0)
+    if parts <= 1:
+        return df.withColumns({n: f(c).over(before(Window.orderBy(order))) for n, c in amounts.items()})
+    dealt = df.repartitionByRange(parts, order).withColumn("part_", F.spark_partition_id()).persist()  # so that ranges stay as they are
+    inside = before(Window.partitionBy("part_").orderBy(order))
+    former = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
     ranges = dealt.groupBy("part_").agg(*(f(c).alias(f"{n}_part") for n, c in amounts.items()))
-    ranges = ranges.select("part_", *(f(f"{n}_part").over(before).alias(f"{n}_before") for n in amounts))
-    out = dealt.withColumns({n: f(c).over(inside) for n, c in amounts.items()}).join(F.broadcast(ranges), "part_")  # at most ``parts`` rows
+    ranges = ranges.select("part_", *(f(f"{n}_part").over(former).alias(f"{n}_before") for n in amounts))
+    out = dealt.withColumns({n: f(c).over(inside) for n, c in amounts.items()}).join(F.broadcast(ranges), "part_")  # a row a range
     join = (lambda a, b: a + F.coalesce(b, F.lit(0))) if how == "sum" else (lambda a, b: F.least(a, b))
     return out.withColumns({n: join(F.col(n), F.col(f"{n}_before")) for n in amounts}).drop("part_", *(f"{n}_before" for n in amounts))
 

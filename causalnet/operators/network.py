@@ -281,6 +281,7 @@ class Reconstruction:
                 break
             if cycle is not None:
                 self.history = self.history[-len(cycle) - 1 : -1] or self.history[-1:]
+                self.undirect({p for p in self.edges if len({h[p][0] for h in self.history}) > 1})
                 break
             near = graph.neighbours(p for p, e in self.edges.items() if e.connected)
             into = {(b, a) for e in self.edges.values() if e.connected for a, b in ((e.x, e.y), (e.y, e.x)) if e.tip.get(b, 1) == 2 and e.tip.get(a, 1) != 2}
@@ -293,6 +294,14 @@ class Reconstruction:
 
         return self
 
+    def undirect(self, changed: set[tuple[int, int]]) -> None:
+        """Edges that change within the cycle of graphs are kept without conditions or a direction."""
+        for p in changed:
+            e = self.edges[p]
+            e.connected, e.us, e.raw_shares, e.shares = True, [], [], []
+            e.n_cond, e.info_cond, e.cplx_cond = e.n, e.info, e.cplx
+            e.p, e.tip = {e.x: 0.5, e.y: 0.5}, {e.x: 1, e.y: 1}
+
     def edge_table(self) -> DataFrame:
         """All pairs, their names in alphabetic order."""
         v = self.engine.variables

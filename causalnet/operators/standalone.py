@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -24,7 +25,12 @@ def _answer(df: DataFrame, kind: str, columns: Sequence[str], kinds: Sequence[bo
     """(result, places of each column) of one request over the rows that know all columns."""
     ship(df.sparkSession)
     weights = weights if usable_weights(df, weights) else None
-    whole = df.dropna(subset=list(columns))
+    known = F.lit(True)
+    for c in columns:
+        known = known & F.col(c).isNotNull()
+    if lacking := df.where(~known).count():
+        warnings.warn(f"{lacking} rows that lack a value are left out", stacklevel=4)
+    whole = df.where(known)
     rows = rounds.observed(whole.where(F.col(weights) > 0) if weights else whole, list(zip(columns, kinds)), weights)
     names = [f"v{i}" for i in range(len(columns))]
     rows = rows.dropna(subset=names).persist()

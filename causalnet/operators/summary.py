@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causalnet.operators.encode import running
 from causalnet.operators.graph import consensus_orientation, edge_statistics
 from causalnet.sources.observations import Options, Variable, numeric_columns
 
@@ -17,8 +18,7 @@ def ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df.select(*columns)
     for c in columns:
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
-        upto = F.sum("n_").over(Window.orderBy("v_"))
-        table = counts.select("v_", (upto - (F.col("n_") - 1) / 2).alias("r_"))
+        table = running(counts, "v_", {"upto_": "n_"}).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias("r_"))
         out = out.join(table, F.col(c) == F.col("v_"), "left").withColumn(c, F.col("r_")).drop("v_", "r_")
     return out.select(*columns)
 

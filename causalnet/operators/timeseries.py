@@ -42,8 +42,8 @@ def reconstruct_series(df: DataFrame, by: Sequence[str], time: str, values: Sequ
         df = temporal.moving_average(df, by, time, mov_avg, keep_max_data)
     if n_layers is None or delta_t is None:
         numbers = [v for v in values if v in set(numeric_columns(df)) and v not in contextual]
-        r = temporal.estimate_dynamic(df, by, time, numbers, max_nodes, len(contextual)).collect()[0]
-        n_layers, delta_t = temporal.choose_layers(r["tau"], len(values) - len(contextual), len(contextual), max_nodes, n_layers, delta_t)
+        r = temporal.estimate_dynamic(df, by, time, numbers, max_nodes, len(contextual), n_lagged=len(values) - len(contextual), n_layers=n_layers, delta_t=delta_t).collect()[0]
+        n_layers, delta_t = r["n_layers"], r["delta_t"]
     lagged = temporal.lag_table(df, by, time, {v: (n_layers, delta_t) for v in values}, contextual, keep_max_data).drop(*by, time)
     age = {c: int(c.rpartition("_lag")[2]) for c in lagged.columns if c.rpartition("_lag")[0] not in contextual}
     if delta_t > 1 and "n_eff" not in options:

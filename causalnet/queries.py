@@ -506,6 +506,15 @@ def _split(spark, d):
     return temporal.split_trajectories(events(spark, d), "t", "step", ["user_id"], time="time").select("user_id", "event_id", "traj_id", "time")
 
 
+_ODD = f"SELECT *, lead(step) OVER (PARTITION BY user_id ORDER BY t) AS next, lag(step) OVER (PARTITION BY user_id ORDER BY t) AS former FROM ({_EV})"
+
+
+@query("trajectories_check", f"SELECT count_if(next = step)::BIGINT AS unchanged, count_if(next > step + 1)::BIGINT AS gaps, count_if((former IS NULL OR former > step) AND step <> 1)::BIGINT AS starts FROM ({_ODD})")
+def _odd_steps(spark, d):
+    found = temporal.check_trajectories(events(spark, d), "t", "step", ["user_id"])
+    return spark.createDataFrame([tuple(found.values())], "unchanged long, gaps long, starts long")
+
+
 @query("moving_average_centered", f"SELECT user_id, event_id, round(CASE WHEN count(*) OVER w = 4 THEN avg(value) OVER w END, 6) AS value FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING)")
 def _moving(spark, d):
     return r6(temporal.moving_average(events(spark, d), ["user_id"], "t", {"value": 4}).select("user_id", "event_id", "value"))
@@ -526,6 +535,22 @@ def _dynamic(spark, d):
     return temporal.estimate_dynamic(events(spark, d), ["user_id"], "t", ["value", "step"])
 
 
+_LENGTHS = "SELECT length, count(*) AS n FROM (SELECT user_id, count(*) AS length FROM events GROUP BY 1) GROUP BY 1"
+_SPAN = 60
+
+
+@query("longest_lag_window", f"WITH l AS ({_LENGTHS}), k AS (SELECT k, sum(greatest(0, length - k) * n) AS left_over FROM l, range(1, {_SPAN}) r(k) GROUP BY 1), t AS (SELECT least(1000, sum(length * n) / 10) AS target FROM l) SELECT (SELECT sum(greatest(0, length - {_SPAN}) * n)::BIGINT FROM l) AS samples_before, coalesce(max(k), 1)::INTEGER AS lag FROM k, t WHERE left_over >= target")
+def _window(spark, d):
+    lengths = temporal.trajectory_lengths(table(spark, d, "events"), ["user_id"])
+    rows = table(spark, d, "events").count()
+    return spark.createDataFrame([(temporal.samples_after(lengths, _SPAN), temporal.longest_window(lengths, min(1000, rows / 10), _SPAN))], "samples_before long, lag int")
+
+
+@query("relaxation_lags", f"WITH e AS ({_EV}), c AS (SELECT user_id, t, value - avg(value) OVER (PARTITION BY user_id) AS d FROM e WHERE value IS NOT NULL), v AS (SELECT user_id, sum(d * d) AS v FROM c GROUP BY 1), a AS (SELECT x.user_id, y.t - x.t AS lag, sum(x.d * y.d) AS s FROM c x JOIN c y ON x.user_id = y.user_id AND y.t > x.t AND y.t <= x.t + 32 GROUP BY 1, 2) SELECT user_id, lag::INTEGER AS lag, round(s / v, 6) + 0.0 AS acf FROM a JOIN v USING (user_id) WHERE v > 0")
+def _relaxation(spark, d):
+    return r6(temporal.autocorrelation_until(events(spark, d), ["user_id"], "t", "value", 32)[0])
+
+
 @query("temporal_network")
 def _temporal(spark, d):
     from causalnet.operators.timeseries import reconstruct_series
@@ -562,6 +587,32 @@ for _k, _q in _FLATS.items():
         return r6(temporal.flatten(lagged(spark, d), k))
 
 
+_O = "CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -2 ELSE 6 END"
+_TIPPED = (
+    f"SELECT l_linestatus || l_returnflag || '_lag' || (l_orderkey % 4) AS x, o_orderstatus || l_returnflag || '_lag0' AS y, {_O} AS o, avg(l_discount) * 10 AS p, avg(l_tax) * 12 AS q, sum(l_quantity) AS info_shifted "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"
+)
+
+
+@query(
+    "flatten_combine_tips",
+    f"WITH f AS (SELECT regexp_replace(x, '_lag[0-9]+$', '') AS x, regexp_replace(y, '_lag[0-9]+$', '') AS y, regexp_extract(x, '_lag([0-9]+)$', 1)::INTEGER AS lag, o, p, q, info_shifted FROM ({_TIPPED})), "
+    "k AS (SELECT *, least(x, y) AS u, greatest(x, y) AS v, x > y AS down FROM f), "
+    "w AS (SELECT u, v, CASE WHEN o = -2 THEN y < x ELSE x < y END AS fore, CASE WHEN o = -2 THEN -lag ELSE lag END AS lag FROM k UNION SELECT u, v, y < x, -lag FROM k WHERE o = 6 AND lag <> 0), "
+    "l AS (SELECT u, v, string_agg(lag::VARCHAR, ',' ORDER BY lag DESC) FILTER (fore AND lag <> 0) AS a, max('0') FILTER (lag = 0) AS b, string_agg(lag::VARCHAR, ',' ORDER BY lag) FILTER (NOT fore AND lag <> 0) AS c FROM (SELECT DISTINCT * FROM w) GROUP BY 1, 2), "
+    "g AS (SELECT u, v, count(*) AS n, any_value(x) AS x, any_value(y) AS y, any_value(lag) AS lag, any_value(o) AS o, any_value(p) AS p, any_value(q) AS q, min(CASE WHEN down AND abs(o) = 2 THEN -o ELSE o END) AS low, max(CASE WHEN down AND abs(o) = 2 THEN -o ELSE o END) AS high, max(info_shifted) AS info_shifted, "
+    "min(CASE WHEN down THEN q ELSE p END) AS np, max(CASE WHEN down THEN q ELSE p END) AS xp, avg(CASE WHEN down THEN q ELSE p END) AS ap, min(CASE WHEN down THEN p ELSE q END) AS nq, max(CASE WHEN down THEN p ELSE q END) AS xq, avg(CASE WHEN down THEN p ELSE q END) AS aq FROM k GROUP BY 1, 2), "
+    "t AS (SELECT *, CASE WHEN high = 6 OR (low = -2 AND high = 2) THEN 6 WHEN high = 2 THEN 2 WHEN low = -2 THEN -2 ELSE 1 END AS oo FROM g JOIN l USING (u, v)) "
+    "SELECT CASE WHEN n = 1 THEN x ELSE u END AS x, CASE WHEN n = 1 THEN y ELSE v END AS y, CASE WHEN n = 1 THEN lag::VARCHAR WHEN a IS NOT NULL AND c IS NOT NULL THEN concat_ws('/', a, b, c) ELSE concat_ws(',', a, b, c) END AS lags, CASE WHEN n = 1 THEN o ELSE oo END AS ort_inferred, "
+    "round(CASE WHEN n = 1 THEN p WHEN oo IN (6, -2) THEN xp WHEN oo = 2 THEN np ELSE ap END, 6) + 0.0 AS p_y2x, round(CASE WHEN n = 1 THEN q WHEN oo IN (6, 2) THEN xq WHEN oo = -2 THEN nq ELSE aq END, 6) + 0.0 AS p_x2y, round(info_shifted, 6) + 0.0 AS info_shifted FROM t",
+)
+def _combine_tips(spark, d):
+    name = lambda v, k: F.concat(F.col(v), F.col("l_returnflag"), F.lit("_lag"), k.cast("string"))
+    both = lines_and_orders(spark, d).select(name("l_linestatus", F.col("l_orderkey") % 4).alias("x"), name("o_orderstatus", F.lit(0)).alias("y"), F.expr(_O).alias("ort_inferred"), "l_discount", "l_tax", "l_quantity")
+    e = both.groupBy("x", "y", "ort_inferred").agg((F.avg("l_discount") * 10).alias("p_y2x"), (F.avg("l_tax") * 12).alias("p_x2y"), F.sum("l_quantity").alias("info_shifted"))
+    return r6(temporal.combined(e))
+
+
 # Exports
 
 _SUM = "SELECT l_returnflag AS x, l_linestatus AS y, CASE l_linenumber WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN -2 WHEN 4 THEN 6 ELSE 0 END AS ort_inferred, l_quantity AS info_shifted, l_discount AS partial_correlation FROM lineitem"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
@@ -112,22 +113,43 @@ def variables(df: DataFrame, given: Iterable[Variable | dict] = ()) -> list[Vari
     return out
 
 
+def _whole(row: dict, name: str, fair) -> int | None:
+    """A whole number that ``fair`` accepts; anything else is ignored, with a warning."""
+    value = row.get(name)
+    if value is None or value != value:
+        return None
+    try:
+        number = float(value)
+    except (TypeError, ValueError):
+        number = float("nan")
+    if not math.isfinite(number) or number != round(number) or not fair(number):
+        warnings.warn(f"{name} of {row.get('var_names')} is incorrect and ignored: {value}", stacklevel=4)
+        return None
+    return int(number)
+
+
 def _from_row(row: dict) -> Variable:
     """A row of a metadata table; missing or unknown entries take their defaults."""
     get = row.get
     order = get("levels_increasing_order")
+    layers = _whole(row, "n_layers", lambda v: v >= 1)
+    delta, average = _whole(row, "delta_t", lambda v: v >= 0), _whole(row, "mov_avg", lambda v: v == 0 or v >= 2)
     return Variable(
         get("var_names"), None if get("var_type") not in (0, 1) else bool(get("var_type")), bool(get("is_contextual") or 0), bool(get("is_consequence") or 0),
-        tuple(x.strip() for x in order.split(",")) if order else None, get("group"), get("group_color"), get("n_layers"), get("delta_t"), get("mov_avg"),
+        tuple(x.strip() for x in order.split(",")) if order else None, get("group"), get("group_color"), layers, delta, average,
     )
 
 
 def check_levels(df: DataFrame, v: Variable) -> tuple[list[str], list[str]]:
-    """(levels that the data lack, values that the order lacks)."""
-    r = df.agg(F.collect_set(F.col(v.name).cast("string")).alias("s")).select(F.array_except(F.lit(list(v.levels)), "s").alias("unused"), F.array_except("s", F.lit(list(v.levels))).alias("unknown")).collect()[0]
-    if r["unknown"]:
-        warnings.warn(f"{v.name}: values outside the given order: {first_names(sorted(r['unknown']))}", stacklevel=2)
-    return sorted(r["unused"]), sorted(r["unknown"])
+    """(levels that the data lack, the first values that the order lacks); the latter become unknown with the order."""
+    listed = df.sparkSession.createDataFrame([(x,) for x in v.levels], "level_ string")
+    values = df.select(F.col(v.name).cast("string").alias("level_")).where(F.col("level_").isNotNull()).distinct()
+    unused = sorted(r[0] for r in listed.join(values, "level_", "left_anti").collect())
+    outside = values.join(F.broadcast(listed), "level_", "left_anti")  # the caller's own list
+    unknown = [r[0] for r in outside.orderBy("level_").limit(1000).collect()]
+    if unknown:
+        warnings.warn(f"{v.name}: values outside the given order: {first_names(unknown)}", stacklevel=2)
+    return unused, unknown
 
 
 def canonical_pairs(pairs: DataFrame, known: Sequence[str] | None = None, x: str = "var1", y: str = "var2", lag: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ def connect(sf_dir: str):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else bool(v) if str(type(v)).endswith("bool'>") or str(type(v)).endswith("bool_'>") else v
+    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else bool(v) if str(type(v)).endswith("bool'>") or str(type(v)).endswith("bool_'>") else v
     out = [tuple(clean(v.item() if hasattr(v, "item") else v) for v in r) for r in df.itertuples(index=False)]
     return sorted(out, key=repr)
 

@@ -60,3 +60,59 @@ def test_streaming_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["v0"], r["v1"], r["n"]) for r in spark.table("cells").collect()} == {("a", "x", 2.0), ("a", "y", 1.0)}
+
+
+def test_edges_that_change_in_a_cycle_stand_undirected(spark):
+    """Two graphs take turns: an edge turns round in one of them, another comes and goes."""
+    from causalnet.operators.network import Edge, Reconstruction
+    from causalnet.sources.observations import Options, Variable
+
+    class Turns(Reconstruction):
+        step = 0
+
+        def unconditional(self):
+            pass
+
+        def skeleton(self, allowed=None):
+            self.edges = {(0, 1): Edge(0, 1), (0, 2): Edge(0, 2), (1, 2): Edge(1, 2, connected=self.step % 2 == 0)}
+
+        def confidence(self):
+            pass
+
+        def orient(self):
+            turn = self.step % 2
+            for e in self.edges.values():
+                e.p, e.tip = {e.x: 0.9, e.y: 0.2}, {e.x: 2, e.y: 1}
+            if turn:
+                e = self.edges[0, 1]
+                e.p, e.tip = {0: 0.2, 1: 0.9}, {0: 1, 1: 2}
+            self.step += 1
+
+    class Answers:
+        variables = [Variable(c) for c in "abc"]
+
+    r = Turns(Answers(), Options(consistent="orientation")).run()
+    assert r.step == 3 and len(r.history) == 2
+    assert [r.code(r.edges[p]) for p in ((0, 1), (0, 2), (1, 2))] == [1, -2, 1]
+
+
+def test_metadata_of_lags_are_checked(spark):
+    import pytest
+
+    df = spark.createDataFrame([("u", 1), ("v", 2)], "a string, b int")
+    good = observations.variables(df, [{"var_names": "a", "n_layers": 3, "delta_t": 0, "mov_avg": 2.0}])[0]
+    assert (good.n_layers, good.delta_t, good.mov_avg) == (3, 0, 2)
+    for name, wrong in (("n_layers", 0), ("n_layers", 1.5), ("delta_t", -1), ("delta_t", "x"), ("mov_avg", 1), ("mov_avg", float("inf"))):
+        with pytest.warns(UserWarning, match=f"{name} of a is incorrect"):
+            assert getattr(observations.variables(df, [{"var_names": "a", name: wrong}])[0], name) is None
+    assert observations.variables(df, [{"var_names": "a", "n_layers": float("nan")}])[0].n_layers is None
+
+
+def test_levels_are_compared_with_an_order(spark):
+    import warnings
+
+    df = spark.createDataFrame([("u",), ("w",), (None,)], "a string")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        assert observations.check_levels(df, observations.Variable("a", levels=("u", "v"))) == (["v"], ["w"])
+    assert "outside the given order: w" in str(said[0].message)
