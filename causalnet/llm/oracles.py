@@ -34,7 +34,7 @@ def quality_rules() -> str:
 
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
-named AS (SELECT lang FROM d WHERE lang <> '' GROUP BY 1 HAVING count(*) >= {rules.LEAST_DOCUMENTS} ORDER BY count(*) DESC, lang LIMIT {rules.MOST_LANGUAGES}),
+named AS (SELECT lang FROM d WHERE lang <> '' GROUP BY 1 HAVING count(*) >= {rules.LEAST_DOCUMENTS}),
 x AS (SELECT k, doc_id, t, CASE WHEN lang IN (SELECT lang FROM named) THEN lang ELSE '' END AS l, regexp_extract_all(t, '{_WORD}') AS w FROM d),
 refs AS (SELECT l FROM x GROUP BY 1 HAVING l <> '' OR count(*) >= {rules.LEAST_DOCUMENTS}),
 word AS (SELECT k, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM x),

@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from causalnet.plans.shipping import ship
 
 DIR_KEY = "spark.checkpoint.dir"
-__all__ = ["SPACE", "WORD", "connected_components", "delete", "durable", "first_by_hash", "fresh", "join_back", "lookup", "made", "new_folder", "open_fs", "release", "row_hash", "running", "shared_dir", "ship"]
+__all__ = ["SPACE", "WORD", "beside", "connected_components", "delete", "durable", "first_by_hash", "fresh", "join_back", "lookup", "made", "new_folder", "open_fs", "release", "row_hash", "running", "shared_dir", "ship"]
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: A key is hot that holds more than one in so many of all rows, so there are fewer hot keys than this.
 HOT = 1000
 #: Rows that may share a task whatever their key.
 FEW = 1000
+#: Bytes of a table that is sent to every executor.
+BROADCAST = 16 << 20
 #: Rows of a range in running sums.
 RANGE = 1 << 20
 #: Edges that one task joins to components.
@@ -131,6 +133,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "i
     return rows.join(hot, keys, "left_semi").join(here, keys, how).unionByName(rows.join(hot, keys, "left_anti").join(table, keys, how))
 
 
+def beside(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to a durable table with a row for each key. The table is broadcast if its rows, written as text, take
+    at most ``BROADCAST`` bytes; otherwise keys are looked up like any others."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).collect()[0][0] or 0
+    return rows.join(F.broadcast(table), key, "left") if size <= BROADCAST else lookup(rows, table, [key], "left")
+
+
 def running(df: DataFrame, order: Sequence[str], amounts: dict[str, str], name: str) -> DataFrame:
     """``df`` as a durable table, range-sorted by ``order``, with running sums over the whole of it.
 

@@ -10,7 +10,7 @@ import oracle
 import pytest
 from conftest import SF
 
-from causalnet.llm import queries, rules
+from causalnet.llm import queries, rules, shared
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,6 +86,25 @@ def test_against_numpy(spark):
     assert {q["reference"] for q in got} == {"aa", "bb", "日本", ""} and not next(q for q in got if q["id"] == 902)["kept"]
 
 
+def test_many_languages_have_references_of_their_own(spark, monkeypatch):
+    """600 languages, by a broadcast table and looked up; every one is judged by its own words."""
+    r = random.Random(9)
+    rows = []
+    for k in range(600):
+        own = [f"w{k}x{j}" for j in range(5)]
+        rows += [(25 * k + i, " ".join(r.choice(own) if r.random() < 0.5 else f"q{r.randint(0, 5000)}" for _ in range(60)), f"lang{k}") for i in range(21)]
+        rows.append((25 * k + 22, " ".join(f"z{r.randint(0, 9)}" + "ABC"[j % 3] * 4 for j in range(60)), f"lang{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = rules.judge(docs).toPandas().set_index("id").sort_index()
+    assert got.reference.nunique() == 600 and (got.reference == [v for _, _, v in sorted(rows)]).all()
+    assert got.js_word[[25 * k for k in range(600)]].max() < 0.5 < got.js_word[[25 * k + 22 for k in range(600)]].min()
+    plan = rules.judge(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 200_000
+    monkeypatch.setattr(shared, "BROADCAST", 0)
+    far = rules.judge(docs).toPandas().set_index("id").sort_index()
+    assert (far.kept == got.kept).all() and np.allclose(far.js_word, got.js_word) and np.allclose(far.js_char, got.js_char)
+
+
 def test_without_a_reference_the_base_rules_decide(spark):
     d = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "ja"), (2, "a b", "ja"), (3, None, None)], "doc_id long, text string, lang string")
     got = {r["id"]: r for r in rules.judge(d).collect()}
