@@ -26,11 +26,12 @@ def encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.select(*df.columns)
 
 
-def running(df: DataFrame, order: str, amounts: dict[str, str], how: str = "sum", span: int | None = None) -> DataFrame:
+def running(df: DataFrame, order: str, amounts: dict[str, str], how: str = "sum", span: int | None = None, rows: int | None = None) -> DataFrame:
     """Adds running aggregates over the whole table in the order of ``order``, by two levels: within ranges of about ``span``
-    rows, then over the ranges, so no task sees all rows of a large table. A small one is a single range."""
+    rows, then over the ranges, so no task sees all rows of a large table. A small one is a single range. ``rows``, about how many
+    there are, saves a count."""
     f, span = getattr(F, how), span or RANGE
-    parts = -(-df.count() // span)
+    parts = -(-(df.count() if rows is None else rows) // span)
     before = lambda by: by.rowsBetween(Window.unboundedPreceding, 0)
     if parts <= 1:
         return df.withColumns({n: f(c).over(before(Window.orderBy(order))) for n, c in amounts.items()})

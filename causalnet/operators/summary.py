@@ -16,9 +16,10 @@ from causalnet.sources.observations import Options, Variable, numeric_columns
 def ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Average ranks of each column's values: from one row per distinct value, joined back."""
     out = df.select(*columns)
-    for c in columns:
+    sizes = df.agg(*(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns))).collect()[0]
+    for i, c in enumerate(columns):
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
-        table = running(counts, "v_", {"upto_": "n_"}).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias("r_"))
+        table = running(counts, "v_", {"upto_": "n_"}, rows=sizes[f"d{i}"]).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias("r_"))
         out = out.join(table, F.col(c) == F.col("v_"), "left").withColumn(c, F.col("r_")).drop("v_", "r_")
     return out.select(*columns)
 
