@@ -98,6 +98,12 @@ class CycleTracker:
         return None
 
 
+def _both_ways(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(a, z): each edge of two known ends in both directions, once."""
+    known = edges.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    return known.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("z")), F.struct(F.col("y").alias("a"), F.col("x").alias("z")))).alias("e")).select("e.*").distinct()
+
+
 def unshielded_triples(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """(x, z, y): x - z - y are edges and x - y is not, x < y."""
     both = edges.select(F.col(x).alias("a"), F.col(y).alias("z")).unionByName(edges.select(F.col(y).alias("a"), F.col(x).alias("z"))).distinct()
@@ -106,9 +112,20 @@ def unshielded_triples(edges: DataFrame, x: str = "x", y: str = "y") -> DataFram
     return ends.join(near, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti").select(F.col("a").alias("x"), "z", F.col("b").alias("y"))
 
 
-def edges_outside_triples(edges: DataFrame, triples: DataFrame) -> DataFrame:
-    used = triples.select(F.least("x", "z").alias("u"), F.greatest("x", "z").alias("v")).unionByName(triples.select(F.least("y", "z").alias("u"), F.greatest("y", "z").alias("v")))
-    return edges.join(used, (F.least("x", "y") == F.col("u")) & (F.greatest("x", "y") == F.col("v")), "left_anti")
+def edges_outside_triples(edges: DataFrame, triples: DataFrame | None = None) -> DataFrame:
+    """Edges that are part of no triple: of ``triples`` (x, z, y), or of the graph's own unshielded ones.
+
+    The latter are not formed: an edge is part of none if and only if its two ends, with themselves, have the same neighbours. Sets
+    of neighbours are told apart by their size and the sums of two 64-bit hashes, so no row grows with a node's degree."""
+    if triples is not None:
+        used = triples.select(F.least("x", "z").alias("u"), F.greatest("x", "z").alias("v")).unionByName(triples.select(F.least("y", "z").alias("u"), F.greatest("y", "z").alias("v"))).distinct()
+        return edges.join(used, (F.least("x", "y") == F.col("u")) & (F.greatest("x", "y") == F.col("v")), "left_anti")
+    near = _both_ways(edges)
+    closed = near.where("a <> z").unionByName(near.select("a", F.col("a").alias("z")).distinct())
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    sets = closed.groupBy("a").agg(F.struct(F.count(F.lit(1)).alias("n"), total("z").alias("h"), total(F.lit(1), "z").alias("g")).alias("s"))
+    ends = edges.join(sets.select(F.col("a").alias("x_"), F.col("s").alias("sx_")), F.col("x") == F.col("x_"), "left").join(sets.select(F.col("a").alias("y_"), F.col("s").alias("sy_")), F.col("y") == F.col("y_"), "left")
+    return ends.where(F.col("x").isNull() | F.col("y").isNull() | (F.col("sx_") == F.col("sy_"))).select(*edges.columns)
 
 
 def node_degree(edges: DataFrame) -> DataFrame:

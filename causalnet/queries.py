@@ -367,8 +367,7 @@ def _triples(spark, d):
 
 @query("edges_outside_triples", f"SELECT x, y FROM {EDGES_SQL} WHERE NOT EXISTS (SELECT 1 FROM ({_TRIPLES}) t WHERE (least(e.x, e.y) = least(t.x, t.z) AND greatest(e.x, e.y) = greatest(t.x, t.z)) OR (least(e.x, e.y) = least(t.y, t.z) AND greatest(e.x, e.y) = greatest(t.y, t.z)))")
 def _outside(spark, d):
-    e = edges(spark, d)
-    return graph.edges_outside_triples(e, graph.unshielded_triples(e))
+    return graph.edges_outside_triples(edges(spark, d))
 
 
 @query("vstructure_score", "SELECT l_orderkey, l_linenumber, round(-i3 - ln(2) + ln(1 + exp(i3)), 6) AS s, round(1 / (1 + exp(-(-i3 - ln(2) + ln(1 + exp(i3))))), 6) AS p FROM (SELECT l_orderkey, l_linenumber, -l_quantity / 4 AS i3 FROM lineitem)")
