@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from causalnet.functions.scores import accepted_head, adjacency_code
 from causalnet.plans.shipping import ship
 
+#: Neighbours of one node that meet those of another block in one group.
+BLOCK = 1024
+
 
 def neighbours(edges: Iterable[tuple[int, int]]) -> dict[int, set[int]]:
     out: dict[int, set[int]] = {}
@@ -104,12 +107,37 @@ def _both_ways(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return known.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("z")), F.struct(F.col("y").alias("a"), F.col("x").alias("z")))).alias("e")).select("e.*").distinct()
 
 
-def unshielded_triples(edges: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """(x, z, y): x - z - y are edges and x - y is not, x < y."""
-    both = edges.select(F.col(x).alias("a"), F.col(y).alias("z")).unionByName(edges.select(F.col(y).alias("a"), F.col(x).alias("z"))).distinct()
-    ends = both.join(both.select(F.col("a").alias("b"), "z"), "z").where("a < b")
-    near = both.select(F.col("a").alias("a2"), F.col("z").alias("b2"))
-    return ends.join(near, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti").select(F.col("a").alias("x"), "z", F.col("b").alias("y"))
+def _triangles(near: DataFrame) -> DataFrame:
+    """(z, a, b): a < b are joined and both stand beside z. Each triangle is found from its node of least degree, so that no
+    node's pairs of neighbours are all formed; it stands here three times, once for each z."""
+    degree = near.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    rank = lambda d, v: F.struct(F.col(d), F.col(v))
+    ranked = near.join(degree, "a").withColumnRenamed("d", "da").join(degree.select(F.col("a").alias("z"), F.col("d").alias("dz")), "z")
+    up = ranked.where(rank("da", "a") < rank("dz", "z")).select("a", "z", "dz")
+    wedges = up.select("a", F.col("z").alias("u"), F.col("dz").alias("du")).join(up.select("a", F.col("z").alias("v"), F.col("dz").alias("dv")), "a").where(rank("du", "u") < rank("dv", "v")).select("a", "u", "v")
+    closed = wedges.join(near.select(F.col("a").alias("u"), F.col("z").alias("v")), ["u", "v"], "left_semi")
+    three = F.array(*(F.struct(F.col(p).alias("z"), F.least(q, r).alias("a"), F.greatest(q, r).alias("b")) for p, q, r in (("a", "u", "v"), ("u", "a", "v"), ("v", "a", "u"))))
+    return closed.select(F.explode(three).alias("t")).select("t.*")
+
+
+def unshielded_triples(edges: DataFrame, x: str = "x", y: str = "y", block: int = BLOCK) -> DataFrame:
+    """(x, z, y): x - z - y are edges and x - y is not, x < y.
+
+    The neighbours of a node are dealt to blocks of about ``block``, and each two blocks meet in a group of their own, so that no
+    task has all pairs of a node of many neighbours. Pairs that are joined are known from the triangles, so that the others,
+    which are as many as the result, are formed and passed on without a shuffle of theirs."""
+    near = _both_ways(edges, x, y).where("a <> z")  # a loop is part of no triple
+    count = near.groupBy("z").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    place = lambda v: F.pmod(F.xxhash64(v), F.col("blocks")).cast("int")
+    dealt = near.join(count, "z").withColumn("own", place("a"))
+    closed = _triangles(near).join(count, "z").withColumn("j", place("b")).groupBy("z", "a", "j").agg(F.collect_set("b").alias("joined"))
+    # a meets the others of each block j; those of smaller names are left out there, so a pair is formed once
+    left = dealt.select("z", "a", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).join(closed, ["z", "a", "j"], "left")
+    right = dealt.select("z", F.col("a").alias("b"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(tasks, "z", "own", "j").hint("merge").join(right.repartition(tasks, "z", "own", "j"), ["z", "own", "j"])
+    pairs = met.where((F.col("a") < F.col("b")) & (F.col("joined").isNull() | ~F.array_contains("joined", F.col("b"))))
+    return pairs.select(F.col("a").alias("x"), "z", F.col("b").alias("y"))
 
 
 def edges_outside_triples(edges: DataFrame, triples: DataFrame | None = None) -> DataFrame:
