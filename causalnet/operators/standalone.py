@@ -11,10 +11,14 @@ from pyspark.sql import functions as F
 from causalnet.functions.kernel import histogram_cuts
 from causalnet.operators.encode import encode
 from causalnet.plans import rounds, scales
+from causalnet.plans.histogram import histogram
 from causalnet.plans.rounds import Request, Setting
 from causalnet.plans.shipping import ship
 from causalnet.sources.observations import numeric_columns, usable_weights
 
+#: Distinct values that one task takes through the plain quadratic programme.
+HELD = 2048
+
 
 def _kinds(df: DataFrame, columns: Sequence[str], continuous: Sequence[bool] | None) -> list[bool]:
     numbers = set(numeric_columns(df))
@@ -91,10 +95,17 @@ def discretise_mutual(df: DataFrame, x: str, y: str, given: Sequence[str] = (),
     return df.sparkSession.createDataFrame(rows, "iteration int, variable string, cut double")
 
 
-def discretise_mdl(df: DataFrame, x: str, max_bins: int = 20) -> DataFrame:
-    """(cut): the MDL histogram's cut points of one column, from its distinct values' counts."""
+def discretise_mdl(df: DataFrame, x: str, max_bins: int = 20, held: int = HELD) -> DataFrame:
+    """(cut): the MDL histogram's cut points of one column, from its distinct values' counts; up to ``held`` of them in one task."""
     ship(df.sparkSession)
-    values = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    values = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("w")).persist()
+    try:
+        if not (few := values.count() <= held):
+            cuts = histogram(values, max_bins)
+    finally:
+        values.unpersist()
+    if not few:
+        return df.sparkSession.createDataFrame([(c,) for c in cuts], "cut double")
 
     def run(pdf):
         import pandas as pd
