@@ -292,11 +292,12 @@ def flatten(edges: DataFrame, display: str = "compact", value: str = "info_shift
     greatest value; unique: per pair the edge of greatest value (the least lag in a tie)."""
     e = lagged_edges(edges)
     older = (F.col("xl") > F.col("yl")) | ((F.col("xl") == F.col("yl")) & (F.col("xv") <= F.col("yv")))
-    flat = e.select(F.when(older, F.col("xv")).otherwise(F.col("yv")).alias("x"), F.when(older, F.col("yv")).otherwise(F.col("xv")).alias("y"), "lag", value)
+    flat_of = lambda t: t.select(F.when(older, F.col("xv")).otherwise(F.col("yv")).alias("x"), F.when(older, F.col("yv")).otherwise(F.col("xv")).alias("y"), "lag", value)
+    flat = flat_of(e)
     if display == "compact":
         return flat
-    if display == "drop":
-        return flat.where("x <> y")
+    if display == "drop":  # Spark moves this filter below the sums that edges come from, to every row: names alone tell self loops
+        return flat_of(e.where("xv <> yv"))
     pair = [F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")]
     if display == "combine":
         return flat.groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_set("lag")), ",").alias("lags"), F.max(value).alias(value))
