@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causalnet.functions.kernel import joint
 from causalnet.operators import graph
 from causalnet.operators.orientation import propagate
 from causalnet.plans.requests import Engine
+from causalnet.plans.rounds import EQUAL
 from causalnet.sources.observations import Options, Variable, check_observations, usable_weights, variables
 
 EDGES = (
@@ -23,6 +25,10 @@ EDGES = (
     "confidence double, connected boolean, p_y2x double, p_x2y double, tip_x int, tip_y int, ort_inferred int"
 )
 
+#: Different rows up to which each task of a shuffle knows them all, and row numbers that it takes at a time.
+FEW = 1 << 16
+STEP = 1 << 19
+
 
 @dataclass
 class Edge:
@@ -331,25 +337,40 @@ class Reconstruction:
         return self.engine.spark.createDataFrame(rows, "x string, y string, iteration int, adj int, p_y2x double, p_x2y double")
 
 
-def permutation_means(engine: Engine, pairs: Sequence[tuple[int, int]], n_shuffles: int, seed: int = 42) -> dict[tuple[int, int], float]:
+def permutation_means(engine: Engine, pairs: Sequence[tuple[int, int]], n_shuffles: int, seed: int = 42, few: int = FEW, step: int = STEP) -> dict[tuple[int, int], float]:
     """Mean exp(-I') over shuffles of x. Rows have dense numbers that follow from their values alone, and a keyed bijection of
-    these numbers is a shuffle; one serves all pairs. The weight stays with y."""
+    these numbers is a shuffle; one serves all pairs. The weight stays with y.
+
+    Of discrete variables with at most ``few`` different rows, a task that knows where each of these begins tells both rows from
+    a number and where it goes. Otherwise the moved rows meet those that stay in a join; both count the same."""
     sums = dict.fromkeys(pairs, 0.0)
-    rows, groups = numbered(engine.rows)
-    rows = rows.persist()
-    xs = sorted({x for x, _ in pairs})
+    first, groups, different = ordered(engine.rows)
+    xs, ys = sorted({x for x, _ in pairs}), sorted({y for _, y in pairs})
+    rows = None
     try:
+        if engine.equal and different <= few:
+            table = first.select("first_", *(f"v{i}" for i in sorted({*xs, *ys}))).toArrow().sort_by("first_")
+            blocks = -(-engine.n // step)
+            numbers = engine.spark.range(0, blocks, 1, blocks)
+            shuffle = lambda pairs, key: engine.moved(numbers, pairs, _matched(table, xs, ys, engine.n, key, step))
+        else:
+            rows = spread(first).persist()
+
+            def shuffle(pairs, key):
+                left = rows.select("at_", *(F.col(f"v{x}").alias(f"x{x}") for x in xs)).mapInArrow(_shuffled(engine.n, key), "at_ long, " + ", ".join(f"x{x} {dict(rows.dtypes)[f'v{x}']}" for x in xs))
+                moved = rows.join(left, "at_").drop("at_").persist()
+                try:
+                    return engine.moved(moved, pairs)
+                finally:
+                    moved.unpersist()
+
         for s in range(n_shuffles):
-            left = rows.select("at_", *(F.col(f"v{x}").alias(f"x{x}") for x in xs)).mapInArrow(_shuffled(engine.n, seed + 1 + s), "at_ long, " + ", ".join(f"x{x} {dict(rows.dtypes)[f'v{x}']}" for x in xs))
-            moved = rows.join(left, "at_").drop("at_").persist()
-            try:
-                found = engine.moved(moved, [(f"x{x}", f"v{y}") for x, y in pairs])
-            finally:
-                moved.unpersist()
+            found = shuffle([(f"x{x}", f"v{y}") for x, y in pairs], seed + 1 + s)
             for k, p in enumerate(pairs):
                 sums[p] += float(np.exp(-max(found[k], 0.0)))
     finally:
-        rows.unpersist()
+        if rows is not None:
+            rows.unpersist()
         groups.unpersist()
     return {p: v / n_shuffles for p, v in sums.items()}
 
@@ -359,9 +380,18 @@ def numbered(rows: DataFrame, span: int = 1 << 20) -> tuple[DataFrame, DataFrame
 
     Equal rows are interchangeable, so the numbers don't depend on partitions or on what is computed again. A task orders
     one of equal parts of the hashes' range, of about ``span`` different rows; one sum for each is carried over. ``groups`` is persisted; the caller lets it go."""
-    columns = rows.columns
-    groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_")).withColumn("h_", F.xxhash64(*columns)).persist()
-    bits = max(0, math.ceil(math.log2(max(1, groups.count() / span))))
+    first, groups, _ = ordered(rows, span)
+    return spread(first), groups
+
+
+def ordered(rows: DataFrame, span: int = 1 << 20) -> tuple[DataFrame, DataFrame, int]:
+    """(a row for each different one of ``rows``, with n_ equal ones and first_, the number of their first; groups as in ``numbered``; how many
+    are different). Where ``rows`` have n_, each stands for as many."""
+    columns = [c for c in rows.columns if c != EQUAL]
+    n = F.sum(EQUAL) if EQUAL in rows.columns else F.count(F.lit(1))
+    groups = rows.groupBy(*columns).agg(n.alias("n_")).withColumn("h_", F.xxhash64(*columns)).persist()
+    different = groups.count()
+    bits = max(0, math.ceil(math.log2(max(1, different / span))))
     parts = groups.withColumn("part_", F.shiftright("h_", 64 - bits) if bits else F.lit(0).cast("long"))
     before, total = [], 0
     for r in parts.groupBy("part_").agg(F.sum("n_").alias("n")).orderBy("part_").collect():
@@ -370,11 +400,17 @@ def numbered(rows: DataFrame, span: int = 1 << 20) -> tuple[DataFrame, DataFrame
     offsets = rows.sparkSession.createDataFrame(before, "part_ long, before_ long")
     upto = F.sum("n_").over(Window.partitionBy("part_").orderBy("h_", *columns).rowsBetween(Window.unboundedPreceding, 0))
     first = parts.withColumn("upto_", upto).join(F.broadcast(offsets), "part_").withColumn("first_", F.col("before_") + F.col("upto_") - F.col("n_"))  # a row a part
+    return first.select("first_", "n_", *columns), groups, different
+
+
+def spread(first: DataFrame) -> DataFrame:
+    """Every row with its number at_, from those that ``ordered`` gives."""
+    columns = [c for c in first.columns if c not in ("first_", "n_")]
     piece = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_") - 1) / 4096)))
     pieces = first.withColumn("piece_", piece)
     pieces = pieces.where("n_ <= 4096").unionByName(pieces.where("n_ > 4096").repartition("first_", "piece_"))
     low = F.col("first_") + F.col("piece_") * 4096
-    return pieces.withColumn("at_", F.explode(F.sequence(low, F.least(low + 4096, F.col("first_") + F.col("n_")) - 1))).select("at_", *columns), groups
+    return pieces.withColumn("at_", F.explode(F.sequence(low, F.least(low + 4096, F.col("first_") + F.col("n_")) - 1))).select("at_", *columns)
 
 
 def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -406,6 +442,40 @@ def _shuffled(n: int, key: int):
     return run
 
 
+def _matched(table: pa.Table, xs: Sequence[int], ys: Sequence[int], n: int, key: int, step: int = STEP):
+    """Batches of (x3, ..., v3, ..., n_) for batches of blocks of row numbers: what of each row goes to another, what it finds there, and how often."""
+    starts = table.column("first_").to_numpy()
+
+    def coded(own: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(code of each different row by these columns alone, a row of each code)."""
+        values = [table.column(f"v{i}") for i in own]
+        factors = [np.unique(a.fill_null(0).to_numpy(), return_inverse=True)[1].reshape(-1) * 2 + a.is_null().to_numpy() for a in values]
+        _, at, code = np.unique(joint(factors, len(table)), return_index=True, return_inverse=True)
+        return code.reshape(-1), at
+
+    (left, a_row), (right, b_row) = coded(xs), coded(ys)
+    going = [table.column(f"v{i}").take(pa.array(a_row)).combine_chunks() for i in xs]
+    staying = [table.column(f"v{i}").take(pa.array(b_row)).combine_chunks() for i in ys]
+    names, size = [*(f"x{i}" for i in xs), *(f"v{i}" for i in ys), EQUAL], len(b_row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in b.column(0).to_pylist():
+                at = np.arange(block * step, min(n, (block + 1) * step))
+                of = lambda numbers: np.searchsorted(starts, numbers, side="right") - 1
+                both = left[of(at)] * size + right[of(permuted(at, n, key))]
+                if len(a_row) * size <= step:
+                    times = np.bincount(both)
+                    found = np.flatnonzero(times)
+                    times = times[found]
+                else:
+                    found, times = np.unique(both, return_counts=True)
+                i, j = (pa.array(k) for k in np.divmod(found, size))
+                yield pa.RecordBatch.from_arrays([*(c.take(i) for c in going), *(c.take(j) for c in staying), pa.array(times)], names)
+
+    return run
+
+
 @dataclass
 class Result:
     edges: DataFrame

@@ -7,7 +7,7 @@ whether gaps fall at random where that matters (``operators.neighbours``). Resul
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 import numpy as np
@@ -39,19 +39,25 @@ def missing_at_random_rejects(x: np.ndarray, y: np.ndarray, known: np.ndarray, w
 class Engine:
     """Answers ("2", x, y, us), ("3", x, y, z, us) and ("tie", x, y, (z,)) requests over variable positions.
 
-    The last is I'(x;z) + I'(y;z) over the rows that know all three."""
+    The last is I'(x;z) + I'(y;z) over the rows that know all three. Where all variables are discrete, equal rows are counted once
+    and stand for as many from then on; ``equal`` names a column of ``df`` that has these counts already."""
 
-    def __init__(self, df: DataFrame, variables: list[Variable], options: Options = Options(), maxbins: int = 50):
+    def __init__(self, df: DataFrame, variables: list[Variable], options: Options = Options(), maxbins: int = 50, equal: str | None = None):
         self.variables, self.options = variables, options
         self.spark = df.sparkSession
         ship(self.spark)
         self.weighted = options.sample_weights is not None
-        self.rows = rounds.observed(df, [(v.name, v.continuous) for v in variables], options.sample_weights).persist()
-        one = self.rows.agg(F.count(F.lit(1)).alias("n"), *(F.count(c).alias(c) for c in self.rows.columns)).collect()[0]
-        self.n = one["n"]
         self.names = [f"v{i}" for i in range(len(variables))]
         self.kinds = {f"v{i}": v.continuous for i, v in enumerate(variables)}
-        self.gaps = {c for c in self.names if one[c] < self.n}
+        rows = rounds.observed(df, [(v.name, v.continuous) for v in variables], options.sample_weights, equal)
+        self.equal = equal is not None or not (self.weighted or any(self.kinds.values()))
+        if self.equal and equal is None:
+            rows = rows.groupBy(*self.names).agg(F.count(F.lit(1)).alias(rounds.EQUAL))
+        self.rows = rows.persist()
+        total = F.coalesce(F.sum(rounds.EQUAL), F.lit(0)) if self.equal else F.count(F.lit(1))
+        one = self.rows.agg(F.count(F.lit(1)).alias("held"), total.alias("n"), *(F.count(c).alias(c) for c in self.names)).collect()[0]
+        self.n, self.held = one["n"], one["held"]
+        self.gaps = {c for c in self.names if one[c] < self.held}
         weight = options.n_eff / self.n if 0 < options.n_eff < self.n and not self.weighted else 1.0
         start = min(30, int(0.5 + self.n ** (1 / 3)))
         self.setting = Setting(options.cplx, max(1, min(maxbins, self.n)), start, options.negative_info, weight)
@@ -94,8 +100,9 @@ class Engine:
         found = missing_at_random(self.rows.where("w_ > 0") if self.weighted else self.rows, tests, {c for c, number in self.kinds.items() if number})
         return {q for q, (n1, n2, kl) in zip(ask, found) if 2 < n1 < n2 and kl - np.log(n1) > 0}
 
-    def moved(self, rows: DataFrame, pairs: list[tuple[str, str]]) -> dict[int, float]:
-        """I' of each pair of columns of a table whose column x3 is a shuffled v3; by place in the list."""
+    def moved(self, rows: DataFrame, pairs: list[tuple[str, str]], source: Callable | None = None) -> dict[int, float]:
+        """I' of each pair of columns of a table whose column x3 is a shuffled v3; by place in the list. A ``source``
+        makes these columns, and n_, from ``rows`` in the tasks that count (discrete variables only)."""
         name = lambda c: f"v{c[1:]}"
         columns = {c for p in pairs for c in p}
         gaps = {c for c in columns if name(c) in self.gaps}
@@ -105,7 +112,7 @@ class Engine:
         setting = replace(self.setting, scales={(c, o): self.setting.scales[name(c), ()] for c, o in wanted if not o and (name(c), ()) in self.setting.scales})
         if new := sorted(wanted - setting.scales.keys()):
             setting.scales |= dict(zip(new, scales.places(scales.tally(rows, new, "w_" if self.weighted else None), len(new), setting.maxbins)))
-        found = rounds.solve(rows, asked, kinds, gaps, setting, self.weighted, n_rows=self.n)
+        found = rounds.solve(rows, asked, kinds, gaps, setting, self.weighted, n_rows=self.n, equal=source is not None, source=source)
         return {k: found[k]["info"] - found[k]["cplx"] if k in found else 0.0 for k in range(len(pairs))}
 
     def run(self, requests: Iterable[tuple]) -> None:
@@ -132,7 +139,7 @@ class Engine:
             s = sample()
             return rounds.plain(s.run(rounds.begin(s.search, r.kind, len(r.columns), setting)))
 
-        found = rounds.solve(self.rows, asked, self.kinds, self.gaps, setting, self.weighted, finish, self.n)
+        found = rounds.solve(self.rows, asked, self.kinds, self.gaps, setting, self.weighted, finish, self.held, equal=self.equal)
         small = lambda v: 0.0 if abs(v) < TINY else v
         for k, q in enumerate(todo):
             r = found.get(k, {"n": 0.0} | NOTHING[q[0]])

@@ -52,11 +52,15 @@ class Setting:
     scales: dict = field(default_factory=dict)  # (column, known columns) -> Places
 
 
-def observed(df: DataFrame, columns: Sequence[tuple[str, bool]], weights: str | None = None) -> DataFrame:
+#: Column with the number of equal rows that a row stands for.
+EQUAL = "n_"
+
+
+def observed(df: DataFrame, columns: Sequence[tuple[str, bool]], weights: str | None = None, equal: str | None = None) -> DataFrame:
     """Columns v0, v1, ...: continuous ones as numbers, levels of the others as 64-bit hashes (of a million levels two meet with a
-    probability of 3 in 100 million), null where unknown; w_ if there are weights."""
+    probability of 3 in 100 million), null where unknown; w_ if there are weights; n_ from ``equal``, if equal rows are already one."""
     level = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(F.col(c)))
-    more = [F.col(weights).cast("double").alias("w_")] if weights else []
+    more = ([F.col(weights).cast("double").alias("w_")] if weights else []) + ([F.col(f"`{equal}`").alias(EQUAL)] if equal else [])
     number_of = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
     return df.select(*((number_of(f"`{c}`") if number else level(f"`{c}`")).alias(f"v{i}") for i, (c, number) in enumerate(columns)), *more)
 
@@ -66,20 +70,22 @@ def contexts(request: Request, gaps: set[str]) -> tuple[str, ...]:
     return tuple(sorted(set(request.columns) & gaps))
 
 
-def cells(rows: DataFrame, requests: Sequence[Request], scales: dict[tuple[str, tuple[str, ...]], Places], gaps: set[str], weighted: bool) -> DataFrame:
+def cells(rows: DataFrame, requests: Sequence[Request], scales: dict[tuple[str, tuple[str, ...]], Places], gaps: set[str], weighted: bool, equal: bool = False, source: Callable | None = None) -> DataFrame:
     """(k, whole, c0, c1, ..., w, m): weights and rows of the combinations of each request's columns; c has places of continuous
-    columns and hashes of levels. ``whole`` is false for rows that lack the third column."""
+    columns and hashes of levels. ``whole`` is false for rows that lack the third column. With ``equal`` a row stands for n_ rows.
+    ``source`` makes batches with the columns from those of ``rows``, in the same tasks."""
     width = max(len(r.columns) for r in requests)
     plan = [(r.columns, contexts(r, gaps), r.third) for r in requests]
     wanted = {key: p for key, p in scales.items() if p is not None and any(key[0] in c and key[1] == o for c, o, _ in plan)}
-    columns = sorted({c for r in requests for c in r.columns}) + (["w_"] if weighted else [])
+    columns = sorted({c for r in requests for c in r.columns}) + (["w_"] if weighted else []) + ([EQUAL] if equal else [])
     names = ["k", "whole", *(f"c{j}" for j in range(width)), "w", "m"]
     types = [pa.int32(), pa.bool_(), *([pa.int64()] * width), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in source(batches) if source else batches:
             known = {c: b.column(c).is_valid().to_numpy(zero_copy_only=False) for c in columns}
-            w = b.column("w_").fill_null(0.0).to_numpy(zero_copy_only=False) if weighted else np.ones(len(b))
+            times = b.column(EQUAL).to_numpy().astype(float) if equal else np.ones(len(b))
+            w = times * b.column("w_").fill_null(0.0).to_numpy(zero_copy_only=False) if weighted else times
             coded: dict = {}
 
             def code(c: str, others: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +118,8 @@ def cells(rows: DataFrame, requests: Sequence[Request], scales: dict[tuple[str,
                         number = number * len(v) + at[rows_at]
                 else:
                     number = joint([number, *(at[rows_at] for at, _ in parts)], len(rows_at))
-                _, first, inverse, m = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
-                one = rows_at[first]
+                _, first, inverse = np.unique(number, return_index=True, return_inverse=True)
+                one, m = rows_at[first], np.bincount(inverse.reshape(-1), weights=times[rows_at])
                 for i, v in enumerate([np.full(len(one), k), whole[first], *(parts[j][1][parts[j][0][one]] if j < len(own) else np.zeros(len(one), np.int64) for j in range(width)), np.bincount(inverse.reshape(-1), weights=w[rows_at]), m]):
                     out[i].append(v)
                 held += len(one)
@@ -124,7 +130,7 @@ def cells(rows: DataFrame, requests: Sequence[Request], scales: dict[tuple[str,
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v), t) for v, t in zip(out, types)], names)
 
     schema = "k int, whole boolean, " + "".join(f"c{j} long, " for j in range(width)) + "w double, m double"
-    return rows.select(*columns).mapInArrow(run, schema).groupBy(*names[:-2]).agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
+    return (rows if source else rows.select(*columns)).mapInArrow(run, schema).groupBy(*names[:-2]).agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
 
 
 def begin(search: Search, kind: str, n_columns: int, o: Setting):
@@ -168,15 +174,16 @@ def _scales(r: Request, o: Setting, gaps: set[str], kinds: dict[str, bool]) -> l
     return [o.scales[c, contexts(r, gaps)].scale() if kinds[c] and o.scales.get((c, contexts(r, gaps))) else None for c in r.columns]
 
 
-def solve(rows: DataFrame, requests: Sequence[Request], kinds: dict[str, bool], gaps: set[str], o: Setting, weighted: bool, finish: Callable | None = None, n_rows: int | None = None, held: int = HELD) -> dict[int, dict]:
+def solve(rows: DataFrame, requests: Sequence[Request], kinds: dict[str, bool], gaps: set[str], o: Setting, weighted: bool, finish: Callable | None = None, n_rows: int | None = None, held: int = HELD, equal: bool = False, source: Callable | None = None) -> dict[int, dict]:
     """Results by the request's place in the list; those without a row are left out.
 
     ``finish(r, codes, whole, w, m, sample)`` turns a request's cells into its result where they fit a task, with ``sample()`` to make a
-    ``Sample`` of the whole ones; by default the request's own search does. A request whose cells don't fit goes its search in rounds."""
+    ``Sample`` of the whole ones; by default the request's own search does. A request whose cells don't fit goes its search in rounds.
+    No request may have more cells than ``n_rows``. ``equal`` and ``source`` are those of ``cells``."""
     if not requests:
         return {}
     requests = list(requests)
-    counted = cells(rows, requests, o.scales, gaps, weighted)
+    counted = cells(rows, requests, o.scales, gaps, weighted, equal, source)
     width = max(len(r.columns) for r in requests)
     large: list[int] = []
     if n_rows is None or n_rows > held:
