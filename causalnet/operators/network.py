@@ -18,7 +18,7 @@ from causalnet.operators import graph
 from causalnet.operators.orientation import propagate
 from causalnet.plans.requests import Engine
 from causalnet.plans.rounds import EQUAL
-from causalnet.sources.observations import Options, Variable, check_observations, usable_weights, variables
+from causalnet.sources.observations import Options, Variable, check_observations, surely_discrete, usable_weights, variables
 
 EDGES = (
     "x string, y string, n double, info double, cplx double, n_cond double, info_cond double, cplx_cond double, info_shifted double, ai array<string>, raw_contributions array<double>, contributions array<double>, "
@@ -490,7 +490,7 @@ class Result:
 
 def reconstruct(df: DataFrame, metadata: Iterable[Variable | dict] = (), black_box: Iterable[tuple[str, str]] = (), true_edges: DataFrame | None = None, age: dict[str, int] | None = None, **options) -> Result:
     """The network of a table's columns; the one that ``sample_weights`` names, if any, weighs the rows instead."""
-    o = Options(**options)
+    o, metadata = Options(**options), list(metadata)
     if o.sample_weights is not None:
         w, values = o.sample_weights, df.drop(o.sample_weights)
         if usable_weights(df, w):
@@ -498,12 +498,29 @@ def reconstruct(df: DataFrame, metadata: Iterable[Variable | dict] = (), black_b
             df = df.select(*names, w).dropna(how="all", subset=names) if o.mode == "S" else df.select(*names, w)
         else:
             o = replace(o, sample_weights=None)
-            df = check_observations(values, drop_rows=o.mode == "S")
-    else:
-        df = check_observations(df, drop_rows=o.mode == "S")
-    found = variables(df.drop(o.sample_weights) if o.sample_weights else df, metadata)
+            df = values
+    held = equal = None
+    if o.sample_weights is None and df is not None and surely_discrete(df, metadata):  # all that follows needs the different rows only, so one scan does
+        equal = "n_"
+        while equal in df.columns:
+            equal += "_"
+        held = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(equal)).persist()
+    try:
+        if o.sample_weights is None:
+            names = check_observations(held.drop(equal) if equal else df, drop_rows=False).columns
+            whole = lambda t: t.dropna(how="all", subset=names) if o.mode == "S" else t
+            df = whole(held.select(*names, equal) if equal else df.select(*names))
+        return _reconstructed(df, equal, o, metadata, black_box, true_edges, age)
+    finally:
+        if held is not None:
+            held.unpersist()
+
+
+def _reconstructed(df: DataFrame, equal: str | None, o: Options, metadata: Iterable[Variable | dict], black_box: Iterable[tuple[str, str]], true_edges: DataFrame | None, age: dict[str, int] | None) -> Result:
+    """The network of checked rows; with ``equal`` these are the different ones, and that column says how many there are of each."""
+    found = variables(df.drop(*(c for c in (o.sample_weights, equal) if c)), metadata)
     at = {v.name: i for i, v in enumerate(found)}
-    engine = Engine(df, found, o)
+    engine = Engine(df, found, o, equal=equal)
     try:
         black = [(at[a], at[b]) for a, b in black_box if a in at and b in at]
         r = Reconstruction(engine, o, black, {at[k]: v for k, v in age.items() if k in at} if age else None).run()
@@ -512,6 +529,6 @@ def reconstruct(df: DataFrame, metadata: Iterable[Variable | dict] = (), black_b
         engine.close()
     from causalnet.operators.summary import summarise
 
-    summary = summarise(df, edges, found, o, history, true_edges)
+    summary = summarise(df, edges, found, o, history, true_edges, equal)
     scores = graph.truth_scores(edges.where("connected").select("x", "y"), true_edges.toDF("x", "y")) if true_edges is not None else None
     return Result(edges, triples, summary, history, found, o, scores, engine.batches)

@@ -13,15 +13,17 @@ from causalnet.operators.graph import consensus_orientation, edge_statistics
 from causalnet.sources.observations import Options, Variable, numeric_columns
 
 
-def ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Average ranks of each column's values: from one row per distinct value, joined back."""
-    out = df.select(*columns)
+def ranks(df: DataFrame, columns: Sequence[str], equal: str | None = None) -> DataFrame:
+    """Average ranks of each column's values: from one row per distinct value, joined back. A row stands for as many as its ``equal`` says, a column that stays."""
+    kept = [*columns, *([equal] if equal else [])]
+    out = df.select(*kept)
+    rows = F.sum(equal) if equal else F.count(F.lit(1))
     sizes = df.agg(*(F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(columns))).collect()[0]
     for i, c in enumerate(columns):
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(F.count(F.lit(1)).alias("n_"))
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v_")).agg(rows.alias("n_"))
         table = running(counts, "v_", {"upto_": "n_"}, rows=sizes[f"d{i}"]).select("v_", (F.col("upto_") - (F.col("n_") - 1) / 2).alias("r_"))
         out = out.join(table, F.col(c) == F.col("v_"), "left").withColumn(c, F.col("r_")).drop("v_", "r_")
-    return out.select(*columns)
+    return out.select(*kept)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -30,11 +32,17 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranks(d, [x, y]).agg(F.corr(x, y).alias("rho")).withColumn("sign", F.when(F.col("rho") >= 0, "+").otherwise("-"))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Of the ranks over complete rows: d(d+1)/2 aggregates in one pass."""
-    r = ranks(df.dropna(subset=list(columns)), columns)
+def correlation_matrix(df: DataFrame, columns: Sequence[str], equal: str | None = None) -> np.ndarray:
+    """Of the ranks over complete rows: d(d+1)/2 aggregates in one pass. With ``equal`` rows are counted; their mean rank is known."""
+    whole = df.dropna(subset=list(columns))
+    r = ranks(whole, columns, equal)
     d = len(columns)
-    row = r.agg(*(F.corr(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1, d))).collect()[0]
+    of = F.corr
+    if equal:
+        middle = ((whole.agg(F.sum(equal)).collect()[0][0] or 0) + 1) / 2
+        sums = lambda a, b: F.sum(F.col(equal) * (F.col(a) - middle) * (F.col(b) - middle))
+        of = lambda a, b: F.when((sums(a, a) > 0) & (sums(b, b) > 0), sums(a, b) / F.sqrt(sums(a, a)) / F.sqrt(sums(b, b)))
+    row = r.agg(*(of(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1, d))).collect()[0]
     m = np.eye(d)
     for i in range(d):
         for j in range(i + 1, d):
@@ -42,8 +50,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     return m
 
 
-def partial_spearman(df: DataFrame, x: str, y: str, given: Sequence[str] = ()) -> float:
-    return partial_of(correlation_matrix(df, [x, y, *given]))
+def partial_spearman(df: DataFrame, x: str, y: str, given: Sequence[str] = (), equal: str | None = None) -> float:
+    return partial_of(correlation_matrix(df, [x, y, *given], equal))
 
 
 def partial_of(m: np.ndarray) -> float:
@@ -55,7 +63,7 @@ def partial_of(m: np.ndarray) -> float:
     return float(-p[0, 1] / scale) if scale > 0 else 0.0
 
 
-def partial_correlations(df: DataFrame, edges: Sequence[tuple[str, ...]]) -> dict[tuple[str, ...], float]:
+def partial_correlations(df: DataFrame, edges: Sequence[tuple[str, ...]], equal: str | None = None) -> dict[tuple[str, ...], float]:
     """Of each (x, y, conditions...). Columns without gaps share one matrix; an edge with a gap somewhere has its own complete rows."""
     names = sorted({c for e in edges for c in e})
     if not names:
@@ -63,9 +71,9 @@ def partial_correlations(df: DataFrame, edges: Sequence[tuple[str, ...]]) -> dic
     gaps = df.agg(*(F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names))).collect()[0]
     full = [c for i, c in enumerate(names) if gaps[f"g{i}"] == 0]
     at = {c: i for i, c in enumerate(full)}
-    m = correlation_matrix(df, full) if any(set(e) <= at.keys() for e in edges) else None
+    m = correlation_matrix(df, full, equal) if any(set(e) <= at.keys() for e in edges) else None
     pick = lambda e: [at[c] for c in e]
-    return {e: partial_of(m[np.ix_(pick(e), pick(e))]) if set(e) <= at.keys() else partial_spearman(df, e[0], e[1], e[2:]) for e in edges}
+    return {e: partial_of(m[np.ix_(pick(e), pick(e))]) if set(e) <= at.keys() else partial_spearman(df, e[0], e[1], e[2:], equal) for e in edges}
 
 
 def as_numbers(df: DataFrame, found: Sequence[Variable]) -> tuple[DataFrame, set[str]]:
@@ -86,11 +94,12 @@ SUMMARY = (
 )
 
 
-def summarise(df: DataFrame, edges: DataFrame, found: Sequence[Variable], o: Options, history: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
+def summarise(df: DataFrame, edges: DataFrame, found: Sequence[Variable], o: Options, history: DataFrame | None = None, truth: DataFrame | None = None, equal: str | None = None) -> DataFrame:
     """A row for each kept edge, for each removed one that has contributors, and for each true one; strongest first.
 
     ``truth`` has an edge a row, from its first to its second column. Over a cycle of several graphs the
-    probabilities are averages, and the consensus follows from them; of one graph there is no consensus."""
+    probabilities are averages, and the consensus follows from them; of one graph there is no consensus. A row of ``df`` stands
+    for as many as its column ``equal`` says, if there is one."""
     real = {}
     for r in truth.collect() if truth is not None else ():
         real[r[0], r[1]], real[r[1], r[0]] = 2, -2
@@ -108,7 +117,7 @@ def summarise(df: DataFrame, edges: DataFrame, found: Sequence[Variable], o: Opt
         both = consensus_orientation(edge_statistics(history, o.consensus_threshold).join(average, ["x", "y"]), o.ort_consensus_ratio)
         stats = {(r["x"], r["y"]): r for r in both.collect()}
     deducible = o.latent != "no" and not o.propagation
-    partials = partial_correlations(data, [(r["x"], r["y"], *r["ai"]) for r in rows if r["connected"] and {r["x"], r["y"], *r["ai"]} <= numbers])
+    partials = partial_correlations(data, [(r["x"], r["y"], *r["ai"]) for r in rows if r["connected"] and {r["x"], r["y"], *r["ai"]} <= numbers], equal)
     out = []
 
     def ratio(a: float, b: float) -> float:

@@ -113,6 +113,12 @@ def variables(df: DataFrame, given: Iterable[Variable | dict] = ()) -> list[Vari
     return out
 
 
+def surely_discrete(df: DataFrame, given: Iterable[Variable | dict]) -> bool:
+    """Whether types and metadata alone say that no column is continuous."""
+    own = dict((v.name, v.continuous is False) if isinstance(v, Variable) else (v.get("var_names"), v.get("var_type") == 0) for v in given)
+    return all(own.get(c, False) for c in numeric_columns(df))
+
+
 def _whole(row: dict, name: str, fair) -> int | None:
     """A whole number that ``fair`` accepts; anything else is ignored, with a warning."""
     value = row.get(name)

@@ -60,3 +60,34 @@ def test_moved_rows_are_the_bijection(spark):
     got = found.groupby(["x0", "v1"], dropna=False)["n_"].sum()
     assert sorted(want.tolist()) == sorted(got.tolist()) and got.sum() == 1000
     e.close()
+
+
+def test_network_reads_discrete_observations_once(spark):
+    """Checks, metadata and counts all come from the first reading."""
+    p = observations(1000)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(p, "a string, b string, c string").mapInPandas(seen, "a string, b string, c string")
+    network.reconstruct(df).edges.collect()
+    assert read.value == len(p)
+
+
+def test_network_of_equal_rows_is_that_of_the_rows(spark, monkeypatch):
+    p = observations(1500).assign(k=lambda t: t.c.fillna("9").astype(int), n_="x")
+    p["m"] = p.k // 2 + np.random.default_rng(3).integers(0, 2, len(p))
+    p.loc[:20, ["a", "b", "c"]] = None
+    df = spark.createDataFrame(p, "a string, b string, c string, k int, n_ string, m int")
+    numbers = [Variable("k", False), Variable("m", False)]
+    once = network.reconstruct(df, numbers)
+    monkeypatch.setattr(network, "surely_discrete", lambda *a: False)
+    each = network.reconstruct(df, numbers)
+    assert once.summary.where("partial_correlation > 0").count()
+    assert once.variables == each.variables
+    for name in ("edges", "summary", "triples"):
+        a, b = getattr(once, name).toPandas(), getattr(each, name).toPandas()
+        pd.testing.assert_frame_equal(a, b, rtol=1e-9)
