@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causalnet.functions.complexity import log_c_col, n_log_n
@@ -145,9 +145,11 @@ def contributors(df: DataFrame, edges: Sequence[tuple[str, str]], others: Sequen
 
 
 def best_contributor(scores: DataFrame) -> DataFrame:
-    """The z of highest positive score of each edge; ties go to the first name."""
-    best = scores.where("score > 0").groupBy("x", "y").agg(F.max("score").alias("score"))
-    return scores.join(best, ["x", "y", "score"]).groupBy("x", "y", "score").agg(F.min("z").alias("z"))
+    """The z of highest positive score of each edge; ties go to the first name.
+
+    Scores are read once: their last bits follow the order of sums, so a second evaluation need not equal the first."""
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("score"), "z"))
+    return scores.where("score > 0").withColumn("place_", place).where("place_ = 1").select("x", "y", "score", "z")
 
 
 def entropies(df: DataFrame, columns: Sequence[str]) -> DataFrame:

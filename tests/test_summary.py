@@ -1,10 +1,14 @@
 """Columns of the summary that hang on gaps, against plain counts."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from causalnet.functions.kernel import Sample
+from causalnet.operators import discrete
 from causalnet.operators.network import reconstruct
 from causalnet.queries import QUERIES
 
@@ -45,3 +49,18 @@ def test_contributors_with_gaps(spark):
 def test_a_mediator_is_found(spark):
     rows = QUERIES["best_contributor"](spark, "/root/testdata/sf0.001").collect()
     assert [(r["x"], r["y"], r["z"]) for r in rows] == [("fine", "coarse", "middle")] and rows[0]["score"] > 0
+
+
+def test_a_best_contributor_outlives_the_order_of_sums(spark):
+    """On executors the last bits of a score follow the order in which partial sums arrive, so no two evaluations need agree."""
+    late = F.udf(lambda s: s * (1 + int.from_bytes(os.urandom(4), "big") * 2.0**-50), "double").asNondeterministic()
+    rows = [("a", "b", "p", 1.0), ("a", "b", "q", 3.0), ("a", "b", "r", 2.0), ("c", "d", "p", 0.5), ("c", "d", "q", -1.0), ("e", "f", "p", -2.0), ("e", "f", "q", 0.0)]
+    scores = spark.createDataFrame(rows, "x string, y string, z string, score double").withColumn("score", late("score"))
+    best = discrete.best_contributor(scores).collect()
+    assert sorted((r["x"], r["y"], r["z"], round(r["score"], 3)) for r in best) == [("a", "b", "q", 3.0), ("c", "d", "p", 0.5)]
+
+
+def test_equal_scores_go_to_the_first_name(spark):
+    rows = [("a", "b", "r", 2.0), ("a", "b", "q", 2.0), ("a", "b", "p", 1.0)]
+    best = discrete.best_contributor(spark.createDataFrame(rows, "x string, y string, z string, score double")).collect()
+    assert [(r["x"], r["y"], r["z"], r["score"]) for r in best] == [("a", "b", "q", 2.0)]
